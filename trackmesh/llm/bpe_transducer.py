@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -29,7 +30,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 #: Matches handled at once; bounds the memory for one text.
 RUN = 1 << 16
 #: Entries of a generation of the memo of whole matches, and transitions of the automaton, which starts anew when full.
-MEMO, TRANSITIONS, PAIRS = 200_000, 300_000, 200_000
+MEMO, TRANSITIONS, PAIRS = 300_000, 700_000, 200_000
 _ROOT = 0
 
 
@@ -218,7 +219,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = BpeTransducer(ranks)
         self._pattern = regex.compile(pattern)
-        self._memo = Memo(lambda match: np.array(self.transducer.encode(match.encode("utf-8", "surrogatepass")), "<u4").tobytes())
+        self._memo = Memo(lambda match: array("I", self.transducer.encode(match.encode("utf-8", "surrogatepass"))).tobytes())
 
     def matches(self, text: str) -> Iterator[list[str]]:
         """The text's matches in bounded runs."""
@@ -241,9 +242,9 @@ class Codec:
 
     def decode_stream(self, ids: Iterable[int], run: int = RUN) -> Iterator[tuple[bytes, str]]:
         """Bytes and finished characters, a run of tokens at a time."""
-        ids, state = iter(ids), Utf8Stream()
-        while part := list(islice(ids, run)):
-            data = self.decode_bytes(part)
+        ids, state = list(ids), Utf8Stream()
+        for at in range(0, len(ids), run):
+            data = self.decode_bytes(ids[at : at + run] if len(ids) > run else ids)
             yield data, state.feed(data)
         if rest := state.finish():
             yield b"", rest
@@ -270,7 +271,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         codec = load_codec(path, pattern)
         packed = codec.encode_packed(text)
         sha, n_bytes, same, at = hashlib.sha256(), 0, True, 0
-        for data, chars in codec.decode_stream(np.frombuffer(packed, "<u4").tolist()):
+        for data, chars in codec.decode_stream(array("I", packed)):
             sha.update(data)
             n_bytes += len(data)
             same = same and text.startswith(chars, at)
