@@ -34,28 +34,30 @@ class OffsetEncoder:
         self._codec = codec
         self._memo = Memo(self._spans)
 
-    def _spans(self, match: str) -> tuple[int, bytes, bytes]:
-        data, tokens, at, starts, ends = match.encode("utf-8", "surrogatepass"), self._codec.transducer.tokens, 0, [], []
+    def _spans(self, match: str) -> bytes:
+        """Start and end of each token in turn, from the match's start, packed."""
+        data, tokens, at, out = match.encode("utf-8", "surrogatepass"), self._codec.transducer.tokens, 0, array("i")
         for t in self._codec.transducer.encode(data):
-            starts.append(at)
+            out.append(at)
             at += len(tokens[t])
-            ends.append(at)
+            out.append(at)
         if len(data) > len(match):  # from bytes to the characters that hold them
             char = (np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1).tolist()
-            starts, ends = [char[s] for s in starts], [char[e - 1] + 1 for e in ends]
-        return len(ends), array("i", starts).tobytes(), array("i", ends).tobytes()
+            for i in range(0, len(out), 2):
+                out[i], out[i + 1] = char[out[i]], char[out[i + 1] - 1] + 1
+        return out.tobytes()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        starts, ends, base = [], [], 0
+        found, base = [np.zeros((0, 2), np.int64)], 0
         for run in self._codec.matches(text):
-            counts, s, e = zip(*map(self._memo.__getitem__, run), strict=True) if run else ((), (), ())
+            packed = list(map(self._memo.__getitem__, run))
+            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
             lengths = np.fromiter(map(len, run), np.int64, len(run))
-            at = np.repeat(base + np.cumsum(lengths) - lengths, counts)
-            starts.append(at + np.frombuffer(b"".join(s), "<i4"))
-            ends.append(at + np.frombuffer(b"".join(e), "<i4"))
-            base += int(lengths.sum())
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *starts]), np.concatenate([empty, *ends])
+            ends = np.cumsum(lengths)
+            found.append(np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2) + np.repeat(base + ends - lengths, counts)[:, None])
+            base += int(ends[-1]) if len(ends) else 0
+        spans = np.concatenate(found)
+        return spans[:, 0], spans[:, 1]
 
 
 def line_sections(text: str) -> np.ndarray:
