@@ -5,11 +5,751 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trackmesh.functions import geometry as g
+from trackmesh.functions import masks as m
+from trackmesh.functions import scalars as s
+from trackmesh.operators import anomalies as an
+from trackmesh.operators import identity as ident
+from trackmesh.operators import memory as mem
+from trackmesh.operators import patterns as pat
+from trackmesh.operators import query as q
+from trackmesh.operators import suppress
+from trackmesh.plans import tables as t
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+H, D = t.HOUR, t.DAY
+
+
+def query(name: str, sql: str | None = None, *needs: str) -> Callable[[Query], Query]:
+    """Register a query, with SQL over the named tables."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = t.with_tables(sql, *needs) if needs else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def r6(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# --- views and filters --------------------------------------------------------------------------------------------------
+
+
+@query("track_samples_audit", "select sample_id, supersedes, revision, source_id, pts_ns, track_id, subject_id, confidence from audit", "audit")
+def _(spark, d):
+    return t.track_samples(spark, d).select("sample_id", "supersedes", "revision", "source_id", "pts_ns", "track_id", "subject_id", "confidence")
+
+
+@query("effective_samples", 'select sample_id, revision, subject_id, "left", top, "right", bottom from eff', "eff")
+def _(spark, d):
+    return t.effective_samples(spark, d).select("sample_id", "revision", "subject_id", "left", "top", "right", "bottom")
+
+
+for _name, _cond in (("for_track", "track_id = 7"), ("for_track_key", "source_id = 2 and track_id = 7"), ("for_subject", "subject_id = 11")):
+
+    @query(_name, f"select sample_id, source_id, track_id, subject_id from audit where {_cond}", "audit")
+    def _(spark, d, cond=_cond):
+        return t.track_samples(spark, d).filter(cond).select("sample_id", "source_id", "track_id", "subject_id")
+
+
+@query("idempotency_seen", "select k as idempotency_key, k <> 0 and exists (select 1 from audit where idempotency_key = k) as seen from (select unnest(range(0, 120, 7)) k)", "audit")
+def _(spark, d):
+    keys = spark.range(0, 120, 7).select(F.col("id").alias("idempotency_key"))
+    seen = t.track_samples(spark, d).select("idempotency_key").distinct().withColumn("hit", F.lit(True))
+    return keys.join(seen, "idempotency_key", "left").select("idempotency_key", (F.coalesce("hit", F.lit(False)) & (F.col("idempotency_key") != 0)).alias("seen"))
+
+
+@query("detection_ingest", "select min(sample_id) as sample_id, idempotency_key, source_id from audit where idempotency_key <> 0 group by idempotency_key, source_id union all select sample_id, idempotency_key, source_id from audit where idempotency_key = 0", "audit")
+def _(spark, d):
+    rows = t.track_samples(spark, d).select("sample_id", "idempotency_key", "source_id")
+    once = rows.filter("idempotency_key <> 0").groupBy("idempotency_key", "source_id").agg(F.min("sample_id").alias("sample_id"))
+    return once.unionByName(rows.filter("idempotency_key = 0"))
+
+
+@query("events_by_subject", "select sample_id as event_id, zone_id, pts_ns as time_ns from audit where subject_id = 5", "audit")
+def _(spark, d):
+    return t.track_samples(spark, d).filter("subject_id = 5").select(F.col("sample_id").alias("event_id"), "zone_id", F.col("pts_ns").alias("time_ns"))
+
+
+@query("events_count_by_subject", "select subject_id, count(*) as n from audit where subject_id in (3, 5, 8) group by subject_id", "audit")
+def _(spark, d):
+    return t.track_samples(spark, d).filter("subject_id in (3, 5, 8)").groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+@query("event_index", "select event_id, event_type as kind, user_id as track_id, epoch_us(ts) * 1000 as time_ns, cast(null as bigint) as duration_ns from events")
+def _(spark, d):
+    return t.read(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("track_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), F.lit(None).cast("long").alias("duration_ns"))
+
+
+@query("observation_append", "select 1000000 + row_number() over (order by event_id) as observation_id, event_id as track_id, cast(1 as bigint) as revision from events where event_id % 10 = 3")
+def _(spark, d):
+    e = t.read(spark, d, "events")
+    existing = spark.range(999_998, 1_000_001).select(F.col("id").alias("observation_id"), F.lit(1).cast("long").alias("revision"))
+    new = e.filter("event_id % 10 = 3").select(F.lit(0).cast("long").alias("observation_id"), F.lit(None).cast("long").alias("supersedes"), F.col("event_id").alias("track_id"))
+    return mem.append_ids(existing, new, ["track_id"]).select("observation_id", "track_id", "revision")
+
+
+# --- subject queries ----------------------------------------------------------------------------------------------------
+
+_HITS = """select h.subject_id, sample_count, max_confidence, coalesce(n_stays, 0) as n_stays, cast(coalesce(dwell_ns, 0) as bigint) as dwell_ns
+  from (select subject_id, count(*) sample_count, greatest(max(confidence), 0.0) max_confidence, min(sample_id) first_pos from eff where subject_id is not null and {where} group by subject_id) h
+  left join (select subject_id, count(*) n_stays, sum(duration_ns) dwell_ns from stays group by subject_id) s using (subject_id)
+  where {having} {tail}"""
+
+
+def _hits(where: str = "true", having: str = "true", tail: str = "") -> str:
+    return _HITS.format(where=where, having=having, tail=tail)
+
+
+def _subject(spark, d, query_: q.SubjectQuery) -> DataFrame:
+    hits = q.subject_query(t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d), query_)
+    return hits.drop("first_pos")
+
+
+_THEN = "exists (select 1 from stays a join stays b using (subject_id) where a.subject_id = h.subject_id and a.zone_id = {0} and b.zone_id = {1} and b.start_ns >= a.end_ns{2})"
+_ROUTE = "exists (select 1 from routes r where r.subject_id = h.subject_id and len(list_filter(range(1, len(zones) + 1), lambda i: zones[i:i + 1] = [1, 2])) > 0)"
+for _name, _q, _sql in (
+    ("subject_query_source", q.SubjectQuery(source_id=2), _hits("source_id = 2")),
+    ("subject_query_confidence", q.SubjectQuery(min_confidence=0.9), _hits("confidence >= 0.9")),
+    ("subject_query_during", q.SubjectQuery(start_ns=1_704_200_000 * 10**9, end_ns=1_704_700_000 * 10**9), _hits("pts_ns between 1704200000000000000 and 1704700000000000000")),
+    ("subject_query_zone", q.SubjectQuery(zone=3), _hits(having="exists (select 1 from stays z where z.subject_id = h.subject_id and z.zone_id = 3)")),
+    ("subject_query_then_seen", q.SubjectQuery(then=(1, 2, 0)), _hits(having=_THEN.format(1, 2, ""))),
+    ("subject_query_then_within", q.SubjectQuery(then=(3, 4, H)), _hits(having=_THEN.format(3, 4, f" and b.start_ns - a.end_ns <= {H}"))),
+    ("subject_query_route", q.SubjectQuery(route=(1, 2)), _hits(having=_ROUTE)),
+    ("subject_query_dwell", q.SubjectQuery(min_dwell_ns=20 * H), _hits(having=f"coalesce(dwell_ns, 0) >= {20 * H}")),
+    ("subject_query_combined", q.SubjectQuery(source_id=1, min_confidence=0.6, zone=2, then=(1, 5, 0), min_dwell_ns=H), _hits("source_id = 1 and confidence >= 0.6", "exists (select 1 from stays z where z.subject_id = h.subject_id and z.zone_id = 2) and " + _THEN.format(1, 5, "") + f" and coalesce(dwell_ns, 0) >= {H}")),
+    ("subject_query_page", q.SubjectQuery(order="sample_count", offset=5, limit=20), _hits(tail="order by sample_count desc, first_pos limit 20 offset 5")),
+    ("subject_query_by_dwell", q.SubjectQuery(order="dwell", limit=15), _hits(tail="order by dwell_ns desc, first_pos limit 15")),
+    ("subject_query_by_id", q.SubjectQuery(subject_ids=(3, 9, 27)), _hits("subject_id in (3, 9, 27)")),
+):
+
+    @query(_name, _sql, "eff", "stays", "routes")
+    def _(spark, d, query_=_q):
+        return _subject(spark, d, query_)
+
+
+@query("rank_subjects", "select subject_id, count(*) as sample_count, count(distinct source_id) as source_count, max(pts_ns) - min(pts_ns) as span_ns from eff where subject_id is not null group by subject_id", "eff")
+def _(spark, d):
+    return q.rank_subjects(t.effective_samples(spark, d))
+
+
+@query("most_frequent_subject", "select subject_id, count(*) as sample_count from eff where subject_id is not null group by subject_id order by count(*) desc, max(pts_ns) - min(pts_ns) desc, subject_id limit 1", "eff")
+def _(spark, d):
+    return q.rank_subjects(t.effective_samples(spark, d)).limit(1).select("subject_id", "sample_count")
+
+
+_LEAF = "select distinct subject_id from eff where subject_id is not null and "
+_AST_TAIL = " select h.subject_id, count(*) as sample_count from eff h join ids using (subject_id) group by h.subject_id"
+_P1, _P2, _P3 = ("pred", q.SubjectQuery(min_confidence=0.98)), ("pred", q.SubjectQuery(subject_ids=tuple(range(1, 60)))), ("pred", q.SubjectQuery(zone=3))
+_Z3 = "select distinct subject_id from stays where zone_id = 3"
+for _name, _node, _ids in (
+    ("query_ast_and", ("and", [_P1, _P2]), f"{_LEAF} confidence >= 0.98 intersect {_LEAF} subject_id between 1 and 59"),
+    ("query_ast_or", ("or", [_P1, _P2]), f"{_LEAF} confidence >= 0.98 union {_LEAF} subject_id between 1 and 59"),
+    ("query_ast_not", ("not", _P2), f"{_LEAF} true except {_LEAF} subject_id between 1 and 59"),
+    ("query_ast_nested", ("and", [("not", _P2), ("or", [_P1, _P3])]), f"({_LEAF} true except {_LEAF} subject_id between 1 and 59) intersect ({_LEAF} confidence >= 0.98 union {_Z3})"),
+    ("query_ast_empty_and", ("and", []), f"{_LEAF} true"),
+    ("query_ast_empty_or", ("or", []), f"{_LEAF} false"),
+):
+
+    @query(_name, f"with ids as ({_ids})" + _AST_TAIL, "eff", "stays")
+    def _(spark, d, node=_node):
+        return q.execute_ast(node, t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d)).select("subject_id", "sample_count")
+
+
+for _name, _text, _ids in (
+    ("keyword_query", "seen on source 1 and min confidence 0.95", f"{_LEAF} source_id = 1 intersect {_LEAF} confidence >= 0.95"),
+    ("keyword_query_or", "subject 3 or zone 3 and seen on camera 2", f"{_LEAF} subject_id = 3 union (({_Z3}) intersect {_LEAF} source_id = 2)"),
+):
+
+    @query(_name, f"with ids as ({_ids})" + _AST_TAIL, "eff", "stays")
+    def _(spark, d, text=_text):
+        return q.execute_ast(q.parse_keywords(text).node, t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d)).select("subject_id", "sample_count")
+
+
+_IOU = 'greatest(least("right", {2}) - greatest("left", {0}), 0) * greatest(least(bottom, {3}) - greatest(top, {1}), 0)'
+
+
+@query("spatial_query", f"""select sample_id, round(i / (("right" - "left") * (bottom - top) + 160000.0::double - i), 6) as iou from (select *, {_IOU.format(500.0, 300.0, 900.0, 700.0)} as i from eff
+  where "left" < 900 and "right" > 500 and top < 700 and bottom > 300)""", "eff")
+def _(spark, d):
+    return r6(q.spatial_query(t.effective_samples(spark, d), (500.0, 300.0, 900.0, 700.0)).select("sample_id", "iou"), "iou")
+
+
+@query("box_overlap_join", """select a.sample_id as a_id, b.sample_id as b_id from eff a join eff b on a.source_id = 1 and b.source_id = 2 and a.sample_id % 5 = 0 and b.sample_id % 5 = 0
+  and a."left" < b."right" and b."left" < a."right" and a.top < b.bottom and b.top < a.bottom""", "eff")
+def _(spark, d):
+    eff = t.effective_samples(spark, d).filter("sample_id % 5 = 0").select("sample_id", "source_id", "left", "top", "right", "bottom")
+    return q.overlap_join(eff.filter("source_id = 1"), eff.filter("source_id = 2"), 120.0).select(F.col("a_sample_id").alias("a_id"), F.col("b_sample_id").alias("b_id"))
+
+
+# --- memory -------------------------------------------------------------------------------------------------------------
+
+_APP = f"""app_steps as (select *, case when pts_ns - lag(pts_ns) over (partition by source_id, track_id order by pts_ns, frame_index) > {12 * H} then 1 else 0 end as br from eff),
+app_isl as (select *, sum(br) over (partition by source_id, track_id order by pts_ns, frame_index) as isl from app_steps),
+app as (select source_id, track_id, arg_min(subject_id, (pts_ns, frame_index)) filter (where subject_id is not null) as subject_id, min(pts_ns) as start_ns, max(pts_ns) as end_ns,
+  arg_max(zone_id, (pts_ns, frame_index)) as class_id, max(confidence) as peak_confidence, count(*) as n_samples from app_isl group by source_id, track_id, isl)"""
+
+
+def _appearances(spark, d):
+    return mem.appearances(t.effective_samples(spark, d), 12 * H)
+
+
+@query("zone_stays", "select zone_id, subject_id, start_ns, end_ns, duration_ns from stays", "stays")
+def _(spark, d):
+    return t.zone_stays(spark, d)
+
+
+@query("routes", "select subject_id, array_to_string(zones, '-') as zones, start_ns, end_ns from routes", "routes")
+def _(spark, d):
+    return t.routes(spark, d).withColumn("zones", F.array_join(F.transform("zones", lambda z: z.cast("string")), "-"))
+
+
+@query("co_occurrences", "select subject_a, subject_b, zone_id, start_ns, end_ns, overlap_ns from co", "co")
+def _(spark, d):
+    return t.co_occurrences(spark, d)
+
+
+@query("appearances", f"with {_APP} select * from app", "eff")
+def _(spark, d):
+    return _appearances(spark, d).select("source_id", "track_id", "subject_id", "start_ns", "end_ns", "class_id", "peak_confidence", "n_samples")
+
+
+_VISITS = f"""{_APP}, v1 as (select *, case when start_ns - max(end_ns) over (partition by subject_id order by start_ns, end_ns rows between unbounded preceding and 1 preceding) > {6 * H} then 1 else 0 end as br from app where subject_id is not null),
+v2 as (select *, sum(br) over (partition by subject_id order by start_ns, end_ns rows between unbounded preceding and current row) as isl from v1)"""
+
+
+@query("visits", f"with {_VISITS} select subject_id, min(start_ns) as start_ns, max(end_ns) as end_ns, count(distinct source_id) as source_count, max(end_ns) - min(start_ns) as duration_ns from v2 group by subject_id, isl", "eff")
+def _(spark, d):
+    return mem.visits(_appearances(spark, d), 6 * H)
+
+
+@query("subject_profiles", f"""with {_APP}, now as (select subject_id, count(*) n, count(distinct source_id) s, cast(sum(end_ns - start_ns) as bigint) d, min(start_ns) f, max(end_ns) l from app where subject_id is not null group by subject_id),
+  prev as (select c_custkey as subject_id, c_name as label from customer where c_custkey <= 200)
+  select coalesce(now.subject_id, prev.subject_id) as subject_id, label, coalesce(n, 0) as appearance_count, coalesce(s, 0) as source_count, coalesce(d, 0) as total_duration_ns, f as first_seen, l as last_seen
+  from now full outer join prev on now.subject_id = prev.subject_id""", "eff")
+def _(spark, d):
+    prev = t.read(spark, d, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("label"))
+    return mem.profiles(_appearances(spark, d), prev)
+
+
+@query("evidence_reel", f"""with s1 as (select *, case when pts_ns - lag(pts_ns) over (partition by subject_id, source_id, track_id order by pts_ns, sample_id) > {24 * H} then 1 else 0 end as br from eff where subject_id is not null),
+  s2 as (select *, sum(br) over (partition by subject_id, source_id, track_id order by pts_ns, sample_id) as isl from s1)
+  select subject_id, source_id, track_id, min(pts_ns) as start_ns, max(pts_ns) as end_ns, coalesce(arg_max(mask_ref, (pts_ns, sample_id)) filter (where mask_ref <> 0), 0) as mask_ref, count(*) as n_samples
+  from s2 group by subject_id, source_id, track_id, isl""", "eff")
+def _(spark, d):
+    return mem.reel(t.effective_samples(spark, d), 24 * H)
+
+
+_POINTS = "select sample_id, source_id, track_id % 3 as track_id, subject_id % 2 as subject_id, case when zone_id <= 2 then 'accept' else 'uncertain' end as decision, pts_ns as at_ns from eff"
+
+
+def _points(spark, d):
+    return t.effective_samples(spark, d).select("sample_id", "source_id", (F.col("track_id") % 3).alias("track_id"), (F.col("subject_id") % 2).alias("subject_id"), F.when(F.col("zone_id") <= 2, "accept").otherwise("uncertain").alias("decision"), F.col("pts_ns").alias("at_ns"))
+
+
+_INTERVALS = f"""with p as ({_POINTS}), st as (select *, case when row(track_id, subject_id, decision) is distinct from lag(row(track_id, subject_id, decision)) over (partition by source_id order by sample_id) then 1 else 0 end as br from p),
+  il as (select *, sum(br) over (partition by source_id order by sample_id) as isl from st),
+  iv as (select source_id, track_id, subject_id, decision, min(at_ns) as start_ns, max(at_ns) as end_ns, count(*) as n_points from il group by source_id, isl, track_id, subject_id, decision)"""
+
+
+@query("identity_intervals", _INTERVALS + " select * from iv", "eff")
+def _(spark, d):
+    return mem.identity_intervals(_points(spark, d), "sample_id")
+
+
+@query("uncertain_intervals", _INTERVALS + " select source_id, track_id, start_ns, end_ns from iv where decision = 'uncertain'", "eff")
+def _(spark, d):
+    return mem.identity_intervals(_points(spark, d), "sample_id").filter("decision = 'uncertain'").select("source_id", "track_id", "start_ns", "end_ns")
+
+
+@query("redaction_plan_subject", f"with {_APP} select subject_id, source_id, track_id, start_ns, end_ns, 'blur' as intent, peak_confidence from app where subject_id = 9", "eff")
+def _(spark, d):
+    return mem.plan_redaction(_appearances(spark, d), include=9)
+
+
+@query("redaction_plan_others", f"with {_APP} select subject_id, source_id, track_id, start_ns, end_ns, 'blur' as intent, peak_confidence from app where subject_id is not null and subject_id <> 9", "eff")
+def _(spark, d):
+    return mem.plan_redaction(_appearances(spark, d), exclude=9)
+
+
+@query("redaction_coverage_gap", f"with {_APP} select count(*) as gap from app a where subject_id is not null and not exists (select 1 from eff e where e.mask_ref <> 0 and e.source_id = a.source_id and e.track_id = a.track_id)", "eff")
+def _(spark, d):
+    pixels = t.effective_samples(spark, d).filter("mask_ref <> 0").select("source_id", "track_id")
+    return mem.plan_redaction(_appearances(spark, d)).join(pixels, ["source_id", "track_id"], "left_anti").agg(F.count("*").alias("gap"))
+
+
+@query("latest_sample_per_track", "select sample_id, source_id, track_id from audit qualify row_number() over (partition by source_id, track_id order by sample_id desc) = 1", "audit")
+def _(spark, d):
+    return mem.latest_per_track(t.track_samples(spark, d)).select("sample_id", "source_id", "track_id")
+
+
+@query("retention", f"""with m as (select max(pts_ns) newest from eff), sm as (select source_id, max(pts_ns) sn from eff group by source_id),
+  r as (select e.*, e.source_id = 1 as held, newest - pts_ns > {20 * D} or (e.source_id = 2 and sn - pts_ns > {5 * D}) as expired from eff e, m, sm where sm.source_id = e.source_id),
+  k as (select *, row_number() over (partition by not held and not expired order by pts_ns desc, sample_id desc) as rn from r)
+  select sample_id, case when held then 'held' when expired then 'expired' when rn > 300 then 'over_cap' else 'kept' end as state from k""", "eff")
+def _(spark, d):
+    return mem.retention(t.effective_samples(spark, d), 20 * D, {2: 5 * D}, [1], 300).select("sample_id", "state")
+
+
+@query("forget_subject", "select sample_id as supersedes, (select max(sample_id) from audit) + row_number() over (order by sample_id) as sample_id, revision + 1 as revision, track_id from eff where subject_id = 9", "eff")
+def _(spark, d):
+    return mem.forget_subject(t.track_samples(spark, d), 9, held=False).select("supersedes", "sample_id", "revision", "track_id")
+
+
+@query("last_seen_as_of", "select sample_id, lag(source_id) over w as last_source, lag(pts_ns) over w as last_ns from eff where subject_id is not null window w as (partition by subject_id order by pts_ns, sample_id)", "eff")
+def _(spark, d):
+    return ident.last_seen(t.effective_samples(spark, d)).select("sample_id", "last_source", "last_ns")
+
+
+@query("validation", """select 'dangling_supersedes' as rule, count(*) as n from audit a where supersedes is not null and not exists (select 1 from audit b where b.sample_id = a.supersedes)
+  union all select 'degenerate_box', count(*) from audit where "right" <= "left" or bottom <= top union all select 'duplicate_id', count(*) from (select sample_id from audit group by sample_id having count(*) > 1)
+  union all select 'pts_regression', count(*) from (select pts_ns < lag(pts_ns) over (partition by source_id order by sample_id) as b from audit) where b""", "audit")
+def _(spark, d):
+    from trackmesh.operators.validate import validate
+
+    return validate(t.track_samples(spark, d))
+
+
+# --- patterns -------------------------------------------------------------------------------------------------------------
+
+
+@query("mine_time_of_day", f"""with b as (select subject_id, (at_ns % {D}) // {H} as bucket, count(*) n, min(event_id) f from timed group by 1, 2), r as (select *, sum(n) over (partition by subject_id) total, row_number() over (partition by subject_id order by n desc, f) rn from b)
+  select subject_id, bucket, n, round(n / total, 6) as confidence from r where rn = 1 and total >= 3 and n >= 2""", "timed")
+def _(spark, d):
+    return r6(pat.time_of_day(t.series(spark, d)["timed"]).select("subject_id", "bucket", "n", "confidence"), "confidence")
+
+
+@query("mine_day_of_week", f"""with b as (select subject_id, (at_ns // {D}) % 7 as bucket, count(*) n, min(event_id) f from timed group by 1, 2), r as (select *, sum(n) over (partition by subject_id) total, row_number() over (partition by subject_id order by n desc, f) rn from b)
+  select subject_id, bucket, n, round(n / total, 6) as confidence from r where rn = 1 and total >= 3 and n >= 2""", "timed")
+def _(spark, d):
+    return r6(pat.day_of_week(t.series(spark, d)["timed"]).select("subject_id", "bucket", "n", "confidence"), "confidence")
+
+
+_GAPS = "gp as (select subject_id, event_id, at_ns, at_ns - lag(at_ns) over (partition by subject_id order by at_ns, event_id) as gap_ns from timed where subject_id is not null)"
+_GAP_STATS = _GAPS + ", gs as (select subject_id, count(*) n, stddev_pop(gap_ns) sd, median(gap_ns) md from gp where gap_ns > 0 group by subject_id)"
+
+
+@query("inter_event_gaps", f"with {_GAPS} select subject_id, event_id, gap_ns from gp where gap_ns is not null", "timed")
+def _(spark, d):
+    return pat.gaps(t.series(spark, d)["timed"].filter("subject_id is not null")).select("subject_id", "event_id", "gap_ns")
+
+
+@query("mine_visit_periodicity", f"with {_GAP_STATS} select subject_id, n, round(1 - greatest(0, least(1, sd / md)), 4) as confidence, cast(least(floor(md), 4294967295) as bigint) as tag from gs where n >= 2 and 1 - greatest(0, least(1, sd / md)) >= 0.35", "timed")
+def _(spark, d):
+    return r6(pat.visit_periodicity(t.series(spark, d)["timed"]).select("subject_id", "n", "confidence", "tag"), "confidence", digits=4)
+
+
+@query("mine_expected_absence", f"with {_GAP_STATS} select subject_id, n, round(1 - greatest(0, least(1, sd / md)), 4) as confidence, cast(least(floor(md / 1e9), 4294967295) as bigint) as tag from gs where n >= 2 and md >= {H}", "timed")
+def _(spark, d):
+    return r6(pat.expected_absence(t.series(spark, d)["timed"]).select("subject_id", "n", "confidence", "tag"), "confidence", digits=4)
+
+
+@query("mine_dwell_distribution", "select subject_id, count(*) as n, round(1 - greatest(0, least(1, stddev_pop(duration_ns) / avg(duration_ns))), 4) as confidence, cast(least(floor(avg(duration_ns)), 4294967295) as bigint) as tag from stays where duration_ns > 0 group by subject_id having count(*) >= 2", "stays")
+def _(spark, d):
+    return r6(pat.dwell_distribution(t.series(spark, d)["durations"]).select("subject_id", "n", "confidence", "tag"), "confidence", digits=4)
+
+
+@query("mine_route_sequence", """with k as (select subject_id, cast(list_reduce(list_prepend(2166136261::bigint, list_transform(zones, lambda z: z::bigint)), lambda h, z: ((xor(h, z) * 16777619) & 4294967295)) as bigint) as tag from routes)
+  select subject_id, tag, count(*) as n, round(count(*) / (select count(*) from k), 6) as confidence from k group by subject_id, tag having count(*) >= 2""", "routes")
+def _(spark, d):
+    return r6(pat.route_sequence(t.series(spark, d)["routes"]).select("subject_id", "tag", "n", "confidence"), "confidence")
+
+
+@query("mine_co_occurrence", "select subject_a as subject_id, subject_b, count(*) as n, round(count(*) / (select count(*) from co), 6) as confidence, ((subject_b & 65535) << 16) | (subject_a & 65535) as tag from co group by subject_a, subject_b having count(*) >= 2", "co")
+def _(spark, d):
+    return r6(pat.co_occurrence(t.series(spark, d)["pairs"]).select("subject_id", "subject_b", "n", "confidence", "tag"), "confidence")
+
+
+@query("mine_group_formation", "select subject_id, count(*) as n, round(least(1.0, count(*) / 10.0), 6)::double as confidence from (select subject_a as subject_id from co union all select subject_b from co) group by subject_id having count(*) >= 3", "co")
+def _(spark, d):
+    return r6(pat.group_formation(t.series(spark, d)["pairs"]).select("subject_id", "n", "confidence"), "confidence")
+
+
+@query("mine_event_before_event", """with l as (select subject_id, kind_tag a, lead(kind_tag) over (partition by subject_id order by at_ns, event_id) b from timed where subject_id is not null and kind_tag <> 0)
+  select subject_id, a * 65536 + (b & 65535) as tag, count(*) as n, round(least(1.0, count(*) / 5.0), 6)::double as confidence from l where b is not null and a <> b group by subject_id, a, b having count(*) >= 2""", "timed")
+def _(spark, d):
+    return r6(pat.event_before_event(t.series(spark, d)["timed"]).select("subject_id", "tag", "n", "confidence"), "confidence")
+
+
+@query("mine_patterns")
+def _(spark, d):
+    return pat.mine_all(t.series(spark, d))
+
+
+# --- anomalies --------------------------------------------------------------------------------------------------------------
+
+_STATS = "round(avg({0}), 3) as mean, round(stddev_pop({0}), 3) as sd, round(median({0}), 3) as median"
+
+
+@query("stats_mean_stddev_median", f"select subject_id, {_STATS.format('duration_ns / 1e9')} from stays group by subject_id", "stays")
+def _(spark, d):
+    x = F.col("duration_ns") / 1e9
+    return r6(t.zone_stays(spark, d).groupBy("subject_id").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.median(x).alias("median")), "mean", "sd", "median", digits=3)
+
+
+@query("stats_mad", "select subject_id, median(abs(duration_ns - m)) as mad, any_value(m) as median from (select *, median(duration_ns) over (partition by subject_id) m from stays) group by subject_id", "stays")
+def _(spark, d):
+    return an.mad(t.zone_stays(spark, d), "duration_ns", ["subject_id"])
+
+
+_BASE = f"""{_GAPS}, du as (select * from stays where duration_ns > 0),
+b1 as (select avg(duration_ns) dm, stddev_pop(duration_ns) ds, median(duration_ns) dmed from du), b2 as (select median(abs(duration_ns - dmed)) dmad from du, b1),
+b3 as (select avg(gap_ns) gm, stddev_pop(gap_ns) gs from gp where gap_ns > 0), b4 as (select count(*) hn, avg((at_ns % {D}) // {H}) hm, stddev_pop((at_ns % {D}) // {H}) hs from timed),
+base as (select * from b1, b2, b3, b4)"""
+
+
+def _base(spark, d):
+    return an.baseline(t.series(spark, d))
+
+
+@query("baseline_stats", f"with {_BASE} select round(dm / 1e9, 3) as dwell_mean, round(ds / 1e9, 3) as dwell_sd, round(dmed / 1e9, 3) as dwell_median, round(dmad / 1e9, 3) as dwell_mad, round(gm / 1e9, 3) as gap_mean, round(gs / 1e9, 3) as gap_sd, round(hm, 6) as hour_mean, round(hs, 6) as hour_sd from base", "timed", "stays")
+def _(spark, d):
+    b = _base(spark, d)
+    return b.select(*[F.round(F.col(c) / 1e9, 3).alias(c) for c in ("dwell_mean", "dwell_sd", "dwell_median", "dwell_mad", "gap_mean", "gap_sd")], *[F.round(c, 6).alias(c) for c in ("hour_mean", "hour_sd")])
+
+
+_Z = "case when {1} > 1e-6 then abs({0}) / {1} when abs({0}) <= 1e-6 then 0 else 'inf'::double end"
+for _name, _f, _src, _sql in (
+    ("detect_dwell", an.detect_dwell, "durations", f"select subject_id, start_ns as at_ns, {_Z.format('duration_ns - dm', 'ds')} z from stays, base"),
+    ("detect_robust_dwell", an.detect_robust_dwell, "durations", "select subject_id, start_ns as at_ns, case when dmad > 1e-6 then abs(duration_ns - dmed) * 0.6745 / dmad else 0 end z from stays, base"),
+    ("detect_frequency", an.detect_frequency, "timed", f"select subject_id, at_ns, {_Z.format('gap_ns - gm', 'gs')} z from gp, base where gap_ns is not null"),
+    ("detect_time_of_day", an.detect_time, "timed", f"select subject_id, at_ns, least(abs((at_ns % {D}) // {H} - hm), 24 - abs((at_ns % {D}) // {H} - hm)) / greatest(hs, 0.5) z from timed, base"),
+    ("detect_missing_expected", an.detect_missing, "timed", f"select subject_id, max(at_ns) at_ns, arg_max({_Z.format('gap_ns - gm', 'gs')}, (at_ns, event_id)) z from gp, base where gap_ns is not null group by subject_id, gm having arg_max(gap_ns, (at_ns, event_id)) > gm"),
+):
+
+    @query(_name, f"with {_BASE}, zz as ({_sql}) select subject_id, at_ns, round(z, 4) as score, case when z >= 6 then 'critical' when z >= 4.5 then 'high' when z >= 3.5 then 'medium' else 'low' end as severity from zz where z >= 1.5", "timed", "stays")
+    def _(spark, d, f=_f, src=_src):
+        found = f(t.series(spark, d)[src], _base(spark, d), an.StatConfig(z=1.5))
+        return r6(found.select("subject_id", "at_ns", "score", "severity"), "score", digits=4)
+
+
+@query("detect_own_gaps", f"""with {_GAPS}, g as (select *, median(gap_ns) over (partition by subject_id) md from gp where gap_ns > 0), x as (select subject_id, count(*) n, any_value(md) md, median(abs(gap_ns - md)) mad, arg_max(gap_ns, (at_ns, event_id)) lg, max(at_ns) at_ns from g group by subject_id)
+  select subject_id, at_ns, round(abs(lg - md) * 0.6745 / mad, 4) as score from x where n >= 5 and abs(lg - md) * 0.6745 / mad >= 1.5""", "timed")
+def _(spark, d):
+    return r6(an.detect_own_gaps(t.series(spark, d)["timed"], an.StatConfig(z=1.5)).select("subject_id", "at_ns", "score"), "score", digits=4)
+
+
+@query("detect_statistical")
+def _(spark, d):
+    return an.detect_statistical(t.series(spark, d), _base(spark, d))
+
+
+@query("change_point_cusum", """with r as (select subject_id, row_number() over w k, sum(duration_ns / 1e9) over (partition by subject_id order by start_ns, zone_id rows unbounded preceding) l, sum(duration_ns / 1e9) over (partition by subject_id) tot, count(*) over (partition by subject_id) n from stays window w as (partition by subject_id order by start_ns, zone_id)),
+  sc as (select *, abs(l / k - tot / n) * sqrt(k) + abs((tot - l) / nullif(n - k, 0) - tot / n) * sqrt(n - k) s from r where n >= 4 and k < n)
+  select subject_id, arg_max(k, (s, -k)) as split, round(max(s), 2) as score from sc group by subject_id""", "stays")
+def _(spark, d):
+    v = t.zone_stays(spark, d).withColumn("x", F.col("duration_ns") / 1e9)
+    return r6(an.change_points(v, ["subject_id"], "x", ["start_ns", "zone_id"]), "score", digits=2)
+
+
+@query("scoped_baselines", f"""with b as (select subject_id, cast(null as bigint) source_id, duration_ns / 1e9 dw, null::bigint h from stays union all select subject_id, source_id, null, (at_ns % {D}) // {H} from timed),
+  g as (select case when grouping(subject_id) = 1 and grouping(source_id) = 1 then 'global' when grouping(subject_id) = 0 then 'subject' else 'source' end as scope, subject_id, source_id, count(dw) dwell_n, round(avg(dw), 3) dwell_mean, count(h) hour_n, round(avg(h), 6) hour_mean from b group by grouping sets ((), (subject_id), (source_id)))
+  select * from g where (scope = 'global' or (scope = 'subject' and subject_id is not null) or (scope = 'source' and source_id is not null)) and (dwell_n >= 5 or hour_n >= 5)""", "timed", "stays")
+def _(spark, d):
+    x = t.series(spark, d)
+    b = an.scoped_baselines(x["timed"], x["durations"])
+    return b.select("scope", "subject_id", "source_id", "dwell_n", F.round(F.col("dwell_mean") / 1e9, 3).alias("dwell_mean"), "hour_n", F.round("hour_mean", 6).alias("hour_mean"))
+
+
+@query("detect_scoped")
+def _(spark, d):
+    x = t.series(spark, d)
+    return an.detect_scoped(x["durations"], an.scoped_baselines(x["timed"], x["durations"]))
+
+
+@query("resolve_scoped_baseline", f"""with h as (select subject_id, source_id, (at_ns % {D}) // {H} h from timed), su as (select subject_id, avg(h) v from h where subject_id is not null group by 1 having count(*) >= 5), so as (select source_id, avg(h) v from h group by 1 having count(*) >= 5)
+  select event_id, round(coalesce(su.v, so.v, (select avg(h) from h)), 6) as hour_mean from timed left join su using (subject_id) left join so using (source_id)""", "timed")
+def _(spark, d):
+    x = t.series(spark, d)
+    scoped = an.scoped_baselines(x["timed"], x["durations"].limit(0))
+    return r6(an.resolve_baseline(x["timed"].select("event_id", "subject_id", "source_id"), scoped, "hour_mean").select("event_id", "hour_mean"), "hour_mean")
+
+
+_HOPS = "hops as (select * from (select subject_id, lag(source_id) over w as from_source, source_id as to_source, at_ns, at_ns - lag(at_ns) over w as elapsed_ns from timed where subject_id is not null window w as (partition by subject_id order by at_ns, event_id)) where from_source is not null and from_source <> to_source and elapsed_ns > 0)"
+
+
+@query("camera_hops", f"with {_HOPS} select subject_id, from_source, to_source, at_ns, elapsed_ns from hops", "timed")
+def _(spark, d):
+    return an.camera_hops(t.series(spark, d)["timed"])
+
+
+@query("graph_baseline_hops", f"with {_HOPS} select from_source, to_source, count(*) as n, round(count(*) / (select count(*) from hops), 6) as fraction from hops group by from_source, to_source", "timed")
+def _(spark, d):
+    return r6(an.fractions(an.camera_hops(t.series(spark, d)["timed"]), ["from_source", "to_source"]).drop("total"), "fraction")
+
+
+def _edges(spark):
+    return spark.range(1, 5).select(F.col("id").alias("from_source"), (F.col("id") % 4 + 1).alias("to_source"), F.lit(H).alias("min_travel_ns"), F.lit(30 * H).alias("max_travel_ns"))
+
+
+@query("topology_lookup", f"""with {_HOPS}, ed as (select unnest(range(1, 5)) f) select subject_id, at_ns, case when ed.f is null then 0.0::double when elapsed_ns between {H} and {30 * H} then 1.0::double else 0.0::double end as factor
+  from hops left join ed on ed.f = from_source and to_source = ed.f % 4 + 1""", "timed")
+def _(spark, d):
+    return an.topology_factor(an.camera_hops(t.series(spark, d)["timed"]), _edges(spark)).select("subject_id", "at_ns", "factor")
+
+
+@query("detect_graph")
+def _(spark, d):
+    x = t.series(spark, d)
+    return an.detect_graph(x, x, _edges(spark))
+
+
+@query("detect_rare_routes", "with f as (select zones, count(*) / (select count(*) from routes) fr from routes group by zones) select subject_id, start_ns as at_ns, round(least(20, 1 / (fr + 1e-3)), 4) as score from routes join f using (zones) where least(20, 1 / (fr + 1e-3)) >= 5", "routes")
+def _(spark, d):
+    r = t.series(spark, d)["routes"]
+    return r6(an.rare(r, r, ["zones"], "rare_route").select("subject_id", "at_ns", "score"), "score", digits=4)
+
+
+@query("far_threshold", """with s as (select l_extendedprice as score, l_returnflag <> 'R' as ok from lineitem), n as (select count(*) filter (where ok) c, count(*) filter (where not ok) a from s),
+  o as (select score, row_number() over (order by score) - 1 i from s where ok), th as (select score from o, n where i = floor(0.95 * (c - 1) + 0.5))
+  select (select score from th) as threshold, c as n_normal, a as n_anomalous, round((select count(*) from s where ok and score >= (select score from th)) / c, 6) as empirical_far, round((select count(*) from s where not ok and score < (select score from th)) / a, 6) as miss_rate from n""")
+def _(spark, d):
+    scores = t.read(spark, d, "lineitem").select(F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") != "R").alias("is_normal"))
+    return r6(an.far_threshold(scores, 0.05), "empirical_far", "miss_rate")
+
+
+@query("score_series")
+def _(spark, d):
+    return an.score_series(t.series(spark, d), _base(spark, d))
+
+
+@query("placeholder_detector")
+def _(spark, d):
+    return an.squash_dwell(t.series(spark, d)["durations"], _base(spark, d))
+
+
+# --- geometry ---------------------------------------------------------------------------------------------------------------
+
+_WH = '("right" - "left") * (bottom - top)'
+
+
+@query("box_iou_ios", f"""select sample_id, round(i / ({_WH} + 40000 - i), 6) as iou, round(i / least({_WH}, 40000), 6) as ios from (select *, {_IOU.format(100, 100, 300, 300)} i from eff)""", "eff")
+def _(spark, d):
+    other = g.literal_box(100, 100, 300, 300)
+    return t.effective_samples(spark, d).select("sample_id", F.round(g.iou(g.box(), other), 6).alias("iou"), F.round(g.ios(g.box(), other), 6).alias("ios"))
+
+
+@query("box_accessors", f'select sample_id, "right" - "left" as width, bottom - top as height, {_WH} as area, "left" * 0.5 + "right" * 0.5 as cx, bottom as anchor_y from eff', "eff")
+def _(spark, d):
+    b = g.box()
+    return t.effective_samples(spark, d).select("sample_id", g.width(b).alias("width"), g.height(b).alias("height"), g.area(b).alias("area"), g.center(b)[0].alias("cx"), g.anchor(b, "bottom_center")[1].alias("anchor_y"))
+
+
+_DIAMOND = [(900.0, 100.0), (1500.0, 500.0), (900.0, 900.0), (300.0, 500.0)]
+
+
+@query("polygon_contains", """select sample_id, abs(("left" + "right") / 2 - 900) / 600 + abs((top + bottom) / 2 - 500) / 400 <= 1 as inside from eff where abs(abs(("left" + "right") / 2 - 900) / 600 + abs((top + bottom) / 2 - 500) / 400 - 1) > 1e-9""", "eff")
+def _(spark, d):
+    x, y = g.center(g.box())
+    far = F.abs(F.abs(x - 900) / 600 + F.abs(y - 500) / 400 - 1) > 1e-9
+    return t.effective_samples(spark, d).filter(far).select("sample_id", g.in_polygon(_DIAMOND, x, y).alias("inside"))
+
+
+@query("line_side", 'select sample_id, cast(sign((1800.0 - 0) * ((top + bottom) / 2 - 0) - 1000.0 * (("left" + "right") / 2)) as integer) as side from eff', "eff")
+def _(spark, d):
+    x, y = g.center(g.box())
+    return t.effective_samples(spark, d).select("sample_id", g.side((0.0, 0.0), (1800.0, 1000.0), x, y).alias("side"))
+
+
+@query("tiling", """with f as (select p_partkey as frame_id, 200 + p_partkey % 700 as w, 150 + p_partkey % 500 as h from part where p_partkey <= 200), x as (select frame_id, w, h, least(unnest(range(0, ceil(greatest(w - 128, 0) / 96)::bigint + 1)) * 96, greatest(w - 128, 0)) as x from f),
+  xy as (select *, least(unnest(range(0, ceil(greatest(h - 128, 0) / 96)::bigint + 1)) * 96, greatest(h - 128, 0)) as y from x) select frame_id, x, y, least(128, w) as tile_w, least(128, h) as tile_h from xy""")
+def _(spark, d):
+    f = t.read(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("frame_id"), (200 + F.col("p_partkey") % 700).alias("w"), (150 + F.col("p_partkey") % 500).alias("h"))
+    return f.select("frame_id", F.explode(g.tiles(F.col("w"), F.col("h"), 128, 32)).alias("t")).select("frame_id", "t.x", "t.y", F.col("t.w").cast("long").alias("tile_w"), F.col("t.h").cast("long").alias("tile_h"))
+
+
+@query("interpolate_box", 'select sample_id, round("left" + (100 - "left") * least(1, greatest(0, (sample_id % 13) / 10.0 - 0.1)), 6)::double as "left" from eff', "eff")
+def _(spark, d):
+    u = (F.col("sample_id") % 13) / 10.0 - 0.1
+    return t.effective_samples(spark, d).select("sample_id", F.round(g.lerp_box(g.box(), g.literal_box(100, 100, 300, 300), u)[0], 6).alias("left"))
+
+
+@query("oriented_bounds", """select sample_id, round(cx - (abs(w / 2 * cos(radians(a))) + abs(h / 2 * sin(radians(a)))), 5) as "left", round(cy + (abs(w / 2 * sin(radians(a))) + abs(h / 2 * cos(radians(a)))), 5) as bottom
+  from (select sample_id, ("left" + "right") / 2 cx, (top + bottom) / 2 cy, "right" - "left" w, bottom - top h, sample_id % 180 a from eff)""", "eff")
+def _(spark, d):
+    b = g.box()
+    o = g.oriented_bounds(*g.center(b), g.width(b), g.height(b), (F.col("sample_id") % 180).cast("double"))
+    return t.effective_samples(spark, d).select("sample_id", F.round(o[0], 5).alias("left"), F.round(o[3], 5).alias("bottom"))
+
+
+@query("letterbox_map", 'select sample_id, round(greatest(0, least(("left" - 16) / 0.35, 1800)), 4) as x, round(greatest(0, least((top - 40) / 0.35, 1000)), 4) as y from eff', "eff")
+def _(spark, d):
+    x, y = g.from_letterbox(F.col("left"), F.col("top"), F.lit(0.35), F.lit(16.0), F.lit(40.0), F.lit(1800.0), F.lit(1000.0))
+    return t.effective_samples(spark, d).select("sample_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+@query("media_time", "select event_id, ((event_id * 1001) // (event_id % 29 + 1)) * 1000000000 + (((event_id * 1001) % (event_id % 29 + 1)) * 1000000000) // (event_id % 29 + 1) as ns from events")
+def _(spark, d):
+    return t.read(spark, d, "events").selectExpr("event_id", "event_id * 1001 as ticks", "event_id % 29 + 1 as scale").select("event_id", s.media_time_ns("ticks", "scale").alias("ns"))
+
+
+@query("hour_and_day", f"select sample_id, cast((pts_ns % {D}) // {H} as integer) as hour, cast((pts_ns // {D}) % 7 as integer) as day from eff", "eff")
+def _(spark, d):
+    return t.effective_samples(spark, d).select("sample_id", s.hour_of_day(F.col("pts_ns")).alias("hour"), s.day_of_week(F.col("pts_ns")).alias("day"))
+
+
+@query("enum_names", "select event_id, event_type as name from events")
+def _(spark, d):
+    return t.track_samples(spark, d).select(F.col("frame_index").alias("event_id"), s.names(t.KINDS, F.col("zone_id")).alias("name"))
+
+
+# --- suppression, vectors, masks ---------------------------------------------------------------------------------------------
+
+
+@query("hard_nms")
+def _(spark, d):
+    return suppress.nms(t.detections(spark, d), 0.3)
+
+
+@query("oriented_nms")
+def _(spark, d):
+    return suppress.nms(t.detections(spark, d), 0.3, null_matches_any=True)
+
+
+@query("nms_top", None)
+def _(spark, d):
+    return suppress.nms(t.detections(spark, d), 0.3, max_det=2)
+
+
+@query("soft_nms")
+def _(spark, d):
+    return suppress.soft_nms(t.detections(spark, d), 0.3)
+
+
+@query("merge_nms")
+def _(spark, d):
+    return suppress.merge_nms(t.detections(spark, d), 0.3)
+
+
+@query("greedy_assign")
+def _(spark, d):
+    x = t.detections(spark, d)
+    return suppress.greedy_assign(x.filter("class_id = 0"), x.filter("class_id = 1"), 0.3)
+
+
+@query("cosine_to_vector", "select embedding_ref, round(list_cosine_similarity(vector, (select vector from emb where embedding_ref = 0)), 6) as score from emb", "emb")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    one = e.filter("embedding_ref = 0").select(F.col("vector").alias("query"))
+    return e.crossJoin(F.broadcast(one)).select("embedding_ref", F.round(s.cosine(F.col("vector"), F.col("query")), 6).alias("score"))
+
+
+@query("top_k_vectors", """with h as (select b.embedding_ref as query_id, a.embedding_ref, list_cosine_similarity(a.vector, b.vector) s from emb a, emb b where b.embedding_ref % 20 = 0),
+  r as (select *, row_number() over (partition by query_id order by s desc, embedding_ref) as rank from h) select query_id, embedding_ref, round(s, 6) as score from r where rank <= 5""", "emb")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    return r6(ident.top_k(e, e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query")), 5).drop("rank"), "score")
+
+
+@query("lsh_top_k")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    return ident.lsh_top_k(e, e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query")), 5, 64)
+
+
+@query("mean_pool", "select subject_id, i, round(avg(x), 6) as x from (select subject_id, unnest(range(0, 64)) i, unnest(vector) x from emb) group by subject_id, i", "emb")
+def _(spark, d):
+    return r6(ident.mean_pool(t.embeddings(spark, d), ["subject_id"]).select("subject_id", F.posexplode("pooled").alias("i", "x")).withColumn("i", F.col("i").cast("long")), "x")
+
+
+_PAIRS = "pairs as (select a.embedding_ref a, b.embedding_ref b, a.subject_id = b.subject_id as genuine, round(list_cosine_similarity(a.vector, b.vector), 9) as score from emb a join emb b on b.embedding_ref between a.embedding_ref + 1 and a.embedding_ref + 9)"
+
+
+def _labeled(spark, d):
+    e = t.embeddings(spark, d)
+    ids = e.select(F.col("embedding_ref").alias("a"), F.col("subject_id").alias("sa"))
+    near = ids.select("a", "sa", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 9)).alias("b"))
+    pairs = near.join(ids.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b").select("a", "b", (F.col("sa") == F.col("sb")).alias("genuine"))
+    return r6(ident.labeled_scores(e, pairs), "score", digits=9)
+
+
+@query("labeled_pair_scores", f"with {_PAIRS} select a, b, genuine, round(score, 6) as score from pairs", "emb")
+def _(spark, d):
+    return r6(_labeled(spark, d), "score")
+
+
+@query("roc_curve", f"with {_PAIRS}, p as (select score, count(*) filter (where genuine) g, count(*) filter (where not genuine) i from pairs group by score) select round(score, 6) as threshold, round(sum(g) over w / (select count(*) from pairs where genuine), 6) as tpr, round(sum(i) over w / (select count(*) from pairs where not genuine), 6) as fpr from p window w as (order by score desc)", "emb")
+def _(spark, d):
+    return r6(ident.roc(_labeled(spark, d)).select("threshold", "tpr", "fpr"), "threshold", "tpr", "fpr")
+
+
+@query("equal_error_rate")
+def _(spark, d):
+    return ident.equal_error(ident.roc(_labeled(spark, d)))
+
+
+@query("resolve_identity")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    fragments = e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("fragment_id"), F.col("vector").alias("query"), F.lit(1.0).alias("topology"))
+    refs = e.filter("embedding_ref % 20 <> 0").withColumn("is_positive", F.when(F.col("embedding_ref") % 3 == 0, True).when(F.col("embedding_ref") % 7 == 0, False))
+    return ident.resolve(fragments, refs)
+
+
+@query("gallery_evict", "select embedding_ref, subject_id from emb qualify row_number() over (partition by subject_id order by embedding_ref desc) <= 10", "emb")
+def _(spark, d):
+    return ident.evict(t.embeddings(spark, d), 10).select("embedding_ref", "subject_id")
+
+
+@query("gallery_merge", "select case when subject_id = 3 then 1 else subject_id end as subject_id, count(*) as n from emb group by 1", "emb")
+def _(spark, d):
+    return ident.merge_subjects(t.embeddings(spark, d), 1, 3).groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+@query("assigned_identities", "select source_id, track_id, arg_max(subject_id, sample_id) as subject_id from eff where subject_id is not null group by source_id, track_id", "eff")
+def _(spark, d):
+    audit = t.effective_samples(spark, d).select("source_id", "track_id", F.col("sample_id").alias("audit_id"), F.col("subject_id").alias("assigned_subject"))
+    return ident.assigned(audit)
+
+
+_MASKS = f"select track_id, list_transform(range(0, 168), lambda i: case when list_contains(c, i) then 1 else 0 end) as mask from (select track_id, list(distinct ((pts_ns // {D}) % 7) * 24 + (pts_ns % {D}) // {H}) c from eff group by track_id)"
+
+
+def _masks(spark, d):
+    cell = s.day_of_week(F.col("pts_ns")) * 24 + s.hour_of_day(F.col("pts_ns"))
+    cells = t.effective_samples(spark, d).groupBy("track_id").agg(F.collect_set(cell).alias("c"))
+    return cells.select("track_id", F.transform(F.sequence(F.lit(0), F.lit(167)), lambda i: F.array_contains("c", i).cast("int")).alias("mask"))
+
+
+@query("mask_area_bbox", f"""with k as ({_MASKS}), p as (select track_id, i - 1 as i from (select track_id, unnest(mask) v, generate_subscripts(mask, 1) i from k) where v = 1)
+  select track_id, count(*) as area, min(i % 24) as "left", min(i // 24) as top, max(i % 24) + 1 as "right", max(i // 24) + 1 as bottom from p group by track_id""", "eff")
+def _(spark, d):
+    b = m.bbox(F.col("mask"), F.lit(24))
+    return _masks(spark, d).select("track_id", m.area(F.col("mask")).cast("long").alias("area"), *[b[c].cast("long").alias(c) for c in ("left", "top", "right", "bottom")])
+
+
+@query("mask_rle", f"with k as ({_MASKS}) select track_id, list_sum(mask)::bigint as area, true as round_trip from k", "eff")
+def _(spark, d):
+    rle = m.rle_encode(F.col("mask"))
+    return _masks(spark, d).select("track_id", m.rle_area(rle).alias("area"), (m.rle_decode(rle) == F.col("mask")).alias("round_trip"))
+
+
+@query("mask_set_operations", f"""with k as ({_MASKS}), p as (select a.track_id, list_transform(range(1, 169), lambda i: a.mask[i] + 2 * b.mask[i]) c from k a join k b on b.track_id = a.track_id + 1)
+  select track_id, len(list_filter(c, lambda v: v > 0)) as in_union, len(list_filter(c, lambda v: v = 1)) as in_difference, round(len(list_filter(c, lambda v: v = 3)) / len(list_filter(c, lambda v: v > 0)), 6) as iou from p""", "eff")
+def _(spark, d):
+    k = _masks(spark, d)
+    p = k.join(k.select((F.col("track_id") - 1).alias("track_id"), F.col("mask").alias("other")), "track_id")
+    a, b = F.col("mask"), F.col("other")
+    return p.select("track_id", m.area(m.union(a, b)).cast("long").alias("in_union"), m.area(m.difference(a, b)).cast("long").alias("in_difference"), F.round(m.iou(a, b), 6).alias("iou"))
+
+
+@query("mask_morphology")
+def _(spark, d):
+    k = _masks(spark, d)
+    return k.select("track_id", m.area(m.dilate(F.col("mask"), F.lit(24), 1)).alias("dilated"), m.area(m.erode(F.col("mask"), F.lit(24), 1)).alias("eroded"))
