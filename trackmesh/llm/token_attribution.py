@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable, Sequence
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,58 +33,74 @@ class OffsetEncoder:
 
     def __init__(self, codec: Codec) -> None:
         self._codec = codec
+        self._lengths = [*map(len, codec.transducer.tokens)]
         self._memo = Memo(self._spans)
 
     def _spans(self, match: str) -> bytes:
-        """Start and end of each token in turn, from the match's start, packed."""
-        data, tokens, at, out = match.encode("utf-8", "surrogatepass"), self._codec.transducer.tokens, 0, array("i")
-        for t in self._codec.transducer.encode(data):
-            out.append(at)
-            at += len(tokens[t])
-            out.append(at)
+        """Start and end of each token in turn, from the match's start, packed; the first start is -1, to mark it."""
+        data = match.encode("utf-8", "surrogatepass")
+        ends = [*accumulate(map(self._lengths.__getitem__, self._codec.transducer.encode(data)))]
+        starts = [0, *ends[:-1]]
         if len(data) > len(match):  # from bytes to the characters that hold them
             char = (np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1).tolist()
-            for i in range(0, len(out), 2):
-                out[i], out[i + 1] = char[out[i]], char[out[i + 1] - 1] + 1
-        return out.tobytes()
+            starts, ends = [char[s] for s in starts], [char[e - 1] + 1 for e in ends]
+        starts[0] = -1
+        return array("i", chain.from_iterable(zip(starts, ends, strict=True))).tobytes()
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found, base = [np.zeros((0, 2), np.int64)], 0
+        starts, ends, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
         for run in self._codec.matches(text):
-            packed = list(map(self._memo.__getitem__, run))
-            counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
-            lengths = np.fromiter(map(len, run), np.int64, len(run))
-            ends = np.cumsum(lengths)
-            found.append(np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2) + np.repeat(base + ends - lengths, counts)[:, None])
-            base += int(ends[-1]) if len(ends) else 0
-        spans = np.concatenate(found)
-        return spans[:, 0], spans[:, 1]
+            found = np.frombuffer(b"".join(map(self._memo.__getitem__, run)), "<i4").reshape(-1, 2)
+            if not len(found):
+                continue
+            first = np.flatnonzero(found[:, 0] < 0)
+            n = np.diff(first, append=len(found))
+            lengths = found[first + n - 1, 1]  # a match ends where its last token does
+            at = np.cumsum(lengths, dtype=np.int64) - lengths + base
+            shift = np.repeat(at, n)
+            start = found[:, 0] + shift
+            start[first] = at
+            starts.append(start)
+            ends.append(found[:, 1] + shift)
+            base = int(at[-1] + lengths[-1])
+        return (starts[1], ends[1]) if len(starts) == 2 else (np.concatenate(starts), np.concatenate(ends))
 
 
 def line_sections(text: str) -> np.ndarray:
     """Starts of the lines; a line ends after its newline."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    breaks = np.flatnonzero(codes == 10) + 1
-    return np.concatenate(([0], breaks[breaks < len(codes)]))
+    starts = np.cumsum([0, *(len(line) + 1 for line in text.split("\n")[:-1])])
+    return starts[:-1] if len(starts) > 1 and starts[-1] == len(text) else starts
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, length: int, rule: str = "majority") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each section; how many of them cross a boundary; how many others reach into it."""
-    bounds = np.concatenate((sections, [length]))
-    first = np.searchsorted(sections, starts, "right") - 1
-    last = np.searchsorted(sections, np.maximum(ends - 1, starts), "right") - 1
-    owner = (last if rule == "last" else first).copy()
-    crossing = np.flatnonzero(first != last)
-    touched = np.zeros(len(sections), np.int64)
-    for t in crossing.tolist():
-        around = np.arange(first[t], last[t] + 1)
+    """Tokens of each section; how many of them cross a boundary; how many others reach into it.
+
+    Both lists of intervals are sorted, so each boundary is looked up among the tokens, and only tokens across it are
+    looked at one by one (at most one crosses a boundary).
+    """
+    bounds = np.append(sections, length)
+    upto = np.searchsorted(starts, bounds, "left")  # tokens that start before each boundary
+    upto[-1] = len(starts)
+    n = np.diff(upto)
+    own, other = np.zeros(len(sections), np.int64), np.zeros(len(sections), np.int64)
+    before = upto[1:-1] - 1
+    over = before[(before >= 0) & (ends[before] > bounds[1:-1])] if len(before) else before
+    for t in np.unique(over).tolist():
+        first = int(np.searchsorted(sections, starts[t], "right")) - 1
+        last = int(np.searchsorted(sections, ends[t] - 1, "right")) - 1
+        around = np.arange(first, last + 1)
+        owner = first
         if rule == "majority":
             share = np.minimum(bounds[around + 1], ends[t]) - np.maximum(bounds[around], starts[t])
-            owner[t] = around[np.argmax(share)]
-        touched[around] += 1
-    n = np.bincount(owner, minlength=len(sections))
-    own = np.bincount(owner[crossing], minlength=len(sections))
-    return n, own, touched - own
+            owner = int(around[np.argmax(share)])
+        elif rule == "last":
+            owner = last
+        n[first] -= 1
+        n[owner] += 1
+        other[around] += 1
+        other[owner] -= 1
+        own[owner] += 1
+    return n, own, other
 
 
 _encoders: dict[tuple[str, str], OffsetEncoder] = {}
@@ -101,14 +118,12 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "majori
         raise ValueError(f"rule must be one of {RULES}")
 
     def per_slice(batch: pa.RecordBatch) -> dict:
-        encoder, cols = _encoder(path, pattern), [[] for _ in _NAMES]
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            at, length = sections(text), len(text)
-            n, own, other = attribute(*encoder.spans(text), at, length, rule)
-            cols[0] += [doc_id] * len(at)
-            for col, values in zip(cols[1:], (np.arange(len(at)), at, np.concatenate((at[1:], [length])), n, own, other), strict=True):
-                col += values.tolist()
-        return dict(zip(_NAMES, cols, strict=True))
+        encoder, rows = _encoder(path, pattern), []
+        for text in batch.column(1).to_pylist():
+            at = sections(text)
+            rows.append((np.arange(len(at)), at, np.append(at[1:], len(text)), *attribute(*encoder.spans(text), at, len(text), rule)))
+        of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        return dict(zip(_NAMES, [batch.column(0).take(pa.array(of)), *map(np.concatenate, zip(*rows, strict=True))], strict=True))
 
     return map_rows(doc_texts(docs), per_slice, SCHEMA)
 
