@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,9 @@ from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, input_byt
 
 #: Input bytes (as stored) a shard; entries that a task holds before it settles them.
 SHARD_BYTES, UNIT = 24 << 20, 1_500_000
-#: Packed positions are broadcast up to this many bytes; beyond it they are joined by a shuffle.
-BROADCAST_BYTES = 16 << 20
+LEAST_SHARDS = 64
+#: Packed text that one automaton is compiled for.
+AUTOMATON_BYTES = 1 << 18
 _FIRST = -(1 << 63)
 _PLACES = "kind int, shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
 _NAMES = [c.split()[0] for c in _PLACES.split(", ")]
@@ -89,9 +91,11 @@ class Settler:
                 send, flags = lead, n > 1
             rows += _by_document(docs[known], uids[known], places[known])
             shard = (keys[send] % np.uint64(self.shards)).astype(np.int64)
-            for s in np.unique(shard).tolist():
-                k = send[shard == s]
-                what = places[k] if flags is None else np.where(flags[shard == s], -1, places[k]).astype(np.int32)
+            by_shard = np.lexsort((places[send], docs[send], shard))  # documents in runs, which compress
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[by_shard]) != 0)))
+            for some in np.split(by_shard, cuts[1:]):
+                s, k = int(shard[some[0]]), send[some]
+                what = places[k] if flags is None else np.where(flags[some], -1, places[k]).astype(np.int32)
                 rows.append((1, s, None, None, what.tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), uids[k].tobytes()))
         return pa.RecordBatch.from_pydict(dict(zip(_NAMES, zip(*rows, strict=True) if rows else [[]] * 9, strict=True)), schema=arrow_schema(_PLACES))
 
@@ -142,13 +146,27 @@ def _settled(found: DataFrame, later: bool, name: str) -> DataFrame:
     return own.unionByName(shards).groupBy("doc_id").agg(F.collect_list(F.struct("uid", "places")).alias("places"))
 
 
+def _packed_text(docs: DataFrame) -> DataFrame:
+    """docs with the text compressed (by zstandard, as binary), which halves what joins shuffle."""
+    others = [c for c in docs.columns if c != "text"]
+    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def per_slice(batch: pa.RecordBatch) -> dict:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        texts = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        return {**{c: batch.column(c) for c in others}, "text": texts}
+
+    return map_rows(docs, per_slice, ", ".join([*(f"{c} {types[c]}" for c in others), "text binary"]))
+
+
+def _unpacked(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+
+
 def _joined(docs: DataFrame, settled: DataFrame, how: str, name: str) -> DataFrame:
-    """docs with the places settled for their doc_id; extra columns stay."""
+    """docs, their text packed, with the places settled for their doc_id."""
     settled = materialize(settled.withColumnRenamed("doc_id", "_named"), name)
-    size = settled.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + 64 + F.length(p["places"])))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        settled = F.broadcast(settled)
-    return docs.join(settled, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("_named"), how).drop("_named")
+    return _packed_text(docs).join(settled, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("_named"), how).drop("_named")
 
 
 def _of_row(doc_id: int | None, words: np.ndarray, settled: list[dict] | None) -> np.ndarray:
@@ -184,7 +202,7 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
 def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
     """(doc_id, places): starts of the windows of each document whose words also start earlier."""
     texts = doc_texts(docs)
-    shards = max(8, -(-input_bytes(docs) // SHARD_BYTES))
+    shards = max(LEAST_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
 
     def find_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settler = Settler(shards, later=False)
@@ -202,10 +220,10 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataF
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settler = Settler(shards, later=True)
-        for part in slices(batches, max_bytes=1 << 20):
+        for part in slices(batches, max_bytes=AUTOMATON_BYTES):
             rows = []
-            for doc_id, text, settled in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                data, starts, ends, words = text_words(text)
+            for doc_id, packed, settled in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                data, starts, ends, words = text_words(_unpacked(packed))
                 known = _of_row(doc_id, words, settled)
                 if len(known):
                     rows.append((_FIRST if doc_id is None else doc_id, words, _words(data, starts, ends), known))
@@ -235,8 +253,8 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 def dedup_digest(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
     """Words, removed words, and a digest of the kept ones, for each row."""
 
-    def digest(doc_id: int | None, text: str, settled: list[dict] | None) -> tuple[int, int, str]:
-        data, starts, ends, words = text_words(text)
+    def digest(doc_id: int | None, packed: bytes, settled: list[dict] | None) -> tuple[int, int, str]:
+        data, starts, ends, words = text_words(_unpacked(packed))
         places = _of_row(doc_id, words, settled)
         raw = data.tobytes()
         if not len(places):
@@ -259,7 +277,8 @@ def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFram
     A document of which nothing is left keeps its row, with an empty text.
     """
 
-    def cut(doc_id: int | None, text: str, settled: list[dict] | None) -> str:
+    def cut(doc_id: int | None, packed: bytes, settled: list[dict] | None) -> str:
+        text = _unpacked(packed)
         data, starts, ends, words = text_words(text)
         places = _of_row(doc_id, words, settled)
         if not len(places):
@@ -269,7 +288,8 @@ def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFram
         lead = raw[: starts[0]] if not gone[0] else b""
         return (lead + b"".join(raw[a:b] for a, b in zip(starts[~gone].tolist(), after[~gone].tolist(), strict=True))).decode("utf-8", "surrogatepass")
 
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*others, F.col("text").isNull().alias("_none")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _joined(packed, repeated_starts(docs, window, phrase), "left", "window-places").select("row", "doc_id", "text", "places")
 
     def per_slice(batch: pa.RecordBatch) -> dict:
@@ -277,4 +297,4 @@ def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFram
 
     out = map_rows(rows, per_slice, f"row {packed.schema['row'].dataType.simpleString()}, cut string")
     # a null text stays null
-    return out.select(*[F.when(F.col("row.text").isNotNull(), F.col("cut")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[F.when(~F.col("row._none"), F.col("cut")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
