@@ -2,10 +2,9 @@
 
 Texts with the same word sequence are one class; only classes are compared. Bands and rows are chosen so that a pair at
 the threshold meets in a band with the target probability. Band hashes are shuffled with ids alone. In a band's bucket,
-every class is linked to the bucket's leader (another one in each band, so that a large group gets many leaders), and
-each link is verified on the full n-gram sets. Where a bucket still holds classes of several components, the classes
-outside the leader's component are compared with all others that the triangle inequality of the Jaccard distance does
-not rule out. No pair that meets in a band and could join two components is left out, and no group is expanded into all
+every class is linked to the bucket's leader, and each link is verified on the full n-gram sets. Where a bucket still holds classes of several components, the classes
+outside the leader's component are compared with all others, but for those that a bound on common n-grams rules
+out (those in the bucket's leader, and those that occur elsewhere at all). No pair that meets in a band and could join two components is left out, and no group is expanded into all
 its pairs.
 
 Cases: null or empty text has no n-gram; a text of fewer than n words is one n-gram of all its words. Both kinds join
@@ -74,8 +73,6 @@ def shingles(text: str, n: int) -> tuple[np.ndarray, int, int]:
 _SIGNED = np.int64
 #: Class keys are broadcast up to this many (longs); beyond it the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
-#: A bucket has one of so many leaders; what bands it comes from decides which.
-LEADERS = 4
 
 
 def class_bands(docs: DataFrame, n: int, banding: Banding) -> DataFrame:
@@ -141,6 +138,43 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = labels.select("class", "component")
 
 
+def join_components(labels: DataFrame, edges: DataFrame, name: str = "joined-components") -> DataFrame:
+    """labels after more edges: only the components that they join are looked at again."""
+    of = lambda c: labels.select(F.col("class").alias(c), F.col("component").alias("_" + c))
+    between = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    between = materialize(between.filter("a <> b").distinct(), f"{name}-between")
+    if between.isEmpty():
+        return labels
+    upper = components(between, name).select(F.col("class").alias("component"), F.col("component").alias("upper"))
+    moved = labels.join(upper, "component", "left").select("class", F.coalesce("upper", "component").alias("component"))
+    new = upper.select(F.col("component").alias("class"), F.col("upper").alias("component")).join(labels, "class", "left_anti")
+    return materialize(moved.unionByName(new), name)
+
+
+def _shared_grams(sets: DataFrame) -> DataFrame:
+    """(class, n_grams, n_shared): of a class's n-grams, how many some other class of these has too.
+
+    Two classes have at most the smaller n_shared in common, which bounds their similarity without comparing them.
+    """
+
+    def per_slice(batch: pa.RecordBatch) -> dict:
+        grams = [np.frombuffer(g, np.uint64).astype(_SIGNED) for g in batch.column(1).to_pylist()]
+        return {"class": batch.column(0), "grams": grams}
+
+    each = map_rows(sets.select("class", "grams"), per_slice, "class long, grams array<long>")
+    alone = each.select("class", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    n_alone = alone.groupBy("class").agg(F.count("*").alias("n_alone"))
+    sizes = sets.select("class", (F.length("grams") / 8).cast("long").alias("n_grams"))
+    return sizes.join(n_alone, "class", "left").select("class", "n_grams", (F.col("n_grams") - F.coalesce("n_alone", F.lit(0))).alias("n_shared"))
+
+
+def _sided(buckets: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """buckets with the components of a class and of its leader."""
+    own = buckets.join(labels, "class", "left").select("band", "hash", "class", "leader", F.coalesce("component", "class").alias("component"), *more)
+    led = labels.select(F.col("class").alias("leader"), F.col("component").alias("leader_component"))
+    return own.join(led, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
+
+
 def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc_id, class), verified links between classes (a, b, similarity), and components of linked classes.
 
@@ -150,8 +184,8 @@ def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_reca
     rows = materialize(class_bands(docs, n, banding), "bands")
     members = rows.select("doc_id", "class")
     met = rows.filter(F.size("bands") > 0).dropDuplicates(["class"]).select("class", F.posexplode("bands").alias("band", "hash"))
-    # the leader of a bucket is the least of a hash of its classes, with LEADERS different hashes over the bands
-    rank = F.struct(F.xxhash64("class", F.col("band") % LEADERS).alias("order"), F.col("class").alias("leader"))
+    # the leader of a bucket is the class with the least hash
+    rank = F.struct(F.xxhash64("class").alias("order"), F.col("class").alias("leader"))
     met = materialize(met, "met")
     led = met.groupBy("band", "hash").agg(F.min(rank).alias("led"), F.count("*").alias("n")).filter("n > 1").select("band", "hash", F.col("led.leader").alias("leader"))
     buckets = materialize(met.join(led, ["band", "hash"]), "buckets")
@@ -161,23 +195,35 @@ def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_reca
     stars = materialize(_verify(ordered(buckets, F.col("class"), F.col("leader")), sets), "stars")
     good = stars.filter(F.col("similarity") >= threshold)
     labels = components(good)
-    # classes of a bucket that are in another component than its leader
-    with_label = buckets.join(labels, "class", "left").select("band", "hash", "class", "leader", F.coalesce("component", "class").alias("component"))
-    leader_label = labels.select(F.col("class").alias("leader"), F.col("component").alias("leader_component"))
-    sided = with_label.join(leader_label, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
+    # Buckets that still hold several components get a second leader, the class with the most n-grams that others have
+    # too: near the middle of a group of variants, so most of what is apart joins it, and it bounds the rest well.
+    left = _sided(buckets, labels).filter("component != leader_component").select("band", "hash").distinct()
+    mixed = buckets.select("band", "hash", "class").join(left, ["band", "hash"], "left_semi")
+    shared = materialize(_shared_grams(sets.join(mixed.select("class").distinct(), "class", "left_semi")), "shared-grams")
+    mixed = mixed.join(shared, "class")
+    middle = F.struct((F.col("n_shared") / F.col("n_grams")).alias("share"), F.xxhash64("class").alias("order"), F.col("class").alias("leader"), F.col("n_grams").alias("nl"))
+    mixed = materialize(mixed.join(mixed.groupBy("band", "hash").agg(F.max(middle).alias("led")), ["band", "hash"]).select("band", "hash", "class", "n_grams", "n_shared", "led.leader", "led.nl"), "mixed")
+    known = stars.select("a", "b", "similarity")
+    again = _verify(ordered(mixed, F.col("class"), F.col("leader")).join(known, ["a", "b"], "left_anti"), sets)
+    again = materialize(again, "more-stars")
+    stars = stars.unionByName(again)
+    good = stars.filter(F.col("similarity") >= threshold)
+    labels = join_components(labels, again.filter(F.col("similarity") >= threshold))
     known = stars.select("a", "b", "similarity")
-    to_leader = sided.withColumns({"a": F.least("class", "leader"), "b": F.greatest("class", "leader")}).join(known, ["a", "b"], "left")
-    to_leader = materialize(to_leader.select("band", "hash", "class", "leader", "component", "leader_component", F.coalesce("similarity", F.lit(1.0)).alias("s")), "sided")
-    # d(x, y) <= 1 - threshold needs |d(x, leader) - d(y, leader)| <= 1 - threshold
-    apart = to_leader.filter("component != leader_component").select("band", "hash", F.col("class").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"))
-    other = to_leader.filter("class != leader").select("band", "hash", F.col("class").alias("y"), F.col("component").alias("cy"), F.col("s").alias("sy"))
-    open_pairs = apart.join(other, ["band", "hash"]).filter((F.col("cx") != F.col("cy")) & (F.abs(F.col("sx") - F.col("sy")) <= 1 - threshold + 1e-9))
-    more = _verify(ordered(open_pairs, F.col("x"), F.col("y")).join(known, ["a", "b"], "left_anti"), sets)
+    placed = _sided(mixed, labels, "n_grams", "n_shared", "nl").withColumns({"a": F.least("class", "leader"), "b": F.greatest("class", "leader")}).join(known, ["a", "b"], "left")
+    with_leader = F.coalesce("similarity", F.lit(1.0))
+    placed = placed.withColumn("in_leader", with_leader * (F.col("n_grams") + F.col("nl")) / (1 + with_leader))  # n-grams in common with the leader
+    placed = materialize(placed.filter(F.col("n_shared") >= threshold * F.col("n_grams")).select("band", "hash", "class", "leader", "component", "leader_component", "n_grams", "n_shared", "in_leader"), "placed")
+    # in common at most: the fewer of those in the leader, and the fewer of those that are not but occur elsewhere
+    of = lambda df, p: df.select("band", "hash", *[F.col(c).alias(p + c) for c in ("class", "component", "n_grams", "n_shared", "in_leader")])
+    apart, other = of(placed.filter("component != leader_component"), "x_"), of(placed.filter("class != leader"), "y_")
+    outside = lambda p: F.greatest(F.col(p + "n_shared") - F.col(p + "in_leader"), F.lit(0.0))
+    most = F.least("x_in_leader", "y_in_leader") + F.least(outside("x_"), outside("y_")) + 1e-6
+    could = most >= (F.col("x_n_grams") + F.col("y_n_grams")) * (threshold / (1 + threshold))
+    open_pairs = apart.join(other, ["band", "hash"]).filter((F.col("x_component") != F.col("y_component")) & could)
+    more = _verify(ordered(open_pairs, F.col("x_class"), F.col("y_class")).join(known, ["a", "b"], "left_anti"), sets)
     more = materialize(more.filter(F.col("similarity") >= threshold), "more-links")
-    links = good.unionByName(more)
-    if not more.isEmpty():
-        labels = components(links)
-    return members, links, labels
+    return members, good.unionByName(more), join_components(labels, more)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
