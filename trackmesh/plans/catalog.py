@@ -13,10 +13,12 @@ from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import identity as ident
 from trackmesh.operators import memory as mem
+from trackmesh.operators import motion
 from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
 from trackmesh.operators import suppress
 from trackmesh.plans import tables as t
+from trackmesh.sources import mot_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -753,3 +755,34 @@ def _(spark, d):
 def _(spark, d):
     k = _masks(spark, d)
     return k.select("track_id", m.area(m.dilate(F.col("mask"), F.lit(24), 1)).alias("dilated"), m.area(m.erode(F.col("mask"), F.lit(24), 1)).alias("eroded"))
+
+
+# --- motion and text -----------------------------------------------------------------------------------------------------------
+
+_LINE = """printf('%d,%d,%.2f,%.2f,%.2f,%.2f,%.2f,-1,-1,-1', frame_index + 1, track_id, "left", top, "right" - "left", bottom - top, confidence)"""
+
+
+@query("mot_export", f"select {_LINE} as line from eff", "eff")
+def _(spark, d):
+    return mot_text.to_lines(t.effective_samples(spark, d))
+
+
+@query("mot_parse", 'select frame_index + 1 as frame, track_id as id, "left", top, "right" - "left" as width, bottom - top as height, round(confidence, 2) as confidence from eff', "eff")
+def _(spark, d):
+    return mot_text.parse(mot_text.to_lines(t.effective_samples(spark, d)))
+
+
+@query("trajectory", """with c as (select sample_id, source_id, track_id, pts_ns, "left" * 0.5 + "right" * 0.5 x, top * 0.5 + bottom * 0.5 y from eff),
+  v as (select *, x - lag(x) over w vx, y - lag(y) over w vy from c window w as (partition by source_id, track_id order by pts_ns, sample_id))
+  select sample_id, vx, vy, vx - lag(vx) over w as ax, round(avg(abs(vx) + abs(vy)) over (partition by source_id, track_id order by pts_ns, sample_id rows unbounded preceding), 4) as jitter
+  from v window w as (partition by source_id, track_id order by pts_ns, sample_id)""", "eff")
+def _(spark, d):
+    return r6(motion.trajectory(t.effective_samples(spark, d)), "jitter", digits=4)
+
+
+@query("polygon_zone_events", """with i as (select *, "left" * 0.5 + "right" * 0.5 between 400 and 1200 and top * 0.5 + bottom * 0.5 between 200 and 800 as inside from eff),
+  l as (select *, coalesce(lag(inside) over (partition by source_id, track_id order by pts_ns, sample_id), false) as was from i)
+  select sample_id, source_id, track_id, case when inside then 'entered' else 'exited' end as event from l where inside <> was""", "eff")
+def _(spark, d):
+    square = [(400.0, 200.0), (1200.0, 200.0), (1200.0, 800.0), (400.0, 800.0)]
+    return motion.zone_events(t.effective_samples(spark, d), g.in_polygon(square, *g.center(g.box())))
