@@ -8,17 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmesh.functions import geometry as g
+from trackmesh.functions import mask_shapes as shapes
 from trackmesh.functions import masks as m
 from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import identity as ident
 from trackmesh.operators import memory as mem
-from trackmesh.operators import motion
+from trackmesh.operators import motion, outliers
 from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
-from trackmesh.operators import suppress
+from trackmesh.operators import suppress, tracking
 from trackmesh.plans import tables as t
-from trackmesh.sources import mot_text
+from trackmesh.sources import mot_text, package, reports
+from trackmesh.streaming import jobs, machines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -786,3 +788,219 @@ def _(spark, d):
 def _(spark, d):
     square = [(400.0, 200.0), (1200.0, 200.0), (1200.0, 800.0), (400.0, 800.0)]
     return motion.zone_events(t.effective_samples(spark, d), g.in_polygon(square, *g.center(g.box())))
+
+
+# --- tracking, zones and ingest -------------------------------------------------------------------------------------------------
+
+_SQUARE = [(400.0, 200.0), (1200.0, 200.0), (1200.0, 800.0), (400.0, 800.0)]
+
+
+def _frames(spark, d):
+    """An order is a frame, of one of sixteen sources."""
+    dets = t.detections(spark, d)
+    return dets.select((F.col("frame") % 16).alias("source_id"), F.floor(F.col("frame") / 16).alias("frame_index"), "left", "top", "right", "bottom", "score", "class_id", "det_idx")
+
+
+@query("track_boxes")
+def _(spark, d):
+    return r6(tracking.track(_frames(spark, d), machines.Tracker(match=0.3)), "left", "top", "right", "bottom", "score")
+
+
+@query("smooth_boxes")
+def _(spark, d):
+    tracked = tracking.track(_frames(spark, d), machines.Tracker(match=0.3))
+    return r6(tracking.smooth(tracked), "left", "top", "right", "bottom", "score")
+
+
+@query("line_crossings", """with p as (select source_id, track_id, sample_id, pts_ns, "left" * 0.5 + "right" * 0.5 x, top * 0.5 + bottom * 0.5 y from eff),
+  k as (select *, sign(-1000.0 * (x - 900.0)) s from p),
+  w as (select *, last_value(nullif(s, 0) ignore nulls) over (o rows between unbounded preceding and 1 preceding) s0, lag(x) over o px, lag(y) over o py from k
+    window o as (partition by source_id, track_id order by pts_ns, sample_id)),
+  c as (select *, sign((x - px) * (0.0 - py) - (y - py) * (900.0 - px)) * sign((x - px) * (1000.0 - py) - (y - py) * (900.0 - px)) as ends from w)
+  select source_id, track_id, sample_id, case when s0 > 0 then 'left_to_right' else 'right_to_left' end as direction from c where s * s0 < 0 and ends <= 0""", "eff")
+def _(spark, d):
+    return tracking.line_crossings(t.effective_samples(spark, d), (900.0, 0.0), (900.0, 1000.0))
+
+
+@query("zone_hysteresis", """with i as (select *, "left" * 0.5 + "right" * 0.5 between 400 and 1200 and top * 0.5 + bottom * 0.5 between 200 and 800 as inside from eff),
+  n as (select *, lag(inside) over o as i1, lag(inside, 2) over o as i2 from i window o as (partition by source_id, track_id order by pts_ns, sample_id)),
+  k as (select *, case when inside and i1 then 1 when not inside and not i1 and not i2 then 0 end as mark from n),
+  c as (select *, last_value(mark ignore nulls) over (partition by source_id, track_id order by pts_ns, sample_id) as now_in from k),
+  l as (select *, coalesce(lag(now_in) over (partition by source_id, track_id order by pts_ns, sample_id), 0) as was_in from c),
+  e as (select *, sum(now_in - was_in) over (partition by source_id order by pts_ns, sample_id) as occupancy,
+    lag(pts_ns) over (partition by source_id, track_id order by pts_ns, sample_id) as since, sum(was_in) over (partition by source_id, track_id order by pts_ns, sample_id) as visits
+    from l where now_in is not null and now_in <> was_in)
+  select source_id, sample_id, track_id, 'entered' as event, null::bigint as duration_ns, null::bigint as visits, null::bigint as occupancy from e where now_in = 1
+  union all select source_id, sample_id, track_id, 'exited', null, null, null from e where now_in = 0
+  union all select source_id, sample_id, track_id, 'dwell_started', null, null, null from e where now_in = 1
+  union all select source_id, sample_id, track_id, 'dwell_ended', pts_ns - since, visits::bigint, null from e where now_in = 0
+  union all select source_id, sample_id, track_id, 'occupancy_changed', null, null, occupancy::bigint from e""", "eff")
+def _(spark, d):
+    inside = g.in_polygon(_SQUARE, *g.center(g.box()))
+    return tracking.zone_analytics(t.effective_samples(spark, d), inside, machines.ZoneAnalytics(enter_after=2, exit_after=3))
+
+
+def _stamps(spark, d):
+    """Frames by their number; every ninth comes forty minutes late."""
+    e = t.track_samples(spark, d)
+    return e.select("source_id", F.col("frame_index").alias("arrival"), (F.col("pts_ns") - F.when(F.col("frame_index") % 9 == 0, 40 * H // 60).otherwise(0)).alias("pts_ns"))
+
+
+_GATE = f"""with a as (select source_id, frame_index as arrival, pts_ns - case when frame_index % 9 = 0 then {40 * H // 60} else 0 end as pts_ns from audit),
+  h as (select *, max(pts_ns) over (partition by source_id order by arrival rows between unbounded preceding and 1 preceding) as high from a),
+  d as (select source_id, arrival, pts_ns, case when high is null or pts_ns >= high then 'accept' when high - pts_ns > {H // 2} then 'reject_late' else 'reject_out_of_order' end as decision,
+    greatest(high, pts_ns) as watermark_ns from h)"""
+_GATE_CONFIG = machines.Gate(max_lateness_ns=H // 2)
+
+
+@query("ingest_gate", _GATE + " select * from d", "audit")
+def _(spark, d):
+    return tracking.gate(_stamps(spark, d), _GATE_CONFIG)
+
+
+@query("ingest_gate_late_accepted")
+def _(spark, d):
+    return tracking.gate(_stamps(spark, d), machines.Gate(late="accept", out_of_order="drop", max_lateness_ns=H // 2))
+
+
+_COUNTS = _GATE + """ select source_id, count(*) filter (decision = 'accept') as accepted, count(*) filter (decision = 'drop') as dropped, count(*) filter (decision = 'reject_late') as rejected_late,
+  count(*) filter (decision = 'reject_out_of_order') as rejected_out_of_order from d group by source_id"""
+
+
+@query("ingest_metrics", _COUNTS, "audit")
+def _(spark, d):
+    return tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG))
+
+
+@query("prometheus_text", _COUNTS.replace(" select source_id, count", ", m as (select source_id, count", 1) + """) select source_id, concat('# TYPE ingest_', name, ' counter', chr(10), 'ingest_', name, '{source_id="', source_id, '"} ', n) as text
+  from (unpivot m on accepted, dropped, rejected_late, rejected_out_of_order into name name value n)""", "audit")
+def _(spark, d):
+    return reports.prometheus(tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG)), "ingest", "source_id")
+
+
+@query("metric_points")
+def _(spark, d):
+    return reports.metric_points(tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG)), "source_id")
+
+
+@query("queue_policy")
+def _(spark, d):
+    e = t.track_samples(spark, d)
+    rows = e.select("source_id", F.col("frame_index").alias("arrival"), F.when(F.col("frame_index") % 7 == 0, "drain").otherwise("push").alias("action"), F.lit(3).alias("n"))
+    return tracking.over_table(rows, ["source_id"], ["arrival"], machines.Queue(depth=8, policy="drop_oldest"))
+
+
+_TRUTH = """with g as (select source_id as sequence, frame_index // 40 as frame, track_id as id, "left", top, "right", bottom, row_number() over (partition by source_id, frame_index // 40 order by sample_id) rn, sample_id from eff),
+  t as (select * from g where rn = 1)"""
+
+
+def _truth(spark, d):
+    """The first sample of each forty frames of a source, and as a guess the same box, moved in every fifth, with an id that now and then is another."""
+    e = t.effective_samples(spark, d).withColumn("frame", F.floor(F.col("frame_index") / 40))
+    first = e.groupBy(F.col("source_id").alias("sequence"), "frame").agg(F.min_by(F.struct("sample_id", "left", "top", "right", "bottom"), "sample_id").alias("b"))
+    gt = first.select("sequence", "frame", F.floor(F.col("frame") / 10).alias("id"), "b.*")
+    moved = F.when(F.col("sample_id") % 5 == 0, 1000.0).otherwise(2.0)
+    hyp = gt.select("sequence", "frame", (F.col("id") + F.when(F.col("frame") % 4 == 0, 7).otherwise(0)).alias("id"), (F.col("left") + moved).alias("left"), "top", (F.col("right") + moved).alias("right"), "bottom")
+    return gt.drop("sample_id"), hyp
+
+
+@query("mot_metrics", _TRUTH + """,
+  s as (select sequence, frame, frame // 10 as id, case when sample_id % 5 <> 0 then frame // 10 + case when frame % 4 = 0 then 7 else 0 end end as hyp, dense_rank() over (partition by sequence order by frame) as pos,
+    "right" - "left" as w from t),
+  r as (select *, pos - row_number() over (partition by sequence, id order by pos) as run from s),
+  l as (select *, last_value(hyp ignore nulls) over (partition by sequence, id, run order by pos rows between unbounded preceding and 1 preceding) as last, coalesce(lag(hyp is null) over (partition by sequence, id, run order by pos), false) as missed from r),
+  c as (select sequence, count(*) as frames, count(hyp) as tp, count(*) - count(hyp) as fn, count(*) - count(hyp) as fp, count(*) filter (hyp <> last) as sw, count(*) filter (hyp <> last and missed) as fr from l group by sequence)
+  select sequence, frames, tp as true_positives, fn as false_negatives, fp as false_positives, sw as id_switches, fr as fragmentations, round(1 - (fn + fp + sw) / (tp + fn), 6) as mota, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall,
+    round(2 * (tp - sw) / (2 * (tp - sw) + fp + fn), 6) as idf1, round(tp / (tp + fp + fn), 6) as deta, round(2 * (tp - sw) / (2 * (tp - sw) + fp + fn), 6) as assa,
+    round(sqrt(tp / (tp + fp + fn) * (2 * (tp - sw) / (2 * (tp - sw) + fp + fn))), 6) as hota from c""", "eff")
+def _(spark, d):
+    return r6(tracking.mot_metrics(*_truth(spark, d)), "mota", "precision", "recall", "idf1", "deta", "assa", "hota")
+
+
+@query("redaction_quality", """select count(*) as n, round(sum(case when mask_ref > 0 then (mask_ref % 3) / mask_ref else 0 end) / count(*) filter (mask_ref > 0), 6) as leakage, round(sum((source_id - 1) / source_id) / count(*), 6) as collateral from eff""", "eff")
+def _(spark, d):
+    e = t.effective_samples(spark, d)
+    pixels = e.select(F.col("mask_ref").alias("target"), (F.col("mask_ref") % 3).alias("leaked"), F.col("source_id").alias("background"), (F.col("source_id") - 1).alias("covered"))
+    return r6(reports.redaction_quality(pixels), "leakage", "collateral")
+
+
+# --- detectors on samples ---------------------------------------------------------------------------------------------------------
+
+
+def _features(spark, d):
+    series = t.series(spark, d)
+    return outliers.feature_rows(series["durations"], series["timed"])
+
+
+@query("isolation_forest")
+def _(spark, d):
+    rows = _features(spark, d)
+    return outliers.IsolationForest().fit(rows).transform(rows)
+
+
+@query("one_class")
+def _(spark, d):
+    rows = _features(spark, d)
+    return outliers.OneClass().fit(rows).transform(rows)
+
+
+@query("feature_rows", f"""select subject_id, start_ns as at_ns, [duration_ns::double, 0.0::double, 0.0::double] as features from stays
+  union all select subject_id, at_ns, [0.0::double, gap / 1e9, (at_ns // {H} % 24)::double] from (select *, at_ns - lag(at_ns) over (partition by subject_id order by at_ns, event_id) as gap from timed where subject_id is not null) where gap > 0""", "stays", "timed")
+def _(spark, d):
+    return _features(spark, d)
+
+
+# --- shapes, packages, streams ------------------------------------------------------------------------------------------------------
+
+
+@query("mask_shapes")
+def _(spark, d):
+    w = F.lit(24)
+    k = _masks(spark, d).withColumns({"filled": shapes.fill_holes(F.col("mask"), w), "soft": shapes.feather(F.col("mask"), w, 3), "lines": shapes.contours(F.col("mask"), w)})
+    return k.select("track_id", m.area(F.col("filled")).alias("filled"), F.aggregate("soft", F.lit(0), lambda a, v: a + v).alias("opacity"), F.size("lines").alias("parts"), F.aggregate("lines", F.lit(0), lambda a, v: a + F.size(v)).alias("points"))
+
+
+@query("package_round_trip", "select sample_id, source_id, pts_ns, track_id, subject_id, confidence from audit", "audit")
+def _(spark, d):
+    root = jobs.shared_folder(spark, "package")
+    package.save(spark, {"samples": t.track_samples(spark, d), "stays": t.zone_stays(spark, d)}, root)
+    return package.load(spark, root)["samples"].select("sample_id", "source_id", "pts_ns", "track_id", "subject_id", "confidence")
+
+
+@query("mask_blobs", f"with k as ({_MASKS}) select track_id as mask_ref, list_sum(mask)::bigint as area, len(mask) as cells from k", "eff")
+def _(spark, d):
+    text = F.array_join(F.transform("mask", lambda v: F.lpad(F.hex(v), 2, "0")), "")
+    blobs = _masks(spark, d).groupBy((F.col("track_id") % 8).alias("part")).agg(F.collect_list(package.blob_entry(F.col("track_id"), F.unhex(text))).alias("entries"))
+    rows = package.read_blobs(blobs.select(F.aggregate("entries", F.lit(b""), lambda a, v: F.concat(a, v)).alias("content")))
+    cells = F.length("data")
+    return rows.select("mask_ref", (F.length(F.hex("data")) - F.length(F.regexp_replace(F.hex("data"), "01", "0"))).cast("long").alias("area"), cells.cast("long").alias("cells"))
+
+
+@query("json_lines", "select sample_id, source_id, pts_ns, track_id, subject_id, zone_id from audit", "audit")
+def _(spark, d):
+    rows = t.track_samples(spark, d).select("sample_id", "source_id", "pts_ns", "track_id", "subject_id", "zone_id")
+    return package.from_json(package.to_json(rows), rows.schema)
+
+
+@query("track_spans_json")
+def _(spark, d):
+    spans = t.effective_samples(spark, d).select("source_id", "track_id", "frame_index", "pts_ns", "subject_id")
+    return reports.as_json_array(spans, "track_id")
+
+
+def _sample_stream(spark, d):
+    e = jobs.table_stream(spark, d, "events")
+    n = F.col("event_id")
+    return e.select((n % 4 + 1).alias("source_id"), F.when(n % 7 != 0, F.col("user_id")).alias("subject_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("pts_ns"), (n + 1).alias("sample_id"), n.alias("arrival"))
+
+
+@query("stream_first_hits", "select source_id, subject_id, arg_min(sample_id, (pts_ns, sample_id)) as sample_id from audit where subject_id is not null group by source_id, subject_id", "audit")
+def _(spark, d):
+    return jobs.work_off(jobs.first_hits_stream(_sample_stream(spark, d)), "first-hits")
+
+
+@query("stream_gate", _GATE + " select * from d", "audit")
+def _(spark, d):
+    late = F.when(F.col("arrival") % 9 == 0, 40 * H // 60).otherwise(0)
+    stamps = _sample_stream(spark, d).select("source_id", "arrival", (F.col("pts_ns") - late).alias("pts_ns"))
+    return jobs.work_off(jobs.gate_stream(stamps, _GATE_CONFIG), "gate")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,14 @@ def session(name: str = "trackmesh", master: str | None = None, shuffle_partitio
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless their Python finds it by path or working folder. Once a session."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = {os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)} | {os.getcwd()}
+    if root in found or getattr(spark.sparkContext, "_trackmesh_sent", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "trackmesh"), "zip", root, "trackmesh")
+    spark.sparkContext.addPyFile(archive)  # the driver serves it to every executor
+    spark.sparkContext._trackmesh_sent = True
