@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,3 +151,48 @@ def tiles(frame_w: Column, frame_h: Column, tile: int, overlap: int) -> Column:
 
     at = lambda y: F.transform(starts(frame_w), lambda x: F.struct(x.alias("x"), y.alias("y"), F.least(F.lit(tile), frame_w).alias("w"), F.least(F.lit(tile), frame_h).alias("h")))
     return F.flatten(F.transform(starts(frame_h), at))
+
+
+def to_global(b: Box, x: Column, y: Column) -> Box:
+    """A tile's box in the frame, the tile's corner at (x, y)."""
+    return b[0] + x, b[1] + y, b[2] + x, b[3] + y
+
+
+def oriented_iou(a: Column, b: Column) -> Column:
+    """IoU of rotated boxes struct<cx, cy, w, h, degrees>: one clipped by the sides of the other; 0 where one has no area."""
+    def corners(r: dict) -> np.ndarray:
+        t = np.radians(r["degrees"])
+        turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
+        return np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * (r["w"] / 2, r["h"] / 2) @ turn.T + (r["cx"], r["cy"])
+
+    def area_of(points: list) -> float:
+        x, y = np.array(points).T
+        return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+
+    def overlap(p: np.ndarray, q: np.ndarray) -> float:
+        left = list(p)
+        for start, end in zip(q, np.roll(q, -1, axis=0), strict=True):
+            d = end - start
+            depth = [d[0] * (v[1] - start[1]) - d[1] * (v[0] - start[0]) for v in left]
+            kept = []
+            for i, (v, at) in enumerate(zip(left, depth, strict=True)):
+                u, was = left[i - 1], depth[i - 1]
+                if (at >= 0) != (was >= 0):
+                    kept.append(u + (v - u) * (was / (was - at)))
+                if at >= 0:
+                    kept.append(v)
+            if len(kept) < 3:
+                return 0.0
+            left = kept
+        return area_of(left)
+
+    @F.pandas_udf("double")
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.Series:
+        out = []
+        for r, o in zip(one.to_dict("records"), two.to_dict("records"), strict=True):
+            sizes = r["w"] * r["h"], o["w"] * o["h"]
+            inter = overlap(corners(r), corners(o)) if min(sizes) > 0 else 0.0
+            out.append(inter / (sum(sizes) - inter) if min(sizes) > 0 else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return run(a, b)

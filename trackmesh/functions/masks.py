@@ -89,3 +89,16 @@ def rasterise(points: list[tuple[float, float]], width: int, height: int) -> Col
     from trackmesh.functions.geometry import in_polygon
 
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: in_polygon(points, i % width + 0.5, F.floor(i / width) + 0.5).cast("int"))
+
+
+def centroid(data: Column, width: Column) -> Column:
+    """struct<x, y> of the set cells' mean centre; null for an empty mask."""
+    places = F.filter(F.transform(data, lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
+    mean = lambda part: F.aggregate(places, F.lit(0.0), lambda total, i: total + part(i)) / F.size(places)
+    return F.when(F.size(places) > 0, F.struct((mean(lambda i: i % width) + 0.5).alias("x"), (mean(lambda i: F.floor(i / width)) + 0.5).alias("y")))
+
+
+def box_polygon(left: Column, top: Column, right: Column, bottom: Column) -> Column:
+    """The corners of a box, clockwise from the first, as array<struct<x, y>>."""
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(at(left, top), at(right, top), at(right, bottom), at(left, bottom))

@@ -133,3 +133,68 @@ def last_seen(samples: DataFrame) -> DataFrame:
     w = W.partitionBy("subject_id").orderBy("pts_ns", "sample_id").rowsBetween(W.unboundedPreceding, -1)
     before = F.max_by(F.struct("source_id", "pts_ns"), F.struct("pts_ns", "sample_id")).over(w)
     return samples.filter("subject_id is not null").withColumn("_b", before).select("sample_id", "subject_id", "source_id", "pts_ns", F.col("_b.source_id").alias("last_source"), F.col("_b.pts_ns").alias("last_ns"))
+
+
+# --- audit of decisions -----------------------------------------------------------------------------------------------------
+
+
+def audit(matches: DataFrame, fragments: DataFrame) -> DataFrame:
+    """A row per fragment (fragment_id, source_id, track_id): its ranked matches, and the best one's subject if accepted."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "subject_id", "score", "decision")))
+    per = matches.groupBy("fragment_id").agg(ranked.alias("hypotheses"))
+    best = F.try_element_at("hypotheses", F.lit(1))
+    rows = fragments.select(F.col("fragment_id").alias("audit_id"), "fragment_id", "source_id", "track_id").join(per, "fragment_id", "left")
+    return rows.select(
+        "audit_id", "source_id", "track_id", "hypotheses", F.coalesce(F.size("hypotheses"), F.lit(0)).alias("n_hypotheses"), best["decision"].alias("decision"),
+        F.when(best["decision"] == "accept", best["subject_id"]).alias("assigned_subject"), F.lit(None).cast("boolean").alias("manual"),
+    )
+
+
+def answer(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """The audit after manual answers (audit_id, subject_id; null dismisses the case), the only ones of their ids."""
+    given = answers.select("audit_id", F.col("subject_id").alias("_given"), F.lit(True).alias("_answered"))
+    rows = cases.join(given, "audit_id", "left")
+    asked = F.coalesce(F.col("_answered"), F.lit(False))
+    return rows.withColumns({
+        "manual": F.when(asked, F.col("_given").isNotNull()).otherwise(F.col("manual")),
+        "assigned_subject": F.when(asked, F.col("_given")).otherwise(F.col("assigned_subject")),
+    }).drop("_given", "_answered")
+
+
+def accept_hypotheses(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """As `answer`, where each subject must be among its case's hypotheses; another one is an error."""
+    known = cases.select("audit_id", F.transform("hypotheses", lambda h: h["subject_id"]).alias("_known"))
+    checked = answers.join(known, "audit_id", "left")
+    fits = F.coalesce(F.array_contains("_known", F.col("subject_id")), F.lit(False))
+    subject = F.when(fits, F.col("subject_id")).otherwise(F.raise_error(F.concat(F.lit("no such hypothesis of case "), F.col("audit_id").cast("string"))).cast("long"))
+    return answer(cases, checked.select("audit_id", subject.alias("subject_id")))
+
+
+def calibrated(config: ResolveConfig, accept: float, reject: float) -> ResolveConfig:
+    """The configuration with thresholds of a calibration, the higher one to accept."""
+    from dataclasses import replace
+
+    return replace(config, accept=max(accept, reject), reject=min(accept, reject))
+
+
+# --- photos -------------------------------------------------------------------------------------------------------------------
+
+
+def enrol(references: DataFrame, photos: DataFrame, most: int) -> DataFrame:
+    """References with photos (embedding_ref, subject_id, vector) added as positive ones; the latest ``most`` of a subject stay."""
+    fresh = photos.select("embedding_ref", "subject_id", "vector", F.lit(True).alias("is_positive"))
+    return evict(references.select(*fresh.columns).unionByName(fresh), most)
+
+
+def photo_search(references: DataFrame, photos: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+    """The k subjects nearest to each photo (query_id, vector): best cosine of a positive or unlabelled reference."""
+    rows = references.filter("subject_id is not null and coalesce(is_positive, true)").select("subject_id", "vector")
+    asked = photos.select("query_id", F.col("vector").alias("query")).limit(most_queries + 1)
+    n = asked.count()
+    if n > most_queries:
+        raise ValueError(f"more than {most_queries} photos; ask in parts")
+    # the photos are a stated set of bounded size; the partial maxima are taken before the shuffle
+    score = s.cosine(F.col("query"), F.col("vector"))
+    per = rows.crossJoin(F.broadcast(asked)).groupBy("query_id", "subject_id").agg(F.max(score).alias("score")).filter("score is not null")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "subject_id"))
+    return per.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -127,3 +127,16 @@ def greedy_assign(tracks: DataFrame, detections: DataFrame, threshold: float) ->
     step = lambda kept, x: F.when(F.exists(kept, lambda k: (k["track"] == x["track"]) | (k["det"] == x["det"])), kept).otherwise(F.concat(kept, F.array(x)))
     out = sets.select("frame", F.explode(F.aggregate("pairs", F.array().cast(kind), step)).alias("p"))
     return out.select("frame", "p.track", "p.det", (-F.col("p.neg")).alias("iou"))
+
+
+def mask_nms(masks: DataFrame, threshold: float) -> DataFrame:
+    """Greedy suppression by the IoU of masks of a frame (frame, det_idx, score, mask): by score, then index; a mask goes
+    if its IoU with a kept one is over the threshold. Masks are folded within a frame's row, in the JVM."""
+    from trackmesh.functions import masks as m
+
+    entry = F.struct((-F.col("score")).alias("neg"), F.col("det_idx").cast("long").alias("det_idx"), F.transform("mask", lambda v: v.cast("int")).alias("mask"))
+    rows = masks.groupBy("frame").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: m.iou(k["mask"], x["mask"]) > threshold), kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate("all", F.array().cast("array<struct<neg:double,det_idx:bigint,mask:array<int>>>"), step)
+    out = rows.select("frame", F.explode(kept).alias("k"))
+    return out.select("frame", "k.det_idx", (-F.col("k.neg")).alias("score"), "k.mask")

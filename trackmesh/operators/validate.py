@@ -23,3 +23,20 @@ def validate(samples: DataFrame) -> DataFrame:
         named(samples.withColumn("b", F.col("pts_ns") < F.lag("pts_ns").over(w)).filter("b"), "pts_regression"),
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+def validate_links(samples: DataFrame, sources: DataFrame, masks: DataFrame) -> DataFrame:
+    """(rule, n) of references to sources and masks (0 is none) that do not exist, of sides and scores that are no finite
+    numbers, of scores outside 0 to 1, and of frames that go back."""
+    named = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    w = W.partitionBy("source_id").orderBy("sample_id")
+    numbers = [F.col(c) for c in ("left", "top", "right", "bottom", "confidence")]
+    odd = reduce(lambda a, b: a | b, [c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")) for c in numbers])
+    found = [
+        named(samples.join(sources.select("source_id"), "source_id", "left_anti"), "unknown_source"),
+        named(samples.filter("mask_ref <> 0").join(masks.select("mask_ref"), "mask_ref", "left_anti"), "dangling_mask"),
+        named(samples.filter(odd), "not_finite"),
+        named(samples.filter("confidence < 0 or confidence > 1"), "score_range"),
+        named(samples.withColumn("b", F.col("frame_index") < F.lag("frame_index").over(w)).filter("b"), "frame_regression"),
+    ]
+    return reduce(DataFrame.unionByName, found)

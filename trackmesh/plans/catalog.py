@@ -14,7 +14,7 @@ from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import identity as ident
 from trackmesh.operators import memory as mem
-from trackmesh.operators import motion, outliers
+from trackmesh.operators import models, motion, outliers
 from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
 from trackmesh.operators import suppress, tracking
@@ -1004,3 +1004,70 @@ def _(spark, d):
     late = F.when(F.col("arrival") % 9 == 0, 40 * H // 60).otherwise(0)
     stamps = _sample_stream(spark, d).select("source_id", "arrival", (F.col("pts_ns") - late).alias("pts_ns"))
     return jobs.work_off(jobs.gate_stream(stamps, _GATE_CONFIG), "gate")
+
+
+# --- audits, photos, links, models -----------------------------------------------------------------------------------------------------
+
+
+def _references(spark, d):
+    return t.embeddings(spark, d).filter("embedding_ref % 20 <> 0").withColumn("is_positive", F.when(F.col("embedding_ref") % 3 == 0, True).when(F.col("embedding_ref") % 7 == 0, False))
+
+
+@query("photo_search", """with r as (select subject_id, vector from emb where embedding_ref % 20 <> 0 and (embedding_ref % 3 = 0 or embedding_ref % 7 <> 0) and subject_id is not null),
+  p as (select embedding_ref as query_id, subject_id, max(list_cosine_similarity(q, vector)) as score from r, (select embedding_ref, vector as q from emb where embedding_ref % 20 = 0) group by 1, 2)
+  select query_id, subject_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, subject_id) as rank from p) where rank <= 3""", "emb")
+def _(spark, d):
+    photos = t.embeddings(spark, d).filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), "vector")
+    return r6(ident.photo_search(_references(spark, d), photos, 3), "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("enrol_photos", "select subject_id, count(*) as n, max(embedding_ref) as newest from (select * from emb qualify row_number() over (partition by subject_id order by embedding_ref desc) <= 15) group by subject_id", "emb")
+def _(spark, d):
+    photos = t.embeddings(spark, d).filter("embedding_ref % 20 = 0")
+    return ident.enrol(_references(spark, d), photos, 15).groupBy("subject_id").agg(F.count("*").alias("n"), F.max("embedding_ref").alias("newest"))
+
+
+@query("identity_audit_answers")
+def _(spark, d):
+    fragments = t.embeddings(spark, d).filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("fragment_id"), (F.col("embedding_ref") % 4).alias("source_id"), F.col("embedding_ref").alias("track_id"), F.col("vector").alias("query"), F.lit(1.0).alias("topology"))
+    cases = ident.audit(ident.resolve(fragments, _references(spark, d)), fragments)
+    first = ident.open_cases(cases).filter("audit_id % 3 = 0").select("audit_id", F.col("hypotheses")[0]["subject_id"].alias("subject_id"))
+    return ident.accept_hypotheses(cases, first).select("audit_id", "source_id", "track_id", "decision", "assigned_subject", "manual", "n_hypotheses")
+
+
+@query("validate_links", """select 'unknown_source' as rule, count(*) as n from audit where source_id > 3 union all select 'dangling_mask', count(*) from audit where mask_ref > 6
+  union all select 'not_finite', 0 union all select 'score_range', count(*) from audit where confidence < 0 or confidence > 1
+  union all select 'frame_regression', count(*) from (select frame_index < lag(frame_index) over (partition by source_id order by sample_id) as b from audit) where b""", "audit")
+def _(spark, d):
+    from trackmesh.operators.validate import validate_links
+
+    return validate_links(t.track_samples(spark, d), spark.range(1, 4).withColumnRenamed("id", "source_id"), spark.range(1, 7).withColumnRenamed("id", "mask_ref"))
+
+
+@query("mask_nms")
+def _(spark, d):
+    k = _masks(spark, d).select((F.col("track_id") % 50).alias("frame"), F.col("track_id").alias("det_idx"), (F.lit(1.0) / (F.col("track_id") + 1)).alias("score"), "mask")
+    return suppress.mask_nms(k, 0.1).select("frame", "det_idx", "score")
+
+
+@query("mask_centroids", f"""with k as ({_MASKS}), p as (select track_id, i - 1 as i from (select track_id, unnest(mask) v, generate_subscripts(mask, 1) i from k) where v = 1)
+  select track_id, round(avg(i % 24) + 0.5, 6) as x, round(avg(i // 24) + 0.5, 6) as y from p group by track_id""", "eff")
+def _(spark, d):
+    c = m.centroid(F.col("mask"), F.lit(24))
+    return r6(_masks(spark, d).select("track_id", c["x"].alias("x"), c["y"].alias("y")).filter("x is not null"), "x", "y")
+
+
+@query("detect_and_embed")
+def _(spark, d):
+    c = t.read(spark, d, "customer")
+    pixel = F.unhex(F.lpad(F.hex(F.col("c_custkey") % 16777216), 6, "0"))
+    frames = c.select((F.col("c_custkey") % 4).alias("source_id"), F.col("c_custkey").alias("frame_index"), F.col("c_custkey").alias("pts_ns"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.concat(pixel, pixel, pixel, pixel).alias("pixels"))
+    found = models.detect(frames, models.MeanColour())
+    return models.embed(frames, found.withColumn("track_id", F.col("det_idx") + 1), models.MeanColour())
+
+
+@query("oriented_iou")
+def _(spark, d):
+    rows = t.detections(spark, d)
+    turned = lambda by: F.struct(((F.col("left") + F.col("right")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"), (F.col("det_idx") * by).cast("double").alias("degrees"))
+    return r6(rows.select("frame", "det_idx", g.oriented_iou(turned(10), turned(35)).alias("iou")), "iou")

@@ -50,3 +50,22 @@ def windowed_counts(events: DataFrame, at: str, minutes: int = 60, lateness: str
     """Rows in tumbling windows behind a watermark, partial sums before the shuffle."""
     stamped = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", lateness)
     return stamped.groupBy(F.window("_at", f"{minutes} minutes").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def rebuild_on(stream: DataFrame, rebuild, every_rows: int, progress: str):
+    """Start a job that appends batches by ``rebuild(batch, due)``; ``due`` tells that ``every_rows`` more rows have come
+    since the last rebuild. The count is that of the running query: a restart begins with a rebuild."""
+    seen = {"rows": every_rows}
+
+    def batch(df: DataFrame, _: int) -> None:
+        df = df.persist()
+        try:
+            seen["rows"] += df.count()
+            due = seen["rows"] >= every_rows
+            rebuild(df, due)
+            if due:
+                seen["rows"] = 0
+        finally:
+            df.unpersist()
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", progress).trigger(availableNow=True).start()
