@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 QUERIES = (
     "rank_subjects", "subject_query_combined", "query_ast_nested", "box_overlap_join", "co_occurrences", "appearances", "visits", "mine_patterns", "detect_statistical", "detect_graph",
-    "change_point_cusum", "hard_nms", "soft_nms", "top_k_vectors", "roc_curve", "mask_set_operations",
+    "change_point_cusum", "mot_metrics", "zone_hysteresis", "track_boxes", "ingest_gate", "isolation_forest", "hard_nms", "soft_nms", "top_k_vectors", "roc_curve", "mask_set_operations",
 )
 
 

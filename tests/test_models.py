@@ -68,3 +68,15 @@ def test_rebuild_every_so_many_rows(spark, tmp_path):
     told = []
     jobs.rebuild_on(stream, lambda df, due: told.append(due), 20, str(tmp_path / "at")).awaitTermination()
     assert told == [True, False, True, False]
+
+
+def test_resolution_by_candidates(spark):
+    rng = np.random.default_rng(4)
+    home = rng.normal(size=(6, 8))
+    refs = spark.createDataFrame([(int(i), [float(v) for v in home[i] + rng.normal(size=8) * 0.02], True) for i in range(6) for _ in range(3)], "subject_id long, vector array<double>, is_positive boolean")
+    asked = spark.createDataFrame([(int(i), [float(v) for v in home[i]], 1.0) for i in range(6)], "fragment_id long, query array<double>, topology double")
+    near = ident.lsh_candidates(asked, refs, 8)
+    fast, full = ident.resolve(asked, refs, candidates=near), ident.resolve(asked, refs)
+    top = lambda df: {(r.fragment_id, r.subject_id, r.decision) for r in df.filter("rank = 1").collect()}
+    assert top(fast) == top(full) == {(i, i, "accept") for i in range(6)}
+    assert fast.count() == near.count() < full.count()

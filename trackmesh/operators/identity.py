@@ -84,15 +84,17 @@ def equal_error(curve: DataFrame) -> DataFrame:
     return best.select((-F.col("b.neg")).alias("threshold"), F.col("b.eer").alias("eer"))
 
 
-def resolve(fragments: DataFrame, references: DataFrame, config: ResolveConfig = ResolveConfig()) -> DataFrame:
+def resolve(fragments: DataFrame, references: DataFrame, config: ResolveConfig = ResolveConfig(), candidates: DataFrame | None = None) -> DataFrame:
     """Fragments (fragment_id, query, topology) against references (subject_id, vector, is_positive): one row per pair
     of fragment and subject with the best similarity, the fused score, a decision, and a rank.
 
     Gates come first, then negatives, then a raw accept, then fused thresholds. Unlabelled references count only for
-    subjects without a positive one.
+    subjects without a positive one. Every fragment meets every reference, which is for a stated set of fragments; for
+    many, give ``candidates`` (fragment_id, subject_id), such as those of `lsh_candidates`: joins on keys then do it.
     """
     refs = references.select("subject_id", "vector", "is_positive")
-    scored = fragments.join(refs).select("fragment_id", "topology", "subject_id", "is_positive", s.cosine(F.col("query"), F.col("vector")).alias("c")).filter("c is not null")
+    met = fragments.join(refs) if candidates is None else fragments.join(candidates.select("fragment_id", "subject_id").distinct(), "fragment_id").join(refs, "subject_id")
+    scored = met.select("fragment_id", "topology", "subject_id", "is_positive", s.cosine(F.col("query"), F.col("vector")).alias("c")).filter("c is not null")
     per = scored.groupBy("fragment_id", "subject_id").agg(F.first("topology").alias("topology"), F.max(F.when(F.col("is_positive"), F.col("c"))).alias("pos"), F.max(F.when(F.col("is_positive").isNull(), F.col("c"))).alias("unl"), F.max(F.when(~F.col("is_positive"), F.col("c"))).alias("neg"))
     sim = F.coalesce("pos", "unl")
     per = per.withColumn("similarity", sim).filter("similarity is not null").withColumn("score", s.fused_identity(F.col("similarity"), F.col("topology")))
@@ -104,6 +106,20 @@ def resolve(fragments: DataFrame, references: DataFrame, config: ResolveConfig =
     return per.withColumns({"decision": decision, "rank": rank}).select("fragment_id", "subject_id", "similarity", "score", "decision", "rank")
 
 
+def lsh_candidates(fragments: DataFrame, references: DataFrame, dims: int, planes: int = 6, tables: int = 8) -> DataFrame:
+    """(fragment_id, subject_id) that share a signature of random planes in some table: an equi-join on (table, signature).
+
+    Signatures of a subject are made distinct before the join, so a subject of many references in a bucket is one row.
+    """
+
+    def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
+        keys = F.array(*[F.struct(F.lit(i).alias("table"), lsh_signature(F.col(vector), dims, planes, i).alias("signature")) for i in range(tables)])
+        return df.select(key, F.explode(keys).alias("k")).select(key, "k.*").distinct()
+
+    near = keyed(fragments, "fragment_id", "query").join(keyed(references.filter("subject_id is not null"), "subject_id", "vector"), ["table", "signature"])
+    return near.select("fragment_id", "subject_id").distinct()
+
+
 def assigned(audit: DataFrame) -> DataFrame:
     """The latest subject that each track was given."""
     return audit.filter("assigned_subject is not null").groupBy("source_id", "track_id").agg(F.max_by("assigned_subject", "audit_id").alias("subject_id"))

@@ -22,6 +22,12 @@ from pyspark.sql.types import StructType
 from trackmesh.session import ship
 
 
+def runs_of(new: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of rows, given which rows begin one."""
+    starts = np.flatnonzero(new)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(new)], strict=True))
+
+
 class Machine(Protocol):
     fields: str
 
@@ -43,7 +49,9 @@ def over_table(df: DataFrame, keys: list[str], order: list[str], machine: Machin
     ship(df.sparkSession)
     names = _schema(df, keys, machine).names
     # a worker's state lives as long as its task: a lost one is computed again from the shuffle
-    rows = df.dropna(subset=keys).repartition(*keys).sortWithinPartitions(*keys, *order)
+    # a stated number of partitions: adaptive execution would join them by size, and the work here is not in the size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.dropna(subset=keys).repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state, held = None, None, None
@@ -51,8 +59,8 @@ def over_table(df: DataFrame, keys: list[str], order: list[str], machine: Machin
         def feed(pdf: pd.DataFrame) -> pd.DataFrame:
             nonlocal key, state
             out: list[tuple] = []
-            runs = (pdf[keys] != pdf[keys].shift()).any(axis=1).cumsum()
-            for _, part in pdf.groupby(runs.to_numpy(), sort=False):
+            new = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
+            for part in (pdf.iloc[a:b] for a, b in runs_of(new)):
                 own = tuple(part[keys].iloc[0])
                 if own != key:
                     key, state = own, machine.start()

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 
+from trackmesh.streaming.fold import runs_of
+
 BOX = ["left", "top", "right", "bottom"]
 
 
@@ -123,6 +125,7 @@ STEP_VAR = np.array([(1, 0), (1, 0), (0, 1e-4), (1, 0), (1, 0), (1, 0), (0, 1e-8
 SEEN_VAR = np.array([(0.01, 0), (0.01, 0), (0, 1e-2), (0.01, 0)], float)
 LEAST_VAR, LEAST_SIDE = 1e-6, 1e-3
 NEW, TRACKED, LOST = 0, 1, 2
+PREFERENCE = np.array([1, 0, 2])
 
 
 @dataclass
@@ -141,6 +144,8 @@ class Tracks:
     COLUMNS = ("mean", "var", "ids", "phase", "score", "cls", "idle")
 
     def keep(self, which: np.ndarray) -> None:
+        if which.all():
+            return
         for name in self.COLUMNS:
             setattr(self, name, getattr(self, name)[which])
 
@@ -200,15 +205,16 @@ class Tracker:
         return Tracks()
 
     def feed(self, state: Tracks, rows: pd.DataFrame) -> list[tuple]:
-        out = []
-        for frame, part in rows.groupby(self.order_by, sort=False):
-            part = part.dropna(subset=BOX)
-            boxes, score = part[BOX].to_numpy(float), part["score"].to_numpy(float)
-            cls = pd.to_numeric(part["class_id"]).fillna(-1).to_numpy(np.int64)
-            out += [(int(frame), *row) for row in self.step(state, boxes, score, cls)]
+        out: list[tuple] = []
+        frames, boxes, score = rows[self.order_by].to_numpy(np.int64), rows[BOX].to_numpy(float), rows["score"].to_numpy(float)
+        cls = pd.to_numeric(rows["class_id"]).fillna(-1).to_numpy(np.int64)
+        there = ~np.isnan(boxes).any(axis=1)
+        for a, b in runs_of(np.diff(frames, prepend=frames[0] - 1) != 0):
+            own = a + np.flatnonzero(there[a:b])
+            out += self.step(state, int(frames[a]), boxes[own], score[own], cls[own])
         return out
 
-    def step(self, t: Tracks, boxes: np.ndarray, score: np.ndarray, cls: np.ndarray) -> list[tuple]:
+    def step(self, t: Tracks, frame: int, boxes: np.ndarray, score: np.ndarray, cls: np.ndarray) -> list[tuple]:
         t.mean[:, :4] += t.mean[:, 4:]
         tall = np.maximum(np.abs(t.mean[:, 3:4]), 1.0)
         t.var = np.maximum(t.var + STEP_VAR[:, 0] * tall**2 + STEP_VAR[:, 1], LEAST_VAR)
@@ -216,12 +222,22 @@ class Tracker:
 
         strong = np.flatnonzero(score >= self.high)
         weak = np.flatnonzero((score < self.high) & (score >= self.low))
-        pool = np.concatenate([np.flatnonzero(t.phase == p) for p in (TRACKED, NEW, LOST)])
+        pool = np.argsort(PREFERENCE[t.phase], kind="stable")
         pool, taken = self.associate(t, pool, strong, boxes, score, cls)
         pool, _ = self.associate(t, pool, weak, boxes, score, cls)
         t.phase[pool] = LOST
 
-        born = strong[~np.isin(strong, taken) & (score[strong] >= self.activate)]
+        free = score >= max(self.high, self.activate)
+        free[taken] = False
+        self.begin(t, boxes, score, cls, np.flatnonzero(free))
+        t.keep((t.phase != LOST) | (t.idle <= self.max_lost))
+        live = np.flatnonzero(t.phase != LOST)
+        classes = [None if c < 0 else c for c in t.cls[live].tolist()]
+        return list(zip([frame] * len(live), t.ids[live].tolist(), *to_boxes(t.mean[live]).T.tolist(), t.score[live].tolist(), classes, strict=True))
+
+    def begin(self, t: Tracks, boxes: np.ndarray, score: np.ndarray, cls: np.ndarray, born: np.ndarray) -> None:
+        if not len(born):
+            return
         first = to_state(boxes[born])
         std = FIRST_STD[:, 0] * first[:, 3:4] + FIRST_STD[:, 1]
         n = len(born)
@@ -230,10 +246,6 @@ class Tracker:
             score=score[born], cls=cls[born], idle=np.zeros(n, np.int64),
         )
         t.next_id += n
-        t.keep((t.phase != LOST) | (t.idle <= self.max_lost))
-        live = np.flatnonzero(t.phase != LOST)
-        sides = to_boxes(t.mean[live])
-        return [(int(t.ids[i]), *map(float, b), float(t.score[i]), None if t.cls[i] < 0 else int(t.cls[i])) for i, b in zip(live, sides, strict=True)]
 
     def associate(self, t: Tracks, pool: np.ndarray, dets: np.ndarray, boxes: np.ndarray, score: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Match and correct tracks of the pool; returns those left over, and the boxes taken."""
