@@ -166,6 +166,19 @@ def test_near_duplicates(spark, awkward):
     assert 6 not in kept and 7 not in kept and {5, 8, 13, None} <= kept
 
 
+def test_links_are_all_verified_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    base = sentence(rnd, 150).split()
+    texts = [" ".join(base)] + [" ".join(f"v{i}x{j}" if j in at else w for j, w in enumerate(base)) for i in range(40) if (at := set(rnd.sample(range(len(base)), rnd.randint(1, 3))))]
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {a: sum(a != b and len(x & y) >= 0.8 * len(x | y) for b, y in enumerate(grams)) for a, x in enumerate(grams)}
+    assert 10 < sum(want.values()) / len(want) < len(texts)  # many links, and not all
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (128, 7):  # whole buckets, and buckets of several parts
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(df).collect()} == want
+
+
 def test_banding():
     b = jaccard_join.choose_banding(0.8, 0.9999)
     assert b.recall(0.8) >= 0.9999 and b.bands * b.rows <= 160

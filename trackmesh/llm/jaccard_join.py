@@ -1,11 +1,10 @@
 """N-gram Jaccard join by MinHash banding.
 
 Texts with the same word sequence are one class; only classes are compared. Bands and rows are chosen so that a pair at
-the threshold meets in a band with the target probability. Band hashes are shuffled with ids alone. In a band's bucket,
-every class is linked to the bucket's leader, and each link is verified on the full n-gram sets. Where a bucket still holds classes of several components, the classes
-outside the leader's component are compared with all others, but for those that a bound on common n-grams rules
-out (those in the bucket's leader, and those that occur elsewhere at all). No pair that meets in a band and could join two components is left out, and no group is expanded into all
-its pairs.
+the threshold meets in a band with the target probability. Band hashes are shuffled with ids alone. Every two classes
+that meet in a band are verified once, in the first band they share, on the full n-gram sets. A bucket is cut into parts,
+and each two parts are one block: so a group of any size is spread over many tasks. Of a block only each class's number
+of links and the smallest class it is joined to leave the task, so no group is expanded into rows of pairs.
 
 Cases: null or empty text has no n-gram; a text of fewer than n words is one n-gram of all its words. Both kinds join
 only their own copies. Repeated rows are copies. A null doc_id counts as smaller than any other. Empty tables give no row.
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackmesh.llm.common import doc_texts, gram_hashes, map_rows, materialize, mix64, text_words
+from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, map_rows, materialize, mix64, text_words
 
 
 @dataclass(frozen=True)
@@ -73,6 +72,8 @@ def shingles(text: str, n: int) -> tuple[np.ndarray, int, int]:
 _SIGNED = np.int64
 #: Class keys are broadcast up to this many (longs); beyond it the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
+#: Classes in a part of a bucket; n-grams in a piece of a block's matrix; so many pairs are compared one by one.
+BLOCK, COLUMNS, FEW_PAIRS = 128, 4096, 16
 
 
 def class_bands(docs: DataFrame, n: int, banding: Banding) -> DataFrame:
@@ -103,21 +104,93 @@ def _gram_sets(docs: DataFrame, needed: DataFrame, n: int, name: str) -> DataFra
     return materialize(map_rows(texts, per_slice, "class long, grams binary").dropDuplicates(["class"]), name)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs of classes (a, b) with the Jaccard similarity of their full n-gram sets."""
-    both = pairs.join(sets.withColumnsRenamed({"class": "b", "grams": "grams_b"}), "b").join(sets.withColumnsRenamed({"class": "a", "grams": "grams_a"}), "a")
+def _in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of these sorted sets have in common."""
+    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owners = every[order], owners[order]
+    column = np.cumsum(np.concatenate(([0], every[1:] != every[:-1])))
+    several = np.bincount(column)[column] > 1  # what a single set has adds nothing
+    owners, column = owners[several], column[several]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owners[lo:hi], column[lo:hi] - at] = 1
+        out += has @ has.T
+    return out
+
+
+def block_links(band: int, across: bool, own: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which two classes of a block have at least the threshold on their full n-gram sets, as a symmetric matrix.
+
+    Only pairs that meet in no earlier band, and that lie across the two halves of a block where it has two.
+    """
+    sizes = np.array([len(x) for x in sets], np.float64)
+    asked = np.triu(np.ones((len(sets), len(sets)), bool), 1)
+    if across:
+        asked &= own[:, None] != own[None, :]
+    for b in range(band):
+        asked &= bands[:, b][:, None] != bands[:, b][None, :]
+    asked &= np.minimum.outer(sizes, sizes) >= (threshold - 1e-9) * np.maximum.outer(sizes, sizes)
+    links = np.zeros_like(asked)
+    x, y = np.nonzero(asked)
+    if len(x) > FEW_PAIRS:
+        shared = _in_common(sets)[x, y].astype(np.float64)
+    else:
+        shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(x, y, strict=True)], np.float64)
+    links[x, y] = shared / (sizes[x] + sizes[y] - shared) >= threshold
+    return links | links.T
+
+
+def _firsts(links: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """Of what links join: each name but the smallest, with the smallest."""
+    out, unseen = [], links.any(axis=1)
+    while unseen.any():
+        todo = [int(np.argmax(unseen))]
+        unseen[todo] = False
+        for at in todo:  # grows on the way
+            found = np.flatnonzero(links[at] & unseen)
+            unseen[found] = False
+            todo += found.tolist()
+        joined = names[todo]
+        out += [(int(c), int(joined.min())) for c in joined if c != joined.min()]
+    return out
 
-    def per_slice(batch: pa.RecordBatch) -> dict:
-        out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            merged = np.concatenate((x, y))
-            merged.sort(kind="stable")
-            shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
-            out.append(shared / (len(x) + len(y) - shared))
-        return {"a": batch.column(0), "b": batch.column(1), "similarity": out}
 
-    return map_rows(both.select("a", "b", "grams_a", "grams_b"), per_slice, "a long, b long, similarity double")
+def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(class, n_links, other): a class's number of links in a block; and the smallest class (other) that the block's links join it to.
+
+    blocks: band, hash, i, j, own, class, bands, grams. The pairs of a block are not rows.
+    """
+    schema = "class long, n_links long, other long"
+    arrow = arrow_schema(schema)
+
+    def per_block(key: tuple, rows: list) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        links = block_links(key[0], key[2] != key[3], np.array([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), [np.frombuffer(r[3], np.uint64) for r in rows], threshold)
+        names = [r[1] for r in rows]
+        return [(c, int(n), None) for c, n in zip(names, links.sum(axis=1), strict=True) if n] + [(c, 0, first) for c, first in _firsts(links, np.array(names, np.int64))]
+
+    def run(batches):
+        key, rows, out = None, [], []
+        for batch in batches:
+            for *new, own, name, bands, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (new := tuple(new)) != key:
+                    out += per_block(key, rows)
+                    key, rows = new, []
+                rows.append((own, name, bands, grams))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if out := per_block(key, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    keys = ["band", "hash", "i", "j"]
+    return blocks.select(*keys, "own", "class", "bands", "grams").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -138,92 +211,32 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = labels.select("class", "component")
 
 
-def join_components(labels: DataFrame, edges: DataFrame, name: str = "joined-components") -> DataFrame:
-    """labels after more edges: only the components that they join are looked at again."""
-    of = lambda c: labels.select(F.col("class").alias(c), F.col("component").alias("_" + c))
-    between = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    between = materialize(between.filter("a <> b").distinct(), f"{name}-between")
-    if between.isEmpty():
-        return labels
-    upper = components(between, name).select(F.col("class").alias("component"), F.col("component").alias("upper"))
-    moved = labels.join(upper, "component", "left").select("class", F.coalesce("upper", "component").alias("component"))
-    new = upper.select(F.col("component").alias("class"), F.col("upper").alias("component")).join(labels, "class", "left_anti")
-    return materialize(moved.unionByName(new), name)
-
-
-def _shared_grams(sets: DataFrame) -> DataFrame:
-    """(class, n_grams, n_shared): of a class's n-grams, how many some other class of these has too.
-
-    Two classes have at most the smaller n_shared in common, which bounds their similarity without comparing them.
-    """
-
-    def per_slice(batch: pa.RecordBatch) -> dict:
-        grams = [np.frombuffer(g, np.uint64).astype(_SIGNED) for g in batch.column(1).to_pylist()]
-        return {"class": batch.column(0), "grams": grams}
-
-    each = map_rows(sets.select("class", "grams"), per_slice, "class long, grams array<long>")
-    alone = each.select("class", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
-    n_alone = alone.groupBy("class").agg(F.count("*").alias("n_alone"))
-    sizes = sets.select("class", (F.length("grams") / 8).cast("long").alias("n_grams"))
-    return sizes.join(n_alone, "class", "left").select("class", "n_grams", (F.col("n_grams") - F.coalesce("n_alone", F.lit(0))).alias("n_shared"))
-
-
-def _sided(buckets: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
-    """buckets with the components of a class and of its leader."""
-    own = buckets.join(labels, "class", "left").select("band", "hash", "class", "leader", F.coalesce("component", "class").alias("component"), *more)
-    led = labels.select(F.col("class").alias("leader"), F.col("component").alias("leader_component"))
-    return own.join(led, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader"))
-
-
 def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, class), verified links between classes (a, b, similarity), and components of linked classes.
+    """Members (doc_id, class), the number of verified links of each linked class (class, n_links), and components of linked classes.
 
     A class is a hash of a word sequence; an empty text's class is 0.
     """
     banding = choose_banding(threshold, target_recall)
     rows = materialize(class_bands(docs, n, banding), "bands")
     members = rows.select("doc_id", "class")
-    met = rows.filter(F.size("bands") > 0).dropDuplicates(["class"]).select("class", F.posexplode("bands").alias("band", "hash"))
-    # the leader of a bucket is the class with the least hash
-    rank = F.struct(F.xxhash64("class").alias("order"), F.col("class").alias("leader"))
-    met = materialize(met, "met")
-    led = met.groupBy("band", "hash").agg(F.min(rank).alias("led"), F.count("*").alias("n")).filter("n > 1").select("band", "hash", F.col("led.leader").alias("leader"))
-    buckets = materialize(met.join(led, ["band", "hash"]), "buckets")
+    signed = materialize(rows.filter(F.size("bands") > 0).dropDuplicates(["class"]).select("class", "bands"), "signed")
+    met = signed.select("class", F.posexplode("bands").alias("band", "hash"))
+    full = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("n > 1")
+    # of buckets with the same classes the one of the first band is enough
+    full = full.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("first")).select("first.band", "first.hash", "n")
+    buckets = materialize(met.join(full, ["band", "hash"]), "buckets")
     named = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     sets = _gram_sets(docs, named.join(buckets.select("class").distinct(), "class", "left_semi"), n, "grams")
-    ordered = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
-    stars = materialize(_verify(ordered(buckets, F.col("class"), F.col("leader")), sets), "stars")
-    good = stars.filter(F.col("similarity") >= threshold)
-    labels = components(good)
-    # Buckets that still hold several components get a second leader, the class with the most n-grams that others have
-    # too: near the middle of a group of variants, so most of what is apart joins it, and it bounds the rest well.
-    left = _sided(buckets, labels).filter("component != leader_component").select("band", "hash").distinct()
-    mixed = buckets.select("band", "hash", "class").join(left, ["band", "hash"], "left_semi")
-    shared = materialize(_shared_grams(sets.join(mixed.select("class").distinct(), "class", "left_semi")), "shared-grams")
-    mixed = mixed.join(shared, "class")
-    middle = F.struct((F.col("n_shared") / F.col("n_grams")).alias("share"), F.xxhash64("class").alias("order"), F.col("class").alias("leader"), F.col("n_grams").alias("nl"))
-    mixed = materialize(mixed.join(mixed.groupBy("band", "hash").agg(F.max(middle).alias("led")), ["band", "hash"]).select("band", "hash", "class", "n_grams", "n_shared", "led.leader", "led.nl"), "mixed")
-    known = stars.select("a", "b", "similarity")
-    again = _verify(ordered(mixed, F.col("class"), F.col("leader")).join(known, ["a", "b"], "left_anti"), sets)
-    again = materialize(again, "more-stars")
-    stars = stars.unionByName(again)
-    good = stars.filter(F.col("similarity") >= threshold)
-    labels = join_components(labels, again.filter(F.col("similarity") >= threshold))
-    known = stars.select("a", "b", "similarity")
-    placed = _sided(mixed, labels, "n_grams", "n_shared", "nl").withColumns({"a": F.least("class", "leader"), "b": F.greatest("class", "leader")}).join(known, ["a", "b"], "left")
-    with_leader = F.coalesce("similarity", F.lit(1.0))
-    placed = placed.withColumn("in_leader", with_leader * (F.col("n_grams") + F.col("nl")) / (1 + with_leader))  # n-grams in common with the leader
-    placed = materialize(placed.filter(F.col("n_shared") >= threshold * F.col("n_grams")).select("band", "hash", "class", "leader", "component", "leader_component", "n_grams", "n_shared", "in_leader"), "placed")
-    # in common at most: the fewer of those in the leader, and the fewer of those that are not but occur elsewhere
-    of = lambda df, p: df.select("band", "hash", *[F.col(c).alias(p + c) for c in ("class", "component", "n_grams", "n_shared", "in_leader")])
-    apart, other = of(placed.filter("component != leader_component"), "x_"), of(placed.filter("class != leader"), "y_")
-    outside = lambda p: F.greatest(F.col(p + "n_shared") - F.col(p + "in_leader"), F.lit(0.0))
-    most = F.least("x_in_leader", "y_in_leader") + F.least(outside("x_"), outside("y_")) + 1e-6
-    could = most >= (F.col("x_n_grams") + F.col("y_n_grams")) * (threshold / (1 + threshold))
-    open_pairs = apart.join(other, ["band", "hash"]).filter((F.col("x_component") != F.col("y_component")) & could)
-    more = _verify(ordered(open_pairs, F.col("x_class"), F.col("y_class")).join(known, ["a", "b"], "left_anti"), sets)
-    more = materialize(more.filter(F.col("similarity") >= threshold), "more-links")
-    return members, good.unionByName(more), join_components(labels, more)
+    # a class is in the blocks of its part of the bucket with every part, so that every pair of a bucket is in one block
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    blocks = buckets.withColumn("own", F.pmod(F.xxhash64("class", F.lit(2)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    blocks = blocks.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class")
+    found = materialize(_verify(blocks.join(sets.join(signed, "class"), "class"), threshold), "links")
+    degree = found.groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    # a class's many firsts are joined to the least of them, and the class to that one only: the same components
+    joined = found.filter("other is not null").select("class", "other").distinct()
+    least = joined.groupBy("class").agg(F.min("other").alias("a"), F.collect_set("other").alias("others")).select("a", F.explode(F.array_union(F.array("class"), "others")).alias("b"))
+    return members, degree, components(materialize(least.filter("a <> b").distinct(), "joined"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
@@ -231,8 +244,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
 
     n_links counts the verified links of its word sequence to other word sequences, n_copies the rows with its own.
     """
-    members, links, labels = class_links(docs, n, threshold, target_recall)
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
+    members, degree, labels = class_links(docs, n, threshold, target_recall)
     known = members.groupBy("class").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("copy_of")).join(labels, "class", "left").join(degree, "class", "left")
     known = known.withColumn("component", F.coalesce("component", "class"))
     # a group's name: the smallest doc_id of its classes; a class alone has its own
