@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from trackmesh.functions import geometry as g
 from trackmesh.functions import masks as m
 from trackmesh.functions import scalars as s
+from trackmesh.operators import identity, suppress
 from trackmesh.operators import query as q
-from trackmesh.operators import suppress
-from trackmesh.plans import catalog
+from trackmesh.plans import catalog, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -41,6 +41,15 @@ def test_runs(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
 
 
+def test_lsh_recall(spark, sf):
+    e = tables.embeddings(spark, sf)
+    asked = e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query"))
+    exact = {(r.query_id, r.embedding_ref) for r in identity.top_k(e, asked, 5).collect()}
+    got = [(r.query_id, r.embedding_ref) for r in catalog.queries()["lsh_top_k"](spark, sf).collect()]
+    assert len(got) == len(set(got)) == len(exact)
+    assert len(exact & set(got)) >= 0.9 * len(exact)
+
+
 def boxes(spark, rows):
     return spark.createDataFrame(rows, "frame long, det_idx long, left double, top double, right double, bottom double, score double, class_id int")
 

@@ -44,16 +44,21 @@ def lsh_signature(vector: Column, dims: int, planes: int, seed: int) -> Column:
     return out.cast("long")
 
 
-def lsh_top_k(store: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 6, tables: int = 8) -> DataFrame:
-    """Approximate search: vectors and queries meet in buckets of any table; a query without a bucket falls back to all."""
-    keys = lambda c: F.explode(F.array(*[F.struct(F.lit(t).alias("t"), lsh_signature(F.col(c), dims, planes, 1000 + t).alias("h")) for t in range(tables)]))
-    a = store.select("embedding_ref", "vector", keys("vector").alias("b")).select("embedding_ref", "vector", "b.t", "b.h")
-    b = queries.select("query_id", "query", keys("query").alias("b")).select("query_id", "query", "b.t", "b.h")
-    met = a.join(b, ["t", "h"]).dropDuplicates(["query_id", "embedding_ref"]).withColumn("score", s.cosine(F.col("vector"), F.col("query"))).filter("score is not null")
-    missed = queries.join(met.select("query_id").distinct(), "query_id", "left_anti")
+def lsh_top_k(store: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 6, tables: int = 12) -> DataFrame:
+    """Approximate search: a query meets the vectors that lie, in any table, in its bucket or across one plane of it.
+
+    A pair is scored in the first table that it meets in. A query with fewer than k hits is searched exactly.
+    """
+    signs = lambda c: F.array(*[lsh_signature(F.col(c), dims, planes, 1000 + t) for t in range(tables)])
+    a = store.select("embedding_ref", "vector", signs("vector").alias("own")).select("*", F.posexplode("own").alias("t", "h"))
+    b = queries.select("query_id", "query", signs("query").alias("asked")).select("*", F.posexplode("asked").alias("t", "at"))
+    b = b.withColumn("h", F.explode(F.array("at", *[F.col("at").bitwiseXOR(F.lit(1 << i)) for i in range(planes)])))
+    near = F.zip_with(F.slice("own", F.lit(1), F.col("t")), F.slice("asked", F.lit(1), F.col("t")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 1)
+    met = a.join(b, ["t", "h"]).filter(~F.exists(near, lambda x: x)).withColumn("score", s.cosine(F.col("vector"), F.col("query"))).filter("score is not null")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "embedding_ref"))
-    found = met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "embedding_ref", "score", "rank")
-    return found.unionByName(top_k(store, missed, k))
+    found = met.select("query_id", "embedding_ref", "score").withColumn("rank", rank).filter(F.col("rank") <= k).persist()
+    full = found.filter(F.col("rank") == k).select("query_id")
+    return found.join(full, "query_id", "left_semi").unionByName(top_k(store, queries.join(full, "query_id", "left_anti"), k))
 
 
 def mean_pool(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
