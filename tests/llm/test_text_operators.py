@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from trackmesh.llm import avi, bpe_transducer, factorisation, jaccard_join, language_spans, line_rules, packing, secrets, substring_dedup, token_attribution
@@ -125,6 +126,34 @@ def test_substring_dedup(awkward):
     assert cut[1].text is None and cut[6].text == "" and cut[5].text == rows[4][1] and cut[14].text == rows[13][1] and list(cut[5].asDict()) == df.columns
 
 
+def test_places_come_from_the_automata(spark, awkward, monkeypatch):
+    df, rows = awkward
+    want = brute_dedup([(r[0], r[1]) for r in rows])
+    monkeypatch.setattr(substring_dedup, "AUTOMATON_CHARS", 200)  # many automata a unit
+    monkeypatch.setattr(substring_dedup, "UNIT_BYTES", 300)  # many units
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_digest(df).collect()} == want
+    monkeypatch.setattr(substring_dedup, "compile_automata", lambda phrases: [])
+    assert sum(r.n_removed for r in substring_dedup.dedup_digest(df).collect()) == 0 < sum(w[1] for w in want.values())
+
+
+def test_hits_are_whole_words():
+    automata = substring_dedup.compile_automata(["b c", "c d", "ñ 中"])
+    assert sorted(substring_dedup.locate(automata, "ab c d b c d ñ 中", 2).tolist()) == [1, 3, 4, 6]
+    assert substring_dedup.compile_automata([]) == [] and not len(substring_dedup.locate([], "a b", 2))
+
+
+def test_dedup_of_odd_rows(spark):
+    rnd = random.Random(3)
+    a, b = sentence(rnd, 30), sentence(rnd, 45)
+    rows = [(None, a, "p"), (None, a, "q"), (1, a, "p"), (1, f"{b} {a}", "p"), (2, f"{a} {a}", "p"), (2, f"{a} {a}", "p"), (3, None, "p"), (4, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `row` string").withColumn("a b", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("unit", F.lit("u"))
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.dedup_digest(df).collect())
+    assert got == [(-1, 30, 0), (-1, 30, 0), (1, 30, 30), (1, 75, 30), (2, 60, 60), (2, 60, 60), (3, 0, 0), (4, 0, 0)]
+    cut = substring_dedup.drop_repeats(df)
+    assert cut.columns == df.columns and cut.count() == len(rows) and {r.text for r in cut.filter("doc_id = 3").collect()} == {None}
+    assert cut.select("a b", "rid", "unit").distinct().collect() == [(1, 2, "u")]
+
+
 def brute_groups(rows, n=5, least=0.8):
     sets = {k: (w := re.findall(r"[^\x20\x09-\x0D]+", t or ""), {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}) for k, t in rows}
     parent = {k: k for k in sets}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,8 +25,13 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one for tests where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine, as in tests) has a folder of its own; on a cluster that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (root or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -170,23 +174,3 @@ def text_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     starts, ends = word_spans(data)
     return data, starts, ends, word_hashes(data, starts, ends)
-
-
-def ensure_shipped(spark: SparkSession) -> None:
-    """Nothing to do where workers can import the package already (PYTHONPATH or working folder)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    on_path = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if root in [*on_path, os.getcwd()] or getattr(spark.sparkContext, "_package_shipped", False):
-        return
-    import tempfile
-    import zipfile
-
-    path = os.path.join(tempfile.mkdtemp(), "trackmesh.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(os.path.join(root, "trackmesh")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, root))
-    spark.sparkContext.addPyFile(path)
-    spark.sparkContext._package_shipped = True

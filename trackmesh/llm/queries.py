@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackmesh.llm import avi, bpe_transducer, factorisation, jaccard_join, language_spans, line_rules, packing, secrets, substring_dedup, token_attribution
 from trackmesh.llm import sql as oracles
-from trackmesh.llm.common import ensure_shipped, read_documents
+from trackmesh.llm.common import read_documents
+from trackmesh.session import ship
 
 #: Where the public vocabularies lie unless a caller says otherwise.
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -23,14 +24,14 @@ def vocabulary(name: str) -> tuple[str, str]:
 
 def _query(apply: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ensure_shipped(spark)
+        ship(spark)
         return apply(read_documents(spark, sf_dir))
 
     return run
 
 
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_shipped(spark)
+    ship(spark)
     return factorisation.quality_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -1,51 +1,49 @@
 """Substring dedup: remove every word covered by a window of words whose sequence also starts earlier.
 
-1. Recurring phrases. Of each window of `window` words, the `phrase`-word gram with the least hash is its anchor (equal
-   windows have equal anchors). Tasks settle what recurs among their own documents; each anchor goes once a task, in
-   packed blocks, to its shard, which confirms those of at least two places.
-2. Automata. Per slice of documents, an Aho-Corasick automaton is compiled from the confirmed phrases that occur in the
-   slice, and all its documents are streamed through it, which locates every occurrence. A shard of phrases so meets just
-   the documents that hold them: over all shards the work grows with the text, not with text times phrases.
-3. First places. Windows around located anchors are settled in the same two steps: within the task, then per shard. A
-   window that starts earlier elsewhere covers its words.
-
-A hot passage sends one entry a task, however many documents hold it. Windows are judged on the input.
-
-Cases: null text has no word. A text shorter than a window is kept. Rows that repeat both doc_id and text are at the same
-place, so neither makes the other go; with another text, a row is told apart by a hash of it. A null doc_id comes first.
+1. Confirm. Of each window of `window` words, the `phrase`-word gram with the least hash is its anchor (equal windows have
+   equal anchors). Tasks read documents in units of bounded size. A unit sends the words of each of its anchors once to the
+   phrase's shard, which confirms on the words themselves what recurs: in another unit, or twice within one.
+2. Automata. Each unit gets back those of its phrases that are confirmed, and nothing of where they stand. They are
+   compiled into Aho-Corasick automata of bounded size, and all documents of the unit are streamed through each of them:
+   a place comes from a hit alone. Automata are so sharded by the units that can hold their phrases: the work over all
+   grows with the text, not with text times phrases.
+3. First places. Windows around located anchors are settled within the task, then per shard, by a 128-bit hash of their
+   words. A window that starts earlier elsewhere covers its words.
+
+A hot passage sends one entry a unit or task, however many documents hold it. Windows are judged on the input.
+
+Cases: null or empty text has no word, and null stays null. A text shorter than a window is kept. Very long texts are
+streamed whole; one text is a unit of its own where it is larger than one. Rows that repeat both doc_id and text are at
+the same place (doc_id, start), so neither makes the other go; of a tie between rows of one doc_id and different texts
+neither is earlier. A null doc_id comes first. Other columns, whatever their names, play no part. Empty tables give none.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, input_bytes, map_rows, materialize, mix64, slices, text_words
+from trackmesh.llm.common import arrow_schema, gram_hashes, input_bytes, map_rows, materialize, slices, text_words
 
-#: Input bytes (as stored) a shard; entries that a task holds before it settles them.
-SHARD_BYTES, UNIT = 24 << 20, 1_500_000
-LEAST_SHARDS = 64
-#: Packed text that one automaton is compiled for.
-AUTOMATON_BYTES = 1 << 18
+#: Input bytes (as stored) a shard; text bytes of a unit; characters of phrases in one automaton; entries that a task settles at once.
+SHARD_BYTES, UNIT_BYTES, AUTOMATON_CHARS, ENTRIES = 8 << 20, 4 << 20, 1 << 20, 1_000_000
+LEAST_SHARDS = 16
 _FIRST = -(1 << 63)
-_PLACES = "kind int, shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
-_NAMES = [c.split()[0] for c in _PLACES.split(", ")]
+_UNITS = "kind int, unit long, rid long, doc_id long, shard int, body binary, twice binary"
+_WINDOWS = "kind int, shard int, rid long, places binary, keys binary, checks binary, docs binary, rids binary"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def row_uid(doc_id: int, words: np.ndarray) -> int:
-    """Tells rows with one doc_id but different texts apart."""
-    whole = gram_hashes(words, len(words))[0] if len(words) else np.uint64(0)
-    return int(mix64(np.array([whole ^ np.uint64(doc_id & (1 << 64) - 1)], np.uint64))[0].astype(np.int64))
-
-
 def anchors(words: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
     """Phrase hashes, and each window's anchor: the place of the least of its phrases' hashes, the first of equals."""
     grams = gram_hashes(words, phrase)
@@ -56,194 +54,226 @@ def anchors(words: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np
     return grams, rows.argmin(axis=1) + np.arange(len(rows))
 
 
-class Settler:
-    """Gathers (key, check, doc_id, uid, place); what is settled within a task goes out by document, the rest by shard.
+def _packed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
-    later=False: every place of a recurring key counts. later=True: every place but the first of its key.
-    """
 
-    def __init__(self, shards: int, later: bool) -> None:
-        self.shards, self.later = shards, later
-        self._parts: list[tuple] = []
-        self.size = 0
+def _unpacked(packed: bytes | None) -> bytes:
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, doc_id: int, uid: int, places: np.ndarray) -> None:
-        if len(keys):
-            n = len(keys)
-            self._parts.append((keys, checks, np.full(n, doc_id, np.int64), np.full(n, uid, np.int64), places.astype(np.int32)))
-            self.size += n
 
-    def flush(self) -> pa.RecordBatch:
-        rows = []
-        if self._parts:
-            keys, checks, docs, uids, places = (np.concatenate(c) for c in zip(*self._parts, strict=True))
-            self._parts, self.size = [], 0
-            order, first, n = _grouped(keys, checks, docs, places)
-            keys, checks, docs, uids, places = (x[order] for x in (keys, checks, docs, uids, places))
-            lead = np.flatnonzero(first)
-            if self.later:
-                # strictly later than the first of its key
-                at = np.repeat(lead, n)
-                known = (docs != docs[at]) | (places != places[at])
-                send, flags = lead, None
-            else:
-                known = np.repeat(n > 1, n)
-                send, flags = lead, n > 1
-            rows += _by_document(docs[known], uids[known], places[known])
-            shard = (keys[send] % np.uint64(self.shards)).astype(np.int64)
-            by_shard = np.lexsort((places[send], docs[send], shard))  # documents in runs, which compress
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[by_shard]) != 0)))
-            for some in np.split(by_shard, cuts[1:]):
-                s, k = int(shard[some[0]]), send[some]
-                what = places[k] if flags is None else np.where(flags[some], -1, places[k]).astype(np.int32)
-                rows.append((1, s, None, None, what.tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), uids[k].tobytes()))
-        return pa.RecordBatch.from_pydict(dict(zip(_NAMES, zip(*rows, strict=True) if rows else [[]] * 9, strict=True)), schema=arrow_schema(_PLACES))
-
-
-def _grouped(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by key and check, then place; which rows lead a key; how many rows each key has."""
-    order = np.lexsort((places, docs, checks, keys))
-    k, c = keys[order], checks[order]
-    first = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))) if len(k) else np.zeros(0, bool)
-    lead = np.flatnonzero(first)
-    return order, first, np.diff(np.concatenate((lead, [len(k)])))
-
-
-def _by_document(docs: np.ndarray, uids: np.ndarray, places: np.ndarray) -> list[tuple]:
-    if not len(docs):
-        return []
-    order = np.lexsort((places, uids, docs))
-    docs, uids, places = docs[order], uids[order], places[order]
-    cut = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (uids[1:] != uids[:-1]))))
-    ends = np.concatenate((cut[1:], [len(docs)]))
-    return [(0, None, int(docs[a]), int(uids[a]), places[a:b].astype("<i4").tobytes(), None, None, None, None) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-
-
-def _settle_shard(later: bool) -> Callable[[pa.Table], pa.Table]:
-    def settle(table: pa.Table) -> pa.Table:
-        unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        keys, checks, docs, uids, places = (unpack(*x) for x in (("keys", "<u8"), ("checks", "<u4"), ("docs", "<i8"), ("uids", "<i8"), ("places", "<i4")))
-        order, first, n = _grouped(keys, checks, docs, places)
-        docs, uids, places = docs[order], uids[order], places[order]
-        lead = np.flatnonzero(first)
-        if later:
-            at = np.repeat(lead, n)
-            due = (docs != docs[at]) | (places != places[at])
-        else:
-            flagged = np.maximum.reduceat(places == -1, lead) if len(lead) else np.zeros(0, bool)
-            due = np.repeat((n > 1) | flagged, n) & (places >= 0)
-        rows = _by_document(docs[due], uids[due], places[due])
-        return pa.table({"doc_id": pa.array([r[2] for r in rows], pa.int64()), "uid": pa.array([r[3] for r in rows], pa.int64()), "places": pa.array([r[4] for r in rows], pa.binary())})
-
-    return settle
-
-
-def _settled(found: DataFrame, later: bool, name: str) -> DataFrame:
-    """(doc_id, places): what tasks and shards have settled, one row for a doc_id."""
-    found = materialize(found, name)
-    own = found.filter("kind = 0").select("doc_id", "uid", "places")
-    shards = found.filter("kind = 1").groupBy("shard").applyInArrow(_settle_shard(later), "doc_id long, uid long, places binary")
-    return own.unionByName(shards).groupBy("doc_id").agg(F.collect_list(F.struct("uid", "places")).alias("places"))
-
-
-def _packed_text(docs: DataFrame) -> DataFrame:
-    """docs with the text compressed (by zstandard, as binary), which halves what joins shuffle."""
-    others = [c for c in docs.columns if c != "text"]
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
+def _text(packed: bytes | None) -> str:
+    return _unpacked(packed).decode("utf-8", "surrogatepass")
 
-    def per_slice(batch: pa.RecordBatch) -> dict:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        texts = [squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        return {**{c: batch.column(c) for c in others}, "text": texts}
 
-    return map_rows(docs, per_slice, ", ".join([*(f"{c} {types[c]}" for c in others), "text binary"]))
+# --- 1. units of documents, and the phrases that recur ------------------------------------------------------
+
 
+class Phrases:
+    """The anchor phrases of a unit: how often each stands there, and its shard."""
 
-def _unpacked(packed: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(packed).decode("utf-8", "surrogatepass")
+    def __init__(self, shards: int) -> None:
+        self.shards, self.count, self.shard = shards, Counter(), {}
 
+    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, window: int, phrase: int) -> None:
+        grams, at = anchors(words, window, phrase)
+        if not len(at):
+            return
+        at = np.unique(at)
+        joined = b" ".join(data.tobytes().split())
+        place = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        found = [joined[a:b] for a, b in zip(place[at].tolist(), (place[at + phrase] - 1).tolist(), strict=True)]
+        self.count.update(found)
+        self.shard.update(zip(found, (grams[at] % np.uint64(self.shards)).tolist(), strict=True))
 
-def _joined(docs: DataFrame, settled: DataFrame, how: str, name: str) -> DataFrame:
-    """docs, their text packed, with the places settled for their doc_id."""
-    settled = materialize(settled.withColumnRenamed("doc_id", "_named"), name)
-    return _packed_text(docs).join(settled, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("_named"), how).drop("_named")
+    def blocks(self) -> list[tuple[int, bytes, bytes]]:
+        """(shard, phrases, which of them stand there more than once) for each shard."""
+        by_shard: dict[int, list[bytes]] = {}
+        for p, shard in self.shard.items():
+            by_shard.setdefault(shard, []).append(p)
+        return [(shard, _packed(b"\n".join(some)), bytes(self.count[p] > 1 for p in some)) for shard, some in by_shard.items()]
+
+
+def units(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
+    """kind 0: the documents (unit, rid, doc_id, packed text, other columns as row). kind 1: the phrases of units by shard."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = StructType.fromDDL(_UNITS).add("row", rows.schema["row"].dataType)
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    arrow = to_arrow_schema(schema)
 
-def _of_row(doc_id: int | None, words: np.ndarray, settled: list[dict] | None) -> np.ndarray:
-    if not settled:
-        return np.zeros(0, np.int64)
-    uid = row_uid(_FIRST if doc_id is None else doc_id, words)
-    return np.frombuffer(b"".join(p["places"] for p in settled if p["uid"] == uid), "<i4").astype(np.int64)
+    def batch(row: pa.Array | None, n: int, **columns) -> pa.RecordBatch:
+        full = {f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow if f.name != "row"}
+        return pa.RecordBatch.from_arrays([pa.array(full[f.name], f.type) if f.name != "row" else (pa.nulls(n, f.type) if row is None else row.cast(f.type)) for f in arrow], schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        unit, rid, size, phrases = task << 24, task << 40, 0, Phrases(shards)
 
-def locate(texts: list[tuple[list[str], np.ndarray]], phrase: int) -> list[np.ndarray]:
-    """Places of the phrases in each of some texts (words, places where confirmed phrases are known to stand): an
-    automaton of all the phrases, through which every text is streamed."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for words, known in texts:
-        for at in known.tolist():
-            automaton.add_word(f" {' '.join(words[at : at + phrase])} ")
-    if not len(automaton):
-        return [np.zeros(0, np.int64) for _ in texts]
-    automaton.make_automaton()
-    out = []
-    for words, _ in texts:
-        ends = np.fromiter((end for end, _ in automaton.iter(f" {' '.join(words)} ")), np.int64)
-        after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the space after each word
-        out.append(np.searchsorted(after, ends) - (phrase - 1))
+        def flush() -> pa.RecordBatch:
+            found = phrases.blocks()
+            return batch(None, len(found), kind=[1] * len(found), unit=[unit] * len(found), shard=[f[0] for f in found], body=[f[1] for f in found], twice=[f[2] for f in found])
+
+        for part in slices(batches):
+            n, bodies = part.num_rows, []
+            for text in part.column(2).to_pylist():
+                data, *spans = text_words(text or "")
+                phrases.add(data, *spans, window, phrase)
+                bodies.append(None if text is None else _packed(data.tobytes()))
+                size += len(data)
+            yield batch(part.column(0), n, kind=[0] * n, unit=[unit] * n, rid=range(rid, rid + n), doc_id=part.column(1), body=bodies)
+            rid += n
+            if size >= UNIT_BYTES:
+                yield flush()
+                unit, size, phrases = unit + 1, 0, Phrases(shards)
+        yield flush()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _confirm(table: pa.Table) -> pa.Table:
+    """Of a shard's phrases those that recur, for each unit that sent them."""
+    sent, times = [], Counter()
+    for body in table.column("body").to_pylist():
+        sent.append(_unpacked(body).split(b"\n"))
+        times.update(sent[-1])
+    kept = [[p for p, twice in zip(some, flags, strict=True) if twice or times[p] > 1] for some, flags in zip(sent, table.column("twice").to_pylist(), strict=True)]
+    return pa.table({"unit": table.column("unit"), "body": pa.array([_packed(b"\n".join(k)) if k else None for k in kept], pa.binary())}).filter(pa.array([bool(k) for k in kept], pa.bool_()))
+
+
+# --- 2. automata --------------------------------------------------------------------------------------------
+
+
+def compile_automata(phrases: list[str]) -> list[ahocorasick.Automaton]:
+    """Automata of all the phrases, each of at most about AUTOMATON_CHARS."""
+    out, room = [], 0
+    for p in phrases:
+        if room <= 0:
+            out.append(ahocorasick.Automaton(ahocorasick.STORE_LENGTH))
+            room = AUTOMATON_CHARS
+        out[-1].add_word(f" {p} ")
+        room -= len(p)
+    for automaton in out:
+        automaton.make_automaton()
     return out
 
 
-def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    raw = data.tobytes()
-    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+def locate(automata: list[ahocorasick.Automaton], text: str, phrase: int) -> np.ndarray:
+    """The word places of all phrases in a text whose words are joined by one space."""
+    spaced = f" {text} "
+    hits = np.fromiter((end for a in automata for end, _ in a.iter(spaced)), np.int64)
+    if not len(hits):
+        return hits
+    sizes = np.fromiter(map(len, text.split(" ")), np.int64)
+    return np.searchsorted(np.cumsum(sizes + 1), hits) - (phrase - 1)  # a hit ends at the space after its last word
 
 
-def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
-    """(doc_id, places): starts of the windows of each document whose words also start earlier."""
-    texts = doc_texts(docs)
-    shards = max(LEAST_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
+# --- 3. first places ----------------------------------------------------------------------------------------
+
+
+class Settler:
+    """Gathers windows (key, check, doc_id, rid, place): those later than the task's first one go out by row, firsts by shard."""
+
+    def __init__(self, shards: int) -> None:
+        self.shards, self.size, self._parts = shards, 0, []
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, doc_id: int, rid: int, places: np.ndarray) -> None:
+        if len(keys):
+            n = len(keys)
+            self._parts.append((keys, checks, np.full(n, doc_id, np.int64), np.full(n, rid, np.int64), places.astype(np.int32)))
+            self.size += n
+
+    def flush(self) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        if self._parts:
+            keys, checks, docs, rids, places = (np.concatenate(c) for c in zip(*self._parts, strict=True))
+            self._parts, self.size = [], 0
+            order, lead, later = _settled(keys, checks, docs, places)
+            keys, checks, docs, rids, places = (x[order] for x in (keys, checks, docs, rids, places))
+            rows += [(0, None, rid, block, None, None, None, None) for rid, block in _by_row(rids[later], places[later])]
+            shard = (keys[lead] % np.uint64(self.shards)).astype(np.int64)
+            by_shard = np.lexsort((places[lead], docs[lead], shard))  # documents in runs, which compress
+            cuts = np.flatnonzero(np.diff(shard[by_shard])) + 1
+            for some in np.split(by_shard, cuts):
+                k = lead[some]
+                rows.append((1, int(shard[some[0]]), None, places[k].tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), rids[k].tobytes()))
+        schema = arrow_schema(_WINDOWS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _settled(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, check, doc_id and place; in it, the first of each key; and which are strictly later than that."""
+    order = np.lexsort((places, docs, checks, keys))
+    if not len(order):
+        return order, order, np.zeros(0, bool)
+    k, c, d, p = (x[order] for x in (keys, checks, docs, places))
+    lead = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
+    at = np.repeat(lead, np.diff(np.concatenate((lead, [len(k)]))))
+    return order, lead, (d != d[at]) | (p != p[at])
 
-    def find_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settler = Settler(shards, later=False)
+
+def _by_row(rids: np.ndarray, places: np.ndarray) -> list[tuple[int, bytes]]:
+    order = np.lexsort((places, rids))
+    rids, places = rids[order], places[order].astype("<i4")
+    cuts = np.flatnonzero(np.diff(rids)) + 1
+    return [(int(r[0]), p.tobytes()) for r, p in zip(np.split(rids, cuts), np.split(places, cuts), strict=True) if len(r)]
+
+
+def _settle_shard(table: pa.Table) -> pa.Table:
+    unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+    keys, checks, docs, rids, places = (unpack(*x) for x in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("rids", "<i8"), ("places", "<i4")))
+    order, _, later = _settled(keys, checks, docs, places)
+    rows = _by_row(rids[order][later], places[order][later])
+    return pa.table({"rid": pa.array([r for r, _ in rows], pa.int64()), "places": pa.array([p for _, p in rows], pa.binary())})
+
+
+def _windows(shards: int, window: int, phrase: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settler, unit, phrases, automata = Settler(shards), None, [], None
         for part in slices(batches):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for at, is_doc, rid, doc_id, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if at != unit:
+                    unit, phrases, automata = at, [], None
+                if not is_doc:  # the phrases of a unit come before its documents
+                    phrases += _text(body).split("\n")
+                    continue
+                if automata is None:
+                    automata, phrases = compile_automata(phrases), []
+                data = _unpacked(body) if automata else b""
+                text = b" ".join(data.split()).decode("utf-8", "surrogatepass")
+                located = locate(automata, text, phrase)
+                if not len(located):
+                    continue
                 words = text_words(text)[3]
-                grams, at = anchors(words, window, phrase)
-                if len(at):
-                    doc_id = _FIRST if doc_id is None else doc_id
-                    at = np.unique(at)
-                    settler.add(grams[at], np.zeros(len(at), np.uint32), doc_id, row_uid(doc_id, words), at)
-            if settler.size >= UNIT:
-                yield settler.flush()
-        yield settler.flush()
-
-    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settler = Settler(shards, later=True)
-        for part in slices(batches, max_bytes=AUTOMATON_BYTES):
-            rows = []
-            for doc_id, packed, settled in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                data, starts, ends, words = text_words(_unpacked(packed))
-                known = _of_row(doc_id, words, settled)
-                if len(known):
-                    rows.append((_FIRST if doc_id is None else doc_id, words, _words(data, starts, ends), known))
-            for (doc_id, words, _, _), located in zip(rows, locate([r[2:] for r in rows], phrase), strict=True):
                 is_phrase = np.zeros(len(words), bool)
                 is_phrase[located] = True
                 starts = np.flatnonzero(is_phrase[anchors(words, window, phrase)[1]])
-                keys, checks = gram_hashes(words, window)[starts], (gram_hashes(words, window, 0x51ED270B)[starts] >> np.uint64(32)).astype(np.uint32)
-                settler.add(keys, checks, doc_id, row_uid(doc_id, words), starts)
-                if settler.size >= UNIT:
+                settler.add(gram_hashes(words, window)[starts], gram_hashes(words, window, 0x51ED270B)[starts], _FIRST if doc_id is None else doc_id, rid, starts)
+                if settler.size >= ENTRIES:
                     yield settler.flush()
         yield settler.flush()
 
-    phrases = _settled(texts.mapInArrow(find_phrases, _PLACES), False, "phrases")
-    held = _joined(texts, phrases, "inner", "phrase-places")
-    return _settled(held.mapInArrow(find_windows, _PLACES), True, "windows")
+    return run
 
 
-def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
+def with_repeats(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """docs as (rid, doc_id, packed text as body, other columns as row) with the starts of windows found earlier elsewhere."""
+    shards = max(LEAST_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
+    found = materialize(units(docs, shards, window, phrase), "units")
+    held = found.filter("kind = 0")
+    phrases = found.filter("kind = 1").select("shard", "unit", "body", "twice").groupBy("shard").applyInArrow(_confirm, "unit long, body binary")
+    none = F.lit(None).cast("long")
+    streamed = phrases.select("unit", F.lit(False).alias("is_doc"), none.alias("rid"), none.alias("doc_id"), "body").unionByName(held.select("unit", F.lit(True).alias("is_doc"), "rid", "doc_id", "body"))
+    settled = materialize(streamed.repartition("unit").sortWithinPartitions("unit", "is_doc").mapInArrow(_windows(shards, window, phrase), _WINDOWS), "windows")
+    own = settled.filter("kind = 0").select("rid", "places")
+    late = own.unionByName(settled.filter("kind = 1").groupBy("shard").applyInArrow(_settle_shard, "rid long, places binary"))
+    return held.join(late.groupBy("rid").agg(F.collect_list("places").alias("places")), "rid", "left")
+
+
+def covered(n_words: int, places: list[bytes], window: int) -> np.ndarray:
     """Which words the windows at these starts cover."""
+    starts = np.frombuffer(b"".join(places), "<i4")
     step = np.zeros(n_words + 1, np.int64)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + window, -1)
@@ -253,48 +283,45 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 def dedup_digest(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
     """Words, removed words, and a digest of the kept ones, for each row."""
 
-    def digest(doc_id: int | None, packed: bytes, settled: list[dict] | None) -> tuple[int, int, str]:
-        data, starts, ends, words = text_words(_unpacked(packed))
-        places = _of_row(doc_id, words, settled)
-        raw = data.tobytes()
-        if not len(places):
-            return len(words), 0, hashlib.sha256(b" ".join(raw.split())).hexdigest()
-        gone = covered(len(words), places, window)
-        kept = [raw[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)]
-        return len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
+    def digest(packed: bytes | None, places: list[bytes] | None) -> tuple[int, int, str]:
+        words = _unpacked(packed).split()
+        if not places:
+            return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
+        gone = covered(len(words), places, window).tolist()
+        return len(words), sum(gone), hashlib.sha256(b" ".join([w for w, g in zip(words, gone, strict=True) if not g])).hexdigest()
 
     def per_slice(batch: pa.RecordBatch) -> dict:
-        cols = list(zip(*(digest(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), strict=True))
+        cols = list(zip(*(digest(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)), strict=True))
         return {"doc_id": batch.column(0), "n_words": cols[0], "n_removed": cols[1], "kept_sha256": cols[2]}
 
-    rows = _joined(doc_texts(docs), repeated_starts(docs, window, phrase), "left", "window-places")
-    return map_rows(rows.select("doc_id", "text", "places"), per_slice, DIGEST)
+    return map_rows(with_repeats(docs.select("doc_id", "text"), window, phrase).select("doc_id", "body", "places"), per_slice, DIGEST)
 
 
 def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
     """The documents without the covered words; the white space after each goes with it, all else stays as it is.
 
-    A document of which nothing is left keeps its row, with an empty text.
+    A document of which nothing is left keeps its row, with an empty text; a null text stays null.
     """
 
-    def cut(doc_id: int | None, packed: bytes, settled: list[dict] | None) -> str:
-        text = _unpacked(packed)
-        data, starts, ends, words = text_words(text)
-        places = _of_row(doc_id, words, settled)
-        if not len(places):
-            return text
-        gone = covered(len(words), places, window)
+    def cut(packed: bytes | None, places: list[bytes] | None) -> str | None:
+        if packed is None or not places:
+            return None if packed is None else _text(packed)
+        data, starts, _, _ = text_words(_text(packed))
+        gone = covered(len(starts), places, window)
         raw, after = data.tobytes(), np.concatenate((starts[1:], [len(data)]))
         lead = raw[: starts[0]] if not gone[0] else b""
         return (lead + b"".join(raw[a:b] for a, b in zip(starts[~gone].tolist(), after[~gone].tolist(), strict=True))).decode("utf-8", "surrogatepass")
 
-    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*others, F.col("text").isNull().alias("_none")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = _joined(packed, repeated_starts(docs, window, phrase), "left", "window-places").select("row", "doc_id", "text", "places")
+    rows = with_repeats(docs, window, phrase).select("row", "body", "places")
+    schema = StructType([rows.schema["row"]]).add("text", "string")
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def per_slice(batch: pa.RecordBatch) -> dict:
-        return {"row": batch.column(0), "cut": [cut(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]}
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [cut(*r) for r in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), pa.array(texts, pa.string())], schema=arrow)
 
-    out = map_rows(rows, per_slice, f"row {packed.schema['row'].dataType.simpleString()}, cut string")
-    # a null text stays null
-    return out.select(*[F.when(~F.col("row._none"), F.col("cut")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out = rows.mapInArrow(run, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
