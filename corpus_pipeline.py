@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trackmesh.llm import jaccard_join, line_rules, packing, secrets, substring_dedup
-from trackmesh.llm.common import ensure_shipped, materialize, read_documents
+from trackmesh.llm.common import materialize, read_documents
 from trackmesh.llm.queries import TOKENIZER, vocabulary
+from trackmesh.session import ship
 
 #: No SQL expresses the tokenizer or the near-duplicate join; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -14,19 +15,19 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and with them the documents that lose too much."""
-    ensure_shipped(spark)
+    ship(spark)
     return line_rules.clean(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    ensure_shipped(spark)
+    ship(spark)
     return jaccard_join.keep_first(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stand earlier elsewhere are cut out."""
-    ensure_shipped(spark)
+    ship(spark)
     return substring_dedup.drop_repeats(docs)
 
 
@@ -37,7 +38,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces of token sequences."""
-    ensure_shipped(spark)
+    ship(spark)
     return packing.pack(docs, *vocabulary(TOKENIZER))
 
 
