@@ -130,7 +130,7 @@ def test_places_come_from_the_automata(spark, awkward, monkeypatch):
     df, rows = awkward
     want = brute_dedup([(r[0], r[1]) for r in rows])
     monkeypatch.setattr(substring_dedup, "AUTOMATON_CHARS", 200)  # many automata a unit
-    monkeypatch.setattr(substring_dedup, "UNIT_BYTES", 300)  # many units
+    monkeypatch.setattr(substring_dedup, "SENT_BYTES", 300)  # many blocks of phrases
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_digest(df).collect()} == want
     monkeypatch.setattr(substring_dedup, "compile_automata", lambda phrases: [])
     assert sum(r.n_removed for r in substring_dedup.dedup_digest(df).collect()) == 0 < sum(w[1] for w in want.values())

@@ -1,19 +1,21 @@
 """Substring dedup: remove every word covered by a window of words whose sequence also starts earlier.
 
 1. Confirm. Of each window of `window` words, the `phrase`-word gram with the least hash is its anchor (equal windows have
-   equal anchors). Tasks read documents in units of bounded size. A unit sends the words of each of its anchors once to the
-   phrase's shard, which confirms on the words themselves what recurs: in another unit, or twice within one.
-2. Automata. Each unit gets back those of its phrases that are confirmed, and nothing of where they stand. They are
-   compiled into Aho-Corasick automata of bounded size, and all documents of the unit are streamed through each of them:
-   a place comes from a hit alone. Automata are so sharded by the units that can hold their phrases: the work over all
-   grows with the text, not with text times phrases.
+   equal anchors). A hash of the text puts each document into a unit of bounded size. A task sends the words of each of its
+   anchors once to the phrase's shard, with the units they stand in; the shard confirms, on the words themselves, what
+   stands in two places.
+2. Automata. Each unit gets its confirmed phrases, and nothing of where they stand. They are compiled into Aho-Corasick
+   automata of bounded size, and all documents of the unit are streamed through each of them: a place comes from a hit
+   alone. Automata are so sharded by the units that hold their phrases: the work over all grows with the text, not with
+   text times phrases.
 3. First places. Windows around located anchors are settled within the task, then per shard, by a 128-bit hash of their
    words. A window that starts earlier elsewhere covers its words.
 
-A hot passage sends one entry a unit or task, however many documents hold it. Windows are judged on the input.
+A hot passage sends a shard its words once a task, and a number a unit, however many documents hold it. Windows are
+judged on the input.
 
 Cases: null or empty text has no word, and null stays null. A text shorter than a window is kept. Very long texts are
-streamed whole; one text is a unit of its own where it is larger than one. Rows that repeat both doc_id and text are at
+streamed whole; a unit is as large as its largest text at least. Rows that repeat both doc_id and text are at
 the same place (doc_id, start), so neither makes the other go; of a tie between rows of one doc_id and different texts
 neither is earlier. A null doc_id comes first. Other columns, whatever their names, play no part. Empty tables give none.
 """
@@ -28,19 +30,19 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from trackmesh.llm.common import arrow_schema, gram_hashes, input_bytes, map_rows, materialize, slices, text_words
 
-#: Input bytes (as stored) a shard; text bytes of a unit; characters of phrases in one automaton; entries that a task settles at once.
-SHARD_BYTES, UNIT_BYTES, AUTOMATON_CHARS, ENTRIES = 8 << 20, 4 << 20, 1 << 20, 1_000_000
+#: Input bytes (as stored) a shard and a unit; text bytes that a task sends at once; characters of phrases in one automaton; entries that a task settles at once.
+SHARD_BYTES, UNIT_BYTES, SENT_BYTES, AUTOMATON_CHARS, ENTRIES = 8 << 20, 2 << 20, 8 << 20, 1 << 20, 1_000_000
 LEAST_SHARDS = 16
 _FIRST = -(1 << 63)
-_UNITS = "kind int, unit long, rid long, doc_id long, shard int, body binary, twice binary"
-_WINDOWS = "kind int, shard int, rid long, places binary, keys binary, checks binary, docs binary, rids binary"
+_PHRASES = "shard int, phrases binary, twice binary, n_units binary, units binary"
+_WINDOWS = "kind int, shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -70,76 +72,80 @@ def _text(packed: bytes | None) -> str:
 
 
 class Phrases:
-    """The anchor phrases of a unit: how often each stands there, and its shard."""
+    """The anchor phrases of some documents, and the units they stand in."""
 
     def __init__(self, shards: int) -> None:
-        self.shards, self.count, self.shard = shards, Counter(), {}
+        self.shards, self.size = shards, 0
+        self._index: dict[bytes, int] = {}
+        self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, window: int, phrase: int) -> None:
+    def add(self, unit: int, text: str, window: int, phrase: int) -> None:
+        data, starts, ends, words = text_words(text)
+        self.size += len(data)
         grams, at = anchors(words, window, phrase)
         if not len(at):
             return
         at = np.unique(at)
         joined = b" ".join(data.tobytes().split())
         place = np.concatenate(([0], np.cumsum(ends - starts + 1)))
-        found = [joined[a:b] for a, b in zip(place[at].tolist(), (place[at + phrase] - 1).tolist(), strict=True)]
-        self.count.update(found)
-        self.shard.update(zip(found, (grams[at] % np.uint64(self.shards)).tolist(), strict=True))
-
-    def blocks(self) -> list[tuple[int, bytes, bytes]]:
-        """(shard, phrases, which of them stand there more than once) for each shard."""
-        by_shard: dict[int, list[bytes]] = {}
-        for p, shard in self.shard.items():
-            by_shard.setdefault(shard, []).append(p)
-        return [(shard, _packed(b"\n".join(some)), bytes(self.count[p] > 1 for p in some)) for shard, some in by_shard.items()]
-
-
-def units(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """kind 0: the documents (unit, rid, doc_id, packed text, other columns as row). kind 1: the phrases of units by shard."""
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = StructType.fromDDL(_UNITS).add("row", rows.schema["row"].dataType)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-
-    def batch(row: pa.Array | None, n: int, **columns) -> pa.RecordBatch:
-        full = {f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow if f.name != "row"}
-        return pa.RecordBatch.from_arrays([pa.array(full[f.name], f.type) if f.name != "row" else (pa.nulls(n, f.type) if row is None else row.cast(f.type)) for f in arrow], schema=arrow)
+        index, number = self._index, self._index.setdefault
+        ids = [number(joined[a:b], len(index)) for a, b in zip(place[at].tolist(), (place[at + phrase] - 1).tolist(), strict=True)]
+        self._parts.append((np.array(ids, np.int64), np.full(len(at), unit, np.int64), (grams[at] % np.uint64(self.shards)).astype(np.int64)))
 
+    def flush(self) -> pa.RecordBatch:
+        """For each shard its phrases, which of them stand in two places here, and their units."""
+        rows: list[tuple] = []
+        if self._parts:
+            ids, units, shards = (np.concatenate(c) for c in zip(*self._parts, strict=True))
+            pair = np.unique((ids << 32) | units)
+            of, units = pair >> 32, (pair & 0xFFFFFFFF).astype("<u4")
+            twice, n_units, shard = np.bincount(ids) > 1, np.bincount(of), np.zeros(len(self._index), np.int64)
+            shard[ids] = shards
+            first = np.cumsum(n_units) - n_units
+            order = np.argsort(shard, kind="stable")
+            words = list(self._index)
+            for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                at = np.repeat(first[some] - np.concatenate(([0], np.cumsum(n_units[some])[:-1])), n_units[some]) + np.arange(n_units[some].sum())
+                rows.append((int(shard[some[0]]), _packed(b"\n".join([words[i] for i in some.tolist()])), twice[some].tobytes(), n_units[some].astype("<u4").tobytes(), units[at].tobytes()))
+        self.size, self._index, self._parts = 0, {}, []
+        return _record_batch(rows, _PHRASES)
+
+
+def _record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    arrow = arrow_schema(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
+
+
+def _send_phrases(shards: int, window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        unit, rid, size, phrases = task << 24, task << 40, 0, Phrases(shards)
-
-        def flush() -> pa.RecordBatch:
-            found = phrases.blocks()
-            return batch(None, len(found), kind=[1] * len(found), unit=[unit] * len(found), shard=[f[0] for f in found], body=[f[1] for f in found], twice=[f[2] for f in found])
-
+        phrases = Phrases(shards)
         for part in slices(batches):
-            n, bodies = part.num_rows, []
-            for text in part.column(2).to_pylist():
-                data, *spans = text_words(text or "")
-                phrases.add(data, *spans, window, phrase)
-                bodies.append(None if text is None else _packed(data.tobytes()))
-                size += len(data)
-            yield batch(part.column(0), n, kind=[0] * n, unit=[unit] * n, rid=range(rid, rid + n), doc_id=part.column(1), body=bodies)
-            rid += n
-            if size >= UNIT_BYTES:
-                yield flush()
-                unit, size, phrases = unit + 1, 0, Phrases(shards)
-        yield flush()
+            for unit, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                phrases.add(unit, text, window, phrase)
+                if phrases.size >= SENT_BYTES:
+                    yield phrases.flush()
+        yield phrases.flush()
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def _confirm(table: pa.Table) -> pa.Table:
-    """Of a shard's phrases those that recur, for each unit that sent them."""
+    """Of a shard's phrases those that stand in two places, for each unit that holds them."""
     sent, times = [], Counter()
-    for body in table.column("body").to_pylist():
+    for body, twice in zip(table.column("phrases").to_pylist(), table.column("twice").to_pylist(), strict=True):
         sent.append(_unpacked(body).split(b"\n"))
         times.update(sent[-1])
-    kept = [[p for p, twice in zip(some, flags, strict=True) if twice or times[p] > 1] for some, flags in zip(sent, table.column("twice").to_pylist(), strict=True)]
-    return pa.table({"unit": table.column("unit"), "body": pa.array([_packed(b"\n".join(k)) if k else None for k in kept], pa.binary())}).filter(pa.array([bool(k) for k in kept], pa.bool_()))
+        times.update(p for p, more in zip(sent[-1], twice, strict=True) if more)
+    words, units = [], []
+    for some, n_units, of in zip(sent, table.column("n_units").to_pylist(), table.column("units").to_pylist(), strict=True):
+        kept = np.fromiter((times[p] > 1 for p in some), bool, len(some))
+        n = np.frombuffer(n_units, "<u4")
+        units.append(np.frombuffer(of, "<u4")[np.repeat(kept, n)])
+        words += [p for p, k, m in zip(some, kept.tolist(), n.tolist(), strict=True) if k for _ in range(m)]
+    unit = np.concatenate([*units, np.zeros(0, np.uint32)]).astype(np.int64)
+    order = np.argsort(unit, kind="stable")
+    groups = [g for g in np.split(order, np.flatnonzero(np.diff(unit[order])) + 1) if len(g)]
+    return pa.table({"unit": pa.array([int(unit[g[0]]) for g in groups], pa.int64()), "body": pa.array([_packed(b"\n".join({words[i]: None for i in g.tolist()})) for g in groups], pa.binary())})
 
 
 # --- 2. automata --------------------------------------------------------------------------------------------
@@ -173,33 +179,31 @@ def locate(automata: list[ahocorasick.Automaton], text: str, phrase: int) -> np.
 
 
 class Settler:
-    """Gathers windows (key, check, doc_id, rid, place): those later than the task's first one go out by row, firsts by shard."""
+    """Gathers windows (key, check, doc_id, uid, place): those later than the task's first one go out by row, firsts by shard."""
 
     def __init__(self, shards: int) -> None:
         self.shards, self.size, self._parts = shards, 0, []
 
-    def add(self, keys: np.ndarray, checks: np.ndarray, doc_id: int, rid: int, places: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, doc_id: int, uid: int, places: np.ndarray) -> None:
         if len(keys):
             n = len(keys)
-            self._parts.append((keys, checks, np.full(n, doc_id, np.int64), np.full(n, rid, np.int64), places.astype(np.int32)))
+            self._parts.append((keys, checks, np.full(n, doc_id, np.int64), np.full(n, uid, np.int64), places.astype(np.int32)))
             self.size += n
 
     def flush(self) -> pa.RecordBatch:
         rows: list[tuple] = []
         if self._parts:
-            keys, checks, docs, rids, places = (np.concatenate(c) for c in zip(*self._parts, strict=True))
+            keys, checks, docs, uids, places = (np.concatenate(c) for c in zip(*self._parts, strict=True))
             self._parts, self.size = [], 0
             order, lead, later = _settled(keys, checks, docs, places)
-            keys, checks, docs, rids, places = (x[order] for x in (keys, checks, docs, rids, places))
-            rows += [(0, None, rid, block, None, None, None, None) for rid, block in _by_row(rids[later], places[later])]
+            keys, checks, docs, uids, places = (x[order] for x in (keys, checks, docs, uids, places))
+            rows += [(0, None, *row, None, None, None, None) for row in _by_row(docs[later], uids[later], places[later])]
             shard = (keys[lead] % np.uint64(self.shards)).astype(np.int64)
             by_shard = np.lexsort((places[lead], docs[lead], shard))  # documents in runs, which compress
-            cuts = np.flatnonzero(np.diff(shard[by_shard])) + 1
-            for some in np.split(by_shard, cuts):
+            for some in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
                 k = lead[some]
-                rows.append((1, int(shard[some[0]]), None, places[k].tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), rids[k].tobytes()))
-        schema = arrow_schema(_WINDOWS)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+                rows.append((1, int(shard[some[0]]), None, None, places[k].tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), uids[k].tobytes()))
+        return _record_batch(rows, _WINDOWS)
 
 
 def _settled(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,26 +217,26 @@ def _settled(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.
     return order, lead, (d != d[at]) | (p != p[at])
 
 
-def _by_row(rids: np.ndarray, places: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.lexsort((places, rids))
-    rids, places = rids[order], places[order].astype("<i4")
-    cuts = np.flatnonzero(np.diff(rids)) + 1
-    return [(int(r[0]), p.tobytes()) for r, p in zip(np.split(rids, cuts), np.split(places, cuts), strict=True) if len(r)]
+def _by_row(docs: np.ndarray, uids: np.ndarray, places: np.ndarray) -> list[tuple[int, int, bytes]]:
+    order = np.lexsort((places, uids, docs))
+    docs, uids, places = docs[order], uids[order], places[order].astype("<i4")
+    cuts = np.flatnonzero((np.diff(docs) != 0) | (np.diff(uids) != 0)) + 1
+    return [(int(d[0]), int(u[0]), p.tobytes()) for d, u, p in zip(*(np.split(x, cuts) for x in (docs, uids, places)), strict=True) if len(d)]
 
 
 def _settle_shard(table: pa.Table) -> pa.Table:
     unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    keys, checks, docs, rids, places = (unpack(*x) for x in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("rids", "<i8"), ("places", "<i4")))
+    keys, checks, docs, uids, places = (unpack(*x) for x in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("uids", "<i8"), ("places", "<i4")))
     order, _, later = _settled(keys, checks, docs, places)
-    rows = _by_row(rids[order][later], places[order][later])
-    return pa.table({"rid": pa.array([r for r, _ in rows], pa.int64()), "places": pa.array([p for _, p in rows], pa.binary())})
+    rows = _by_row(docs[order][later], uids[order][later], places[order][later])
+    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "uid": pa.array([r[1] for r in rows], pa.int64()), "places": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _windows(shards: int, window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settler, unit, phrases, automata = Settler(shards), None, [], None
         for part in slices(batches):
-            for at, is_doc, rid, doc_id, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for at, is_doc, doc_id, uid, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if at != unit:
                     unit, phrases, automata = at, [], None
                 if not is_doc:  # the phrases of a unit come before its documents
@@ -240,8 +244,7 @@ def _windows(shards: int, window: int, phrase: int):
                     continue
                 if automata is None:
                     automata, phrases = compile_automata(phrases), []
-                data = _unpacked(body) if automata else b""
-                text = b" ".join(data.split()).decode("utf-8", "surrogatepass")
+                text = b" ".join(_unpacked(body).split()).decode("utf-8", "surrogatepass") if automata else ""
                 located = locate(automata, text, phrase)
                 if not len(located):
                     continue
@@ -249,7 +252,7 @@ def _windows(shards: int, window: int, phrase: int):
                 is_phrase = np.zeros(len(words), bool)
                 is_phrase[located] = True
                 starts = np.flatnonzero(is_phrase[anchors(words, window, phrase)[1]])
-                settler.add(gram_hashes(words, window)[starts], gram_hashes(words, window, 0x51ED270B)[starts], _FIRST if doc_id is None else doc_id, rid, starts)
+                settler.add(gram_hashes(words, window)[starts], gram_hashes(words, window, 0x51ED270B)[starts], doc_id, uid, starts)
                 if settler.size >= ENTRIES:
                     yield settler.flush()
         yield settler.flush()
@@ -257,18 +260,46 @@ def _windows(shards: int, window: int, phrase: int):
     return run
 
 
-def with_repeats(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """docs as (rid, doc_id, packed text as body, other columns as row) with the starts of windows found earlier elsewhere."""
-    shards = max(LEAST_SHARDS, -(-input_bytes(docs) // SHARD_BYTES))
-    found = materialize(units(docs, shards, window, phrase), "units")
-    held = found.filter("kind = 0")
-    phrases = found.filter("kind = 1").select("shard", "unit", "body", "twice").groupBy("shard").applyInArrow(_confirm, "unit long, body binary")
+def _uid(docs: DataFrame) -> tuple[Column, Column]:
+    """A row's names: its doc_id, a null before all others, and a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")
+
+
+def _packed_text(rows: DataFrame) -> DataFrame:
+    """rows with the text (the last column) compressed, as a binary body, which halves what joins shuffle."""
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("body", "binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            bodies = [None if t is None else _packed(t.encode("utf-8", "surrogatepass")) for t in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns[:-1], arrow, strict=False)), pa.array(bodies, pa.binary())], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFrame:
+    """(doc_id, uid, places): starts of the windows of each row whose words also start earlier."""
+    size = input_bytes(docs)
+    shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
+    uid = _uid(docs)
+    texts = docs.select(*uid, F.coalesce("text", F.lit("")).alias("text")).withColumn("unit", F.pmod("uid", F.lit(max(LEAST_SHARDS, -(-size // UNIT_BYTES)))))
+    phrases = texts.select("unit", "text").mapInArrow(_send_phrases(shards, window, phrase), _PHRASES).groupBy("shard").applyInArrow(_confirm, "unit long, body binary")
+    held = _packed_text(texts.select("unit", F.lit(True).alias("is_doc"), "doc_id", "uid", "text"))
     none = F.lit(None).cast("long")
-    streamed = phrases.select("unit", F.lit(False).alias("is_doc"), none.alias("rid"), none.alias("doc_id"), "body").unionByName(held.select("unit", F.lit(True).alias("is_doc"), "rid", "doc_id", "body"))
-    settled = materialize(streamed.repartition("unit").sortWithinPartitions("unit", "is_doc").mapInArrow(_windows(shards, window, phrase), _WINDOWS), "windows")
-    own = settled.filter("kind = 0").select("rid", "places")
-    late = own.unionByName(settled.filter("kind = 1").groupBy("shard").applyInArrow(_settle_shard, "rid long, places binary"))
-    return held.join(late.groupBy("rid").agg(F.collect_list("places").alias("places")), "rid", "left")
+    streamed = held.unionByName(phrases.select("unit", F.lit(False).alias("is_doc"), none.alias("doc_id"), none.alias("uid"), "body"))
+    streamed = streamed.repartition("unit").sortWithinPartitions("unit", "is_doc")
+    settled = materialize(streamed.mapInArrow(_windows(shards, window, phrase), _WINDOWS), "windows")
+    own = settled.filter("kind = 0").select("doc_id", "uid", "places")
+    late = own.unionByName(settled.filter("kind = 1").groupBy("shard").applyInArrow(_settle_shard, "doc_id long, uid long, places binary"))
+    return late.groupBy("doc_id", "uid").agg(F.collect_list("places").alias("places"))
+
+
+def with_repeats(docs: DataFrame, window: int, phrase: int) -> DataFrame:
+    """docs as (row of the other columns, packed text as body) with the starts of windows found earlier elsewhere."""
+    others = F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    rows = _packed_text(docs.select(others, *_uid(docs), "text"))
+    return rows.join(repeated_starts(docs, window, phrase), ["doc_id", "uid"], "left").select("row", "body", "places")
 
 
 def covered(n_words: int, places: list[bytes], window: int) -> np.ndarray:
@@ -280,7 +311,7 @@ def covered(n_words: int, places: list[bytes], window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def dedup_digest(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
+def dedup_digest(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFrame:
     """Words, removed words, and a digest of the kept ones, for each row."""
 
     def digest(packed: bytes | None, places: list[bytes] | None) -> tuple[int, int, str]:
@@ -294,10 +325,11 @@ def dedup_digest(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFram
         cols = list(zip(*(digest(*row) for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)), strict=True))
         return {"doc_id": batch.column(0), "n_words": cols[0], "n_removed": cols[1], "kept_sha256": cols[2]}
 
-    return map_rows(with_repeats(docs.select("doc_id", "text"), window, phrase).select("doc_id", "body", "places"), per_slice, DIGEST)
+    rows = with_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
+    return map_rows(rows.select("row.doc_id", "body", "places"), per_slice, DIGEST)
 
 
-def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataFrame:
     """The documents without the covered words; the white space after each goes with it, all else stays as it is.
 
     A document of which nothing is left keeps its row, with an empty text; a null text stays null.
@@ -312,10 +344,8 @@ def drop_repeats(docs: DataFrame, window: int = 20, phrase: int = 8) -> DataFram
         lead = raw[: starts[0]] if not gone[0] else b""
         return (lead + b"".join(raw[a:b] for a, b in zip(starts[~gone].tolist(), after[~gone].tolist(), strict=True))).decode("utf-8", "surrogatepass")
 
-    rows = with_repeats(docs, window, phrase).select("row", "body", "places")
+    rows = with_repeats(docs, window, phrase)
     schema = StructType([rows.schema["row"]]).add("text", "string")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
