@@ -1,7 +1,7 @@
 """Substring dedup: remove every word covered by a window of words whose sequence also starts earlier.
 
 1. Confirm. Of each window of `window` words, the `phrase`-word gram with the least hash is its anchor (equal windows have
-   equal anchors). A hash of the text puts each document into a unit of bounded size. A task sends the words of each of its
+   equal anchors). A hash of id and text puts each row into a unit of bounded size. A task sends the words of each of its
    anchors once to the phrase's shard, with the units they stand in; the shard confirms, on the words themselves, what
    stands in two places.
 2. Automata. Each unit gets its confirmed phrases, and nothing of where they stand. They are compiled into Aho-Corasick
@@ -29,20 +29,21 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from trackmesh.llm.common import arrow_schema, gram_hashes, input_bytes, map_rows, materialize, slices, text_words
+from trackmesh.llm.common import arrow_schema, gram_hashes, input_bytes, map_rows, slices, text_words
 
 #: Input bytes (as stored) a shard and a unit; text bytes that a task sends at once; characters of phrases in one automaton; entries that a task settles at once.
-SHARD_BYTES, UNIT_BYTES, SENT_BYTES, AUTOMATON_CHARS, ENTRIES = 8 << 20, 2 << 20, 8 << 20, 1 << 20, 1_000_000
+SHARD_BYTES, UNIT_BYTES, SENT_BYTES, AUTOMATON_CHARS, ENTRIES = 4 << 20, 1 << 20, 4 << 20, 1 << 20, 500_000
 LEAST_SHARDS = 16
 _FIRST = -(1 << 63)
 _PHRASES = "shard int, phrases binary, twice binary, n_units binary, units binary"
-_WINDOWS = "kind int, shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
+_WINDOWS = "shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -197,12 +198,13 @@ class Settler:
             self._parts, self.size = [], 0
             order, lead, later = _settled(keys, checks, docs, places)
             keys, checks, docs, uids, places = (x[order] for x in (keys, checks, docs, uids, places))
-            rows += [(0, None, *row, None, None, None, None) for row in _by_row(docs[later], uids[later], places[later])]
+            # what is settled passes through any shard
+            rows += [(uid % self.shards, doc_id, uid, block, None, None, None, None) for doc_id, uid, block in _by_row(docs[later], uids[later], places[later])]
             shard = (keys[lead] % np.uint64(self.shards)).astype(np.int64)
             by_shard = np.lexsort((places[lead], docs[lead], shard))  # documents in runs, which compress
             for some in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
                 k = lead[some]
-                rows.append((1, int(shard[some[0]]), None, None, places[k].tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), uids[k].tobytes()))
+                rows.append((int(shard[some[0]]), None, None, places[k].tobytes(), keys[k].tobytes(), checks[k].tobytes(), docs[k].tobytes(), uids[k].tobytes()))
         return _record_batch(rows, _WINDOWS)
 
 
@@ -225,11 +227,14 @@ def _by_row(docs: np.ndarray, uids: np.ndarray, places: np.ndarray) -> list[tupl
 
 
 def _settle_shard(table: pa.Table) -> pa.Table:
+    is_settled = table.column("uid").is_valid()
+    done, table = table.filter(is_settled).select(["doc_id", "uid", "places"]), table.filter(pc.invert(is_settled))
     unpack = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
     keys, checks, docs, uids, places = (unpack(*x) for x in (("keys", "<u8"), ("checks", "<u8"), ("docs", "<i8"), ("uids", "<i8"), ("places", "<i4")))
     order, _, later = _settled(keys, checks, docs, places)
     rows = _by_row(docs[order][later], uids[order][later], places[order][later])
-    return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "uid": pa.array([r[1] for r in rows], pa.int64()), "places": pa.array([r[2] for r in rows], pa.binary())})
+    late = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "uid": pa.array([r[1] for r in rows], pa.int64()), "places": pa.array([r[2] for r in rows], pa.binary())})
+    return pa.concat_tables([done.cast(late.schema), late])
 
 
 def _windows(shards: int, window: int, phrase: int):
@@ -265,13 +270,21 @@ def _uid(docs: DataFrame) -> tuple[Column, Column]:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")
 
 
-def _packed_text(rows: DataFrame) -> DataFrame:
-    """rows with the text (the last column) compressed, as a binary body, which halves what joins shuffle."""
+def _packed_text(rows: DataFrame, once: bool = False) -> DataFrame:
+    """rows with the text (the last column) compressed, as a binary body, which halves what joins shuffle.
+
+    once: a task sends rows that agree in all columns (but the text, which uid names) one time.
+    """
     schema = StructType([f for f in rows.schema if f.name != "text"]).add("body", "binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for part in slices(batches):
+            if once:
+                names = list(zip(*(c.to_pylist() for c in part.columns[:-1]), strict=True))
+                new = [i for i, name in enumerate(names) if not (name in seen or seen.add(name))]
+                part = part if len(new) == len(names) else part.take(pa.array(new, pa.int64()))
             bodies = [None if t is None else _packed(t.encode("utf-8", "surrogatepass")) for t in part.column(part.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(part.columns[:-1], arrow, strict=False)), pa.array(bodies, pa.binary())], schema=arrow)
 
@@ -283,15 +296,14 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataF
     size = input_bytes(docs)
     shards = max(LEAST_SHARDS, -(-size // SHARD_BYTES))
     uid = _uid(docs)
-    texts = docs.select(*uid, F.coalesce("text", F.lit("")).alias("text")).withColumn("unit", F.pmod("uid", F.lit(max(LEAST_SHARDS, -(-size // UNIT_BYTES)))))
+    # copies of a text are spread over units by their ids
+    texts = docs.select(*uid, F.coalesce("text", F.lit("")).alias("text")).withColumn("unit", F.pmod(F.xxhash64("doc_id", "uid"), F.lit(max(LEAST_SHARDS, -(-size // UNIT_BYTES)))))
     phrases = texts.select("unit", "text").mapInArrow(_send_phrases(shards, window, phrase), _PHRASES).groupBy("shard").applyInArrow(_confirm, "unit long, body binary")
-    held = _packed_text(texts.select("unit", F.lit(True).alias("is_doc"), "doc_id", "uid", "text"))
+    held = _packed_text(texts.select("unit", F.lit(True).alias("is_doc"), "doc_id", "uid", "text"), once=True)
     none = F.lit(None).cast("long")
     streamed = held.unionByName(phrases.select("unit", F.lit(False).alias("is_doc"), none.alias("doc_id"), none.alias("uid"), "body"))
     streamed = streamed.repartition("unit").sortWithinPartitions("unit", "is_doc")
-    settled = materialize(streamed.mapInArrow(_windows(shards, window, phrase), _WINDOWS), "windows")
-    own = settled.filter("kind = 0").select("doc_id", "uid", "places")
-    late = own.unionByName(settled.filter("kind = 1").groupBy("shard").applyInArrow(_settle_shard, "doc_id long, uid long, places binary"))
+    late = streamed.mapInArrow(_windows(shards, window, phrase), _WINDOWS).groupBy("shard").applyInArrow(_settle_shard, "doc_id long, uid long, places binary")
     return late.groupBy("doc_id", "uid").agg(F.collect_list("places").alias("places"))
 
 
