@@ -38,9 +38,9 @@ from pyspark.sql.types import StructType
 
 from trackmesh.llm.common import arrow_schema, gram_hashes, input_bytes, map_rows, slices, text_words
 
-#: Input bytes (as stored) a shard and a unit; text bytes that a task sends at once; characters of phrases in one automaton; entries that a task settles at once.
-SHARD_BYTES, UNIT_BYTES, SENT_BYTES, AUTOMATON_CHARS, ENTRIES = 4 << 20, 1 << 20, 4 << 20, 1 << 20, 500_000
-LEAST_SHARDS = 16
+#: Input bytes (as stored) a shard of phrases, a shard of windows and a unit; text bytes that a task sends at once; characters of phrases in one automaton; entries that a task settles at once.
+SHARD_BYTES, WINDOW_BYTES, UNIT_BYTES, SENT_BYTES, AUTOMATON_CHARS, ENTRIES = 4 << 20, 24 << 20, 1 << 20, 4 << 20, 1 << 20, 900_000
+LEAST_SHARDS = 64
 _FIRST = -(1 << 63)
 _PHRASES = "shard int, phrases binary, twice binary, n_units binary, units binary"
 _WINDOWS = "shard int, doc_id long, uid long, places binary, keys binary, checks binary, docs binary, uids binary"
@@ -303,7 +303,7 @@ def repeated_starts(docs: DataFrame, window: int = 20, phrase: int = 6) -> DataF
     none = F.lit(None).cast("long")
     streamed = held.unionByName(phrases.select("unit", F.lit(False).alias("is_doc"), none.alias("doc_id"), none.alias("uid"), "body"))
     streamed = streamed.repartition("unit").sortWithinPartitions("unit", "is_doc")
-    late = streamed.mapInArrow(_windows(shards, window, phrase), _WINDOWS).groupBy("shard").applyInArrow(_settle_shard, "doc_id long, uid long, places binary")
+    late = streamed.mapInArrow(_windows(max(LEAST_SHARDS, -(-size // WINDOW_BYTES)), window, phrase), _WINDOWS).groupBy("shard").applyInArrow(_settle_shard, "doc_id long, uid long, places binary")
     return late.groupBy("doc_id", "uid").agg(F.collect_list("places").alias("places"))
 
 
