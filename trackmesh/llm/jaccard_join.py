@@ -7,7 +7,9 @@ and each two parts are one block: so a group of any size is spread over many tas
 of links and the smallest class it is joined to leave the task, so no group is expanded into rows of pairs.
 
 Cases: null or empty text has no n-gram; a text of fewer than n words is one n-gram of all its words. Both kinds join
-only their own copies. Repeated rows are copies. A null doc_id counts as smaller than any other. Empty tables give no row.
+only their own copies. Repeated rows are copies. A group is named by its smallest doc_id, and by null only where none of
+its rows has one. Very long texts are compared whole. Other columns, whatever their names, play no part and are kept by
+keep_first. Empty tables give no row.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, map_rows, materialize, mix64, text_words
@@ -59,49 +61,54 @@ def signatures(grams: np.ndarray, banding: Banding) -> np.ndarray:
     return out
 
 
-def shingles(text: str, n: int) -> tuple[np.ndarray, int, int]:
-    """Sorted distinct n-gram hashes, a hash of the word sequence, and the number of words."""
+def shingles(text: str, n: int) -> tuple[np.ndarray, tuple[int, int], int]:
+    """Sorted distinct n-gram hashes, a 128-bit hash of the word sequence (two signed longs), and the number of words."""
     words = text_words(text)[3]
     if not len(words):
-        return np.zeros(0, np.uint64), 0, 0
-    whole = int(gram_hashes(words, len(words), 0x5BD1E995)[0])
-    grams = np.unique(gram_hashes(words, n)) if len(words) >= n else np.array([whole], np.uint64)
-    return grams, whole, len(words)
+        return np.zeros(0, np.uint64), (0, 0), 0
+    whole = [gram_hashes(words, len(words), salt)[0] for salt in (0x5BD1E995, 0x1B873593)]
+    grams = np.unique(gram_hashes(words, n)) if len(words) >= n else np.array([whole[0]], np.uint64)
+    return grams, (int(whole[0].astype(np.int64)), int(whole[1].astype(np.int64))), len(words)
 
 
-_SIGNED = np.int64
-#: Class keys are broadcast up to this many (longs); beyond it the texts are shuffled to them.
-BROADCAST_ROWS = 500_000
 #: Classes in a part of a bucket; n-grams in a piece of a block's matrix; so many pairs are compared one by one.
 BLOCK, COLUMNS, FEW_PAIRS = 128, 4096, 16
 
 
+def _key() -> Column:
+    """Tells rows of one doc_id but different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def class_bands(docs: DataFrame, n: int, banding: Banding) -> DataFrame:
-    """doc_id, class (hash of the word sequence) and band hashes; no bands for texts under n words."""
+    """doc_id, key, the hash of the word sequence (h1, h2) and band hashes; no bands for texts under n words."""
 
     def per_slice(batch: pa.RecordBatch) -> dict:
-        keys, bands = [], []
-        for text in batch.column(1).to_pylist():
+        h1, h2, bands = [], [], []
+        for text in batch.column(2).to_pylist():
             grams, whole, words = shingles(text, n)
-            keys.append(int(np.uint64(whole).astype(_SIGNED)))
-            bands.append(signatures(grams, banding).astype(_SIGNED) if words >= n else np.zeros(0, _SIGNED))
-        return {"doc_id": batch.column(0), "class": keys, "bands": bands}
+            h1.append(whole[0])
+            h2.append(whole[1])
+            bands.append(signatures(grams, banding).astype(np.int64) if words >= n else np.zeros(0, np.int64))
+        return {"doc_id": batch.column(0), "key": batch.column(1), "h1": h1, "h2": h2, "bands": bands}
 
-    return map_rows(doc_texts(docs), per_slice, "doc_id long, class long, bands array<long>")
+    rows = doc_texts(docs).select("doc_id", _key().alias("key"), "text")
+    return map_rows(rows, per_slice, "doc_id long, key long, h1 long, h2 long, bands array<long>")
 
 
-def _gram_sets(docs: DataFrame, needed: DataFrame, n: int, name: str) -> DataFrame:
-    """(class, grams) of the needed (class, doc_id), where doc_id names one document of the class."""
-    needed = needed.withColumnsRenamed({"class": "_class", "doc_id": "_named"})
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
-    texts = doc_texts(docs).join(needed, F.col("doc_id").eqNullSafe(F.col("_named"))).select("_class", "text")
+def _gram_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """(class, grams) of the needed classes, each of which names one document (doc_id and key) with its words (h1, h2)."""
+    needed = materialize(needed.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "class", "h1", "h2"), "needed")
+    # needed is written, so that its size is known: Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and else shuffles
+    texts = doc_texts(docs).withColumn("key", _key()).join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
 
     def per_slice(batch: pa.RecordBatch) -> dict:
-        got = [(c, g) for c, (g, whole, _) in zip(batch.column(0).to_pylist(), (shingles(t, n) for t in batch.column(1).to_pylist()), strict=True) if int(np.uint64(whole).astype(_SIGNED)) == c]
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        got = [(c, grams) for c, h1, h2, (grams, whole, _) in ((c, h1, h2, shingles(text, n)) for c, h1, h2, text in rows) if whole == (h1, h2)]
         return {"class": [c for c, _ in got], "grams": [g.tobytes() for _, g in got]}
 
-    return materialize(map_rows(texts, per_slice, "class long, grams binary").dropDuplicates(["class"]), name)
+    # repeated rows of a class's document give its set again
+    return materialize(map_rows(texts.select("class", "h1", "h2", "text"), per_slice, "class long, grams binary").dropDuplicates(["class"]), "grams")
 
 
 def _in_common(sets: list[np.ndarray]) -> np.ndarray:
@@ -211,22 +218,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = labels.select("class", "component")
 
 
-def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, class), the number of verified links of each linked class (class, n_links), and components of linked classes.
-
-    A class is a hash of a word sequence; an empty text's class is 0.
+def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (doc_id, key, h1, h2), and their classes: class, h1, h2, n_copies, copy_of, first (the row that stands for
+    it), component (the smallest class that verified links lead to) and n_links (verified links to other classes).
     """
     banding = choose_banding(threshold, target_recall)
-    rows = materialize(class_bands(docs, n, banding), "bands")
-    members = rows.select("doc_id", "class")
-    signed = materialize(rows.filter(F.size("bands") > 0).dropDuplicates(["class"]).select("class", "bands"), "signed")
+    rows = materialize(class_bands(docs, n, banding).withColumn("row", F.monotonically_increasing_id()), "bands")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    # a class is named by the number of one of its rows, which the written table keeps
+    classes = materialize(rows.groupBy("h1", "h2").agg(F.min("row").alias("class"), F.count("*").alias("n_copies"), F.min("doc_id").alias("copy_of"), first, F.first("bands").alias("bands")), "classes")
+    signed = classes.filter(F.size("bands") > 0).select("class", "bands")
     met = signed.select("class", F.posexplode("bands").alias("band", "hash"))
     full = met.groupBy("band", "hash").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).filter("n > 1")
     # of buckets with the same classes the one of the first band is enough
     full = full.groupBy("n", "x", "y").agg(F.min(F.struct("band", "hash")).alias("first")).select("first.band", "first.hash", "n")
     buckets = materialize(met.join(full, ["band", "hash"]), "buckets")
-    named = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    sets = _gram_sets(docs, named.join(buckets.select("class").distinct(), "class", "left_semi"), n, "grams")
+    sets = _gram_sets(docs, classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "h1", "h2", "first.doc_id", "first.key"), n)
     # a class is in the blocks of its part of the bucket with every part, so that every pair of a bucket is in one block
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     blocks = buckets.withColumn("own", F.pmod(F.xxhash64("class", F.lit(2)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -236,7 +243,9 @@ def class_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_reca
     # a class's many firsts are joined to the least of them, and the class to that one only: the same components
     joined = found.filter("other is not null").select("class", "other").distinct()
     least = joined.groupBy("class").agg(F.min("other").alias("a"), F.collect_set("other").alias("others")).select("a", F.explode(F.array_union(F.array("class"), "others")).alias("b"))
-    return members, degree, components(materialize(least.filter("a <> b").distinct(), "joined"))
+    labels = components(materialize(least.filter("a <> b").distinct(), "joined"))
+    known = classes.drop("bands").join(labels, "class", "left").join(degree, "class", "left")
+    return rows.select("doc_id", "key", "h1", "h2"), known.withColumn("component", F.coalesce("component", "class")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_recall: float = 0.9999) -> DataFrame:
@@ -244,21 +253,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target_
 
     n_links counts the verified links of its word sequence to other word sequences, n_copies the rows with its own.
     """
-    members, degree, labels = class_links(docs, n, threshold, target_recall)
-    known = members.groupBy("class").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("copy_of")).join(labels, "class", "left").join(degree, "class", "left")
-    known = known.withColumn("component", F.coalesce("component", "class"))
-    # a group's name: the smallest doc_id of its classes; a class alone has its own
-    groups = known.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    known = known.join(groups, "component").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "copy_of")
-    return members.join(known, "class").select("doc_id", "class_id", "n_links", "n_copies", "copy_of")
+    rows, classes = class_links(docs, n, threshold, target_recall)
+    groups = classes.groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    known = classes.join(groups, "component").select("h1", "h2", "class_id", "n_links", "n_copies", "copy_of")
+    return rows.join(known, ["h1", "h2"]).select("doc_id", "class_id", "n_links", "n_copies", "copy_of")
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents without those whose group has a smaller doc_id; of rows with the same doc_id one stays.
-
-    A null doc_id is no order: such rows stay unless their group has a numbered one; of equal texts among them one stays.
-    """
-    groups = near_duplicates(docs, n, threshold)
-    first = groups.filter(F.col("doc_id").isNotNull()).groupBy("class_id").agg(F.min("doc_id").alias("_first")).select("_first").distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """One document of each group: the one of the smallest doc_id (a null comes last; of texts with one doc_id that with
+    the smaller hash). Of rows that repeat it one stays."""
+    _, classes = class_links(docs, n, threshold)
+    first = classes.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_first"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), _key().alias("_key"))
+    kept = rows.join(first, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_first")), "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
