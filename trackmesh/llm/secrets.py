@@ -1,26 +1,29 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean query over trigrams is derived on the driver: every text that matches must
-hold the trigrams of at least one of its conjunctions. The postings of just these trigrams are built from lower-cased
-texts, a conjunction's postings are intersected by counting them per document, and candidates are verified by the rule
-itself. A rule without a mandatory trigram scans every text.
+hold the trigrams of at least one of its conjunctions. The index, a written table, has the posting lists of just these
+trigrams in lower-cased texts, cut into buckets of documents of bounded size. The lists of a conjunction are intersected
+bucket by bucket, and candidates are verified by the rule itself. A rule without a mandatory trigram scans every text.
 
 Places are found with split and regexp_extract_all, which cut the same leftmost non-overlapping matches: a match starts
 after the gaps and matches before it. Places are code points, ends exclusive.
 
-Cases: null text is the empty text and has no span. A null doc_id is matched null-safely. Rows that repeat a doc_id with
-other texts share candidates, never spans: each row is verified on its own text.
+Cases: null text is the empty text and has no span; redact leaves it null. Null doc_ids share one posting, as do rows
+that repeat a doc_id: they share candidates, never spans, as each row is verified on its own text. Spans that start
+together are in the order of their kinds as listed. Very long texts are scanned whole. Other columns, whatever their
+names, play no part and are kept by redact. Empty tables give no row.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmesh.llm.common import doc_texts, materialize
+from trackmesh.llm.common import doc_texts, input_bytes, materialize
 
 try:  # the parser of re moved in Python 3.11
     from re import _constants as sre
@@ -65,8 +68,8 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 #: Alternatives kept as exact strings while a query is derived; beyond it a part counts as unknown.
 MOST_EXACT = 64
-#: Candidates are broadcast up to this many rows (of a long and an array of a few names); beyond it Spark joins as it sees fit.
-BROADCAST_ROWS = 200_000
+#: Input bytes (as stored) a bucket of posting lists; the doc_id that stands for null in them.
+BUCKET_BYTES, NO_ID = 32 << 20, -(1 << 63)
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
@@ -139,20 +142,31 @@ def _exact_all(parsed) -> list[str] | None:
     return out
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index of the given trigrams: (trigram, doc_id), once each for a row."""
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The inverted index of the given trigrams, written once: (bucket, trigram, doc_ids)."""
+    buckets = max(1, -(-input_bytes(docs) // BUCKET_BYTES))
     low = F.lower("text")
     held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return doc_texts(docs).select("doc_id", F.explode(held).alias("trigram"))
+    postings = doc_texts(docs).select(_id().alias("doc_id"), F.explode(held).alias("trigram"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    return materialize(postings.groupBy(bucket, "trigram").agg(F.collect_set("doc_id").alias("doc_ids")), "trigram-index")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id and the kinds whose posting lists meet in it, of the rules that have mandatory trigrams."""
+    lists = index.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "doc_ids"))).alias("lists"))  # at most all trigrams of the rules
+    none = F.array().cast("array<bigint>")
 
+    def meet(conjunction: frozenset[str]) -> Column:
+        return reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in sorted(conjunction)])
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and the kinds whose postings meet in it, of the rules that have mandatory trigrams."""
-    queries = [(r.kind, c) for r in rules for c in trigram_query(r.pattern) or []]
-    trigrams = sorted({t for _, c in queries for t in c})
-    index = postings(docs, trigrams).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))  # at most all trigrams of the rules
-    met = [F.when(F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(c))))) == len(c), F.lit(k)) for k, c in queries]
-    return index.select("doc_id", F.array_distinct(F.array_compact(F.array(*met))).alias("kinds")).filter(F.size("kinds") > 0)
+    found = [F.struct(F.lit(r.kind).alias("kind"), reduce(F.array_union, map(meet, query)).alias("ids")) for r in rules if (query := trigram_query(r.pattern))]
+    each = lists.select(F.explode(F.array(*found)).alias("found")).select("found.kind", F.explode("found.ids").alias("doc_id"))
+    return each.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _places(text: Column, rule: Rule) -> Column:
@@ -183,12 +197,12 @@ def _merge_places(parts: list[Column], rules: tuple[Rule, ...]) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The kept columns of docs and spans: array<struct<start, rank, end, kind>> in the order of start, then kind as listed."""
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    found = materialize(candidates(docs, rules), "secret-candidates").withColumnRenamed("doc_id", "_candidate")
-    if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
+    trigrams = sorted({t for r in indexed for c in trigram_query(r.pattern) for t in c})
+    # written, so that its size is known: Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and else shuffles
+    found = materialize(candidates(trigram_index(docs, trigrams), rules), "secret-candidates").withColumnRenamed("doc_id", "_candidate")
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in keep], F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.join(found, F.col("_doc").eqNullSafe(F.col("_candidate")), "left")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_in_{c}") for c in keep], _id().alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = rows.join(found, F.col("_doc") == F.col("_candidate"), "left")
     parts = []
     for r in rules:
         if r in indexed:
