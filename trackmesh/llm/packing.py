@@ -7,7 +7,9 @@ merge_partitions partitions are then merged, and what is left at last is laid ou
 of two, which need no padding.
 
 Cases: null or empty text is the end id alone. Repeated rows are packed each on their own. Pieces are exact cuts of a
-document's ids; no id is dropped or repeated. A null doc_id stays null.
+document's ids; no id is dropped or repeated. A null doc_id stays null. A very long text is tokenised whole and cut into
+windows. Of windows that fit equally well, or are equally full, the one opened first is taken. Other columns, whatever
+their names, are left behind. Empty tables give no piece.
 """
 
 from __future__ import annotations
@@ -35,12 +37,17 @@ _MERGED = 1 << 30
 
 
 class TokenizerIds:
-    """A text's ids by the tokenizers library: the splitting pattern's matches, each distinct one by its model."""
+    """A text's ids by the tokenizers library: the splitting pattern's matches, each distinct one by its model.
+
+    A text that holds one of the vocabulary's added tokens is left to the library as a whole, which cuts it there.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path).model
+        self._library = Tokenizer.from_file(path)
+        self._model = self._library.model
+        self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._pattern = regex.compile(pattern)
         # how a byte-level vocabulary writes bytes: printable Latin-1 as itself, the others from code point 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,6 +60,8 @@ class TokenizerIds:
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if any(a in text for a in self._added):
+            return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(text) <= RUN:
             return b"".join(map(self._memo.__getitem__, self._pattern.findall(text)))
         return b"".join(self._memo[m.group()] for m in self._pattern.finditer(text))
