@@ -7,14 +7,16 @@ The document's language is the one that labels most letters.
 Trained on at most `most_docs` documents a language, chosen by a hash of their ids, from rows that are not held out and
 have a language; the trigram counts are summed on the executors, a fixed number of vectors in all.
 
-Cases: null text, or text without a letter, is 'und' with score 0. Without training rows all text is 'und'. Equal texts
-get equal predictions. Words without a letter take the language around them. Whole texts are labelled, in memory
-linear in their words.
+Cases: null text, or text without a letter (str.isalpha), is 'und' with score 0. Without training rows, as in an empty
+table, all text is 'und'. Equal texts get equal predictions. Of languages with equally many letters the first by name is
+taken, and a path switches only where that gains. Words without a letter take the language around them. Very long texts
+are labelled whole, in memory linear in their words. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,18 @@ _RANGES = (
 )
 _STARTS = np.array([a for a, _ in _RANGES], np.uint32)
 _SCRIPT_OF = np.array([s for _, s in _RANGES], np.int8)
-_LOW_SCRIPTS = _SCRIPT_OF[np.searchsorted(_STARTS, np.arange(0x250, dtype=np.uint32), "right") - 1]
+_OTHER = SCRIPTS.index("other")
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """The script of each code point, 0 for all but letters, and its lower case where that is one character."""
+    every = [chr(c) for c in range(0x110000)]
+    script = _SCRIPT_OF[np.searchsorted(_STARTS, np.arange(len(every), dtype=np.uint32), "right") - 1]
+    script = np.where(np.fromiter(map(str.isalpha, every), bool, len(every)), np.where(script == 0, _OTHER, script), 0).astype(np.int8)
+    low = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every), np.uint32, len(every))
+    return script, low
+
 
 @dataclass(frozen=True)
 class LangConfig:
@@ -69,16 +82,11 @@ class Words:
 def split_words(text: str) -> Words:
     """Words between white space (ASCII and ideographic), scripts, and hashed trigrams of the lower-cased letters."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    low = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    if len(low) != len(codes):  # a character with a longer lower case: leave all of it as it is
-        low = codes
     if not len(codes):
         none = np.zeros(0, np.int64)
         return Words(codes, none, none, none, none, none)
-    script = _LOW_SCRIPTS[np.minimum(codes, 0x24F)].copy()
-    high = np.flatnonzero(codes >= 0x250)
-    if len(high):
-        script[high] = _SCRIPT_OF[np.searchsorted(_STARTS, codes[high], "right") - 1]
+    scripts, lower = _characters()
+    script, low = scripts[codes], lower[codes]
     space = (codes <= 32) & ((codes == 32) | (codes >= 9) & (codes <= 13)) | (codes == 0x3000)
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -122,12 +130,14 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
         return np.zeros(n, np.int64)
     total = scores.sum(axis=0, dtype=np.float64)
     best = int(total.argmax())
-    # No run of words favours another label by more than a switch costs: the best path is the best single label.
-    gain = np.cumsum(scores.astype(np.float64) - scores[:, [best]].astype(np.float64), axis=0)
+    # The best path is the best single label if no run of words favours another label by more than a switch costs, and if
+    # paths without the best label, which switch once less than they have runs, cannot gain a switch over it in all.
+    over = scores.astype(np.float64) - scores[:, [best]].astype(np.float64)
+    gain = np.cumsum(over, axis=0)
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, k)), gain[:-1])), axis=0)
-    if float((gain - low).max()) <= penalty:
+    if float((gain - low).max()) <= penalty and float(np.delete(over, best, axis=1).max(axis=1).sum()) <= penalty:
         return np.full(n, best, np.int64)
-    path, value = np.empty((n, k), np.int8), scores[0].astype(np.float64).tolist()
+    path, value = np.empty((n, k), np.int32), scores[0].astype(np.float64).tolist()
     labels = range(k)
     for i, row in enumerate(scores[1:].tolist(), 1):
         lead = max(labels, key=value.__getitem__)
@@ -161,7 +171,7 @@ def identify(text: str, model: LangModel, config: LangConfig = LangConfig()) ->
         return UNKNOWN, 0.0, []
     words, _, labels = label_words(text, model, config)
     if not words.letters.sum():
-        return (UNKNOWN, 0.0, []) if not any(map(str.isalpha, text)) else (model.langs[0], 0.0, [])
+        return UNKNOWN, 0.0, []
     weight = np.bincount(labels, words.letters, len(model.langs))
     best = int(weight.argmax())
     cut = np.flatnonzero(np.concatenate(([True], labels[1:] != labels[:-1])))
