@@ -1,6 +1,7 @@
 """Each operator on awkward tables, against brute force or an exact round trip, and on the small driver tables."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -195,6 +196,50 @@ def test_near_duplicates(spark, awkward):
     assert 6 not in kept and 7 not in kept and {5, 8, 13, None} <= kept
 
 
+def test_one_row_of_each_group_stays(spark):
+    rnd = random.Random(12)
+    a, b, c = (sentence(rnd, 60) for _ in range(3))
+    rows = [(None, a, 1), (4, a, 2), (4, a, 3), (4, b, 4), (None, b + " more", 5), (None, c, 6), (None, c, 7), (None, None, 8), (9, "", 9), (None, "few words", 10), (3, a.replace(".", " end"), 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_key` int")
+    kept = jaccard_join.keep_first(df)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # groups: the a texts (3 is first), the b texts (4 before a null), c, the empty ones, the short one
+    assert got == sorted([(3, rows[10][1]), (4, b), (None, c), (9, ""), (None, "few words")], key=repr)
+    assert kept.columns == df.columns
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
+def test_pair_recall(spark, table):
+    docs = spark.read.parquet(f"/root/testdata/{table}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        if len(w) >= 5:
+            sets[tuple(w)] = frozenset(hash(tuple(w[i : i + 5])) for i in range(len(w) - 4))
+    holders = defaultdict(list)
+    for i, grams in enumerate(sets.values()):
+        for gram in grams:
+            holders[gram].append(i)
+    common, sizes = Counter(), list(map(len, sets.values()))
+    for some in holders.values():
+        common.update((a, b) for i, a in enumerate(some) for b in some[i + 1 :])
+    pairs = sum(n >= 0.8 * (sizes[a] + sizes[b] - n) for (a, b), n in common.items())
+    _, classes = jaccard_join.class_links(docs)
+    found = classes.agg(F.sum("n_links")).first()[0] / 2
+    assert 0 < pairs >= found >= 0.99 * pairs
+
+
+def test_joins_by_shuffle_give_the_same(spark, awkward):
+    df, _ = awkward
+    want = sorted(map(repr, jaccard_join.near_duplicates(df).collect() + secrets.secret_digest(df).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(repr, jaccard_join.near_duplicates(df).collect() + secrets.secret_digest(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_links_are_all_verified_pairs(spark, monkeypatch):
     rnd = random.Random(11)
     base = sentence(rnd, 150).split()
@@ -252,13 +297,15 @@ def test_quality_rules(awkward):
     assert "contact" not in clean[15].text and clean[5].text == rows[4][1] and list(clean[5].asDict()) == df.columns
 
 
-def test_packing(awkward):
+def test_packing(spark, awkward):
     from tokenizers import Tokenizer
 
     path, pattern = vocabulary(TOKENIZER)
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     df, rows = awkward
+    end = "<|endoftext|>"
+    more = [(200 + i, t, None, None, None, None, None, None, None) for i, t in enumerate((f"{end}start", f"in {end} the middle", f"at the {end}", end * 2, f" {end}\n {end[:-1]} é"))]
+    df, rows = df.unionByName(spark.createDataFrame(more, SCHEMA)), rows + more
     pieces = packing.pack(df, path, pattern).collect()
     sequences = defaultdict(list)
     want = Counter()
@@ -319,6 +366,29 @@ def test_factor_identity():
     assert machine.raw(ids, x, np.array([0]))[0][0] == pytest.approx(0.3 + machine.weights[ids] @ x + pairs)
 
 
+def test_viterbi_against_every_path():
+    rng = np.random.default_rng(4)
+    for case in range(400):
+        n, k = int(rng.integers(1, 7)), int(rng.integers(1, 4))
+        scores = np.round(rng.normal(size=(n, k)) * rng.choice([1, 6, 12]))
+        paths = list(itertools.product(range(k), repeat=n))
+        value = lambda p: sum(scores[i, j] for i, j in enumerate(p)) - 12 * sum(a != b for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        assert value(language_spans.viterbi(scores, 12.0).tolist()) == max(map(value, paths))
+    between = np.array([[-4, 0, -10]] * 3 + [[-4, -10, 0]] * 3, float)
+    assert language_spans.viterbi(between, 12.0).tolist() == [1, 1, 1, 2, 2, 2]
+    many = np.zeros((3, 300))
+    many[:, 299] = 1
+    assert language_spans.viterbi(many, 0.5).tolist() == [299] * 3
+
+
+def test_letters_and_cases():
+    model = language_spans.LangModel(["a", "b"], np.zeros((1 << language_spans.BITS, 2), np.float32), np.ones((len(language_spans.SCRIPTS), 2), bool))
+    assert language_spans.identify("\U0001D7D8\U0001D7D9", model)[0] == "und" == language_spans.identify("١٢٣ 🙂 ½", model)[0]
+    assert language_spans.identify("\U0001D400", model)[0] != "und" != language_spans.identify("ª", model)[0]
+    plain, odd = language_spans.split_words("ABC word"), language_spans.split_words("ABC word İ")
+    assert (plain.grams[:7] == odd.grams[:7]).all() and (plain.grams[:3] == language_spans.split_words("abc").grams).all()
+
+
 def test_mixed_language_spans():
     model = language_spans.LangModel(["a", "b"], np.zeros((1 << language_spans.BITS, 2), np.float32), np.ones((len(language_spans.SCRIPTS), 2), bool))
     scores = np.array([[5, 0]] * 6 + [[0, 5]] * 6 + [[5, 0]], float)

@@ -199,7 +199,7 @@ class Settler:
             order, lead, later = _settled(keys, checks, docs, places)
             keys, checks, docs, uids, places = (x[order] for x in (keys, checks, docs, uids, places))
             # what is settled passes through any shard
-            rows += [(uid % self.shards, doc_id, uid, block, None, None, None, None) for doc_id, uid, block in _by_row(docs[later], uids[later], places[later])]
+            rows += [((doc_id ^ uid) % self.shards, doc_id, uid, block, None, None, None, None) for doc_id, uid, block in _by_row(docs[later], uids[later], places[later])]
             shard = (keys[lead] % np.uint64(self.shards)).astype(np.int64)
             by_shard = np.lexsort((places[lead], docs[lead], shard))  # documents in runs, which compress
             for some in np.split(by_shard, np.flatnonzero(np.diff(shard[by_shard])) + 1):
