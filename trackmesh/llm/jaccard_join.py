@@ -99,8 +99,8 @@ def class_bands(docs: DataFrame, n: int, banding: Banding) -> DataFrame:
 def _gram_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(class, grams) of the needed classes, each of which names one document (doc_id and key) with its words (h1, h2)."""
     needed = materialize(needed.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "class", "h1", "h2"), "needed")
-    # needed is written, so that its size is known: Spark broadcasts it below spark.sql.autoBroadcastJoinThreshold and else shuffles
-    texts = doc_texts(docs).withColumn("key", _key()).join(needed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
+    # texts go to the needed classes' partitions, whose names are hashed there: the same plan at any size
+    texts = doc_texts(docs).withColumn("key", _key()).join(needed.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
 
     def per_slice(batch: pa.RecordBatch) -> dict:
         rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
