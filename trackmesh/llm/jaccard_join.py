@@ -71,6 +71,7 @@ def shingles(text: str, n: int) -> tuple[np.ndarray, tuple[int, int], int]:
     return grams, (int(whole[0].astype(np.int64)), int(whole[1].astype(np.int64))), len(words)
 
 
+SPREAD = 16
 #: Classes in a part of a bucket; n-grams in a piece of a block's matrix; so many pairs are compared one by one.
 BLOCK, COLUMNS, FEW_PAIRS = 128, 4096, 16
 
@@ -211,8 +212,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         around = both.join(labels.withColumnsRenamed({"class": "b", "component": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
         step = labels.join(around.withColumnRenamed("a", "class"), "class").select("class", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        jump = step.select(F.col("class").alias("component"), F.col("component").alias("further"))
-        labels = materialize(step.join(jump, "component", "left").select("class", F.coalesce("further", "component").alias("component"), "was"), name)
+        # a group's rows share a component: its label is spread over SPREAD copies, the rows over these
+        named = step.select(F.col("component").alias("class")).distinct()
+        jump = step.join(named, "class", "left_semi").select(F.col("class").alias("component"), F.col("component").alias("further"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+        step = step.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(SPREAD)).cast("int"))
+        labels = materialize(step.join(jump, ["component", "part"], "left").select("class", F.coalesce("further", "component").alias("component"), "was"), name)
         if labels.filter(F.col("component") != F.col("was")).isEmpty():
             return labels.select("class", "component")
         labels = labels.select("class", "component")
