@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackmesh.functions import scalars as s
+from trackmesh.operators import ranks
 from trackmesh.operators.patterns import gaps
 
 INFINITE_SCORE = 100.0
@@ -19,34 +20,63 @@ INFINITE_SCORE = 100.0
 class StatConfig:
     z: float = 2.5
     min_samples: int = 5
-    rare_day: float = 0.05
+    robust: bool = True
+    change_point: float = 8.0
+    by_day: bool = True
+    rare_day: float = 0.08
+
+
+#: The scopes that series are looked at in, and the column that parts them.
+SCOPES = {"global": [], "subject": ["subject_id"], "source": ["source_id"]}
 
 
 def mad(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Median and median absolute deviation by key, in two passes."""
-    med = df.groupBy(*keys).agg(F.median(value).alias("median"))
+    """Median and median absolute deviation by key, in two passes; without keys by rank, so that no task holds all rows."""
     if keys:
+        med = df.groupBy(*keys).agg(F.median(value).alias("median"))
         return df.join(med, keys).groupBy(*keys).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return df.crossJoin(F.broadcast(med)).agg(F.first("median").alias("median"), F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    med = ranks.median(df, value)
+    apart = df.crossJoin(F.broadcast(med)).select(F.abs(F.col(value) - F.col("median")).alias("apart"))
+    return med.crossJoin(ranks.median(apart, "apart").withColumnRenamed("median", "mad"))
 
 
 def _gated(c: Column, n: Column, least: int) -> Column:
     return F.when(n >= least, c)
 
 
-def baseline(series: dict[str, DataFrame], config: StatConfig = StatConfig()) -> DataFrame:
-    """One row: dwell (mean, sd, median, MAD), positive gaps (mean, sd), hours (mean, sd), shares of the seven days."""
-    durations = series["durations"].filter("duration_ns > 0")
-    n = F.count("*")
-    dwell = durations.agg(n.alias("dwell_n"), _gated(F.avg("duration_ns"), n, config.min_samples).alias("dwell_mean"), _gated(F.stddev_pop("duration_ns"), n, config.min_samples).alias("dwell_sd"))
-    spread = mad(durations, "duration_ns", []).select(F.col("median").alias("dwell_median"), F.col("mad").alias("dwell_mad"))
-    gap = gaps(series["timed"].filter("subject_id is not null")).filter("gap_ns > 0").agg(n.alias("gap_n"), _gated(F.avg("gap_ns"), n, config.min_samples).alias("gap_mean"), _gated(F.stddev_pop("gap_ns"), n, config.min_samples).alias("gap_sd"))
+def _subject_gaps(timed: DataFrame, keys: list[str]) -> DataFrame:
+    """Gaps between a subject's events within a scope; those of unknown subject are one series."""
+    return gaps(timed, tuple(dict.fromkeys([*keys, "subject_id"])))
+
+
+def baseline(series: dict[str, DataFrame], config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    """One row (by key): dwell (mean, sd, median, MAD), positive gaps (mean, sd), hours (mean, sd), shares of the seven days.
+
+    Statistics of fewer than min_samples values are null. With keys, rows without any that is known are left out.
+    """
+    keys = keys or []
+    known = lambda df: df.dropna(subset=keys) if keys else df
+    timed, durations = known(series["timed"]), known(series["durations"]).filter("duration_ns > 0")
+    n, least = F.count("*"), config.min_samples
+    gated = lambda c: _gated(c, n, least)
+    dwell = durations.groupBy(*keys).agg(n.alias("dwell_n"), gated(F.avg("duration_ns")).alias("dwell_mean"), gated(F.stddev_pop("duration_ns")).alias("dwell_sd"))
+    spread = mad(durations, "duration_ns", keys).withColumnsRenamed({"median": "_median", "mad": "_mad"})
+    dwell = dwell.join(spread, keys) if keys else dwell.crossJoin(spread)
+    enough = F.col("dwell_n") >= least
+    dwell = dwell.withColumns({"dwell_median": F.when(enough, F.col("_median")), "dwell_mad": F.when(enough, F.col("_mad"))}).drop("_median", "_mad")
+    gap = _subject_gaps(timed, keys).filter("gap_ns > 0").groupBy(*keys).agg(n.alias("gap_n"), gated(F.avg("gap_ns")).alias("gap_mean"), gated(F.stddev_pop("gap_ns")).alias("gap_sd"))
     hour, day = s.hour_of_day(F.col("at_ns")), s.day_of_week(F.col("at_ns"))
-    hours = series["timed"].agg(
-        n.alias("hour_n"), _gated(F.avg(hour), n, config.min_samples).alias("hour_mean"), _gated(F.stddev_pop(hour), n, config.min_samples).alias("hour_sd"),
-        *[F.try_divide(F.count_if(day == d), n).alias(f"day_{d}") for d in range(7)],
-    )
-    return dwell.crossJoin(spread).crossJoin(gap).crossJoin(hours)  # one row each
+    hours = timed.groupBy(*keys).agg(n.alias("hour_n"), gated(F.avg(hour)).alias("hour_mean"), gated(F.stddev_pop(hour)).alias("hour_sd"), *[F.try_divide(F.count_if(day == d), n).alias(f"day_{d}") for d in range(7)])
+    if not keys:
+        return dwell.crossJoin(gap).crossJoin(hours)  # one row each
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("dwell_n", "gap_n", "hour_n")}
+    return dwell.join(gap, keys, "full_outer").join(hours, keys, "full_outer").withColumns(counts).filter(F.greatest(*counts) >= least)
+
+
+def _against(rows: DataFrame, base: DataFrame, keys: list[str], need: str) -> DataFrame:
+    """rows beside their baseline, where it has what is needed."""
+    base = base.filter(F.col(need).isNotNull())
+    return rows.join(base, keys) if keys else rows.crossJoin(F.broadcast(base))  # one row
 
 
 def _events(df: DataFrame, reason: str, score: Column, steps=s.Z_STEPS, subject="subject_id", source="source_id", at="at_ns") -> DataFrame:
@@ -55,120 +85,165 @@ def _events(df: DataFrame, reason: str, score: Column, steps=s.Z_STEPS, subject=
     return df.select(F.lit(reason).alias("reason"), col(subject).alias("subject_id"), col(source).alias("source_id"), col(at).alias("at_ns"), score.cast("double").alias("score"), s.severity(score, steps).alias("severity"))
 
 
-def detect_dwell(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    rows = durations.crossJoin(F.broadcast(base)).withColumn("z", s.z_score(F.col("duration_ns"), F.col("dwell_mean"), F.col("dwell_sd")))
-    return _events(rows.filter(F.col("z") >= config.z), "unusual_dwell", F.col("z"))
+def _over(rows: DataFrame, reason: str, z: Column, least: float, **places) -> DataFrame:
+    return _events(rows.withColumn("z", z).filter(F.col("z") >= least), reason, F.col("z"), **places)
+
 
+def detect_dwell(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    rows = _against(durations, base, keys or [], "dwell_mean")
+    return _over(rows, "unusual_dwell", s.z_score(F.col("duration_ns"), F.col("dwell_mean"), F.col("dwell_sd")), config.z)
 
-def detect_robust_dwell(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    rows = durations.crossJoin(F.broadcast(base)).withColumn("z", s.robust_z(F.col("duration_ns"), F.col("dwell_median"), F.col("dwell_mad")))
-    return _events(rows.filter(F.col("z") >= config.z), "robust_dwell", F.col("z"))
 
+def detect_robust_dwell(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    rows = _against(durations, base, keys or [], "dwell_mad")
+    return _over(rows, "robust_dwell", s.robust_z(F.col("duration_ns"), F.col("dwell_median"), F.col("dwell_mad")), config.z)
 
-def detect_frequency(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
+
+def detect_frequency(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
     """Every gap, those of zero too."""
-    rows = gaps(timed.filter("subject_id is not null")).crossJoin(F.broadcast(base)).withColumn("z", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")))
-    return _events(rows.filter(F.col("z") >= config.z), "unusual_frequency", F.col("z"))
+    rows = _against(_subject_gaps(timed, keys or []), base, keys or [], "gap_mean")
+    return _over(rows, "unusual_frequency", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")), config.z)
+
+
+def detect_time(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    rows = _against(timed, base, keys or [], "hour_mean")
+    return _over(rows, "unusual_time", F.try_divide(s.hour_delta(s.hour_of_day(F.col("at_ns")).cast("double"), F.col("hour_mean")), F.greatest(F.col("hour_sd"), F.lit(0.5))), config.z)
 
 
-def detect_time(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    rows = timed.crossJoin(F.broadcast(base)).withColumn("z", F.try_divide(s.hour_delta(s.hour_of_day(F.col("at_ns")).cast("double"), F.col("hour_mean")), F.greatest(F.col("hour_sd"), F.lit(0.5))))
-    return _events(rows.filter(F.col("z") >= config.z), "unusual_time", F.col("z"))
+def _last_gap(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    by = list(dict.fromkeys([*keys, "subject_id"]))
+    return rows.groupBy(*by).agg(F.max_by("gap_ns", F.struct("at_ns", "event_id")).alias("gap_ns"), F.max("at_ns").alias("at_ns"), *more)
 
 
-def detect_missing(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
+def detect_missing(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
     """A subject's last gap, if it is longer than usual."""
-    last = gaps(timed.filter("subject_id is not null")).groupBy("subject_id").agg(F.max_by("gap_ns", F.struct("at_ns", "event_id")).alias("gap_ns"), F.max("at_ns").alias("at_ns"))
-    rows = last.crossJoin(F.broadcast(base)).withColumn("z", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")))
-    return _events(rows.filter((F.col("gap_ns") > F.col("gap_mean")) & (F.col("z") >= config.z)), "missing_expected", F.col("z"), source=None)
+    rows = _against(_last_gap(_subject_gaps(timed, keys or []), keys or []), base, keys or [], "gap_mean").filter("gap_ns > gap_mean")
+    return _over(rows, "missing_expected", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")), config.z, source=None)
 
 
-def detect_own_gaps(timed: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    """A subject's last gap against its own median and MAD."""
-    g = gaps(timed.filter("subject_id is not null")).filter("gap_ns > 0")
-    spread = mad(g, "gap_ns", ["subject_id"])
-    last = g.groupBy("subject_id").agg(F.max_by("gap_ns", F.struct("at_ns", "event_id")).alias("gap_ns"), F.max("at_ns").alias("at_ns"), F.count("*").alias("n"))
-    rows = last.join(spread, "subject_id").filter(F.col("n") >= config.min_samples).withColumn("z", s.robust_z(F.col("gap_ns"), F.col("median"), F.col("mad")))
-    return _events(rows.filter(F.col("z") >= config.z), "own_gap", F.col("z"), source=None)
+def detect_own_gaps(timed: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    """A subject's last positive gap against its own median and MAD."""
+    by = list(dict.fromkeys([*(keys or []), "subject_id"]))
+    g = _subject_gaps(timed, keys or []).filter("gap_ns > 0")
+    med = g.groupBy(*by).agg(F.median("gap_ns").alias("median"))
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
+    apart = g.alias("g").join(med.alias("m"), same).select("g.*", "median", F.abs(F.col("gap_ns") - F.col("median")).alias("apart"))
+    rows = _last_gap(apart, keys or [], F.count("*").alias("n"), F.first("median").alias("median"), F.median("apart").alias("mad")).filter(F.col("n") >= config.min_samples)
+    return _over(rows, "own_gap", s.robust_z(F.col("gap_ns"), F.col("median"), F.col("mad")), config.z, source=None)
 
 
-def detect_sudden_change(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    """The mean of the latest min_samples rows against the baseline."""
-    recent = durations.orderBy(F.desc("at_ns"), F.desc("subject_id"), F.desc("duration_ns")).limit(config.min_samples).agg(F.avg("duration_ns").alias("mean"), F.max("at_ns").alias("at_ns"), F.count("*").alias("n"))
-    rows = recent.filter(F.col("n") >= config.min_samples).crossJoin(base).withColumn("z", s.z_score(F.col("mean"), F.col("dwell_mean"), F.col("dwell_sd")))
-    return _events(rows.filter(F.col("z") >= config.z), "sudden_change", F.col("z"), subject=None, source=None)
+def detect_sudden_change(durations: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    """The mean of the latest min_samples rows against the baseline; the event is the latest row's."""
+    keys, order = keys or [], ["at_ns", "subject_id", "duration_ns"]
+    if keys:
+        latest = durations.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*map(F.desc, order)))).filter(F.col("_n") <= config.min_samples)
+    else:
+        latest = durations.orderBy(*map(F.desc, order)).limit(config.min_samples)
+    last = F.max(F.struct(*order)).alias("last")
+    recent = latest.groupBy(*keys).agg(F.avg("duration_ns").alias("mean"), last, F.count("*").alias("n")).filter(F.col("n") >= config.min_samples)
+    rows = _against(recent, base, keys, "dwell_mean").select("mean", "dwell_mean", "dwell_sd", "last.subject_id", "last.at_ns")
+    return _over(rows, "sudden_change", s.z_score(F.col("mean"), F.col("dwell_mean"), F.col("dwell_sd")), config.z, source=None)
 
 
-def detect_day(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
+def detect_day(timed: DataFrame, base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
     """Events on days of the week that are rare in the baseline."""
     shares = F.array(*[F.col(f"day_{d}") for d in range(7)])
-    rows = timed.crossJoin(F.broadcast(base)).filter(F.col("hour_n") >= 2 * config.min_samples).withColumn("f", F.element_at(shares, s.day_of_week(F.col("at_ns")) + 1))
-    rows = rows.withColumn("score", F.least(F.lit(10.0), F.lit(0.5) / (F.col("f") + 1e-3)))
-    return _events(rows.filter((F.col("f") <= config.rare_day) & (F.col("score") >= config.z / 2)), "unusual_day", F.col("score"))
+    rows = _against(timed, base, keys or [], "hour_n").filter(F.col("hour_n") >= 2 * config.min_samples).withColumn("f", F.element_at(shares, s.day_of_week(F.col("at_ns")) + 1))
+    return _over(rows.filter(F.col("f") <= config.rare_day), "unusual_day", F.least(F.lit(10.0), F.lit(0.5) / (F.col("f") + 1e-3)), config.z / 2)
+
+
+def _split_score(k: Column, left: Column, total: Column, n: Column) -> Column:
+    mean, r = total / n, n - k
+    return F.abs(left / k - mean) * F.sqrt(k.cast("double")) + F.abs(F.try_divide(total - left, r) - mean) * F.sqrt(r.cast("double"))
 
 
 def change_points(values: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """The split of each series (four values at least) with the largest weighted departure of both sides' means; the first of equals."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    run, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*keys)
-    rows = values.select(*keys, F.row_number().over(w).alias("k"), F.sum(value).over(run).alias("left"), F.sum(value).over(whole).alias("total"), F.count("*").over(whole).alias("n"))
-    mean = F.col("total") / F.col("n")
-    k, r = F.col("k"), F.col("n") - F.col("k")
-    score = F.abs(F.col("left") / k - mean) * F.sqrt(k.cast("double")) + F.abs(F.try_divide(F.col("total") - F.col("left"), r) - mean) * F.sqrt(r.cast("double"))
-    rows = rows.filter("n >= 4 and k < n").withColumn("score", score)
-    return rows.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("k")).alias("early"))).alias("top")).select(*keys, (-F.col("top.early")).cast("long").alias("split"), F.col("top.score").alias("score"))
-
-
-def detect_statistical(series: dict[str, DataFrame], base: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    """All statistical detectors on live data."""
-    timed, durations = series["timed"], series["durations"]
-    found = [
-        detect_dwell(durations, base, config), detect_robust_dwell(durations, base, config), detect_frequency(timed, base, config), detect_time(timed, base, config),
-        detect_missing(timed, base, config), detect_own_gaps(timed, config), detect_sudden_change(durations, base, config), detect_day(timed, base, config),
-    ]
+    """The split of each series (four values at least) with the largest weighted departure of both sides' means; the first
+    of equals. Without keys the whole table is one series, whose sums run over ranges of the first column of order."""
+    rows = values.withColumn("_one", F.lit(1).cast("long"))
+    sums = {"k": "_one", "left": value}
+    if keys:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        whole = W.partitionBy(*keys)
+        rows = rows.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).withColumns({"total": F.sum(value).over(whole), "n": F.count("*").over(whole)})
+    else:
+        totals = rows.agg(F.sum(value).alias("total"), F.count("*").alias("n"))
+        rows = ranks.running(rows, order[0], order[1:], sums).crossJoin(F.broadcast(totals))
+    rows = rows.withColumn("_score", _split_score(F.col("k"), F.col("left"), F.col("total"), F.col("n")))
+    top = F.max(F.when(F.col("k") < F.col("n"), F.struct("_score", (-F.col("k")).alias("early")))).alias("top")
+    found = rows.filter("n >= 4").groupBy(*keys).agg(top).filter("top.early is not null")
+    return found.select(*keys, (-F.col("top.early")).cast("long").alias("split"), F.col("top._score").alias("score"))
+
+
+def detect_change_points(durations: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    """The strongest split of a sequence of stays, if it is strong enough: the event is the first row after it."""
+    keys, order = keys or [], ["at_ns", "subject_id", "duration_ns"]
+    rows = durations.withColumn("_one", F.lit(1).cast("long"))
+    if keys:
+        many = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * config.min_samples).select(*keys)
+        placed = rows.withColumn("place", F.sum("_one").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        found = change_points(durations.join(many, keys, "left_semi"), keys, "duration_ns", order)
+        rows = placed.join(found, keys).filter(F.col("place") == F.col("split") + 1)
+    else:
+        many = durations.agg(F.count("*").alias("n")).filter(F.col("n") >= 2 * config.min_samples)
+        found = change_points(durations, [], "duration_ns", order).crossJoin(many)
+        rows = ranks.running(rows, order[0], order[1:], {"place": "_one"}).crossJoin(F.broadcast(found)).filter(F.col("place") == F.col("split") + 1)
+    return _over(rows, "change_point", F.col("score"), config.change_point, source=None)
+
+
+def detect_statistical(series: dict[str, DataFrame], base: DataFrame, config: StatConfig = StatConfig(), keys: list[str] | None = None) -> DataFrame:
+    """All statistical detectors on live data; with keys, on each key's slice that has a baseline."""
+    keys = keys or []
+    has = (lambda df: df.join(base.select(*keys), keys, "left_semi")) if keys else (lambda df: df)
+    timed, durations = has(series["timed"]), has(series["durations"])
+    found = [detect(durations, base, config, keys) for detect in (detect_dwell, detect_sudden_change)]
+    found += [detect(timed, base, config, keys) for detect in (detect_frequency, detect_time, detect_missing)]
+    if config.robust:
+        found += [detect_robust_dwell(durations, base, config, keys), detect_change_points(durations, config, keys), detect_own_gaps(timed, config, keys)]
+    if config.by_day:
+        found.append(detect_day(timed, base, config, keys))
     return reduce(DataFrame.unionByName, found)
 
 
-def scoped_baselines(timed: DataFrame, durations: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    """Dwell means and deviations for all, each subject, and each source, in one pass over grouping sets."""
-    both = durations.select("subject_id", "source_id", F.col("duration_ns").alias("dwell"), F.lit(None).cast("int").alias("hour"))
-    both = both.unionByName(timed.select("subject_id", "source_id", F.lit(None).cast("long").alias("dwell"), s.hour_of_day(F.col("at_ns")).alias("hour")))
-    found = both.groupingSets([[], ["subject_id"], ["source_id"]], "subject_id", "source_id").agg(
-        F.grouping_id().alias("g"), F.count("dwell").alias("dwell_n"), F.avg("dwell").alias("dwell_mean"), F.stddev_pop("dwell").alias("dwell_sd"), F.count("hour").alias("hour_n"), F.avg("hour").alias("hour_mean"), F.stddev_pop("hour").alias("hour_sd")
-    )
-    scope = F.when(F.col("g") == 3, "global").when(F.col("g") == 1, "subject").otherwise("source")
-    known = (F.col("g") == 3) | ((F.col("g") == 1) & F.col("subject_id").isNotNull()) | ((F.col("g") == 2) & F.col("source_id").isNotNull())
-    return found.filter(known & ((F.col("dwell_n") >= config.min_samples) | (F.col("hour_n") >= config.min_samples))).withColumn("scope", scope).drop("g")
+def scoped_baselines(series: dict[str, DataFrame], config: StatConfig = StatConfig()) -> DataFrame:
+    """The baselines of all, of each subject and of each source, by scope."""
+    null = lambda keys: {c: F.lit(None).cast("long") for c in ("subject_id", "source_id") if c not in keys}
+    parts = [baseline(series, config, keys).withColumns({**null(keys), "scope": F.lit(scope)}) for scope, keys in SCOPES.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolve_baseline(rows: DataFrame, scoped: DataFrame, column: str) -> DataFrame:
     """rows with the narrowest scope's value: of the subject, else of the source, else of all."""
-    pick = lambda scope, key: scoped.filter(F.col("scope") == scope).select(F.col(key).alias("_" + key), F.col(column).alias("_by_" + scope))
+    pick = lambda scope, key: scoped.filter(F.col("scope") == scope).select(F.col(key).alias("_" + key), F.struct(column).alias("_by_" + scope))
     subject, source = pick("subject", "subject_id"), pick("source", "source_id")
-    every = scoped.filter("scope = 'global'").select(F.col(column).alias("_by_global"))
+    every = scoped.filter("scope = 'global'").select(F.struct(column).alias("_by_global"))
     out = rows.join(subject, F.col("subject_id") == F.col("_subject_id"), "left").join(source, F.col("source_id") == F.col("_source_id"), "left").join(F.broadcast(every), how="left")
-    return out.withColumn(column, F.coalesce("_by_subject", "_by_source", "_by_global")).drop("_subject_id", "_source_id", "_by_subject", "_by_source", "_by_global")
-
-
-def detect_scoped(durations: DataFrame, scoped: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
-    """Dwell anomalies under every scope; a row may be found under several, and all are kept."""
-    parts = []
-    for scope, key in (("global", None), ("subject", "subject_id"), ("source", "source_id")):
-        base = scoped.filter((F.col("scope") == scope) & (F.col("dwell_n") >= config.min_samples)).select(F.col(key or "scope").alias("_key"), "dwell_mean", "dwell_sd")
-        rows = durations.join(base, F.col(key) == F.col("_key")) if key else durations.crossJoin(F.broadcast(base))
-        z = s.z_score(F.col("duration_ns"), F.col("dwell_mean"), F.col("dwell_sd"))
-        rows = rows.withColumn("z", z).filter(F.col("z") >= config.z)
-        parts.append(_events(rows, f"unusual_dwell_{scope}", F.col("z")))
+    return out.withColumn(column, F.coalesce("_by_subject", "_by_source", "_by_global")[column]).drop("_subject_id", "_source_id", "_by_subject", "_by_source", "_by_global")
+
+
+def detect_scoped(series: dict[str, DataFrame], scoped: DataFrame, config: StatConfig = StatConfig()) -> DataFrame:
+    """All statistical detectors under every scope; a row may be found under several, and all are kept."""
+    parts = [detect_statistical(series, scoped.filter(F.col("scope") == scope).drop("scope", *({"subject_id", "source_id"} - set(keys))), config, keys).withColumn("scope", F.lit(scope)) for scope, keys in SCOPES.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
 # --- graph ------------------------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class GraphConfig:
+    """Least counts of moves, pairs and routes in the history, and the share up to which one of them is rare."""
+
+    min_hops: int = 8
+    min_pairs: int = 6
+    min_routes: int = 6
+    rare: float = 0.05
+
+
 def camera_hops(timed: DataFrame) -> DataFrame:
-    """Moves of a subject between sources, with the time that they took (above zero)."""
+    """Moves of a subject between sources, with the time that they took (above zero); unknown subjects are one series."""
     w = W.partitionBy("subject_id").orderBy("at_ns", "event_id")
-    rows = timed.filter("subject_id is not null and source_id is not null").select("subject_id", F.lag("source_id").over(w).alias("from_source"), F.col("source_id").alias("to_source"), "at_ns", (F.col("at_ns") - F.lag("at_ns").over(w)).alias("elapsed_ns"))
+    rows = timed.filter("source_id is not null").select("subject_id", F.lag("source_id").over(w).alias("from_source"), F.col("source_id").alias("to_source"), "at_ns", (F.col("at_ns") - F.lag("at_ns").over(w)).alias("elapsed_ns"))
     return rows.filter("from_source is not null and from_source <> to_source and elapsed_ns > 0")
 
 
@@ -177,11 +252,12 @@ def fractions(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).crossJoin(F.broadcast(df.agg(F.count("*").alias("total")))).withColumn("fraction", F.col("n") / F.col("total"))
 
 
-def rare(live: DataFrame, history: DataFrame, keys: list[str], reason: str, least: float = 5.0, subject: str | None = "subject_id", source: str | None = None) -> DataFrame:
-    """Live rows whose key is rare in history: score 1 / (share + 0.001), 20 at most."""
-    rows = live.join(fractions(history, keys).select(*keys, "fraction"), keys, "left")
-    rows = rows.withColumn("score", F.least(F.lit(20.0), F.lit(1.0) / (F.coalesce("fraction", F.lit(0.0)) + 1e-3)))
-    return _events(rows.filter(F.col("score") >= least), reason, F.col("score"), s.GRAPH_STEPS, subject=subject, source=source)
+def rare(live: DataFrame, history: DataFrame, keys: list[str], reason: str, least: int, most: float = 0.05, subject: str | None = "subject_id", source: str | None = None) -> DataFrame:
+    """Live rows whose key has at most a share of `most` in a history of at least `least` rows: score 1 / (share + 0.001), 20 at most."""
+    counts = history.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = history.agg(F.count("*").alias("total")).filter(F.col("total") >= least)
+    rows = live.join(counts, keys, "left").crossJoin(F.broadcast(total)).withColumn("fraction", F.coalesce("n", F.lit(0)) / F.col("total"))
+    return _events(rows.filter(F.col("fraction") <= most), reason, F.least(F.lit(20.0), F.lit(1.0) / (F.col("fraction") + 1e-3)), s.GRAPH_STEPS, subject=subject, source=source)
 
 
 def topology_factor(hops: DataFrame, edges: DataFrame, strict_unknown: bool = True) -> DataFrame:
@@ -195,14 +271,14 @@ def topology_factor(hops: DataFrame, edges: DataFrame, strict_unknown: bool = Tr
     return rows.withColumn("factor", F.when(F.col("from_source") == F.col("to_source"), 1.0).when(F.col("min_travel_ns").isNull(), unknown).when(inside, 1.0).otherwise(0.0))
 
 
-def detect_graph(live: dict[str, DataFrame], history: dict[str, DataFrame], edges: DataFrame, least: float = 5.0) -> DataFrame:
-    """Impossible moves (score 8), else rare ones; rare pairs; rare routes."""
+def detect_graph(live: dict[str, DataFrame], history: dict[str, DataFrame], edges: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """Impossible moves (score 8), else rare ones; rare pairs; rare routes of two zones at least."""
     hops = topology_factor(camera_hops(live["timed"]), edges)
     impossible = _events(hops.filter("factor = 0.0"), "impossible_hop", F.lit(8.0), s.GRAPH_STEPS, source="to_source")
-    possible = rare(hops.filter("factor > 0.0"), camera_hops(history["timed"]), ["from_source", "to_source"], "rare_hop", least, source="to_source")
-    order = lambda df: df.select(F.least("subject_a", "subject_b").alias("subject_id"), F.greatest("subject_a", "subject_b").alias("other"), "at_ns")
-    pairs = rare(order(live["pairs"]), order(history["pairs"]), ["subject_id", "other"], "rare_pair", least)
-    routes = rare(live["routes"], history["routes"], ["zones"], "rare_route", least)
+    possible = rare(hops.filter("factor > 0.0"), camera_hops(history["timed"]), ["from_source", "to_source"], "rare_hop", config.min_hops, config.rare, source="to_source")
+    order = lambda df: df.select(F.col("subject_a").alias("subject_id"), F.least("subject_a", "subject_b").alias("low"), F.greatest("subject_a", "subject_b").alias("high"), "at_ns")
+    pairs = rare(order(live["pairs"]), order(history["pairs"]), ["low", "high"], "rare_pair", config.min_pairs, config.rare)
+    routes = rare(live["routes"].filter(F.size("zones") >= 2), history["routes"], ["zones"], "rare_route", config.min_routes, config.rare)
     return reduce(DataFrame.unionByName, [impossible, possible, pairs, routes])
 
 
@@ -212,11 +288,11 @@ def detect_graph(live: dict[str, DataFrame], history: dict[str, DataFrame], edge
 def far_threshold(scores: DataFrame, target_far: float) -> DataFrame:
     """The score that the target share of normal rows reaches, picked by rank, with the empirical rates.
 
-    Ranks come from counts of distinct scores, so that no task sorts all rows.
+    Ranks come from counts of distinct scores in ranges, so that no task sorts all of them.
     """
     normal = scores.filter("is_normal").groupBy("score").agg(F.count("*").alias("n"))
     total = scores.agg(F.count_if("is_normal").alias("n_normal"), F.count_if(~F.col("is_normal")).alias("n_anomalous"))
-    ranked = normal.withColumn("upto", F.sum("n").over(W.orderBy("score")))  # a row for each distinct score
+    ranked = ranks.running(normal, "score", [], {"upto": "n"})
     place = F.floor((1 - F.lit(target_far)) * (F.col("n_normal") - 1) + 0.5)
     picked = ranked.crossJoin(F.broadcast(total)).filter(F.col("upto") > place).agg(F.min("score").alias("threshold"))
     rows = scores.crossJoin(F.broadcast(picked))
@@ -229,10 +305,10 @@ def score_series(series: dict[str, DataFrame], base: DataFrame) -> DataFrame:
     b = F.broadcast(base)
     dwell = series["durations"].filter("duration_ns > 0").crossJoin(b)
     rows = [
-        dwell.select(F.lit("dwell").alias("kind"), "subject_id", s.z_score(F.col("duration_ns"), F.col("dwell_mean"), F.col("dwell_sd")).alias("score")),
-        dwell.select(F.lit("robust_dwell").alias("kind"), "subject_id", s.robust_z(F.col("duration_ns"), F.col("dwell_median"), F.col("dwell_mad")).alias("score")),
-        gaps(series["timed"].filter("subject_id is not null")).crossJoin(b).select(F.lit("gap").alias("kind"), "subject_id", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")).alias("score")),
-        series["timed"].crossJoin(b).select(F.lit("hour").alias("kind"), "subject_id", F.try_divide(s.hour_delta(s.hour_of_day(F.col("at_ns")).cast("double"), F.col("hour_mean")), F.greatest(F.col("hour_sd"), F.lit(0.5))).alias("score")),
+        dwell.select(F.lit("dwell").alias("kind"), "subject_id", "at_ns", s.z_score(F.col("duration_ns"), F.col("dwell_mean"), F.col("dwell_sd")).alias("score")),
+        dwell.select(F.lit("robust_dwell").alias("kind"), "subject_id", "at_ns", s.robust_z(F.col("duration_ns"), F.col("dwell_median"), F.col("dwell_mad")).alias("score")),
+        gaps(series["timed"]).crossJoin(b).select(F.lit("gap").alias("kind"), "subject_id", "at_ns", s.z_score(F.col("gap_ns"), F.col("gap_mean"), F.col("gap_sd")).alias("score")),
+        series["timed"].crossJoin(b).select(F.lit("hour").alias("kind"), "subject_id", "at_ns", F.try_divide(s.hour_delta(s.hour_of_day(F.col("at_ns")).cast("double"), F.col("hour_mean")), F.greatest(F.col("hour_sd"), F.lit(0.5))).alias("score")),
     ]
     return reduce(DataFrame.unionByName, rows)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackmesh.functions import scalars as s
+from trackmesh.operators import ranks
 
 
 @dataclass(frozen=True)
@@ -77,8 +78,7 @@ def roc(scores: DataFrame) -> DataFrame:
     """(threshold, tpr, fpr, fnr) at each distinct score, by running sums from the top."""
     per = scores.groupBy("score").agg(F.count_if("genuine").alias("p"), F.count_if(~F.col("genuine")).alias("n"))
     total = scores.agg(F.count_if("genuine").alias("all_p"), F.count_if(~F.col("genuine")).alias("all_n"))
-    w = W.orderBy(F.desc("score"))  # a row for each distinct score
-    rows = per.select("score", F.sum("p").over(w).alias("p"), F.sum("n").over(w).alias("n")).crossJoin(F.broadcast(total))
+    rows = ranks.running(per.withColumnsRenamed({"p": "own_p", "n": "own_n"}), "score", [], {"p": "own_p", "n": "own_n"}, descending=True).crossJoin(F.broadcast(total))
     tpr, fpr = F.try_divide("p", "all_p"), F.try_divide("n", "all_n")
     return rows.select(F.col("score").alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"), (1 - tpr).alias("fnr"))
 

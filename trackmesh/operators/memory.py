@@ -28,12 +28,12 @@ def _islands(rows: DataFrame, keys: list[str], order: list[Column], breaks: Colu
 
 
 def zone_stays(samples: DataFrame) -> DataFrame:
-    """Runs of samples of one subject in one zone."""
+    """Runs of samples of one subject in one zone; the source is that of the first."""
     order = [F.col("pts_ns"), F.col("sample_id")]
     w = W.partitionBy("subject_id").orderBy(*order)
     rows = _islands(samples.filter("subject_id is not null"), ["subject_id"], order, ~F.col("zone_id").eqNullSafe(F.lag("zone_id").over(w)) | (F.row_number().over(w) == 1))
-    found = rows.groupBy("subject_id", "_island").agg(F.first("zone_id").alias("zone_id"), F.min("pts_ns").alias("start_ns"), F.max("pts_ns").alias("end_ns"))
-    return found.select("zone_id", "subject_id", "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"))
+    found = rows.groupBy("subject_id", "_island").agg(F.first("zone_id").alias("zone_id"), F.min_by("source_id", F.struct("pts_ns", "sample_id")).alias("source_id"), F.min("pts_ns").alias("start_ns"), F.max("pts_ns").alias("end_ns"))
+    return found.select("zone_id", "subject_id", "source_id", "start_ns", "end_ns", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"))
 
 
 def routes(stays: DataFrame, span_ns: int = 86_400_000_000_000) -> DataFrame:

@@ -19,12 +19,14 @@ from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
 from trackmesh.operators import suppress, tracking
 from trackmesh.plans import tables as t
+from trackmesh.shared import shared_folder, write_once
 from trackmesh.sources import mot_text, package, reports
 from trackmesh.streaming import jobs, machines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_PLAIN: dict[str, str] = {}  # without the tables
 H, D = t.HOUR, t.DAY
 
 
@@ -34,6 +36,7 @@ def query(name: str, sql: str | None = None, *needs: str) -> Callable[[Query], Q
     def add(f: Query) -> Query:
         _QUERIES[name] = f
         if sql is not None:
+            _PLAIN[name] = sql
             _SQL[name] = t.with_tables(sql, *needs) if needs else sql
         return f
 
@@ -216,7 +219,7 @@ def _appearances(spark, d):
 
 @query("zone_stays", "select zone_id, subject_id, start_ns, end_ns, duration_ns from stays", "stays")
 def _(spark, d):
-    return t.zone_stays(spark, d)
+    return t.zone_stays(spark, d).drop("source_id")
 
 
 @query("routes", "select subject_id, array_to_string(zones, '-') as zones, start_ns, end_ns from routes", "routes")
@@ -391,9 +394,24 @@ def _(spark, d):
     return r6(pat.event_before_event(t.series(spark, d)["timed"]).select("subject_id", "tag", "n", "confidence"), "confidence")
 
 
-@query("mine_patterns")
+#: Each miner's own query, and where its rows have the columns that differ.
+_MINERS = {
+    "time_of_day": "null::bigint as subject_b, bucket, n, confidence, bucket as tag", "day_of_week": "null::bigint as subject_b, bucket, n, confidence, bucket as tag",
+    "visit_periodicity": "null::bigint as subject_b, null::bigint as bucket, n, confidence, tag", "expected_absence": "null::bigint as subject_b, null::bigint as bucket, n, confidence, tag",
+    "dwell_distribution": "null::bigint as subject_b, null::bigint as bucket, n, confidence, tag", "route_sequence": "null::bigint as subject_b, null::bigint as bucket, n, confidence, tag",
+    "co_occurrence": "subject_b, null::bigint as bucket, n, confidence, tag", "group_formation": "null::bigint as subject_b, null::bigint as bucket, n, confidence, n as tag",
+    "event_before_event": "null::bigint as subject_b, tag % 65536 as bucket, n, confidence, tag",
+}
+
+
+def _mined(kind: str) -> str:
+    own = _PLAIN[f"mine_{kind}"].replace(", 6)", ", 4)")
+    return f"select '{kind}' as kind, subject_id, {_MINERS[kind]} from ({own})"
+
+
+@query("mine_patterns", " union all ".join(map(_mined, _MINERS)), "timed", "stays", "routes", "co")
 def _(spark, d):
-    return pat.mine_all(t.series(spark, d))
+    return r6(pat.mine_all(t.series(spark, d, shared=True)), "confidence", digits=4)
 
 
 # --- anomalies --------------------------------------------------------------------------------------------------------------
@@ -412,46 +430,83 @@ def _(spark, d):
     return an.mad(t.zone_stays(spark, d), "duration_ns", ["subject_id"])
 
 
-_BASE = f"""{_GAPS}, du as (select * from stays where duration_ns > 0),
-b1 as (select avg(duration_ns) dm, stddev_pop(duration_ns) ds, median(duration_ns) dmed from du), b2 as (select median(abs(duration_ns - dmed)) dmad from du, b1),
-b3 as (select avg(gap_ns) gm, stddev_pop(gap_ns) gs from gp where gap_ns > 0), b4 as (select count(*) hn, avg((at_ns % {D}) // {H}) hm, stddev_pop((at_ns % {D}) // {H}) hs from timed),
-base as (select * from b1, b2, b3, b4)"""
+_Z = "case when {1} > 1e-6 then abs({0}) / {1} when abs({0}) <= 1e-6 then 0 else 'inf'::double end"
+_ROBUST = "case when {1} > 1e-6 then abs({0}) * 0.6745 / {1} when abs({0}) <= 1e-6 then 0 else 'inf'::double end"
+
+
+def _slices(key: str | None) -> str:
+    """The series of a scope, parted by k, and their baselines."""
+    part, known = (key, f"where {key} is not null") if key else ("0", "")
+    return f"""t as (select *, {part} as k, (at_ns % {D}) // {H} as hour, (at_ns // {D}) % 7 as day from timed {known}), d as (select *, {part} as k from durs {known}),
+g as (select *, at_ns - lag(at_ns) over (partition by k, subject_id order by at_ns, event_id) as gap_ns from t),
+b1 as (select k, count(*) dwell_n, avg(duration_ns) dm, stddev_pop(duration_ns) ds, median(duration_ns) dmed from d where duration_ns > 0 group by k),
+b2 as (select k, median(abs(duration_ns - dmed)) dmad from d join b1 using (k) where duration_ns > 0 group by k),
+b3 as (select k, count(*) gap_n, avg(gap_ns) gm, stddev_pop(gap_ns) gs from g where gap_ns > 0 group by k),
+b4 as (select k, count(*) hour_n, avg(hour) hm, stddev_pop(hour) hs from t group by k), b5 as (select k, day, count(*) c from t group by k, day)"""
+
+
+_CUT = "abs(l / p - tot / n) * sqrt(p) + abs((tot - l) / nullif(n - p, 0) - tot / n) * sqrt(n - p)"
+#: Each detector's rows (subject_id, source_id, at_ns, z) over the slices.
+_DETECTORS = {
+    "unusual_dwell": f"select subject_id, source_id, at_ns, {_Z.format('duration_ns - dm', 'ds')} z from d join b1 using (k) where dwell_n >= 5",
+    "robust_dwell": f"select subject_id, source_id, at_ns, {_ROBUST.format('duration_ns - dmed', 'dmad')} z from d join b1 using (k) join b2 using (k) where dwell_n >= 5",
+    "unusual_frequency": f"select subject_id, source_id, at_ns, {_Z.format('gap_ns - gm', 'gs')} z from g join b3 using (k) where gap_ns is not null and gap_n >= 5",
+    "unusual_time": "select subject_id, source_id, at_ns, least(abs(hour - hm), 24 - abs(hour - hm)) / greatest(hs, 0.5) z from t join b4 using (k) where hour_n >= 5",
+    "missing_expected": f"""select subject_id, null::bigint source_id, at_ns, {_Z.format('gap_ns - gm', 'gs')} z from (select k, subject_id, max(at_ns) at_ns, arg_max(gap_ns, (at_ns, event_id)) gap_ns from g where gap_ns is not null group by k, subject_id)
+      join b3 using (k) where gap_n >= 5 and gap_ns > gm""",
+    "own_gap": f"""select subject_id, null::bigint source_id, at_ns, {_ROBUST.format('lg - md', 'mad')} z from (select k, subject_id, count(*) n, any_value(md) md, median(abs(gap_ns - md)) mad, arg_max(gap_ns, (at_ns, event_id)) lg, max(at_ns) at_ns
+      from (select *, median(gap_ns) over (partition by k, subject_id) md from g where gap_ns > 0) group by k, subject_id) where n >= 5""",
+    "sudden_change": f"""select s subject_id, null::bigint source_id, at_ns, {_Z.format('m - dm', 'ds')} z from (select k, avg(duration_ns) m, count(*) n, arg_max(subject_id, (at_ns, subject_id, duration_ns)) s, max(at_ns) at_ns
+      from (select * from d qualify row_number() over (partition by k order by at_ns desc, subject_id desc, duration_ns desc) <= 5) group by k) join b1 using (k) where n >= 5 and dwell_n >= 5""",
+    "change_point": f"""select subject_id, null::bigint source_id, at_ns, z from (select k, arg_max(p, (s, -p)) as split, max(s) z from (select k, p, {_CUT} s from cuts where n >= 10 and p < n) group by k) join cuts using (k) where p = split + 1""",
+    "unusual_day": "select subject_id, source_id, at_ns, least(10, 0.5 / (c / hour_n + 1e-3)) z from t join b4 using (k) join b5 using (k, day) where hour_n >= 10 and c / hour_n <= 0.08",
+}
+_CUTS = """cuts as (select *, row_number() over o p, sum(duration_ns::double) over (partition by k order by at_ns, subject_id, duration_ns rows unbounded preceding) l, sum(duration_ns::double) over (partition by k) tot, count(*) over (partition by k) n
+  from d window o as (partition by k order by at_ns, subject_id, duration_ns))"""
+_SEVERITY = "case when z >= {2} then 'critical' when z >= {1} then 'high' when z >= {0} then 'medium' else 'low' end as severity"
+#: Scores of change points are in nanoseconds.
+_SHOWN = "case when z > 1e6 then case when z = 'inf'::double then 100 else round(z / 1e12, 3) end else round(z, 4) end as score"
+
+
+def _found(names, z: float, key: str | None = None) -> str:
+    """The events of some detectors in a scope."""
+    least = lambda name: {"unusual_day": z / 2, "change_point": 8.0}.get(name, z)
+    rows = " union all ".join(f"select '{n}' as reason, subject_id, source_id, at_ns, z from ({_DETECTORS[n]}) where z >= {least(n)}" for n in names)
+    return f"with {_slices(key)}, {_CUTS}, ev as ({rows}) select reason, subject_id, source_id, at_ns, {_SHOWN}, {_SEVERITY.format(3.5, 4.5, 6)} from ev"
+
+
+def _shown(events: DataFrame) -> DataFrame:
+    z = F.col("score")
+    return events.withColumn("score", F.when(z > 1e6, F.round(z / 1e12, 3)).otherwise(F.round(z, 4)))
 
 
 def _base(spark, d):
     return an.baseline(t.series(spark, d))
 
 
-@query("baseline_stats", f"with {_BASE} select round(dm / 1e9, 3) as dwell_mean, round(ds / 1e9, 3) as dwell_sd, round(dmed / 1e9, 3) as dwell_median, round(dmad / 1e9, 3) as dwell_mad, round(gm / 1e9, 3) as gap_mean, round(gs / 1e9, 3) as gap_sd, round(hm, 6) as hour_mean, round(hs, 6) as hour_sd from base", "timed", "stays")
+@query("baseline_stats", f"with {_slices(None)} select round(dm / 1e9, 3) as dwell_mean, round(ds / 1e9, 3) as dwell_sd, round(dmed / 1e9, 3) as dwell_median, round(dmad / 1e9, 3) as dwell_mad, round(gm / 1e9, 3) as gap_mean, round(gs / 1e9, 3) as gap_sd, round(hm, 6) as hour_mean, round(hs, 6) as hour_sd from b1, b2, b3, b4", "timed", "durs")
 def _(spark, d):
     b = _base(spark, d)
     return b.select(*[F.round(F.col(c) / 1e9, 3).alias(c) for c in ("dwell_mean", "dwell_sd", "dwell_median", "dwell_mad", "gap_mean", "gap_sd")], *[F.round(c, 6).alias(c) for c in ("hour_mean", "hour_sd")])
 
 
-_Z = "case when {1} > 1e-6 then abs({0}) / {1} when abs({0}) <= 1e-6 then 0 else 'inf'::double end"
-for _name, _f, _src, _sql in (
-    ("detect_dwell", an.detect_dwell, "durations", f"select subject_id, start_ns as at_ns, {_Z.format('duration_ns - dm', 'ds')} z from stays, base"),
-    ("detect_robust_dwell", an.detect_robust_dwell, "durations", "select subject_id, start_ns as at_ns, case when dmad > 1e-6 then abs(duration_ns - dmed) * 0.6745 / dmad else 0 end z from stays, base"),
-    ("detect_frequency", an.detect_frequency, "timed", f"select subject_id, at_ns, {_Z.format('gap_ns - gm', 'gs')} z from gp, base where gap_ns is not null"),
-    ("detect_time_of_day", an.detect_time, "timed", f"select subject_id, at_ns, least(abs((at_ns % {D}) // {H} - hm), 24 - abs((at_ns % {D}) // {H} - hm)) / greatest(hs, 0.5) z from timed, base"),
-    ("detect_missing_expected", an.detect_missing, "timed", f"select subject_id, max(at_ns) at_ns, arg_max({_Z.format('gap_ns - gm', 'gs')}, (at_ns, event_id)) z from gp, base where gap_ns is not null group by subject_id, gm having arg_max(gap_ns, (at_ns, event_id)) > gm"),
-):
-
-    @query(_name, f"with {_BASE}, zz as ({_sql}) select subject_id, at_ns, round(z, 4) as score, case when z >= 6 then 'critical' when z >= 4.5 then 'high' when z >= 3.5 then 'medium' else 'low' end as severity from zz where z >= 1.5", "timed", "stays")
-    def _(spark, d, f=_f, src=_src):
-        found = f(t.series(spark, d)[src], _base(spark, d), an.StatConfig(z=1.5))
-        return r6(found.select("subject_id", "at_ns", "score", "severity"), "score", digits=4)
+for _name, _reason, _f, _src in (
+    ("detect_dwell", "unusual_dwell", an.detect_dwell, "durations"), ("detect_robust_dwell", "robust_dwell", an.detect_robust_dwell, "durations"), ("detect_frequency", "unusual_frequency", an.detect_frequency, "timed"),
+    ("detect_time_of_day", "unusual_time", an.detect_time, "timed"), ("detect_missing_expected", "missing_expected", an.detect_missing, "timed"), ("detect_sudden_change", "sudden_change", an.detect_sudden_change, "durations"),
+    ("detect_day_of_week", "unusual_day", an.detect_day, "timed"), ("detect_own_gaps", "own_gap", lambda rows, _, c: an.detect_own_gaps(rows, c), "timed"),
+    ("detect_change_points", "change_point", lambda rows, _, c: an.detect_change_points(rows, c), "durations"),
+):
 
-
-@query("detect_own_gaps", f"""with {_GAPS}, g as (select *, median(gap_ns) over (partition by subject_id) md from gp where gap_ns > 0), x as (select subject_id, count(*) n, any_value(md) md, median(abs(gap_ns - md)) mad, arg_max(gap_ns, (at_ns, event_id)) lg, max(at_ns) at_ns from g group by subject_id)
-  select subject_id, at_ns, round(abs(lg - md) * 0.6745 / mad, 4) as score from x where n >= 5 and abs(lg - md) * 0.6745 / mad >= 1.5""", "timed")
-def _(spark, d):
-    return r6(an.detect_own_gaps(t.series(spark, d)["timed"], an.StatConfig(z=1.5)).select("subject_id", "at_ns", "score"), "score", digits=4)
+    @query(_name, _found([_reason], 1.5 if _reason != "sudden_change" else 0.01), "timed", "durs")
+    def _(spark, d, f=_f, src=_src, z=1.5 if _reason != "sudden_change" else 0.01):
+        x = t.series(spark, d)
+        return _shown(f(x[src], an.baseline(x), an.StatConfig(z=z)))
 
 
-@query("detect_statistical")
+@query("detect_statistical", _found(_DETECTORS, 2.5), "timed", "durs")
 def _(spark, d):
-    return an.detect_statistical(t.series(spark, d), _base(spark, d))
+    x = t.series(spark, d, shared=True)
+    return _shown(an.detect_statistical(x, an.baseline(x)))
 
 
 @query("change_point_cusum", """with r as (select subject_id, row_number() over w k, sum(duration_ns / 1e9) over (partition by subject_id order by start_ns, zone_id rows unbounded preceding) l, sum(duration_ns / 1e9) over (partition by subject_id) tot, count(*) over (partition by subject_id) n from stays window w as (partition by subject_id order by start_ns, zone_id)),
@@ -462,30 +517,35 @@ def _(spark, d):
     return r6(an.change_points(v, ["subject_id"], "x", ["start_ns", "zone_id"]), "score", digits=2)
 
 
-@query("scoped_baselines", f"""with b as (select subject_id, cast(null as bigint) source_id, duration_ns / 1e9 dw, null::bigint h from stays union all select subject_id, source_id, null, (at_ns % {D}) // {H} from timed),
-  g as (select case when grouping(subject_id) = 1 and grouping(source_id) = 1 then 'global' when grouping(subject_id) = 0 then 'subject' else 'source' end as scope, subject_id, source_id, count(dw) dwell_n, round(avg(dw), 3) dwell_mean, count(h) hour_n, round(avg(h), 6) hour_mean from b group by grouping sets ((), (subject_id), (source_id)))
-  select * from g where (scope = 'global' or (scope = 'subject' and subject_id is not null) or (scope = 'source' and source_id is not null)) and (dwell_n >= 5 or hour_n >= 5)""", "timed", "stays")
+_KEYS = {"global": None, "subject": "subject_id", "source": "source_id"}
+_SCOPED = " union all ".join(
+    f"""select * from (with {_slices(key)} select '{scope}' as scope, {'k' if scope == 'subject' else 'null::bigint'} as subject_id, {'k' if scope == 'source' else 'null::bigint'} as source_id, coalesce(dwell_n, 0) as dwell_n, coalesce(gap_n, 0) as gap_n, coalesce(hour_n, 0) as hour_n,
+  case when dwell_n >= 5 then round(dm / 1e9, 3) end as dwell_mean, case when dwell_n >= 5 then round(dmad / 1e9, 3) end as dwell_mad, case when gap_n >= 5 then round(gs / 1e9, 3) end as gap_sd, case when hour_n >= 5 then round(hm, 6) end as hour_mean
+  from b4 left join b3 using (k) left join b1 using (k) left join b2 using (k) where greatest(coalesce(dwell_n, 0), coalesce(gap_n, 0), hour_n) >= 5)"""
+    for scope, key in _KEYS.items()
+)
+
+
+@query("scoped_baselines", _SCOPED, "timed", "durs")
 def _(spark, d):
-    x = t.series(spark, d)
-    b = an.scoped_baselines(x["timed"], x["durations"])
-    return b.select("scope", "subject_id", "source_id", "dwell_n", F.round(F.col("dwell_mean") / 1e9, 3).alias("dwell_mean"), "hour_n", F.round("hour_mean", 6).alias("hour_mean"))
+    ns = [F.round(F.col(c) / 1e9, 3).alias(c) for c in ("dwell_mean", "dwell_mad", "gap_sd")]
+    return an.scoped_baselines(t.series(spark, d)).select("scope", "subject_id", "source_id", "dwell_n", "gap_n", "hour_n", *ns, F.round("hour_mean", 6).alias("hour_mean"))
 
 
-@query("detect_scoped")
+@query("detect_scoped", " union all ".join(f"select *, '{scope}' as scope from ({_found(_DETECTORS, 2.5, key)})" for scope, key in _KEYS.items()), "timed", "durs")
 def _(spark, d):
-    x = t.series(spark, d)
-    return an.detect_scoped(x["durations"], an.scoped_baselines(x["timed"], x["durations"]))
+    x = t.series(spark, d, shared=True)
+    return _shown(an.detect_scoped(x, write_once(an.scoped_baselines(x), "baselines")))
 
 
 @query("resolve_scoped_baseline", f"""with h as (select subject_id, source_id, (at_ns % {D}) // {H} h from timed), su as (select subject_id, avg(h) v from h where subject_id is not null group by 1 having count(*) >= 5), so as (select source_id, avg(h) v from h group by 1 having count(*) >= 5)
   select event_id, round(coalesce(su.v, so.v, (select avg(h) from h)), 6) as hour_mean from timed left join su using (subject_id) left join so using (source_id)""", "timed")
 def _(spark, d):
     x = t.series(spark, d)
-    scoped = an.scoped_baselines(x["timed"], x["durations"].limit(0))
-    return r6(an.resolve_baseline(x["timed"].select("event_id", "subject_id", "source_id"), scoped, "hour_mean").select("event_id", "hour_mean"), "hour_mean")
+    return r6(an.resolve_baseline(x["timed"].select("event_id", "subject_id", "source_id"), an.scoped_baselines(x), "hour_mean").select("event_id", "hour_mean"), "hour_mean")
 
 
-_HOPS = "hops as (select * from (select subject_id, lag(source_id) over w as from_source, source_id as to_source, at_ns, at_ns - lag(at_ns) over w as elapsed_ns from timed where subject_id is not null window w as (partition by subject_id order by at_ns, event_id)) where from_source is not null and from_source <> to_source and elapsed_ns > 0)"
+_HOPS = "hops as (select * from (select subject_id, lag(source_id) over w as from_source, source_id as to_source, at_ns, at_ns - lag(at_ns) over w as elapsed_ns from timed window w as (partition by subject_id order by at_ns, event_id)) where from_source is not null and from_source <> to_source and elapsed_ns > 0)"
 
 
 @query("camera_hops", f"with {_HOPS} select subject_id, from_source, to_source, at_ns, elapsed_ns from hops", "timed")
@@ -508,16 +568,25 @@ def _(spark, d):
     return an.topology_factor(an.camera_hops(t.series(spark, d)["timed"]), _edges(spark)).select("subject_id", "at_ns", "factor")
 
 
-@query("detect_graph")
+_GRAPH = f"""with {_HOPS}, ed as (select unnest(range(1, 5)) f), fh as (select *, coalesce(elapsed_ns between {H} and {30 * H} and ed.f is not null, false) ok from hops left join ed on ed.f = from_source and to_source = ed.f % 4 + 1),
+  hn as (select from_source, to_source, count(*) / (select count(*) from hops) fr from hops group by 1, 2), pn as (select subject_a, subject_b, count(*) / (select count(*) from co) fr from co group by 1, 2), rn as (select zones, count(*) / (select count(*) from routes) fr from routes group by 1),
+  ev as (select 'impossible_hop' as reason, subject_id, to_source as source_id, at_ns, 8.0::double z from fh where not ok
+    union all select 'rare_hop', subject_id, to_source, at_ns, least(20, 1 / (fr + 1e-3)) from fh join hn using (from_source, to_source) where ok and fr <= 0.05 and (select count(*) from hops) >= 8
+    union all select 'rare_pair', subject_a, null, start_ns, least(20, 1 / (fr + 1e-3)) from co join pn using (subject_a, subject_b) where fr <= 0.05 and (select count(*) from co) >= 6
+    union all select 'rare_route', subject_id, null, start_ns, least(20, 1 / (fr + 1e-3)) from routes join rn using (zones) where len(zones) >= 2 and fr <= 0.05 and (select count(*) from routes) >= 6)
+  select reason, subject_id, source_id, at_ns, round(z, 4) as score, {_SEVERITY.format(3.5, 6, 10)} from ev"""
+
+
+@query("detect_graph", _GRAPH, "timed", "co", "routes")
 def _(spark, d):
-    x = t.series(spark, d)
-    return an.detect_graph(x, x, _edges(spark))
+    x = t.series(spark, d, shared=True)
+    return r6(an.detect_graph(x, x, _edges(spark)), "score", digits=4)
 
 
-@query("detect_rare_routes", "with f as (select zones, count(*) / (select count(*) from routes) fr from routes group by zones) select subject_id, start_ns as at_ns, round(least(20, 1 / (fr + 1e-3)), 4) as score from routes join f using (zones) where least(20, 1 / (fr + 1e-3)) >= 5", "routes")
+@query("detect_rare_routes", "with f as (select zones, count(*) / (select count(*) from routes) fr from routes group by zones) select subject_id, start_ns as at_ns, round(least(20, 1 / (fr + 1e-3)), 4) as score from routes join f using (zones) where fr <= 0.05", "routes")
 def _(spark, d):
     r = t.series(spark, d)["routes"]
-    return r6(an.rare(r, r, ["zones"], "rare_route").select("subject_id", "at_ns", "score"), "score", digits=4)
+    return r6(an.rare(r, r, ["zones"], "rare_route", 6).select("subject_id", "at_ns", "score"), "score", digits=4)
 
 
 @query("far_threshold", """with s as (select l_extendedprice as score, l_returnflag <> 'R' as ok from lineitem), n as (select count(*) filter (where ok) c, count(*) filter (where not ok) a from s),
@@ -528,14 +597,22 @@ def _(spark, d):
     return r6(an.far_threshold(scores, 0.05), "empirical_far", "miss_rate")
 
 
-@query("score_series")
+_SCORED = f"""with {_slices(None)} select 'dwell' as kind, subject_id, at_ns, round({_Z.format('duration_ns - dm', 'ds')}, 4) as score from d, b1 where duration_ns > 0
+  union all select 'robust_dwell', subject_id, at_ns, round({_ROBUST.format('duration_ns - dmed', 'dmad')}, 4) from d, b1, b2 where duration_ns > 0
+  union all select 'gap', subject_id, at_ns, round({_Z.format('gap_ns - gm', 'gs')}, 4) from g, b3 where gap_ns is not null
+  union all select 'hour', subject_id, at_ns, round(least(abs(hour - hm), 24 - abs(hour - hm)) / greatest(hs, 0.5), 4) from t, b4"""
+
+
+@query("score_series", _SCORED, "timed", "durs")
 def _(spark, d):
-    return an.score_series(t.series(spark, d), _base(spark, d))
+    x = t.series(spark, d, shared=True)
+    return r6(an.score_series(x, an.baseline(x)), "score", digits=4)
 
 
-@query("placeholder_detector")
+@query("placeholder_detector", f"with {_slices(None)} select subject_id, at_ns, round(z / (1 + z), 6) as score from (select *, {_Z.format('duration_ns - dm', 'ds')} z from d, b1)", "timed", "durs")
 def _(spark, d):
-    return an.squash_dwell(t.series(spark, d)["durations"], _base(spark, d))
+    x = t.series(spark, d)
+    return r6(an.squash_dwell(x["durations"], an.baseline(x)), "score")
 
 
 # --- geometry ---------------------------------------------------------------------------------------------------------------
@@ -962,7 +1039,7 @@ def _(spark, d):
 
 @query("package_round_trip", "select sample_id, source_id, pts_ns, track_id, subject_id, confidence from audit", "audit")
 def _(spark, d):
-    root = jobs.shared_folder(spark, "package")
+    root = shared_folder(spark, "package")
     package.save(spark, {"samples": t.track_samples(spark, d), "stays": t.zone_stays(spark, d)}, root)
     return package.load(spark, root)["samples"].select("sample_id", "source_id", "pts_ns", "track_id", "subject_id", "confidence")
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackmesh.operators import memory
+from trackmesh.shared import write_once
 
 #: Event types in the order of their ordinals, which serve as classes and zones.
 KINDS = ("click", "error", "purchase", "signup", "view")
@@ -59,14 +60,20 @@ def co_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.co_occurrences(zone_stays(spark, sf_dir), HOUR)
 
 
-def series(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four analysis inputs: timed, durations, routes, pairs."""
-    eff, stays = effective_samples(spark, sf_dir), zone_stays(spark, sf_dir)
+def series(spark: SparkSession, sf_dir: str, shared: bool = False) -> dict[str, DataFrame]:
+    """The four analysis inputs: timed, durations, routes, pairs. shared: samples, stays and pairs are written once, for
+    queries that read them many times."""
+    eff = effective_samples(spark, sf_dir).select("sample_id", "source_id", "pts_ns", "subject_id", "zone_id")
+    eff = write_once(eff, "samples") if shared else eff
+    stays = memory.zone_stays(eff)
+    stays = write_once(stays, "stays") if shared else stays
+    pairs = memory.co_occurrences(stays, HOUR)
+    pairs = write_once(pairs, "pairs") if shared else pairs
     return {
         "timed": eff.select("subject_id", "source_id", F.col("pts_ns").alias("at_ns"), F.col("sample_id").alias("event_id"), F.col("zone_id").cast("long").alias("kind_tag")),
-        "durations": stays.select("subject_id", F.lit(None).cast("long").alias("source_id"), "zone_id", "duration_ns", F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
+        "durations": stays.select("subject_id", "source_id", "zone_id", "duration_ns", F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
         "routes": memory.routes(stays).select("subject_id", "zones", F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
-        "pairs": memory.co_occurrences(stays, HOUR).select("subject_a", "subject_b", F.lit(None).cast("long").alias("source_id"), F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
+        "pairs": pairs.select("subject_a", "subject_b", F.lit(None).cast("long").alias("source_id"), F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
     }
 
 
@@ -97,11 +104,12 @@ SQL = {
     "eff": "select * from audit a where not exists (select 1 from audit b where b.supersedes = a.sample_id)",
     "stay_steps": """select *, case when zone_id is distinct from lag(zone_id) over (partition by subject_id order by pts_ns, sample_id) then 1 else 0 end as fresh from eff where subject_id is not null""",
     "stay_islands": "select *, sum(fresh) over (partition by subject_id order by pts_ns, sample_id) as island from stay_steps",
-    "stays": "select any_value(zone_id) as zone_id, subject_id, min(pts_ns) as start_ns, max(pts_ns) as end_ns, max(pts_ns) - min(pts_ns) as duration_ns from stay_islands group by subject_id, island",
+    "stays": "select any_value(zone_id) as zone_id, subject_id, arg_min(source_id, (pts_ns, sample_id)) as source_id, min(pts_ns) as start_ns, max(pts_ns) as end_ns, max(pts_ns) - min(pts_ns) as duration_ns from stay_islands group by subject_id, island",
     "routes": f"""select subject_id, list(zone_id order by start_ns, zone_id) as zones, min(start_ns) as start_ns, max(end_ns) as end_ns from stays group by subject_id, start_ns // {DAY}""",
     "co": """select a.subject_id as subject_a, b.subject_id as subject_b, a.zone_id, greatest(a.start_ns, b.start_ns) as start_ns, least(a.end_ns, b.end_ns) as end_ns,
   least(a.end_ns, b.end_ns) - greatest(a.start_ns, b.start_ns) as overlap_ns
   from stays a join stays b on a.zone_id = b.zone_id and a.subject_id < b.subject_id and a.start_ns < b.end_ns and b.start_ns < a.end_ns""",
+    "durs": "select subject_id, source_id, duration_ns, start_ns as at_ns from stays",
     "timed": "select subject_id, source_id, pts_ns as at_ns, sample_id as event_id, cast(zone_id as bigint) as kind_tag from eff",
     "dets": """select l_orderkey as frame, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 as bigint) as det_idx,
   cast(l_partkey % 40 as double) as "left", cast(l_suppkey % 30 as double) as top, cast(l_partkey % 40 + 10 + l_linenumber as double) as "right",
@@ -113,7 +121,7 @@ SQL = {
 def with_tables(body: str, *names: str) -> str:
     """A query over the named tables and those that they need."""
     needs = {
-        "audit": (), "eff": ("audit",), "stay_steps": ("eff",), "stay_islands": ("stay_steps",), "stays": ("stay_islands",), "routes": ("stays",), "co": ("stays",), "timed": ("eff",), "dets": (), "emb": (),
+        "audit": (), "eff": ("audit",), "stay_steps": ("eff",), "stay_islands": ("stay_steps",), "stays": ("stay_islands",), "routes": ("stays",), "co": ("stays",), "timed": ("eff",), "durs": ("stays",), "dets": (), "emb": (),
     }
     want: set[str] = set()
 

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmesh.shared import shared_folder
 from trackmesh.streaming import machines as mc
 from trackmesh.streaming.fold import over_stream
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A table's files as a stream, some at a time."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
