@@ -103,9 +103,15 @@ def test_scalars(spark):
 def test_keywords():
     parsed = q.parse_keywords("seen on source 1 and min confidence 0.5 or blah subject 3")
     assert parsed.node[0] == "or" and parsed.warnings == ["unknown word: blah"]
-    assert q.parse_keywords("zone 1 then zone 2").node[1].then == (1, 2, 0)
-    with pytest.raises(ValueError):
-        q.parse_keywords("nothing here")
+    found = q.parse_keywords("find people seen on source 1 and in zone 2")
+    assert found.node == ("and", [("pred", q.SubjectQuery(source_id=1)), ("pred", q.SubjectQuery(zone=2))]) and not found.warnings
+    assert len(q.parse_keywords("subject 5 or subject 7").node[1]) == 2
+    assert q.parse_keywords("then zone 1 then zone 3 within 5000000000").node[1].then == (1, 3, 5_000_000_000)
+    assert q.parse_keywords("route zone 1 2").node[1].route == (1, 2) and q.parse_keywords("confidence >= 0.9").node[1].min_confidence == 0.9
+    assert q.parse_keywords("Subject 4, 5 6").node[1].subject_ids == (4, 5, 6)
+    for wrong in ("   ", "hello world", "then zone 1 then zone 3 within soon", "then zone 1", "route zone", "near box 1 2 3", "min dwell", "during 5", "zone 70000"):
+        with pytest.raises(ValueError):
+            q.parse_keywords(wrong)
 
 
 def test_the_rest_works_without_the_text_subpackage():

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackmesh.functions import scalars as s
 from trackmesh.operators import ranks
+from trackmesh.session import ship
 
 
 @dataclass(frozen=True)
@@ -21,18 +24,103 @@ class ResolveConfig:
     strict_unknown: bool = False
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+#: Vectors of a block: a pair of blocks is one matrix product.
+BLOCK = 512
+_BLOCKS = "dims int, ids binary, groups binary, labels binary, vectors binary"
+
+
+def vector_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (id, group, label, vector: longs and an array) packed into blocks of unit vectors of one length.
+
+    Vectors that are null, empty, not finite or of norm zero have no cosine and are left out. A block never outgrows BLOCK
+    rows, and the norm of a vector is taken once.
+    """
+    packed = rows.select("id", "group", "label", F.col("vector").cast("array<double>").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def out(dims: int, rows: list[tuple]) -> pa.RecordBatch:
+            longs = [np.concatenate([r[i] for r in rows]) for i in range(3)]
+            parts = [(dims, *(x[a : a + BLOCK].tobytes() for x in (*longs, np.concatenate([r[3] for r in rows])))) for a in range(0, len(longs[0]), BLOCK)]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), *(pa.array([p[i] for p in parts], pa.binary()) for i in range(1, 5))], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+        for batch in batches:
+            vectors = batch.column(3)
+            sizes = np.where(np.asarray(vectors.is_valid()), np.diff(vectors.offsets.to_numpy()), 0)
+            firsts, values = vectors.offsets.to_numpy()[:-1], np.asarray(vectors.values.to_numpy(zero_copy_only=False), float)
+            longs = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]]
+            for dims in np.unique(sizes[sizes > 0]).tolist():
+                own = np.flatnonzero(sizes == dims)
+                matrix = values[firsts[own][:, None] + np.arange(dims)]
+                norm = np.sqrt((matrix * matrix).sum(axis=1))
+                good = np.isfinite(norm) & (norm > 0)
+                held.setdefault(dims, []).append((*(x[own[good]] for x in longs), matrix[good] / norm[good, None]))
+                if sum(len(r[0]) for r in held[dims]) >= BLOCK:
+                    yield out(dims, held.pop(dims))
+        for dims, rows in held.items():
+            yield out(dims, rows)
+
+    return packed.mapInArrow(run, _BLOCKS)
+
+
+def _block_pairs(store: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of the store with every block of the stated query set: work is their product, memory that of a pair."""
+    ship(store.sparkSession)
+    asked = vector_blocks(queries).select(*[F.col(c.split()[0]).alias("q_" + c.split()[0]) for c in _BLOCKS.split(", ")])
+    return vector_blocks(store).crossJoin(asked).filter("dims = q_dims")
+
+
+def _unpacked(row: tuple) -> tuple[np.ndarray, ...]:
+    dims, ids, groups, labels, vectors = row
+    return (*(np.frombuffer(x, np.int64) for x in (ids, groups, labels)), np.frombuffer(vectors, float).reshape(-1, dims))
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest vectors of each query (query_id, query) by cosine, then handle.
 
-    The stated query set is broadcast while it has at most most_queries rows; beyond it, it is met in blocks of the store
-    by Spark's own join. Each task keeps its k best per query before the shuffle, so what is shuffled is k rows a task.
+    The stated query set meets the store in blocks, at any size by the same plan; a pair of blocks hands on its k best of
+    each query, whose scores are taken again vector by vector, so that they do not hang on the block.
     """
-    side = F.broadcast(queries) if queries.limit(most_queries + 1).count() <= most_queries else queries
-    hits = store.crossJoin(side).select("query_id", "embedding_ref", s.cosine(F.col("vector"), F.col("query")).alias("score")).filter("score is not null")
-    w = lambda *part: W.partitionBy("query_id", *part).orderBy(F.desc("score"), "embedding_ref")
-    # two steps, so that no query's hits meet in one task before they are cut down
-    part = hits.withColumn("_part", F.pmod(F.xxhash64("embedding_ref"), F.lit(64))).withColumn("_n", F.row_number().over(w("_part"))).filter(F.col("_n") <= k)
-    return part.withColumn("rank", F.row_number().over(w())).filter(F.col("rank") <= k).select("query_id", "embedding_ref", "score", "rank")
+    none = F.lit(0).cast("long")
+    pairs = _block_pairs(
+        store.select(F.col("embedding_ref").alias("id"), none.alias("group"), none.alias("label"), "vector"), queries.select(F.col("query_id").alias("id"), none.alias("group"), none.alias("label"), F.col("query").alias("vector"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, _, _, a = _unpacked(row[:5])
+                asked, _, _, q = _unpacked(row[5:])
+                scores = q @ a.T
+                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -2.0)
+                x, y = np.nonzero(scores >= least[:, None] - 1e-9)  # ties of the last place too
+                yield pa.RecordBatch.from_arrays([pa.array(asked[x]), pa.array(ids[y]), pa.array((q[x] * a[y]).sum(axis=1))], names=["query_id", "embedding_ref", "score"])
+
+    hits = pairs.mapInArrow(run, "query_id long, embedding_ref long, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "embedding_ref")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "embedding_ref", "score", "rank")
+
+
+def best_by_group(store: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, group, label, score): the best cosine of each query with each group and label of the store (group, label, vector)."""
+    none = F.lit(0).cast("long")
+    pairs = _block_pairs(store.select(none.alias("id"), "group", "label", "vector"), queries.select(F.col("query_id").alias("id"), none.alias("group"), none.alias("label"), F.col("query").alias("vector")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, groups, labels, a = _unpacked(row[:5])
+                asked, _, _, q = _unpacked(row[5:])
+                order = np.lexsort((labels, groups))
+                groups, labels = groups[order], labels[order]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(groups) != 0) | (np.diff(labels) != 0))))
+                best = np.maximum.reduceat(q @ a[order].T, first, axis=1)
+                n = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(np.tile(groups[first], len(asked))), pa.array(np.tile(labels[first], len(asked))), pa.array(best.ravel())], names=["query_id", "group", "label", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, group long, label long, score double")
+    return found.groupBy("query_id", "group", "label").agg(F.max("score").alias("score"))
 
 
 def lsh_signature(vector: Column, dims: int, planes: int, seed: int) -> Column:
@@ -94,13 +182,20 @@ def resolve(fragments: DataFrame, references: DataFrame, config: ResolveConfig =
     of fragment and subject with the best similarity, the fused score, a decision, and a rank.
 
     Gates come first, then negatives, then a raw accept, then fused thresholds. Unlabelled references count only for
-    subjects without a positive one. Every fragment meets every reference, which is for a stated set of fragments; for
+    subjects without a positive one. A stated set of fragments meets every reference in blocks; for
     many, give ``candidates`` (fragment_id, subject_id), such as those of `lsh_candidates`: joins on keys then do it.
     """
-    refs = references.select("subject_id", "vector", "is_positive")
-    met = fragments.join(refs) if candidates is None else fragments.join(candidates.select("fragment_id", "subject_id").distinct(), "fragment_id").join(refs, "subject_id")
-    scored = met.select("fragment_id", "topology", "subject_id", "is_positive", s.cosine(F.col("query"), F.col("vector")).alias("c")).filter("c is not null")
-    per = scored.groupBy("fragment_id", "subject_id").agg(F.first("topology").alias("topology"), F.max(F.when(F.col("is_positive"), F.col("c"))).alias("pos"), F.max(F.when(F.col("is_positive").isNull(), F.col("c"))).alias("unl"), F.max(F.when(~F.col("is_positive"), F.col("c"))).alias("neg"))
+    label = F.when(F.col("is_positive"), 1).when(F.col("is_positive").isNull(), 0).otherwise(-1).cast("long").alias("label")
+    if candidates is None:
+        known = references.filter("subject_id is not null").select(F.col("subject_id").cast("long").alias("group"), label, "vector")
+        best = best_by_group(known, fragments.select(F.col("fragment_id").alias("query_id"), "query"))
+        scored = best.select(F.col("query_id").alias("fragment_id"), F.col("group").alias("subject_id"), "label", F.col("score").alias("c"))
+    else:
+        near = fragments.join(candidates.select("fragment_id", "subject_id").distinct(), "fragment_id").join(references.select("subject_id", "vector", label), "subject_id")
+        scored = near.select("fragment_id", "subject_id", "label", s.cosine(F.col("query"), F.col("vector")).alias("c")).filter("c is not null")
+    best = lambda n: F.max(F.when(F.col("label") == n, F.col("c")))
+    per = scored.groupBy("fragment_id", "subject_id").agg(best(1).alias("pos"), best(0).alias("unl"), best(-1).alias("neg"))
+    per = per.join(fragments.select("fragment_id", "topology"), "fragment_id")
     sim = F.coalesce("pos", "unl")
     per = per.withColumn("similarity", sim).filter("similarity is not null").withColumn("score", s.fused_identity(F.col("similarity"), F.col("topology")))
     decision = (
@@ -207,15 +302,9 @@ def enrol(references: DataFrame, photos: DataFrame, most: int) -> DataFrame:
     return evict(references.select(*fresh.columns).unionByName(fresh), most)
 
 
-def photo_search(references: DataFrame, photos: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def photo_search(references: DataFrame, photos: DataFrame, k: int) -> DataFrame:
     """The k subjects nearest to each photo (query_id, vector): best cosine of a positive or unlabelled reference."""
-    rows = references.filter("subject_id is not null and coalesce(is_positive, true)").select("subject_id", "vector")
-    asked = photos.select("query_id", F.col("vector").alias("query")).limit(most_queries + 1)
-    n = asked.count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} photos; ask in parts")
-    # the photos are a stated set of bounded size; the partial maxima are taken before the shuffle
-    score = s.cosine(F.col("query"), F.col("vector"))
-    per = rows.crossJoin(F.broadcast(asked)).groupBy("query_id", "subject_id").agg(F.max(score).alias("score")).filter("score is not null")
+    rows = references.filter("subject_id is not null and coalesce(is_positive, true)").select(F.col("subject_id").cast("long").alias("group"), F.lit(0).cast("long").alias("label"), "vector")
+    per = best_by_group(rows, photos.select("query_id", F.col("vector").alias("query"))).select("query_id", F.col("group").alias("subject_id"), "score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "subject_id"))
     return per.withColumn("rank", rank).filter(F.col("rank") <= k)

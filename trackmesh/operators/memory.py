@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackmesh.operators import ranks
+
 
 def effective(samples: DataFrame, key: str = "sample_id") -> DataFrame:
     """Rows that no other row supersedes."""
@@ -16,7 +18,8 @@ def effective(samples: DataFrame, key: str = "sample_id") -> DataFrame:
 def append_ids(existing: DataFrame, rows: DataFrame, order: list[str], key: str = "observation_id") -> DataFrame:
     """New rows with id 0 get the ids after the largest existing one; a revision counts up from the row it supersedes."""
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    numbered = rows.withColumn("_n", F.row_number().over(W.partitionBy((F.col(key) == 0).alias("_new")).orderBy(*order)))
+    fresh = ranks.running(rows.filter(F.col(key) == 0).withColumn("_one", F.lit(1).cast("long")), order[0], order[1:], {"_n": "_one"}).drop("_one")
+    numbered = fresh.unionByName(rows.filter(F.col(key) != 0).withColumn("_n", F.lit(0).cast("long")))
     known = existing.select(F.col(key).alias("supersedes"), F.col("revision").alias("_before"))
     out = numbered.crossJoin(F.broadcast(top)).join(known, "supersedes", "left")  # top is one row
     return out.withColumns({key: F.when(F.col(key) == 0, F.col("_top") + F.col("_n")).otherwise(F.col(key)), "revision": F.coalesce(F.col("_before") + 1, F.lit(1).cast("long"))}).drop("_n", "_top", "_before")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmesh.functions import geometry as g
@@ -25,24 +25,24 @@ class SubjectQuery:
     then: tuple[int, int, int] | None = None  # zone, later zone, within_ns (0: any time)
     route: tuple[int, ...] = ()
     min_dwell_ns: int | None = None
+    near: tuple[float, float, float, float] | None = None  # left, top, right, bottom
     order: str = "subject_id"  # or sample_count, dwell
     offset: int = 0
     limit: int = 0  # 0: all
 
 
+def _sample_parts(q: SubjectQuery) -> list[Column]:
+    """The conditions that a sample must meet."""
+    parts = [F.col("subject_id").isin(list(q.subject_ids))] if q.subject_ids else []
+    parts += [F.col("source_id") == q.source_id] if q.source_id is not None else []
+    parts += [F.col("pts_ns") >= q.start_ns] if q.start_ns is not None else []
+    parts += [F.col("pts_ns") <= q.end_ns] if q.end_ns is not None else []
+    parts += [F.col("confidence") >= q.min_confidence] if q.min_confidence is not None else []
+    return parts + ([g.overlaps(g.box(), g.literal_box(*q.near))] if q.near is not None else [])
+
+
 def _sample_filter(samples: DataFrame, q: SubjectQuery) -> DataFrame:
-    rows = samples.filter("subject_id is not null")
-    if q.subject_ids:
-        rows = rows.filter(F.col("subject_id").isin(list(q.subject_ids)))
-    if q.source_id is not None:
-        rows = rows.filter(F.col("source_id") == q.source_id)
-    if q.start_ns is not None:
-        rows = rows.filter(F.col("pts_ns") >= q.start_ns)
-    if q.end_ns is not None:
-        rows = rows.filter(F.col("pts_ns") <= q.end_ns)
-    if q.min_confidence is not None:
-        rows = rows.filter(F.col("confidence") >= q.min_confidence)
-    return rows
+    return reduce(DataFrame.filter, _sample_parts(q), samples.filter("subject_id is not null"))
 
 
 def then_seen(stays: DataFrame, first: int, later: int, within_ns: int = 0) -> DataFrame:
@@ -85,25 +85,61 @@ def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
 # --- Boolean trees: ("pred", SubjectQuery), ("and", [...]), ("or", [...]), ("not", node) -----------------------------
 
 
-def subject_set(node: tuple, samples: DataFrame, stays: DataFrame, routes: DataFrame, universe: DataFrame | None = None) -> DataFrame:
-    """Subject ids of a tree. An empty 'and' is every subject, an empty 'or' none."""
-    if universe is None:
-        universe = samples.filter("subject_id is not null").select("subject_id").distinct()
+def _leaves(node: tuple) -> list[SubjectQuery]:
     kind, arg = node
-    again = lambda n: subject_set(n, samples, stays, routes, universe)
-    if kind == "pred":
-        return subject_query(samples, stays, routes, replace(arg, offset=0, limit=0)).select("subject_id")
-    if kind == "not":
-        return universe.join(again(arg), "subject_id", "left_anti")
-    if kind == "and":
-        return reduce(lambda a, b: a.intersect(b), map(again, arg), universe)
-    return reduce(lambda a, b: a.union(b), map(again, arg), universe.filter(F.lit(False))).distinct()
+    return [arg] if kind == "pred" else [q for n in ([arg] if kind == "not" else arg) for q in _leaves(n)]
 
 
 def execute_ast(node: tuple, samples: DataFrame, stays: DataFrame, routes: DataFrame) -> DataFrame:
-    """Hits of a tree's subjects, with all their samples."""
-    ids = subject_set(node, samples, stays, routes)
-    return subject_query(samples.join(ids, "subject_id", "left_semi"), stays, routes, SubjectQuery())
+    """Hits of a tree's subjects, with all their samples. An empty 'and' is every subject, an empty 'or' none.
+
+    Each leaf is a flag of a subject: samples, stays and routes are aggregated once for all leaves, and the tree is one
+    filter over the flags.
+    """
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    leaves = list(dict.fromkeys(_leaves(node)))
+    hits = {f"s{i}": flag(reduce(Column.__and__, parts)) for i, q in enumerate(leaves) if (parts := _sample_parts(q))}
+    seen = {f"z{i}": flag(F.col("zone_id") == q.zone) for i, q in enumerate(leaves) if q.zone is not None}
+    for i, q in enumerate(leaves):
+        if q.then and not q.then[2]:
+            first, later, _ = q.then
+            seen[f"t{i}"] = F.max(F.when(F.col("zone_id") == later, F.col("start_ns"))) >= F.min(F.when(F.col("zone_id") == first, F.col("end_ns")))
+    runs = {f"r{i}": flag(contains_run(F.col("zones"), list(q.route))) for i, q in enumerate(leaves) if q.route}
+    named = lambda columns: [c.alias(n) for n, c in columns.items()]
+    rows = samples.filter("subject_id is not null").groupBy("subject_id").agg(F.count("*").alias("sample_count"), F.greatest(F.max("confidence"), F.lit(0.0)).alias("max_confidence"), F.min("sample_id").alias("first_pos"), *named(hits))
+    rows = rows.join(stays.groupBy("subject_id").agg(F.count("*").alias("n_stays"), F.sum("duration_ns").alias("dwell_ns"), *named(seen)), "subject_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_stays", "dwell_ns")})
+    if runs:
+        rows = rows.join(routes.groupBy("subject_id").agg(*named(runs)), "subject_id", "left")
+    flags = [*hits, *seen, *runs]
+    for i, q in enumerate(leaves):
+        if q.then and q.then[2]:
+            rows = rows.join(then_seen(stays, *q.then).withColumn(f"t{i}", F.lit(True)), "subject_id", "left")
+            flags.append(f"t{i}")
+
+    def holds(node: tuple) -> Column:
+        kind, arg = node
+        if kind == "not":
+            return ~holds(arg)
+        if kind != "pred":
+            return reduce(Column.__and__ if kind == "and" else Column.__or__, map(holds, arg), F.lit(kind == "and"))
+        i = leaves.index(arg)
+        parts = [F.coalesce(f"{kind}{i}", F.lit(False)) for kind in "sztr" if f"{kind}{i}" in flags]
+        parts += [F.col("dwell_ns") >= arg.min_dwell_ns] if arg.min_dwell_ns is not None else []
+        return reduce(Column.__and__, parts, F.lit(True))
+
+    return rows.filter(holds(node)).select("subject_id", "sample_count", "max_confidence", "first_pos", "n_stays", "dwell_ns").orderBy("subject_id")
+
+
+def hit_evidence(hits: DataFrame, samples: DataFrame, stays: DataFrame, routes: DataFrame, q: SubjectQuery = SubjectQuery()) -> DataFrame:
+    """What the hits rest on, a row each (subject_id, kind, ref, start_ns, end_ns): samples that meet the query, all stays, all routes.
+
+    ref is the sample's id, the stay's zone, or null. Rows and not arrays, so that a subject of many samples is no single row.
+    """
+    ids = hits.select("subject_id")
+    row = lambda df, kind, ref, start, end: df.join(ids, "subject_id", "left_semi").select("subject_id", F.lit(kind).alias("kind"), ref.cast("long").alias("ref"), F.col(start).alias("start_ns"), F.col(end).alias("end_ns"))
+    found = [row(_sample_filter(samples, q), "sample", F.col("sample_id"), "pts_ns", "pts_ns"), row(stays, "stay", F.col("zone_id"), "start_ns", "end_ns"), row(routes, "route", F.lit(None), "start_ns", "end_ns")]
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- keywords ------------------------------------------------------------------------------------------------------
@@ -115,50 +151,102 @@ class Parsed:
     warnings: list[str] = field(default_factory=list)
 
 
+#: Words without meaning in a query.
+NOISE = ("the", "a", "an", "who", "that", "were", "was", "persons", "people", "find", "show", "all")
+
+
 def parse_keywords(text: str) -> Parsed:
-    """'or' binds looser than 'and'; there are no parentheses and no 'not'. Unknown words become warnings.
+    """'or' binds looser than 'and'; there are no parentheses and no 'not'. All clauses of a part must hold.
 
-    Clauses: subject N, zone N, then zone N (after a zone), seen on source|camera N, min confidence X, dwell N seconds,
-    from N to N. A text without any clause is an error.
+    Clauses: [seen] on source|camera N, source N; [in] zone N; then [zone] A then [zone] B [within NS]; route [zone] A B ...;
+    subject N[, M ...]; min confidence X, confidence >= X; min dwell NS, dwell >= NS; during NS NS; near box L T R B.
+    Unknown words become warnings; a clause of which a number is missing is an error, as is a text without any clause.
     """
+    if not text.split():
+        raise ValueError("the query is empty")
     warnings: list[str] = []
-    ors = []
-    for part in text.lower().split(" or "):
-        ands = [c for clause in part.split(" and ") if (c := _clause(clause.split(), warnings)) is not None]
-        if ands:
-            ors.append(ands[0] if len(ands) == 1 else ("and", ands))
-    if not ors:
-        raise ValueError("no predicate in the query")
+    text = " ".join(text.lower().split())
+    ors = [("and", [_clauses(part.split(), warnings) for part in either.split(" and ")]) for either in text.split(" or ")]
+    ors = [ands[1][0] if len(ands[1]) == 1 else ands for ands in ors]
     return Parsed(ors[0] if len(ors) == 1 else ("or", ors), warnings)
 
 
-def _clause(words: list[str], warnings: list[str]) -> tuple | None:
-    q, i, found = SubjectQuery(), 0, False
+def _clauses(words: list[str], warnings: list[str]) -> tuple:
+    """The node of a part without 'and' or 'or'."""
+    at, found = 0, []
 
-    def number(at: int, kind=int):
+    def eat(*options: str) -> bool:
+        """Go past the next word if it is one of these."""
+        nonlocal at
+        hit = at < len(words) and words[at] in options
+        at += hit
+        return hit
+
+    def number(kind=int, most: float = 2**63):
+        nonlocal at
         try:
-            return kind(words[at])
+            value = kind(words[at])
         except (IndexError, ValueError):
-            return None
-
-    while i < len(words):
-        word = words[i]
-        if word == "subject" and (n := number(i + 1)) is not None:
-            q, i, found = replace(q, subject_ids=(*q.subject_ids, n)), i + 2, True
-        elif word == "then" and words[i + 1 : i + 2] == ["zone"] and q.zone is not None and (n := number(i + 2)) is not None:
-            q, i, found = replace(q, then=(q.zone, n, 0), zone=None), i + 3, True
-        elif word == "zone" and (n := number(i + 1)) is not None:
-            q, i, found = replace(q, zone=n), i + 2, True
-        elif word == "seen" and words[i + 1 : i + 2] == ["on"] and words[i + 2 : i + 3] in (["source"], ["camera"]) and (n := number(i + 3)) is not None:
-            q, i, found = replace(q, source_id=n), i + 4, True
-        elif word == "min" and words[i + 1 : i + 2] == ["confidence"] and (x := number(i + 2, float)) is not None:
-            q, i, found = replace(q, min_confidence=x), i + 3, True
-        elif word == "dwell" and (n := number(i + 1)) is not None:
-            q, i, found = replace(q, min_dwell_ns=n * 1_000_000_000), i + 2 + (words[i + 2 : i + 3] in (["seconds"], ["s"])), True
-        else:
-            warnings.append(f"unknown word: {word}")
-            i += 1
-    return ("pred", q) if found else None
+            raise ValueError(f"a number is missing after: {' '.join(words[:at])}") from None
+        if not abs(value) < most:
+            raise ValueError(f"out of range: {words[at]}")
+        at += 1
+        return value
+
+    def then() -> tuple[int, int, int]:
+        eat("zone")
+        first = number(most=2**16)
+        if not eat("then"):
+            raise ValueError(f"'then' is missing after: {' '.join(words[:at])}")
+        eat("zone")
+        return first, number(most=2**16), number() if eat("within") else 0
+
+    def several(most: float) -> tuple[int, ...]:
+        out = [number(most=most)]
+        while at < len(words) and words[at].isdigit():
+            out.append(number(most=most))
+        return tuple(out)
+
+    words = " ".join(words).replace(",", " ").split()
+    while at < len(words):
+        word, start = words[at], at
+        at += 1
+        if word in ("seen", "on", "source", "camera"):
+            if (word in ("source", "camera")) or ((word == "on" or eat("on")) and eat("source", "camera")):
+                found.append(SubjectQuery(source_id=number(most=2**32)))
+                continue
+        elif word == "zone" or (word == "in" and eat("zone")):
+            found.append(SubjectQuery(zone=number(most=2**16)))
+            continue
+        elif word == "then":
+            found.append(SubjectQuery(then=then()))
+            continue
+        elif word == "route":
+            eat("zone")
+            found.append(SubjectQuery(route=several(2**16)))
+            continue
+        elif word == "subject":
+            found.append(SubjectQuery(subject_ids=several(2**63)))
+            continue
+        elif word in ("min", "confidence", "dwell"):
+            what = word if word != "min" else words[at] if at < len(words) else ""
+            if what in ("confidence", "dwell") and eat(*([what] if word == "min" else [">="])):
+                found.append(SubjectQuery(min_confidence=number(float)) if what == "confidence" else SubjectQuery(min_dwell_ns=number()))
+                continue
+        elif word == "during":
+            found.append(SubjectQuery(start_ns=number(), end_ns=number()))
+            continue
+        elif word == "near" and eat("box"):
+            found.append(SubjectQuery(near=tuple(number(float) for _ in range(4))))
+            continue
+        elif word in NOISE:
+            continue
+        at = start + 1
+        warnings.append(f"unknown word: {word}")
+    if not found:
+        raise ValueError("no predicate in the query")
+    preds = [("pred", q) for q in found]
+    return preds[0] if len(preds) == 1 else ("and", preds)
 
 
 # --- space and rank -------------------------------------------------------------------------------------------------

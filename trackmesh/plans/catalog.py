@@ -104,11 +104,10 @@ def _(spark, d):
     return t.read(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("user_id").alias("track_id"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"), F.lit(None).cast("long").alias("duration_ns"))
 
 
-@query("observation_append", "select 1000000 + row_number() over (order by event_id) as observation_id, event_id as track_id, cast(1 as bigint) as revision from events where event_id % 10 = 3")
+@query("observation_append", "select (select max(sample_id) from audit) + row_number() over (order by event_id) as observation_id, event_id as track_id, cast(1 as bigint) as revision from events", "audit")
 def _(spark, d):
-    e = t.read(spark, d, "events")
-    existing = spark.range(999_998, 1_000_001).select(F.col("id").alias("observation_id"), F.lit(1).cast("long").alias("revision"))
-    new = e.filter("event_id % 10 = 3").select(F.lit(0).cast("long").alias("observation_id"), F.lit(None).cast("long").alias("supersedes"), F.col("event_id").alias("track_id"))
+    existing = t.track_samples(spark, d).select(F.col("sample_id").alias("observation_id"), "revision")
+    new = t.read(spark, d, "events").select(F.lit(0).cast("long").alias("observation_id"), F.lit(None).cast("long").alias("supersedes"), F.col("event_id").alias("track_id"))
     return mem.append_ids(existing, new, ["track_id"]).select("observation_id", "track_id", "revision")
 
 
@@ -179,16 +178,37 @@ for _name, _node, _ids in (
         return q.execute_ast(node, t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d)).select("subject_id", "sample_count")
 
 
+_OVER = '"left" < 900 and "right" > 500 and top < 700 and bottom > 300'
+_IN_TURN = "select subject_id from eff h where subject_id is not null and "
 for _name, _text, _ids in (
     ("keyword_query", "seen on source 1 and min confidence 0.95", f"{_LEAF} source_id = 1 intersect {_LEAF} confidence >= 0.95"),
     ("keyword_query_or", "subject 3 or zone 3 and seen on camera 2", f"{_LEAF} subject_id = 3 union (({_Z3}) intersect {_LEAF} source_id = 2)"),
+    ("keyword_query_zones", "find people in zone 1 zone 2 who were on source 3", f"select distinct subject_id from stays where zone_id = 1 intersect select distinct subject_id from stays where zone_id = 2 intersect {_LEAF} source_id = 3"),
+    ("keyword_query_then", f"then zone 1 then zone 3 within {H}", _IN_TURN + _THEN.format(1, 3, f" and b.start_ns - a.end_ns <= {H}")),
+    ("keyword_query_then_any", "then 2 then zone 4 and confidence >= 0.9", f"{_IN_TURN}{_THEN.format(2, 4, '')} intersect {_LEAF} confidence >= 0.9"),
+    ("keyword_query_route", "route zone 1 2", _IN_TURN + _ROUTE),
+    ("keyword_query_subjects", f"subject 5, 7 11 or min dwell {40 * H}", f"{_LEAF} subject_id in (5, 7, 11) union select subject_id from stays group by subject_id having sum(duration_ns) >= {40 * H}"),
+    ("keyword_query_during", "during 1704200000000000000 1704300000000000000 source 2", f"{_LEAF} pts_ns between 1704200000000000000 and 1704300000000000000 intersect {_LEAF} source_id = 2"),
+    ("keyword_query_near", "near box 500 300 900 700 and source 4 or zone 5 and subject 12", f"({_LEAF} {_OVER} intersect {_LEAF} source_id = 4) union ((select distinct subject_id from stays where zone_id = 5) intersect {_LEAF} subject_id = 12)"),
 ):
 
-    @query(_name, f"with ids as ({_ids})" + _AST_TAIL, "eff", "stays")
+    @query(_name, f"with ids as ({_ids})" + _AST_TAIL.replace("join ids", "join (select distinct subject_id from ids) using (subject_id)").replace(" using (subject_id) using (subject_id)", " using (subject_id)"), "eff", "stays", "routes")
     def _(spark, d, text=_text):
         return q.execute_ast(q.parse_keywords(text).node, t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d)).select("subject_id", "sample_count")
 
 
+_DWELT = f"(select subject_id from stays group by subject_id having sum(duration_ns) >= {20 * H})"
+
+
+@query("subject_hit_evidence", f"""select subject_id, 'sample' as kind, sample_id as ref, pts_ns as start_ns, pts_ns as end_ns from eff where confidence >= 0.9 and subject_id in {_DWELT}
+  union all select subject_id, 'stay', zone_id, start_ns, end_ns from stays where subject_id in {_DWELT} and subject_id in (select subject_id from eff where confidence >= 0.9)
+  union all select subject_id, 'route', null, start_ns, end_ns from routes where subject_id in {_DWELT} and subject_id in (select subject_id from eff where confidence >= 0.9)""", "eff", "stays", "routes")
+def _(spark, d):
+    asked = q.SubjectQuery(min_confidence=0.9, min_dwell_ns=20 * H)
+    parts = t.effective_samples(spark, d), t.zone_stays(spark, d), t.routes(spark, d)
+    return q.hit_evidence(q.subject_query(*parts, asked), *parts, asked)
+
+
 _IOU = 'greatest(least("right", {2}) - greatest("left", {0}), 0) * greatest(least(bottom, {3}) - greatest(top, {1}), 0)'
 
 
@@ -198,10 +218,10 @@ def _(spark, d):
     return r6(q.spatial_query(t.effective_samples(spark, d), (500.0, 300.0, 900.0, 700.0)).select("sample_id", "iou"), "iou")
 
 
-@query("box_overlap_join", """select a.sample_id as a_id, b.sample_id as b_id from eff a join eff b on a.source_id = 1 and b.source_id = 2 and a.sample_id % 5 = 0 and b.sample_id % 5 = 0
+@query("box_overlap_join", """select a.sample_id as a_id, b.sample_id as b_id from eff a join eff b on a.source_id = 1 and b.source_id = 2
   and a."left" < b."right" and b."left" < a."right" and a.top < b.bottom and b.top < a.bottom""", "eff")
 def _(spark, d):
-    eff = t.effective_samples(spark, d).filter("sample_id % 5 = 0").select("sample_id", "source_id", "left", "top", "right", "bottom")
+    eff = t.effective_samples(spark, d).select("sample_id", "source_id", "left", "top", "right", "bottom")
     return q.overlap_join(eff.filter("source_id = 1"), eff.filter("source_id = 2"), 120.0).select(F.col("a_sample_id").alias("a_id"), F.col("b_sample_id").alias("b_id"))
 
 
@@ -247,11 +267,11 @@ def _(spark, d):
 
 
 @query("subject_profiles", f"""with {_APP}, now as (select subject_id, count(*) n, count(distinct source_id) s, cast(sum(end_ns - start_ns) as bigint) d, min(start_ns) f, max(end_ns) l from app where subject_id is not null group by subject_id),
-  prev as (select c_custkey as subject_id, c_name as label from customer where c_custkey <= 200)
+  prev as (select c_custkey as subject_id, c_name as label from customer)
   select coalesce(now.subject_id, prev.subject_id) as subject_id, label, coalesce(n, 0) as appearance_count, coalesce(s, 0) as source_count, coalesce(d, 0) as total_duration_ns, f as first_seen, l as last_seen
   from now full outer join prev on now.subject_id = prev.subject_id""", "eff")
 def _(spark, d):
-    prev = t.read(spark, d, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("label"))
+    prev = t.read(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_name").alias("label"))
     return mem.profiles(_appearances(spark, d), prev)
 
 
@@ -648,10 +668,10 @@ def _(spark, d):
     return t.effective_samples(spark, d).select("sample_id", g.side((0.0, 0.0), (1800.0, 1000.0), x, y).alias("side"))
 
 
-@query("tiling", """with f as (select p_partkey as frame_id, 200 + p_partkey % 700 as w, 150 + p_partkey % 500 as h from part where p_partkey <= 200), x as (select frame_id, w, h, least(unnest(range(0, ceil(greatest(w - 128, 0) / 96)::bigint + 1)) * 96, greatest(w - 128, 0)) as x from f),
+@query("tiling", """with f as (select p_partkey as frame_id, 200 + p_partkey % 700 as w, 150 + p_partkey % 500 as h from part), x as (select frame_id, w, h, least(unnest(range(0, ceil(greatest(w - 128, 0) / 96)::bigint + 1)) * 96, greatest(w - 128, 0)) as x from f),
   xy as (select *, least(unnest(range(0, ceil(greatest(h - 128, 0) / 96)::bigint + 1)) * 96, greatest(h - 128, 0)) as y from x) select frame_id, x, y, least(128, w) as tile_w, least(128, h) as tile_h from xy""")
 def _(spark, d):
-    f = t.read(spark, d, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("frame_id"), (200 + F.col("p_partkey") % 700).alias("w"), (150 + F.col("p_partkey") % 500).alias("h"))
+    f = t.read(spark, d, "part").select(F.col("p_partkey").alias("frame_id"), (200 + F.col("p_partkey") % 700).alias("w"), (150 + F.col("p_partkey") % 500).alias("h"))
     return f.select("frame_id", F.explode(g.tiles(F.col("w"), F.col("h"), 128, 32)).alias("t")).select("frame_id", "t.x", "t.y", F.col("t.w").cast("long").alias("tile_w"), F.col("t.h").cast("long").alias("tile_h"))
 
 
@@ -693,35 +713,58 @@ def _(spark, d):
 # --- suppression, vectors, masks ---------------------------------------------------------------------------------------------
 
 
-@query("hard_nms")
+_OVERLAP = """(greatest(least({0}.r, {1}.r) - greatest({0}.l, {1}.l), 0) * greatest(least({0}.b, {1}.b) - greatest({0}.t, {1}.t), 0)) /
+  (({0}.r - {0}.l) * ({0}.b - {0}.t) + ({1}.r - {1}.l) * ({1}.b - {1}.t) - greatest(least({0}.r, {1}.r) - greatest({0}.l, {1}.l), 0) * greatest(least({0}.b, {1}.b) - greatest({0}.t, {1}.t), 0))"""
+_BOXES = """s as (select frame, list({{'neg': -score, 'i': det_idx, 'l': "left", 't': top, 'r': "right", 'b': bottom, 'c': class_id}} order by {0}) x from dets group by frame)"""
+#: Greedy suppression: box by box in the order of score, beside the list of those kept.
+_NMS = f"""select * from (with recursive {_BOXES.format('-score, det_idx')},
+  w as (select frame, 1 as n, x[1:1] as kept, x from s union all select frame, n + 1, case when len(list_filter(kept, lambda k: k.c = x[n + 1].c and {_OVERLAP.format('k', 'x[n + 1]')} > 0.3)) = 0 then list_append(kept, x[n + 1]) else kept end, x from w where n < len(x))
+  select frame, k.i as det_idx, k.l as "left", k.t as top, k.r as "right", k.b as bottom, -k.neg as score, k.c as class_id from (select frame, unnest(kept/*some*/) as k from w where n = len(x)))"""
+
+
+@query("hard_nms", _NMS, "dets")
 def _(spark, d):
     return suppress.nms(t.detections(spark, d), 0.3)
 
 
-@query("oriented_nms")
+@query("oriented_nms", _NMS, "dets")
 def _(spark, d):
     return suppress.nms(t.detections(spark, d), 0.3, null_matches_any=True)
 
 
-@query("nms_top", None)
+@query("nms_top", _NMS.replace("/*some*/", "[1:2]"), "dets")
 def _(spark, d):
     return suppress.nms(t.detections(spark, d), 0.3, max_det=2)
 
 
-@query("soft_nms")
+@query("soft_nms", f"""select * from (with recursive {_BOXES.format('-score, det_idx')}, w as (select frame, x as live, x[1:0] as done from s union all
+  select frame, list_sort(list_transform(live[2:], lambda y: {{'neg': y.neg * case when y.c = live[1].c and {_OVERLAP.format('live[1]', 'y')} > 0.3 then 1 - {_OVERLAP.format('live[1]', 'y')} else 1 end, 'i': y.i, 'l': y.l, 't': y.t, 'r': y.r, 'b': y.b, 'c': y.c}})), list_append(done, live[1])
+    from w where len(live) > 0 and -live[1].neg >= 0.001)
+  select frame, k.i as det_idx, k.l as "left", k.t as top, k.r as "right", k.b as bottom, round(-k.neg, 6) as score, k.c as class_id from (select frame, unnest(done) as k from w where len(live) = 0 or -live[1].neg < 0.001))""", "dets")
 def _(spark, d):
-    return suppress.soft_nms(t.detections(spark, d), 0.3)
+    return r6(suppress.soft_nms(t.detections(spark, d), 0.3), "score")
 
 
-@query("merge_nms")
+@query("merge_nms", f"""select * from (with recursive b as (select frame, det_idx as i, "left" as l, top as t, "right" as r, bottom as b, score, class_id as c from dets),
+  links as (select x.frame, x.i, y.i as j from b x join b y on x.frame = y.frame and x.c = y.c and {_OVERLAP.format('x', 'y')} > 0.3),
+  reach as (select frame, i, i as j from b union select reach.frame, reach.i, links.j from reach join links on links.frame = reach.frame and links.i = reach.j),
+  label as (select frame, i, min(j) as g from reach group by frame, i)
+  select frame, min(i) as det_idx, round(avg(l), 6) as "left", round(avg(t), 6) as top, round(avg(r), 6) as "right", round(avg(b), 6) as bottom, max(score) as score, any_value(c) as class_id from b join label using (frame, i) group by frame, g)""", "dets")
 def _(spark, d):
-    return suppress.merge_nms(t.detections(spark, d), 0.3)
+    return r6(suppress.merge_nms(t.detections(spark, d), 0.3), "left", "top", "right", "bottom")
+
+
+#: One-to-one pairs of lists p of {neg, a, b}, taken greedily in their order.
+_GREEDY = """w as (select * exclude (p), 1 as n, p[1:1] as kept, p from lists union all
+  select * exclude (n, kept, p), n + 1, case when len(list_filter(kept, lambda k: k.a = p[n + 1].a or k.b = p[n + 1].b)) = 0 then list_append(kept, p[n + 1]) else kept end, p from w where n < len(p))"""
 
 
-@query("greedy_assign")
+@query("greedy_assign", f"""select * from (with recursive b as (select frame, det_idx as i, "left" as l, top as t, "right" as r, bottom as b, class_id as c from dets),
+  lists as (select frame, list({{'neg': -v, 'a': i, 'b': j}} order by -v, i, j) as p from (select x.frame, x.i, y.i as j, {_OVERLAP.format('x', 'y')} as v from b x join b y on x.frame = y.frame and x.c = 0 and y.c = 1) where v > 0.3 group by frame),
+  {_GREEDY} select frame, k.a as track, k.b as det, round(-k.neg, 6) as iou from (select frame, unnest(kept) as k from w where n = len(p)))""", "dets")
 def _(spark, d):
     x = t.detections(spark, d)
-    return suppress.greedy_assign(x.filter("class_id = 0"), x.filter("class_id = 1"), 0.3)
+    return r6(suppress.greedy_assign(x.filter("class_id = 0"), x.filter("class_id = 1"), 0.3), "iou")
 
 
 @query("cosine_to_vector", "select embedding_ref, round(list_cosine_similarity(vector, (select vector from emb where embedding_ref = 0)), 6) as score from emb", "emb")
@@ -770,17 +813,30 @@ def _(spark, d):
     return r6(ident.roc(_labeled(spark, d)).select("threshold", "tpr", "fpr"), "threshold", "tpr", "fpr")
 
 
-@query("equal_error_rate")
+@query("equal_error_rate", f"""with {_PAIRS}, p as (select score, count(*) filter (where genuine) g, count(*) filter (where not genuine) i from pairs group by score),
+  c as (select score, sum(g) over w / (select count(*) from pairs where genuine) tpr, sum(i) over w / (select count(*) from pairs where not genuine) fpr from p window w as (order by score desc))
+  select round(score, 6) as threshold, round((fpr + 1 - tpr) / 2, 6) as eer from c order by abs(fpr - (1 - tpr)), score desc limit 1""", "emb")
 def _(spark, d):
-    return ident.equal_error(ident.roc(_labeled(spark, d)))
+    return r6(ident.equal_error(ident.roc(_labeled(spark, d))), "threshold", "eer")
 
 
-@query("resolve_identity")
+def _references(spark, d):
+    """Every vector, some of them positive, some negative, the others without a label."""
+    return t.embeddings(spark, d).withColumn("is_positive", F.when(F.col("embedding_ref") % 3 == 0, True).when(F.col("embedding_ref") % 7 == 0, False))
+
+
+_RESOLVED = """cs as (select a.embedding_ref as fragment_id, r.subject_id, case when r.embedding_ref % 3 = 0 then 1 when r.embedding_ref % 7 = 0 then -1 else 0 end as label, list_cosine_similarity(a.vector, r.vector) as c
+    from emb a, emb r where a.embedding_ref % 20 = 0),
+  best as (select fragment_id, subject_id, coalesce(max(c) filter (label = 1), max(c) filter (label = 0)) as similarity, max(c) filter (label = -1) as neg from cs group by fragment_id, subject_id),
+  scored as (select *, greatest(0, least(1, (similarity + 1) / 2)) as score from best where similarity is not null),
+  resolved as (select *, case when neg >= 0.75 and neg >= similarity then 'reject' when similarity >= 0.8 or score >= 0.8 then 'accept' when score <= 0.3 then 'reject' else 'uncertain' end as decision,
+    row_number() over (partition by fragment_id order by score desc, subject_id) as rank from scored)"""
+
+
+@query("resolve_identity", f"with {_RESOLVED} select fragment_id, subject_id, round(similarity, 6) as similarity, round(score, 6) as score, decision, rank from resolved", "emb")
 def _(spark, d):
-    e = t.embeddings(spark, d)
-    fragments = e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("fragment_id"), F.col("vector").alias("query"), F.lit(1.0).alias("topology"))
-    refs = e.filter("embedding_ref % 20 <> 0").withColumn("is_positive", F.when(F.col("embedding_ref") % 3 == 0, True).when(F.col("embedding_ref") % 7 == 0, False))
-    return ident.resolve(fragments, refs)
+    fragments = t.embeddings(spark, d).filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("fragment_id"), F.col("vector").alias("query"), F.lit(1.0).alias("topology"))
+    return r6(ident.resolve(fragments, _references(spark, d)), "similarity", "score").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("gallery_evict", "select embedding_ref, subject_id from emb qualify row_number() over (partition by subject_id order by embedding_ref desc) <= 10", "emb")
@@ -830,10 +886,12 @@ def _(spark, d):
     return p.select("track_id", m.area(m.union(a, b)).cast("long").alias("in_union"), m.area(m.difference(a, b)).cast("long").alias("in_difference"), F.round(m.iou(a, b), 6).alias("iou"))
 
 
-@query("mask_morphology")
+@query("mask_morphology", f"""with k as ({_MASKS}), c as (select track_id, i, i % 24 as x, i // 24 as y, mask from (select track_id, mask, unnest(range(0, 168)) as i from k)),
+  n as (select track_id, i, (select count(*) from unnest([-25, -24, -23, -1, 0, 1, 23, 24, 25]) as o(s) where i + s between 0 and 167 and abs((i + s) % 24 - x) <= 1 and mask[i + s + 1] = 1) as around from c)
+  select track_id, count(*) filter (around > 0) as dilated, count(*) filter (around = 9) as eroded from n group by track_id""", "eff")
 def _(spark, d):
     k = _masks(spark, d)
-    return k.select("track_id", m.area(m.dilate(F.col("mask"), F.lit(24), 1)).alias("dilated"), m.area(m.erode(F.col("mask"), F.lit(24), 1)).alias("eroded"))
+    return k.select("track_id", m.area(m.dilate(F.col("mask"), F.lit(24), 1)).cast("long").alias("dilated"), m.area(m.erode(F.col("mask"), F.lit(24), 1)).cast("long").alias("eroded"))
 
 
 # --- motion and text -----------------------------------------------------------------------------------------------------------
@@ -955,7 +1013,8 @@ def _(spark, d):
     return reports.prometheus(tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG)), "ingest", "source_id")
 
 
-@query("metric_points")
+@query("metric_points", _COUNTS.replace(" select source_id, count", ", m as (select source_id, count", 1) + """) select source_id, name, n as value, concat('{"name":"', name, '","value":', n, ',"attributes":{"source_id":', source_id, '}}') as json
+  from (unpivot m on accepted, dropped, rejected_late, rejected_out_of_order into name name value n)""", "audit")
 def _(spark, d):
     return reports.metric_points(tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG)), "source_id")
 
@@ -967,26 +1026,26 @@ def _(spark, d):
     return tracking.over_table(rows, ["source_id"], ["arrival"], machines.Queue(depth=8, policy="drop_oldest"))
 
 
-_TRUTH = """with g as (select source_id as sequence, frame_index // 40 as frame, track_id as id, "left", top, "right", bottom, row_number() over (partition by source_id, frame_index // 40 order by sample_id) rn, sample_id from eff),
-  t as (select * from g where rn = 1)"""
+_TRUTH = f"""with t as (select source_id as sequence, frame_index // 40 as frame, frame_index // 4 % 10 as id, "left" as l, top as t, "right" as r, bottom as b, sample_id % 5 = 0 as far from eff),
+  h as (select sequence, frame, id + case when frame % 4 = 0 then 7 else 0 end as id, l + case when far then 1000.0 else 2.0 end as l, t, r + case when far then 1000.0 else 2.0 end as r, b from t),
+  lists as (select sequence, frame, list({{'neg': -v, 'a': i, 'b': j}} order by -v, i, j) as p from (select x.sequence, x.frame, x.id as i, y.id as j, {_OVERLAP.format('x', 'y')} as v from t x join h y using (sequence, frame)) where v >= 0.5 group by sequence, frame),
+  m as (select sequence, frame, k.a as id, k.b as hyp from (select sequence, frame, unnest(kept) as k from (with recursive {_GREEDY} select * from w where n = len(p))))"""
 
 
 def _truth(spark, d):
-    """The first sample of each forty frames of a source, and as a guess the same box, moved in every fifth, with an id that now and then is another."""
-    e = t.effective_samples(spark, d).withColumn("frame", F.floor(F.col("frame_index") / 40))
-    first = e.groupBy(F.col("source_id").alias("sequence"), "frame").agg(F.min_by(F.struct("sample_id", "left", "top", "right", "bottom"), "sample_id").alias("b"))
-    gt = first.select("sequence", "frame", F.floor(F.col("frame") / 10).alias("id"), "b.*")
+    """Every sample: forty frames of a source are one, its tenths are ids; as a guess the same boxes, moved off in every
+    fifth, with ids that are others in every fourth frame."""
+    e = t.effective_samples(spark, d).select(F.col("source_id").alias("sequence"), F.floor(F.col("frame_index") / 40).alias("frame"), (F.floor(F.col("frame_index") / 4) % 10).alias("id"), "left", "top", "right", "bottom", "sample_id")
     moved = F.when(F.col("sample_id") % 5 == 0, 1000.0).otherwise(2.0)
-    hyp = gt.select("sequence", "frame", (F.col("id") + F.when(F.col("frame") % 4 == 0, 7).otherwise(0)).alias("id"), (F.col("left") + moved).alias("left"), "top", (F.col("right") + moved).alias("right"), "bottom")
-    return gt.drop("sample_id"), hyp
+    hyp = e.select("sequence", "frame", (F.col("id") + F.when(F.col("frame") % 4 == 0, 7).otherwise(0)).alias("id"), (F.col("left") + moved).alias("left"), "top", (F.col("right") + moved).alias("right"), "bottom")
+    return e.drop("sample_id"), hyp
 
 
 @query("mot_metrics", _TRUTH + """,
-  s as (select sequence, frame, frame // 10 as id, case when sample_id % 5 <> 0 then frame // 10 + case when frame % 4 = 0 then 7 else 0 end end as hyp, dense_rank() over (partition by sequence order by frame) as pos,
-    "right" - "left" as w from t),
+  s as (select sequence, frame, id, hyp, dense_rank() over (partition by sequence order by frame) as pos from t left join m using (sequence, frame, id)),
   r as (select *, pos - row_number() over (partition by sequence, id order by pos) as run from s),
   l as (select *, last_value(hyp ignore nulls) over (partition by sequence, id, run order by pos rows between unbounded preceding and 1 preceding) as last, coalesce(lag(hyp is null) over (partition by sequence, id, run order by pos), false) as missed from r),
-  c as (select sequence, count(*) as frames, count(hyp) as tp, count(*) - count(hyp) as fn, count(*) - count(hyp) as fp, count(*) filter (hyp <> last) as sw, count(*) filter (hyp <> last and missed) as fr from l group by sequence)
+  c as (select sequence, count(distinct frame) as frames, count(hyp) as tp, count(*) - count(hyp) as fn, count(*) - count(hyp) as fp, count(*) filter (hyp <> last) as sw, count(*) filter (hyp <> last and missed) as fr from l group by sequence)
   select sequence, frames, tp as true_positives, fn as false_negatives, fp as false_positives, sw as id_switches, fr as fragmentations, round(1 - (fn + fp + sw) / (tp + fn), 6) as mota, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall,
     round(2 * (tp - sw) / (2 * (tp - sw) + fp + fn), 6) as idf1, round(tp / (tp + fp + fn), 6) as deta, round(2 * (tp - sw) / (2 * (tp - sw) + fp + fn), 6) as assa,
     round(sqrt(tp / (tp + fp + fn) * (2 * (tp - sw) / (2 * (tp - sw) + fp + fn))), 6) as hota from c""", "eff")
@@ -1059,7 +1118,8 @@ def _(spark, d):
     return package.from_json(package.to_json(rows), rows.schema)
 
 
-@query("track_spans_json")
+@query("track_spans_json", """select track_id, concat('[', string_agg(concat('{"source_id":', source_id, ',"track_id":', track_id, ',"frame_index":', frame_index, ',"pts_ns":', pts_ns, case when subject_id is null then '' else concat(',"subject_id":', subject_id) end, '}'), ',' order by source_id, frame_index), ']') as json
+  from eff group by track_id""", "eff")
 def _(spark, d):
     spans = t.effective_samples(spark, d).select("source_id", "track_id", "frame_index", "pts_ns", "subject_id")
     return reports.as_json_array(spans, "track_id")
@@ -1086,11 +1146,7 @@ def _(spark, d):
 # --- audits, photos, links, models -----------------------------------------------------------------------------------------------------
 
 
-def _references(spark, d):
-    return t.embeddings(spark, d).filter("embedding_ref % 20 <> 0").withColumn("is_positive", F.when(F.col("embedding_ref") % 3 == 0, True).when(F.col("embedding_ref") % 7 == 0, False))
-
-
-@query("photo_search", """with r as (select subject_id, vector from emb where embedding_ref % 20 <> 0 and (embedding_ref % 3 = 0 or embedding_ref % 7 <> 0) and subject_id is not null),
+@query("photo_search", """with r as (select subject_id, vector from emb where (embedding_ref % 3 = 0 or embedding_ref % 7 <> 0) and subject_id is not null),
   p as (select embedding_ref as query_id, subject_id, max(list_cosine_similarity(q, vector)) as score from r, (select embedding_ref, vector as q from emb where embedding_ref % 20 = 0) group by 1, 2)
   select query_id, subject_id, round(score, 6) as score, rank from (select *, row_number() over (partition by query_id order by score desc, subject_id) as rank from p) where rank <= 3""", "emb")
 def _(spark, d):
@@ -1098,18 +1154,21 @@ def _(spark, d):
     return r6(ident.photo_search(_references(spark, d), photos, 3), "score").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("enrol_photos", "select subject_id, count(*) as n, max(embedding_ref) as newest from (select * from emb qualify row_number() over (partition by subject_id order by embedding_ref desc) <= 15) group by subject_id", "emb")
+@query("enrol_photos", """with grown as (select embedding_ref, subject_id from emb union all select embedding_ref + 1000000, subject_id from emb where embedding_ref % 20 = 0)
+  select subject_id, count(*) as n, max(embedding_ref) as newest from (select * from grown qualify row_number() over (partition by subject_id order by embedding_ref desc) <= 15) group by subject_id""", "emb")
 def _(spark, d):
-    photos = t.embeddings(spark, d).filter("embedding_ref % 20 = 0")
+    photos = t.embeddings(spark, d).filter("embedding_ref % 20 = 0").withColumn("embedding_ref", F.col("embedding_ref") + 1_000_000)
     return ident.enrol(_references(spark, d), photos, 15).groupBy("subject_id").agg(F.count("*").alias("n"), F.max("embedding_ref").alias("newest"))
 
 
-@query("identity_audit_answers")
+@query("identity_audit_answers", f"""with {_RESOLVED}, n as (select fragment_id, count(*) as n_hypotheses from resolved group by fragment_id)
+  select fragment_id as audit_id, fragment_id % 4 as source_id, fragment_id as track_id, decision, n_hypotheses, case when fragment_id % 3 = 0 and (decision = 'uncertain' or n_hypotheses > 1) then true end as manual,
+    case when decision = 'accept' or (fragment_id % 3 = 0 and (decision = 'uncertain' or n_hypotheses > 1)) then subject_id end as assigned_subject from resolved join n using (fragment_id) where rank = 1""", "emb")
 def _(spark, d):
     fragments = t.embeddings(spark, d).filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("fragment_id"), (F.col("embedding_ref") % 4).alias("source_id"), F.col("embedding_ref").alias("track_id"), F.col("vector").alias("query"), F.lit(1.0).alias("topology"))
     cases = ident.audit(ident.resolve(fragments, _references(spark, d)), fragments)
     first = ident.open_cases(cases).filter("audit_id % 3 = 0").select("audit_id", F.col("hypotheses")[0]["subject_id"].alias("subject_id"))
-    return ident.accept_hypotheses(cases, first).select("audit_id", "source_id", "track_id", "decision", "assigned_subject", "manual", "n_hypotheses")
+    return ident.accept_hypotheses(cases, first).select("audit_id", "source_id", "track_id", "decision", "assigned_subject", "manual", F.col("n_hypotheses").cast("long").alias("n_hypotheses"))
 
 
 @query("validate_links", """select 'unknown_source' as rule, count(*) as n from audit where source_id > 3 union all select 'dangling_mask', count(*) from audit where mask_ref > 6
