@@ -46,15 +46,21 @@ def routes(stays: DataFrame, span_ns: int = 86_400_000_000_000) -> DataFrame:
     return found.select("subject_id", F.col("s.zone_id").alias("zones"), "start_ns", "end_ns")
 
 
-def co_occurrences(stays: DataFrame, bucket_ns: int) -> DataFrame:
-    """Stays of two subjects that overlap in one zone: an equi-join on buckets of time, kept in the first common bucket."""
-    buckets = F.explode(F.sequence(F.expr(f"start_ns div {bucket_ns}"), F.expr(f"end_ns div {bucket_ns}")))
-    cut = stays.withColumn("_bucket", buckets)
-    a = cut.select("zone_id", "_bucket", F.col("subject_id").alias("subject_a"), F.col("start_ns").alias("a0"), F.col("end_ns").alias("a1"))
+def co_occurrences(stays: DataFrame, bucket_ns: int | None = None) -> DataFrame:
+    """Stays of two subjects that overlap in one zone: an equi-join on buckets of time, kept in the first common bucket.
+
+    The width of a bucket, unless given, is a quarter of the mean stay (a minute at least): a stay lies in few buckets, and
+    a bucket holds little that does not overlap.
+    """
+    stays = stays.select("subject_id", "zone_id", "start_ns", "end_ns", "duration_ns")
+    width = stays.agg(F.greatest(F.avg(F.when(F.col("duration_ns") > 0, F.col("duration_ns"))) / 4, F.lit(6e10)).cast("long").alias("_width"))  # one row
+    cut = stays.withColumn("_width", F.lit(bucket_ns).cast("long")) if bucket_ns else stays.crossJoin(F.broadcast(width))
+    cut = cut.withColumn("_bucket", F.explode(F.sequence(F.expr("start_ns div _width"), F.expr("end_ns div _width"))))
+    a = cut.select("zone_id", "_bucket", "_width", F.col("subject_id").alias("subject_a"), F.col("start_ns").alias("a0"), F.col("end_ns").alias("a1"))
     b = cut.select("zone_id", "_bucket", F.col("subject_id").alias("subject_b"), F.col("start_ns").alias("b0"), F.col("end_ns").alias("b1"))
     start, end = F.greatest("a0", "b0"), F.least("a1", "b1")
     met = a.join(b, ["zone_id", "_bucket"]).filter("subject_a < subject_b and a0 < b1 and b0 < a1").withColumn("_first", start)
-    met = met.filter(F.col("_bucket") == F.expr(f"_first div {bucket_ns}"))
+    met = met.filter(F.col("_bucket") == F.expr("_first div _width"))
     return met.select("subject_a", "subject_b", "zone_id", start.alias("start_ns"), end.alias("end_ns"), (end - start).alias("overlap_ns"))
 
 

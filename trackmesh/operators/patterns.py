@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackmesh.functions import scalars as s
+from trackmesh.shared import write_once
 
 COLUMNS = ("kind", "subject_id", "subject_b", "bucket", "n", "confidence", "tag")
 
@@ -63,8 +64,15 @@ def route_sequence(routes: DataFrame) -> DataFrame:
     return _rows(rows, "route_sequence", tag="key")
 
 
-def co_occurrence(pairs: DataFrame) -> DataFrame:
-    rows = _shared(pairs.select(F.least("subject_a", "subject_b").alias("a"), F.greatest("subject_a", "subject_b").alias("b")), ["a", "b"])
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """How often two subjects meet (a below b)."""
+    return pairs.groupBy(F.least("subject_a", "subject_b").alias("a"), F.greatest("subject_a", "subject_b").alias("b")).agg(F.count("*").alias("n"))
+
+
+def co_occurrence(counts: DataFrame) -> DataFrame:
+    """From the counts of pairs: those that meet twice at least, and their share of all meetings."""
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    rows = counts.filter("n >= 2").crossJoin(F.broadcast(total)).withColumn("confidence", F.col("n") / F.col("total"))
     return _rows(rows, "co_occurrence", subject="a", subject_b="b", tag=s.pair_tag(F.col("a"), F.col("b")))
 
 
@@ -74,8 +82,9 @@ def expected_absence(timed: DataFrame) -> DataFrame:
     return _rows(rows, "expected_absence", tag=s.saturated_tag(F.floor(F.col("median") / 1_000_000_000)))
 
 
-def group_formation(pairs: DataFrame) -> DataFrame:
-    found = pairs.select(F.explode(F.array("subject_a", "subject_b")).alias("subject_id")).groupBy("subject_id").agg(F.count("*").alias("n"))
+def group_formation(counts: DataFrame) -> DataFrame:
+    """From the counts of pairs: subjects that meet others three times at least."""
+    found = counts.select(F.explode(F.array("a", "b")).alias("subject_id"), "n").groupBy("subject_id").agg(F.sum("n").alias("n"))
     return _rows(found.filter("n >= 3").withColumn("confidence", F.least(F.lit(1.0), F.col("n") / 10)), "group_formation", tag="n")
 
 
@@ -92,6 +101,6 @@ def event_before_event(timed: DataFrame, max_gap_ns: int = 0) -> DataFrame:
 
 def mine_all(series: dict[str, DataFrame]) -> DataFrame:
     """All miners over the four analysis inputs."""
-    timed, pairs = series["timed"], series["pairs"]
+    timed, pairs = series["timed"], write_once(pair_counts(series["pairs"]), "pair-counts")
     found = [event_before_event(timed), time_of_day(timed), day_of_week(timed), visit_periodicity(timed), dwell_distribution(series["durations"]), route_sequence(series["routes"]), co_occurrence(pairs), expected_absence(timed), group_formation(pairs)]
     return reduce(DataFrame.unionByName, found)

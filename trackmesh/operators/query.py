@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,19 +61,13 @@ def then_seen(stays: DataFrame, first: int, later: int, within_ns: int = 0) -> D
 
 
 def subject_query(samples: DataFrame, stays: DataFrame, routes: DataFrame, q: SubjectQuery) -> DataFrame:
-    """One row per subject: sample_count, max_confidence (0 at least), first_pos, n_stays, dwell_ns; ordered and paged."""
-    hits = _sample_filter(samples, q).groupBy("subject_id").agg(F.count("*").alias("sample_count"), F.greatest(F.max("confidence"), F.lit(0.0)).alias("max_confidence"), F.min("sample_id").alias("first_pos"))
-    dwell = stays.groupBy("subject_id").agg(F.count("*").alias("n_stays"), F.sum("duration_ns").alias("dwell_ns"))
-    hits = hits.join(dwell, "subject_id", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_stays", "dwell_ns")})
-    if q.zone is not None:
-        hits = hits.join(stays.filter(F.col("zone_id") == q.zone), "subject_id", "left_semi")
-    if q.then is not None:
-        hits = hits.join(then_seen(stays, *q.then), "subject_id", "left_semi")
-    if q.route:
-        hits = hits.join(routes.filter(contains_run(F.col("zones"), list(q.route))), "subject_id", "left_semi")
-    if q.min_dwell_ns is not None:
-        hits = hits.filter(F.col("dwell_ns") >= q.min_dwell_ns)
-    return page(hits.orderBy(*{"subject_id": ["subject_id"], "sample_count": [F.desc("sample_count"), "first_pos"], "dwell": [F.desc("dwell_ns"), "first_pos"]}[q.order]), q.offset, q.limit)
+    """One row per subject: sample_count, max_confidence (0 at least), first_pos, n_stays, dwell_ns; ordered and paged.
+
+    Samples that do not meet the query are not counted.
+    """
+    hits, holds = _flagged(_sample_filter(samples, q), stays, routes, [replace(q, subject_ids=(), source_id=None, start_ns=None, end_ns=None, min_confidence=None, near=None)])
+    order = {"subject_id": ["subject_id"], "sample_count": [F.desc("sample_count"), "first_pos"], "dwell": [F.desc("dwell_ns"), "first_pos"]}[q.order]
+    return page(hits.filter(holds[0]).select(*HIT).orderBy(*order), q.offset, q.limit)
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -90,14 +84,15 @@ def _leaves(node: tuple) -> list[SubjectQuery]:
     return [arg] if kind == "pred" else [q for n in ([arg] if kind == "not" else arg) for q in _leaves(n)]
 
 
-def execute_ast(node: tuple, samples: DataFrame, stays: DataFrame, routes: DataFrame) -> DataFrame:
-    """Hits of a tree's subjects, with all their samples. An empty 'and' is every subject, an empty 'or' none.
+HIT = ("subject_id", "sample_count", "max_confidence", "first_pos", "n_stays", "dwell_ns")
+
 
-    Each leaf is a flag of a subject: samples, stays and routes are aggregated once for all leaves, and the tree is one
-    filter over the flags.
+def _flagged(samples: DataFrame, stays: DataFrame, routes: DataFrame, leaves: list[SubjectQuery]) -> tuple[DataFrame, list[Column]]:
+    """A row for each subject of the samples, and for each leaf the condition that it meets it.
+
+    Samples, stays and routes are aggregated once for all leaves; only a 'then' within a time needs a join of its own.
     """
     flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    leaves = list(dict.fromkeys(_leaves(node)))
     hits = {f"s{i}": flag(reduce(Column.__and__, parts)) for i, q in enumerate(leaves) if (parts := _sample_parts(q))}
     seen = {f"z{i}": flag(F.col("zone_id") == q.zone) for i, q in enumerate(leaves) if q.zone is not None}
     for i, q in enumerate(leaves):
@@ -117,18 +112,28 @@ def execute_ast(node: tuple, samples: DataFrame, stays: DataFrame, routes: DataF
             rows = rows.join(then_seen(stays, *q.then).withColumn(f"t{i}", F.lit(True)), "subject_id", "left")
             flags.append(f"t{i}")
 
+    def meets(i: int, q: SubjectQuery) -> Column:
+        parts = [F.coalesce(f"{kind}{i}", F.lit(False)) for kind in "sztr" if f"{kind}{i}" in flags]
+        return reduce(Column.__and__, parts, F.col("dwell_ns") >= q.min_dwell_ns if q.min_dwell_ns is not None else F.lit(True))
+
+    return rows, [meets(i, q) for i, q in enumerate(leaves)]
+
+
+def execute_ast(node: tuple, samples: DataFrame, stays: DataFrame, routes: DataFrame) -> DataFrame:
+    """Hits of a tree's subjects, with all their samples: one filter over a flag for each leaf. An empty 'and' is every
+    subject, an empty 'or' none."""
+    leaves = list(dict.fromkeys(_leaves(node)))
+    rows, meets = _flagged(samples, stays, routes, leaves)
+
     def holds(node: tuple) -> Column:
         kind, arg = node
+        if kind == "pred":
+            return meets[leaves.index(arg)]
         if kind == "not":
             return ~holds(arg)
-        if kind != "pred":
-            return reduce(Column.__and__ if kind == "and" else Column.__or__, map(holds, arg), F.lit(kind == "and"))
-        i = leaves.index(arg)
-        parts = [F.coalesce(f"{kind}{i}", F.lit(False)) for kind in "sztr" if f"{kind}{i}" in flags]
-        parts += [F.col("dwell_ns") >= arg.min_dwell_ns] if arg.min_dwell_ns is not None else []
-        return reduce(Column.__and__, parts, F.lit(True))
+        return reduce(Column.__and__ if kind == "and" else Column.__or__, map(holds, arg), F.lit(kind == "and"))
 
-    return rows.filter(holds(node)).select("subject_id", "sample_count", "max_confidence", "first_pos", "n_stays", "dwell_ns").orderBy("subject_id")
+    return rows.filter(holds(node)).select(*HIT).orderBy("subject_id")
 
 
 def hit_evidence(hits: DataFrame, samples: DataFrame, stays: DataFrame, routes: DataFrame, q: SubjectQuery = SubjectQuery()) -> DataFrame:

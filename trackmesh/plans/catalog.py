@@ -400,12 +400,12 @@ def _(spark, d):
 
 @query("mine_co_occurrence", "select subject_a as subject_id, subject_b, count(*) as n, round(count(*) / (select count(*) from co), 6) as confidence, ((subject_b & 65535) << 16) | (subject_a & 65535) as tag from co group by subject_a, subject_b having count(*) >= 2", "co")
 def _(spark, d):
-    return r6(pat.co_occurrence(t.series(spark, d)["pairs"]).select("subject_id", "subject_b", "n", "confidence", "tag"), "confidence")
+    return r6(pat.co_occurrence(pat.pair_counts(t.series(spark, d)["pairs"])).select("subject_id", "subject_b", "n", "confidence", "tag"), "confidence")
 
 
 @query("mine_group_formation", "select subject_id, count(*) as n, round(least(1.0, count(*) / 10.0), 6)::double as confidence from (select subject_a as subject_id from co union all select subject_b from co) group by subject_id having count(*) >= 3", "co")
 def _(spark, d):
-    return r6(pat.group_formation(t.series(spark, d)["pairs"]).select("subject_id", "n", "confidence"), "confidence")
+    return r6(pat.group_formation(pat.pair_counts(t.series(spark, d)["pairs"])).select("subject_id", "n", "confidence"), "confidence")
 
 
 @query("mine_event_before_event", """with l as (select subject_id, kind_tag a, lead(kind_tag) over (partition by subject_id order by at_ns, event_id) b from timed where subject_id is not null and kind_tag <> 0)
@@ -526,7 +526,7 @@ for _name, _reason, _f, _src in (
 @query("detect_statistical", _found(_DETECTORS, 2.5), "timed", "durs")
 def _(spark, d):
     x = t.series(spark, d, shared=True)
-    return _shown(an.detect_statistical(x, an.baseline(x)))
+    return _shown(an.detect_statistical(x, write_once(an.baseline(x), "baseline")))
 
 
 @query("change_point_cusum", """with r as (select subject_id, row_number() over w k, sum(duration_ns / 1e9) over (partition by subject_id order by start_ns, zone_id rows unbounded preceding) l, sum(duration_ns / 1e9) over (partition by subject_id) tot, count(*) over (partition by subject_id) n from stays window w as (partition by subject_id order by start_ns, zone_id)),
@@ -626,7 +626,7 @@ _SCORED = f"""with {_slices(None)} select 'dwell' as kind, subject_id, at_ns, ro
 @query("score_series", _SCORED, "timed", "durs")
 def _(spark, d):
     x = t.series(spark, d, shared=True)
-    return r6(an.score_series(x, an.baseline(x)), "score", digits=4)
+    return r6(an.score_series(x, write_once(an.baseline(x), "baseline")), "score", digits=4)
 
 
 @query("placeholder_detector", f"with {_slices(None)} select subject_id, at_ns, round(z / (1 + z), 6) as score from (select *, {_Z.format('duration_ns - dm', 'ds')} z from d, b1)", "timed", "durs")

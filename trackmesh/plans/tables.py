@@ -57,18 +57,17 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def co_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.co_occurrences(zone_stays(spark, sf_dir), HOUR)
+    return memory.co_occurrences(zone_stays(spark, sf_dir))
 
 
 def series(spark: SparkSession, sf_dir: str, shared: bool = False) -> dict[str, DataFrame]:
-    """The four analysis inputs: timed, durations, routes, pairs. shared: samples, stays and pairs are written once, for
+    """The four analysis inputs: timed, durations, routes, pairs. shared: samples and stays are written once, for
     queries that read them many times."""
     eff = effective_samples(spark, sf_dir).select("sample_id", "source_id", "pts_ns", "subject_id", "zone_id")
     eff = write_once(eff, "samples") if shared else eff
     stays = memory.zone_stays(eff)
     stays = write_once(stays, "stays") if shared else stays
-    pairs = memory.co_occurrences(stays, HOUR)
-    pairs = write_once(pairs, "pairs") if shared else pairs
+    pairs = memory.co_occurrences(stays)
     return {
         "timed": eff.select("subject_id", "source_id", F.col("pts_ns").alias("at_ns"), F.col("sample_id").alias("event_id"), F.col("zone_id").cast("long").alias("kind_tag")),
         "durations": stays.select("subject_id", "source_id", "zone_id", "duration_ns", F.col("start_ns").alias("at_ns"), F.lit(None).cast("long").alias("event_id")),
