@@ -8,7 +8,11 @@ Huffman tables. Frames are decoded to samples by an integer inverse transform, a
 difference of adjacent frames exceeds the mean of the last ones by a multiple of their deviation.
 
 Cases: null text is the empty payload, stored as 64 zero bytes. Equal texts give equal files and features. Long payloads
-are encoded and decoded frame by frame in bounded runs.
+are encoded and decoded frame by frame in bounded runs. Repeated rows are stored each on their own; of equally large
+differences none is a cut by itself. Other columns, whatever their names, are left behind. Empty tables give no row.
+Of files from elsewhere: null media has no clip; bytes that are no AVI file give one row without a clip. A frame without
+tables of its own has the standard's. A frame of no length (a dropped one) or one that cannot be decoded shows the frame
+before it, or nothing at the start; `broken` counts the latter kind in each clip.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ RUN = 256
 BINS, MEMORY, FACTOR, FLOOR = 32, 8, 3.0, 0.25
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long"
-CLIPS = "doc_id long, clip long, first_frame long, n_frames long, start_s double, end_s double, mean_luma double, cut_score double"
+CLIPS = "doc_id long, clip long, first_frame long, n_frames long, start_s double, end_s double, mean_luma double, cut_score double, broken long"
 
 
 def _zigzag() -> np.ndarray:
@@ -65,6 +69,26 @@ def _huffman_segment(kind: int, symbols_by_length: dict[int, list[int]]) -> byte
     return _segment(0xC4, bytes([kind]) + counts + bytes(s for n in sorted(symbols_by_length) for s in symbols_by_length[n]))
 
 
+#: Fixed values of the standard: how many code words of 1 to 16 bits there are, and the symbols in their order. Of AC symbols
+#: (run and size) those not named follow in ascending order. By table class and number, as in a frame's own tables.
+_DC_SYMBOLS = list(range(12))
+_AC_SYMBOLS = sorted([0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))])
+_AC_LUMA = [0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82]
+_AC_CHROMA = [0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1]
+_STANDARD = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], _DC_SYMBOLS),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], _DC_SYMBOLS),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], _AC_LUMA + [x for x in _AC_SYMBOLS if x not in _AC_LUMA]),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], _AC_CHROMA + [x for x in _AC_SYMBOLS if x not in _AC_CHROMA]),
+}
+
+
+def _by_length(counts: list[int], symbols: list[int]) -> dict[int, list[int]]:
+    ends = np.cumsum(counts).tolist()
+    return {n: symbols[end - count : end] for n, (count, end) in enumerate(zip(counts, ends, strict=True), 1) if count}
+
+
+STANDARD_TABLES = {kind: _by_length(*table) for kind, table in _STANDARD.items()}
 #: One symbol, size class 8 without a run, as the code word 0.
 _FLAT = {1: [8]}
 _HEAD = (
@@ -114,8 +138,13 @@ class Frame:
 def parse_jpeg(data: bytes) -> Frame:
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, quant, huffman, restart, size, components = 2, {}, {}, 0, (0, 0), []
+    at, quant, huffman, restart, size, components = 2, {}, dict(STANDARD_TABLES), 0, (0, 0), []
     while at + 4 <= len(data):
+        if data[at] != 0xFF:
+            raise ValueError("no marker where one is due")
+        if data[at + 1] in (0xFF, 0x01, *range(0xD0, 0xD8)):  # a fill byte, or a marker without a body
+            at += 1 if data[at + 1] == 0xFF else 2
+            continue
         marker, length = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
         body = data[at + 4 : at + 2 + length]
         at += 2 + length
@@ -129,13 +158,9 @@ def parse_jpeg(data: bytes) -> Frame:
             components = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * body[5], 3)]
         elif marker == 0xC4:
             while body:
-                counts, out, p = body[1:17], {}, 17
-                for n, count in enumerate(counts, 1):
-                    if count:
-                        out[n] = list(body[p : p + count])
-                        p += count
-                huffman[body[0]] = out
-                body = body[p:]
+                counts = list(body[1:17])
+                huffman[body[0]] = _by_length(counts, list(body[17 : 17 + sum(counts)]))
+                body = body[17 + sum(counts) :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
@@ -148,7 +173,7 @@ def parse_jpeg(data: bytes) -> Frame:
 
 
 def _is_flat(frame: Frame) -> bool:
-    return len(frame.components) == 1 and frame.restart == 1 and all(t == _FLAT for t in frame.huffman.values()) and frame.width % 8 == frame.height % 8 == 0
+    return len(frame.components) == 1 and frame.restart == 1 and frame.huffman[0] == frame.huffman[0x10] == _FLAT and frame.width % 8 == frame.height % 8 == 0
 
 
 def flat_payload(scans: list[bytes]) -> np.ndarray:
@@ -185,16 +210,19 @@ def decode_scan(frame: Frame) -> dict[int, np.ndarray]:
     left = -(-frame.width // cell[0]) * -(-frame.height // cell[1])
     parts = _RESTART.split(frame.scan) if frame.restart else [frame.scan]
     for part in parts:
-        data, pos, dc = part.replace(b"\xff\x00", b"\xff"), 0, dict.fromkeys(out, 0)
-        total = int.from_bytes(data, "big")
-        n_bits = 8 * len(data)
+        data, dc = iter(part.replace(b"\xff\x00", b"\xff")), dict.fromkeys(out, 0)
+        ahead = have = 0  # bits read and not used yet, and their number
 
         def bits(n: int) -> int:
-            nonlocal pos
-            pos += n
-            if pos > n_bits:
-                raise ValueError("the scan ends too soon")
-            return total >> (n_bits - pos) & ((1 << n) - 1)
+            nonlocal ahead, have
+            while have < n:
+                byte = next(data, None)
+                if byte is None:
+                    raise ValueError("the scan ends too soon")
+                ahead, have = ahead << 8 | byte, have + 8
+            have -= n
+            found, ahead = ahead >> have, ahead & ((1 << have) - 1)
+            return found
 
         def symbol(table: dict) -> int:
             code = 0
@@ -268,17 +296,16 @@ class Avi:
 
 
 def parse_avi(data: bytes) -> Avi:
-    """Frames by the idx1 index; without one, by walking the movi list."""
+    """Frames by the idx1 index; without one, or in a file of several RIFF parts, by walking the movi lists."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, seconds, movi, index, walked, length = 12, 1 / FPS, None, None, [], None
-    ends = [len(data)]
+    at, seconds, movi, index, walked, length, more = 12, 1 / FPS, None, None, [], None, False
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-        if kind == b"LIST":
+        if kind in (b"LIST", b"RIFF"):
             if data[at + 8 : at + 12] == b"movi":
-                movi = at + 8
-                ends.append(at + 8 + size)
+                movi = at + 8 if movi is None else movi
+            more |= kind == b"RIFF"
             at += 12
             continue
         if kind == b"avih":
@@ -290,7 +317,7 @@ def parse_avi(data: bytes) -> Avi:
         elif kind == b"idx1":
             index = [(k, o, n) for k, _, o, n in struct.iter_unpack("<4sIII", data[at + 8 : at + 8 + size - size % 16])]
         at += 8 + size + size % 2
-    if index is None or movi is None:
+    if index is None or movi is None or more:
         return Avi(seconds, walked, length)
     video = [(o, n) for k, o, n in index if k[2:] in (b"dc", b"db")]
     # places count from the list's kind, or from the file's start in some writers
@@ -298,22 +325,38 @@ def parse_avi(data: bytes) -> Avi:
     return Avi(seconds, [(base + o + 8, n) for o, n in video], length)
 
 
-def decode_runs(data: bytes, avi: Avi) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
-    """Payload bytes (None for foreign frames) and the frames' samples, a run of frames at a time."""
-    flat_quant = None
+def decode_foreign(raw: bytes) -> np.ndarray:
+    """The luma samples of a frame from elsewhere; a ValueError if it cannot be decoded."""
+    try:
+        frame = parse_jpeg(raw)
+        first = frame.components[0]  # the luma component
+        return samples(decode_scan(frame)[first[0]], frame.quant[first[3]]).reshape(1, -1)
+    except (KeyError, IndexError, struct.error, TypeError) as fault:
+        raise ValueError(f"broken frame: {fault!r}") from fault
+
+
+def decode_runs(data: bytes, avi: Avi) -> Iterator[tuple[np.ndarray | None, np.ndarray, int]]:
+    """Payload bytes (None for foreign frames), the frames' samples, and how many are broken, a run of frames at a time."""
+    flat_quant, before = None, np.zeros((1, 64), np.uint8)
     for at in range(0, len(avi.frames), RUN):
         raw = [data[p : p + n] for p, n in avi.frames[at : at + RUN]]
-        if all(r.startswith(_HEAD) for r in raw):
+        if all(r.startswith(_HEAD) and len(r) >= len(_HEAD) + 2 for r in raw):
             if flat_quant is None:
                 frame = parse_jpeg(raw[0])
                 flat_quant = frame.quant[frame.components[0][3]] if _is_flat(frame) else None
             payload = flat_payload([r[len(_HEAD) : -2] for r in raw])
-            yield payload.reshape(-1), samples(payload_coefficients(payload), flat_quant).reshape(len(raw), -1)
+            shown = samples(payload_coefficients(payload), flat_quant).reshape(len(raw), -1)
+            yield payload.reshape(-1), shown, 0
+            before = shown[-1:]
             continue
         for r in raw:
-            frame = parse_jpeg(r)
-            first = frame.components[0]  # the luma component
-            yield None, samples(decode_scan(frame)[first[0]], frame.quant[first[3]]).reshape(1, -1)
+            broken = 0
+            if r:
+                try:
+                    before = decode_foreign(r)
+                except ValueError:
+                    broken = 1
+            yield None, before, broken
 
 
 def histograms(frames: np.ndarray) -> np.ndarray:
@@ -350,10 +393,11 @@ def padded(text: str) -> tuple[bytes, int]:
 
 
 def analyse(media: bytes) -> tuple[bytes, list[tuple], int]:
-    """The payload read back, the clip rows (clip, first, n, start, end, luma, score), and the number of frames."""
+    """The payload read back, the clip rows (clip, first, n, start, end, luma, score, broken), and the number of frames."""
     avi = parse_avi(media)
-    parts, hists, lumas = [], [], []
-    for payload, frames in decode_runs(media, avi):
+    parts, hists, lumas, bad = [], [], [], []
+    for payload, frames, broken in decode_runs(media, avi):
+        bad += [broken] * len(frames)
         if payload is not None:
             parts.append(payload.tobytes())
         hists.append(histograms(frames))
@@ -364,7 +408,7 @@ def analyse(media: bytes) -> tuple[bytes, list[tuple], int]:
     clips = []
     for k, first in enumerate(starts):
         end = starts[k + 1] if k + 1 < len(starts) else len(hist)
-        clips.append((k, first, end - first, first * avi.frame_seconds, end * avi.frame_seconds, float(luma[first:end].sum() / (end - first)), float(diff[first])))
+        clips.append((k, first, end - first, first * avi.frame_seconds, end * avi.frame_seconds, float(luma[first:end].sum() / (end - first)), float(diff[first]), sum(bad[first:end])))
     return b"".join(parts)[: avi.payload_bytes], clips, len(hist)
 
 
@@ -378,11 +422,17 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """Timed clip rows of a media column (doc_id, media); null media has none."""
+    """Timed clip rows of a media column (doc_id, media); null media has none, other bytes than AVI a row without a clip."""
     names = [c.split()[0] for c in CLIPS.split(", ")]
 
+    def found(media: bytes) -> list[tuple]:
+        try:
+            return analyse(media)[1]
+        except (ValueError, struct.error):
+            return [(None, None, 0, None, None, None, None, 0)]
+
     def per_slice(batch: pa.RecordBatch) -> dict:
-        rows = [(d, *c) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if m is not None for c in analyse(m)[1]]
+        rows = [(d, *c) for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if m is not None for c in found(m)]
         return dict(zip(names, zip(*rows, strict=True) if rows else [[]] * len(names), strict=True))
 
     return map_rows(media.select("doc_id", "media"), per_slice, CLIPS)
