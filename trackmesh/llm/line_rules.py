@@ -1,7 +1,9 @@
 """Quality rules, line first: judge each line, remove failures, then reject documents that lose too much.
 
 Cases: null or empty text has no words, so the base rule (fewer than 50 words) rejects it. Lines without a word
-are never judged. Repeated rows are judged alike, row by row; other columns of the input play no part.
+are never judged. Repeated rows are judged alike, row by row; other columns of the input, whatever their names, play no
+part, and clean keeps them. Very long texts are judged whole. A document that loses just the limit stays. Empty tables
+give no row.
 """
 
 from __future__ import annotations
@@ -20,23 +22,14 @@ SYMBOLS = "#*$%&|<>"
 #: A line of at most fragment_words words that ends otherwise is a heading, a menu entry or a fragment.
 TERMINAL = ".!?:;…\"'”’»)]。！？"
 NAVIGATION = "|»›>•·"
+#: Phrases of menus, notices and licences, by language.
 BOILERPLATE = (
-    "all rights reserved",
-    "accept cookies",
-    "click here",
-    "copyright (c)",
-    "enable javascript",
-    "licensed under",
-    "lorem ipsum",
-    "privacy policy",
-    "released under",
-    "share this",
-    "sign in",
-    "sign up",
-    "subscribe to",
-    "terms of service",
-    "terms of use",
-)
+    "accept cookies", "all rights reserved", "click here", "copyright (c)", "enable javascript", "licensed under", "lorem ipsum", "privacy policy", "released under", "share this", "sign in", "sign up", "subscribe to", "terms of service", "terms of use",
+    "accepter les cookies", "cliquez ici", "conditions générales", "mentions légales", "politique de confidentialité", "tous droits réservés",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "nutzungsbedingungen",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "política de privacidad", "términos de uso", "todos los derechos reservados",
+    "©",
+)
 _SPACE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long"
 
