@@ -69,9 +69,59 @@ def test_foreign_decoder_and_index():
     assert avi.parse_avi(without).frames == found.frames
 
 
+def brute_shots(hists):
+    """Cuts by the definition: the difference is over the floor and the last ones' mean and deviation since the last cut."""
+    starts = [0]
+    share = [[v / max(sum(h), 1) for v in h] for h in hists]
+    diff = [sum(abs(a - b) for a, b in zip(x, y)) / 2 for x, y in zip(share[1:], share)]
+    for i in range(1, len(hists)):
+        last = [diff[j - 1] for j in range(starts[-1] + 1, i)][-avi.MEMORY :]
+        mean = np.mean(last) if last else 0
+        if diff[i - 1] > avi.FLOOR and diff[i - 1] > mean + avi.FACTOR * (np.std(last) if last else 0):
+            starts.append(i)
+    return starts
+
+
 def test_shots():
     hists = np.array([[100, 0]] * 10 + [[0, 100]] * 10)
     assert avi.detect_shots(hists)[0] == [0, 10]
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        scenes = [rng.integers(0, 50, 8) for _ in range(rng.integers(1, 6))]
+        hists = np.array([np.maximum(s + rng.integers(-4, 5, 8), 0) for s in scenes for _ in range(rng.integers(1, 12))])
+        assert avi.detect_shots(hists)[0] == brute_shots(hists.tolist())
+
+
+def bare_jpeg(bits, marker=b""):
+    """A grey 8 by 8 frame without Huffman tables: its scan is these bits, filled with ones."""
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    quant = avi._segment(0xDB, b"\x00" + bytes([1] * 64))
+    return b"\xff\xd8" + quant + marker + avi._segment(0xC0, bytes([8, 0, 8, 0, 8, 1, 1, 0x11, 0])) + avi._segment(0xDA, bytes([1, 1, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+
+
+def test_frames_without_tables():
+    # DC of size 3 (100), value 5; AC of run 0 and size 1 (00), value 1; run 15 (11111111001), then end of block (1010)
+    for marker in (b"", b"\xff", b"\xff\xff\xff"):
+        got = avi.decode_scan(avi.parse_jpeg(bare_jpeg("100" + "101" + "00" + "1" + "11111111001" + "1010", marker)))[1]
+        assert got.tolist() == [[5, 1] + [0] * 62]
+    assert sorted(s for t in avi.STANDARD_TABLES[0x11].values() for s in t) == sorted(s for t in avi.STANDARD_TABLES[0x10].values() for s in t)
+
+
+def test_broken_and_foreign_media(spark):
+    own = avi.write_avi(b"x" * 64)
+    (at, n), bare = avi.parse_avi(own).frames[0], bare_jpeg("100" + "101" + "1010")
+    movi = own.index(b"movi")
+    rebuilt = lambda frames: b"RIFF" + b"\0" * 4 + own[8 : movi - 8] + b"LIST" + b"\0" * 4 + b"movi" + b"".join(avi._chunk(b"00dc", f) for f in frames)
+    tableless = own[at : at + n].replace(avi._huffman_segment(0x00, avi._FLAT), b"")
+    media = [(1, own), (2, None), (3, b""), (4, b"no video at all"), (5, own[:100]), (6, rebuilt([bare, b"", bare[:60], bare])), (7, rebuilt([b"junk", bare])), (8, rebuilt([])), (9, rebuilt([tableless, bare])), (None, own)]
+    got = defaultdict(list)
+    for r in avi.clips(spark.createDataFrame(media, "doc_id long, media binary")).collect():
+        got[r.doc_id].append((r.clip, r.n_frames, r.broken))
+    assert got[1] == got[None] == [(0, 1, 0)] and 2 not in got and got[3] == got[4] == [(None, 0, 0)] and 8 not in got
+    assert got[6] == [(0, 4, 1)] and sum(n for _, n, _ in got[7]) == 2 and sum(b for _, _, b in got[7]) == 1 and sum(n for _, n, _ in got[9]) == 2
+    parts = rebuilt([bare]) + b"RIFF" + b"\0" * 4 + b"AVIXLIST" + b"\0" * 4 + b"movi" + avi._chunk(b"00dc", bare)
+    assert len(avi.parse_avi(parts).frames) == 2
 
 
 def brute_spans(text):
@@ -389,6 +439,43 @@ def test_letters_and_cases():
     assert (plain.grams[:7] == odd.grams[:7]).all() and (plain.grams[:3] == language_spans.split_words("abc").grams).all()
 
 
+def test_scores_against_pairs(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    machine = factorisation.fit(docs, labels)
+    got = {r.doc_id: r.score for r in factorisation.score(docs, machine, factorisation.FmConfig().bits).collect()}
+    for r in docs.collect():
+        ids, values = factorisation.features(r.text or "", factorisation.FmConfig().bits)
+        raw = machine.bias + machine.weights[ids] @ values
+        products = (machine.factors[ids] @ machine.factors[ids].T) * np.outer(values, values)
+        raw += sum(products[a, a + 1 :].sum() for a in range(len(ids)))  # every pair once
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-6)
+
+
+@pytest.mark.parametrize("rule", token_attribution.RULES)
+def test_attribution_by_character(spark, awkward, rule):
+    path, pattern = vocabulary(RANKS)
+    rnd = random.Random(6)
+    codec = bpe_transducer.load_codec(path, pattern)
+    texts = {i: "".join(rnd.choice(["a", " the", "\n", "\n\n", "  ", "ñ", "中", "🙂", "word", "."]) for _ in range(rnd.randint(0, 60))) for i in range(80)}
+    want = {}
+    for k, text in texts.items():
+        char_of = [i for i, c in enumerate(text) for _ in c.encode()]
+        line_of = list(itertools.accumulate((c == "\n" for c in text), initial=0))[: len(text)]
+        counts, at = Counter(), 0
+        for token in codec.encode(text):
+            size = len(codec.decode_bytes([token]))
+            chars = sorted(set(char_of[at : at + size]))
+            at += size
+            held = Counter(line_of[c] for c in chars)
+            counts[{"first": line_of[chars[0]], "last": line_of[chars[-1]], "majority": min(held, key=lambda x: (-held[x], x))}[rule]] += 1
+        want[k] = counts
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = defaultdict(Counter)
+    for r in token_attribution.section_tokens(df, path, pattern, rule).collect():
+        got[r.doc_id][r.section] += r.n_tokens
+    assert all(+got[k] == want[k] for k in want)
+
+
 def test_mixed_language_spans():
     model = language_spans.LangModel(["a", "b"], np.zeros((1 << language_spans.BITS, 2), np.float32), np.ones((len(language_spans.SCRIPTS), 2), bool))
     scores = np.array([[5, 0]] * 6 + [[0, 5]] * 6 + [[5, 0]], float)
