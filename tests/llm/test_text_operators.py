@@ -486,10 +486,82 @@ def test_mixed_language_spans():
 def test_empty_tables(spark, awkward):
     none = awkward[0].limit(0)
     path, pattern = vocabulary(RANKS)
-    for df in (avi.media_digest(none), secrets.secret_digest(none), substring_dedup.dedup_digest(none), jaccard_join.near_duplicates(none), bpe_transducer.encode_and_decode(none, path, pattern), line_rules.quality_report(none), packing.pack(none, *vocabulary(TOKENIZER)), language_spans.language_report(none), token_attribution.section_tokens(none, path, pattern), substring_dedup.drop_repeats(none), jaccard_join.keep_first(none), secrets.redact(none), line_rules.clean(none)):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = language_spans.fit(none)
+    found = [
+        avi.media_digest(none), avi.to_media(none), avi.clips(avi.to_media(none)), secrets.secret_digest(none), secrets.redact(none), substring_dedup.dedup_digest(none), substring_dedup.drop_repeats(none),
+        jaccard_join.near_duplicates(none), jaccard_join.keep_first(none), bpe_transducer.encode_and_decode(none, path, pattern), bpe_transducer.encode_ids(none, path, pattern),
+        bpe_transducer.decode_ids(bpe_transducer.encode_ids(none, path, pattern), path, pattern), line_rules.quality_report(none), line_rules.clean(none), packing.pack(none, *vocabulary(TOKENIZER)),
+        factorisation.quality_scores(none, labels), language_spans.language_report(none), language_spans.language_spans(none, model), token_attribution.section_tokens(none, path, pattern), token_attribution.field_tokens(none, "doc_id", ["lang", "text"], path, pattern),
+    ]
+    for df in found:
         assert df.count() == 0
 
 
+def test_ids_round_trip(awkward):
+    path, pattern = vocabulary(RANKS)
+    df, rows = awkward
+    back = {r.doc_id: r.text for r in bpe_transducer.decode_ids(bpe_transducer.encode_ids(df, path, pattern), path, pattern).collect()}
+    assert back == {r[0]: r[1] or "" for r in rows}
+
+
+def brute_redact(text):
+    spans = []
+    for rule in secrets.RULES:
+        spans += [(x.start(), x.end()) for x in re.finditer(rule.pattern, text, (re.I if rule.fold else 0) | re.A) if len(x.group(rule.group)) >= rule.least]
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[SECRET]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def brute_cut(docs, n=20):
+    """docs (doc_id, text) without the words of windows that start earlier; the space after a word goes with it."""
+    words = {k: list(re.finditer(r"[^\x20\x09-\x0D]+", t)) for k, t in docs.items()}
+    first = {}
+    for k in sorted(words):
+        seq = [m.group() for m in words[k]]
+        for i in range(len(seq) - n + 1):
+            first.setdefault(tuple(seq[i : i + n]), (k, i))
+    out = {}
+    for k, found in words.items():
+        seq, gone = [m.group() for m in found], set()
+        for i in range(len(seq) - n + 1):
+            if first[tuple(seq[i : i + n])] < (k, i):
+                gone.update(range(i, i + n))
+        ends = [m.start() for m in found[1:]] + [len(docs[k])]
+        lead = docs[k][: found[0].start()] if found and 0 not in gone else ""
+        out[k] = docs[k] if not gone else lead + "".join(docs[k][m.start() : e] for j, (m, e) in enumerate(zip(found, ends)) if j not in gone)
+    return out
+
+
+def test_pipeline_against_plain_code(spark, awkward, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+
+    library = Tokenizer.from_file(vocabulary(TOKENIZER)[0])
+    df, rows = awkward
+    rnd = random.Random(21)
+    shared = sentence(rnd, 50)
+    more = [(300 + i, f"{sentence(rnd, 60)}\n{shared}\n{sentence(rnd, 30)} token: abcdef{i}xyz", None, None, None, None, None, None, None) for i in range(6)]
+    df.unionByName(spark.createDataFrame(more, SCHEMA)).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r[0]: r[1] or "" for r in rows + more if r[0] is not None}
+    cleaned = {k: judged[1] for k, t in texts.items() if (judged := line_rules.judge(t))[0][6]}
+    kept = {min(g) for g in brute_groups(list(cleaned.items()))}
+    want = {k: [*library.encode(brute_redact(t), add_special_tokens=False).ids, 1] for k, t in brute_cut({k: cleaned[k] for k in kept}).items()}
+    got = Counter()
+    for p in c.run(spark, str(tmp_path)).collect():
+        ids = want[p.doc_id][p.start : p.start + p.length]
+        assert (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(want[p.doc_id])) == (p.length, p.ids_crc32, p.doc_tokens)
+        got[p.doc_id] += p.length
+    assert got == Counter({k: len(v) for k, v in want.items()}) and len(got) > 8
+    df.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as c
 

@@ -7,7 +7,8 @@ and a trie node for the token under way. Tokens go out as soon as all hypotheses
 most the longest token, which bounds the lookahead. Decoding runs an incremental UTF-8 state machine.
 
 Cases: null text is the empty text and gives no token and no byte. Equal rows give equal rows. Very long texts are
-read in bounded runs of matches, and each match is linear in its bytes.
+read in bounded runs of matches, and each match is linear in its bytes. An encoding has no ties: each text has one. Other
+columns, whatever their names, are left behind. Null ids decode to the empty text. Empty tables give no row.
 """
 
 from __future__ import annotations

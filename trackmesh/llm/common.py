@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackmesh.shared import write_once as materialize  # noqa: F401
+
 #: Rows are handed to per-document code in slices of at most this many.
 SLICE_ROWS = 256
 
@@ -24,26 +25,6 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session (one machine, as in tests) has a folder of its own; on a cluster that is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "").split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (root or "file:///tmp/checkpoints").rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later branches neither recompute it nor
-    depend on an executor's disk."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate (file sizes for a scan); sets numbers of shards, never what is computed."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

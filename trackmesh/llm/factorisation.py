@@ -7,7 +7,9 @@ and labels are no features. Scoring needs one broadcast of fixed size (2**bits r
 
 Cases: null text is the empty text and gets a score as any other. Labels without a document, null labels and labels
 other than 0 and 1 are not learned from; of several labels of one document, the highest counts. Without usable labels
-every score is 0.5. Equal texts get equal scores.
+every score is 0.5. Equal texts get equal scores, repeated rows a score each; a score of just 0.5 predicts 1. Very long
+texts are read whole. Words that share a hash are features each on their own. Other columns, whatever their names, play no
+part. Empty tables give no row.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ a character covers that character.
 
 Cases: null text is the empty text, which has one empty section without a token. Sections tile the text, so that the
 counts of a document's sections add up to its tokens. Repeated rows are counted each on their own.
+Very long texts are encoded in bounded runs. Fields that are null are empty; fields are named by the caller, and other
+columns, whatever their names, are left behind. Empty tables give no row.
 """
 
 from __future__ import annotations
