@@ -50,7 +50,7 @@ def over_table(df: DataFrame, keys: list[str], order: list[str], machine: Machin
     names = _schema(df, keys, machine).names
     # a worker's state lives as long as its task: a lost one is computed again from the shuffle
     # a stated number of partitions: adaptive execution would join them by size, and the work here is not in the size
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # so that few keys share a task
     rows = df.dropna(subset=keys).repartition(tasks, *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
