@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,39 @@ def contains_run(route: Column, needle: list[int]) -> Column:
 def names(kinds: tuple[str, ...], ordinal: Column) -> Column:
     """The name of an ordinal that counts from one."""
     return F.element_at(F.array(*map(F.lit, kinds)), ordinal.cast("int"))
+
+
+def track_key(source: Column, track: Column) -> Column:
+    """A source and a track of it in one number: the source in the upper 32 bits (negative from source 2**31 on)."""
+    return F.shiftleft(source.cast("long"), 32).bitwiseOR(track.cast("long").bitwiseAND(F.lit(U32).cast("long")))
+
+
+def track_of_key(key: Column) -> tuple[Column, Column]:
+    return F.shiftrightunsigned(key, 32).cast("long"), key.bitwiseAND(F.lit(U32).cast("long"))
+
+
+def class_factor(asked: Column, known: Column) -> Column:
+    """1 unless both classes are there and differ."""
+    return F.when(asked.isNotNull() & known.isNotNull() & (asked != known), F.lit(0.0)).otherwise(F.lit(1.0))
+
+
+def time_factor(last_ns: Column, now_ns: Column, most_gap_ns: int | None) -> Column:
+    """0 if the last sighting is further away than allowed, else 1; so it is without a sighting or a limit."""
+    if most_gap_ns is None:
+        return F.lit(1.0)
+    return F.when(F.coalesce(F.abs(now_ns - last_ns) > most_gap_ns, F.lit(False)), F.lit(0.0)).otherwise(F.lit(1.0))
+
+
+def fnv64(data: Column) -> Column:
+    """64-bit FNV-1a of binary values, as a signed long; null for null."""
+    @F.pandas_udf("long")
+    def checksum(values: pd.Series) -> pd.Series:
+        there = [b"" if v is None else bytes(v) for v in values]
+        size = np.array(list(map(len, there)))
+        out = np.full(len(there), 0xCBF29CE484222325, np.uint64)
+        for at in range(int(size.max()) if len(size) else 0):  # byte by byte over all values
+            live = np.flatnonzero(size > at)
+            out[live] = (out[live] ^ np.array([there[i][at] for i in live], np.uint64)) * np.uint64(0x100000001B3)
+        return pd.Series(out.view(np.int64)).where(values.notna()).astype("Int64")
+
+    return checksum(data)

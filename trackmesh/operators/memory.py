@@ -167,3 +167,25 @@ def forget_subject(samples: DataFrame, subject: int, held: bool) -> DataFrame:
     rows = mine.withColumn("_n", F.row_number().over(W.partitionBy("subject_id").orderBy("sample_id"))).crossJoin(F.broadcast(top))
     new = {"supersedes": F.col("sample_id"), "sample_id": F.col("_top") + F.col("_n"), "revision": F.col("revision") + 1, "subject_id": F.lit(None).cast("long")}
     return rows.withColumns(new).select(*samples.columns)
+
+
+def forget_everywhere(tables: dict[str, DataFrame], subject: int, held: bool) -> dict[str, DataFrame]:
+    """Derived tables without a subject: appearances stay without its name, all other rows of it go; a hold keeps all."""
+    if held:
+        return tables
+    named = F.col("subject_id") == subject
+    out = {}
+    for name, df in tables.items():
+        if name == "appearances":
+            out[name] = df.withColumn("subject_id", F.when(~named, F.col("subject_id")))
+        elif name == "co_occurrences":
+            out[name] = df.filter((F.col("subject_a") != subject) & (F.col("subject_b") != subject))
+        else:
+            out[name] = df.filter(~F.coalesce(named, F.lit(False)))
+    return out
+
+
+def retention_report(states: DataFrame) -> DataFrame:
+    """How many samples of each source are in each state."""
+    count = lambda state: F.count_if(F.col("state") == state).alias(state)
+    return states.groupBy("source_id").agg(*[count(s) for s in ("held", "expired", "over_cap", "kept")])

@@ -67,6 +67,17 @@ def ingest_metrics(decisions: DataFrame) -> DataFrame:
     )
 
 
+def ingest_batch(frames: DataFrame, detections: DataFrame, config: mc.Gate | None = None, strict: bool = False, tracker: mc.Tracker | None = None) -> DataFrame:
+    """Tracks of the frames (source_id, arrival, pts_ns) that the gate lets in, from their detections (source_id, arrival, box,
+    score, class_id). A frame that is turned away is left out, or an error where the batch is strict."""
+    decided = gate(frames, config)
+    if strict:
+        told = F.raise_error(F.concat_ws(" ", F.lit("frame"), F.col("arrival").cast("string"), F.lit("of source"), F.col("source_id").cast("string"), F.lit("is turned away:"), "decision"))
+        decided = decided.withColumn("decision", F.when(F.col("decision") == "accept", F.col("decision")).otherwise(told.cast("string")))
+    let_in = decided.filter("decision = 'accept'").select("source_id", "arrival", F.col("arrival").alias("frame_index"))
+    return track(let_in.join(detections, ["source_id", "arrival"]), tracker)
+
+
 # --- measures -------------------------------------------------------------------------------------------------------------
 
 _PAIR = "array<struct<neg:double,gt:bigint,hyp:bigint>>"

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmesh.functions import geometry as g
+from trackmesh.functions import keypoints as kp
 from trackmesh.functions import mask_shapes as shapes
 from trackmesh.functions import masks as m
 from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import identity as ident
 from trackmesh.operators import memory as mem
-from trackmesh.operators import models, motion, outliers
+from trackmesh.operators import graph_index, hooks, models, motion, outliers
 from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
 from trackmesh.operators import suppress, tracking
 from trackmesh.plans import tables as t
 from trackmesh.shared import shared_folder, write_once
-from trackmesh.sources import mot_text, package, reports
+from trackmesh.sources import mot_text, package, reports, track_columns
 from trackmesh.streaming import jobs, machines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1019,13 +1020,6 @@ def _(spark, d):
     return reports.metric_points(tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG)), "source_id")
 
 
-@query("queue_policy")
-def _(spark, d):
-    e = t.track_samples(spark, d)
-    rows = e.select("source_id", F.col("frame_index").alias("arrival"), F.when(F.col("frame_index") % 7 == 0, "drain").otherwise("push").alias("action"), F.lit(3).alias("n"))
-    return tracking.over_table(rows, ["source_id"], ["arrival"], machines.Queue(depth=8, policy="drop_oldest"))
-
-
 _TRUTH = f"""with t as (select source_id as sequence, frame_index // 40 as frame, frame_index // 4 % 10 as id, "left" as l, top as t, "right" as r, bottom as b, sample_id % 5 = 0 as far from eff),
   h as (select sequence, frame, id + case when frame % 4 = 0 then 7 else 0 end as id, l + case when far then 1000.0 else 2.0 end as l, t, r + case when far then 1000.0 else 2.0 end as r, b from t),
   lists as (select sequence, frame, list({{'neg': -v, 'a': i, 'b': j}} order by -v, i, j) as p from (select x.sequence, x.frame, x.id as i, y.id as j, {_OVERLAP.format('x', 'y')} as v from t x join h y using (sequence, frame)) where v >= 0.5 group by sequence, frame),
@@ -1180,12 +1174,6 @@ def _(spark, d):
     return validate_links(t.track_samples(spark, d), spark.range(1, 4).withColumnRenamed("id", "source_id"), spark.range(1, 7).withColumnRenamed("id", "mask_ref"))
 
 
-@query("mask_nms")
-def _(spark, d):
-    k = _masks(spark, d).select((F.col("track_id") % 50).alias("frame"), F.col("track_id").alias("det_idx"), (F.lit(1.0) / (F.col("track_id") + 1)).alias("score"), "mask")
-    return suppress.mask_nms(k, 0.1).select("frame", "det_idx", "score")
-
-
 @query("mask_centroids", f"""with k as ({_MASKS}), p as (select track_id, i - 1 as i from (select track_id, unnest(mask) v, generate_subscripts(mask, 1) i from k) where v = 1)
   select track_id, round(avg(i % 24) + 0.5, 6) as x, round(avg(i // 24) + 0.5, 6) as y from p group by track_id""", "eff")
 def _(spark, d):
@@ -1207,3 +1195,114 @@ def _(spark, d):
     rows = t.detections(spark, d)
     turned = lambda by: F.struct(((F.col("left") + F.col("right")) / 2).alias("cx"), ((F.col("top") + F.col("bottom")) / 2).alias("cy"), (F.col("right") - F.col("left")).alias("w"), (F.col("bottom") - F.col("top")).alias("h"), (F.col("det_idx") * by).cast("double").alias("degrees"))
     return r6(rows.select("frame", "det_idx", g.oriented_iou(turned(10), turned(35)).alias("iou")), "iou")
+
+
+# --- hooks, sessions, columns, keypoints ------------------------------------------------------------------------------------------
+
+
+@query("track_columns", 'select sample_id, supersedes, revision, idempotency_key, source_id, frame_index, pts_ns, track_id, subject_id, "left", top, "right", bottom, round(confidence, 4) as confidence, mask_ref from audit', "audit")
+def _(spark, d):
+    back = track_columns.decode(track_columns.encode(t.track_samples(spark, d)))
+    return r6(back.select("sample_id", "supersedes", "revision", "idempotency_key", "source_id", "frame_index", "pts_ns", "track_id", "subject_id", *[F.col(c).cast("double").alias(c) for c in ("left", "top", "right", "bottom", "confidence")], "mask_ref"), "confidence", digits=4)
+
+
+@query("session_package", "select source_id, track_id, coalesce(arg_max(given, sample_id), arg_max(subject_id, sample_id)) as subject_id from (select *, case when sample_id % 13 = 0 then subject_id + 1000 end as given from audit where subject_id is not null) group by source_id, track_id", "audit")
+def _(spark, d):
+    samples, root = t.track_samples(spark, d), shared_folder(spark, "session")
+    told = samples.filter("sample_id % 13 = 0").select(F.col("sample_id").alias("audit_id"), "source_id", "track_id", (F.col("subject_id") + 1000).alias("assigned_subject"))
+    package.save_session(spark, samples, {"embeddings": t.embeddings(spark, d), "identity_audit": told}, root)
+    return package.load_session(spark, root)[2]
+
+
+@query("redactions_appended", f"with {_APP} select subject_id, count(*) as n from app where subject_id in (9, 10) group by subject_id", "eff")
+def _(spark, d):
+    found, path = write_once(_appearances(spark, d), "appearances"), shared_folder(spark, "redactions")
+    package.put_redactions(mem.plan_redaction(found, include=8), path)
+    package.put_redactions(mem.plan_redaction(found, include=9), path, replace=True)
+    package.put_redactions(mem.plan_redaction(found, include=10), path)
+    return spark.read.parquet(path).groupBy("subject_id").agg(F.count("*").alias("n"))
+
+
+@query("forget_cascade", f"with {_APP} select 'appearances' as name, count(subject_id) as n from app where subject_id <> 9 union all select 'stays', count(*) from stays where subject_id <> 9 union all select 'co_occurrences', count(*) from co where subject_a <> 9 and subject_b <> 9", "eff", "stays", "co")
+def _(spark, d):
+    left = mem.forget_everywhere({"appearances": _appearances(spark, d), "stays": t.zone_stays(spark, d), "co_occurrences": t.co_occurrences(spark, d)}, 9, held=False)
+    count = lambda name, df, c: df.agg(F.count(c).alias("n")).select(F.lit(name).alias("name"), "n")
+    return count("appearances", left["appearances"], "subject_id").union(count("stays", left["stays"], "*")).union(count("co_occurrences", left["co_occurrences"], "*"))
+
+
+@query("retention_report", f"with st as ({_PLAIN['retention'].replace('select sample_id, case', 'select source_id, case')}) select source_id, count(*) filter (state = 'held') as held, count(*) filter (state = 'expired') as expired, count(*) filter (state = 'over_cap') as over_cap, count(*) filter (state = 'kept') as kept from st group by source_id", "eff")
+def _(spark, d):
+    return mem.retention_report(mem.retention(t.effective_samples(spark, d), 20 * D, {2: 5 * D}, [1], 300))
+
+
+@query("track_keys", "select sample_id, source_id * 4294967296 + track_id as track_key, source_id, track_id from eff", "eff")
+def _(spark, d):
+    key = s.track_key(F.col("source_id"), F.col("track_id"))
+    return t.effective_samples(spark, d).select("sample_id", key.alias("track_key"), s.track_of_key(key)[0].alias("source_id"), s.track_of_key(key)[1].alias("track_id"))
+
+
+@query("identity_gates", f"select sample_id, case when zone_id <> 3 then 0.0::double else 1.0::double end as class_factor, case when b > {12 * H} then 0.0::double else 1.0::double end as time_factor from (select *, pts_ns - lag(pts_ns) over (partition by subject_id order by pts_ns, sample_id) b from eff where subject_id is not null)", "eff")
+def _(spark, d):
+    seen = ident.last_seen(t.effective_samples(spark, d)).join(t.effective_samples(spark, d).select("sample_id", "zone_id"), "sample_id")
+    return seen.select("sample_id", s.class_factor(F.col("zone_id"), F.lit(3)).alias("class_factor"), s.time_factor(F.col("last_ns"), F.col("pts_ns"), 12 * H).alias("time_factor"))
+
+
+@query("keypoint_store", """with st as (select row_number() over (order by p_partkey) as keypoints_ref, p_partkey as k from part)
+  select keypoints_ref + 2 as keypoints_ref, cast(k % 7 as double) as "left", cast(k % 7 + 10 as double) as "right", 1::bigint as sure from st""")
+def _(spark, d):
+    k = F.col("p_partkey")
+    points = F.array(kp.keypoint(k % 7, k % 5, F.lit(0.9), F.lit(0)), kp.keypoint(k % 7 + 10, k % 5 + 3, F.lit(0.2), F.lit(1)))
+    sets = t.read(spark, d, "part").select("p_partkey", points.alias("points"))
+    store = spark.range(1, 3).select(F.col("id").alias("keypoints_ref"), F.lit(None).cast(sets.schema["points"].dataType).alias("points"))
+    rows = kp.insert(store, sets, ["p_partkey"]).filter("points is not null")
+    return rows.select("keypoints_ref", kp.bounds(F.col("points"))["left"].alias("left"), kp.bounds(F.col("points"))["right"].alias("right"), F.size(kp.confident(F.col("points"), 0.5)).cast("long").alias("sure"))
+
+
+@query("batch_ingest_soft", _GATE + " select source_id, count(*) as frames, count(*) * 1 as tracked from d where decision = 'accept' group by source_id", "audit")
+def _(spark, d):
+    boxes = t.track_samples(spark, d).select("source_id", F.col("frame_index").alias("arrival"), "left", "top", "right", "bottom", F.lit(0.9).alias("score"), F.lit(0).alias("class_id"))
+    tracked = tracking.ingest_batch(_stamps(spark, d), boxes, _GATE_CONFIG, tracker=machines.Tracker(match=0.999))
+    return tracked.groupBy("source_id").agg(F.countDistinct("frame_index").alias("frames"), F.count("*").alias("tracked"))
+
+
+@query("detect_with_hook", _found(_DETECTORS, 2.5), "timed", "durs")
+def _(spark, d):
+    x = t.series(spark, d, shared=True)
+    return _shown(hooks.detect_with(hooks.Statistical().fit(x), x))
+
+
+@query("track_search", """with p as (select subject_id % 3 as source_id, embedding_ref // 10 as track_id, i, avg(x) as x from (select embedding_ref, subject_id, unnest(range(0, 64)) i, unnest(vector) x from emb) group by 1, 2, 3),
+  v as (select source_id, track_id, list(x order by i) as vector from p group by 1, 2), h as (select b.embedding_ref as query_id, source_id, track_id, list_cosine_similarity(v.vector, b.vector) s from v, emb b where b.embedding_ref % 20 = 0)
+  select query_id, source_id, track_id, round(s, 6) as score from h qualify row_number() over (partition by query_id order by s desc, source_id * 4294967296 + track_id) <= 3""", "emb")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    tracks = e.select((F.col("subject_id") % 3).alias("source_id"), F.floor(F.col("embedding_ref") / 10).alias("track_id"), "vector")
+    return r6(hooks.search_tracks(tracks, e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query")), 3), "score")
+
+
+@query("graph_top_k")
+def _(spark, d):
+    e = t.embeddings(spark, d)
+    return graph_index.search(graph_index.build(e), e.filter("embedding_ref % 20 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query")), 5)
+
+
+@query("mask_nms", f"""select * from (with recursive k as ({_MASKS}), x as (select track_id % 50 as frame, track_id as i, row_number() over (partition by track_id % 50 order by 1.0 / (track_id + 1) desc, track_id) as n, mask from k),
+  hit as (select a.frame, a.n, list(b.i) as c from x a join x b on a.frame = b.frame and b.n < a.n and list_sum(list_transform(range(1, 169), lambda j: a.mask[j] * b.mask[j])) / nullif(list_sum(list_transform(range(1, 169), lambda j: greatest(a.mask[j], b.mask[j]))), 0) > 0.1 group by a.frame, a.n),
+  w as (select frame, 1::bigint as n, [i] as kept from x where n = 1 union all select x.frame, x.n, case when hit.c is not null and list_has_any(w.kept, hit.c) then w.kept else list_append(w.kept, x.i) end from w join x on x.frame = w.frame and x.n = w.n + 1 left join hit on hit.frame = x.frame and hit.n = x.n)
+  select frame, i as det_idx, 1.0::double / (i + 1) as score from (select frame, unnest(kept) as i from w where n = (select max(n) from x where x.frame = w.frame)))""", "eff")
+def _(spark, d):
+    k = _masks(spark, d).select((F.col("track_id") % 50).alias("frame"), F.col("track_id").alias("det_idx"), (F.lit(1.0) / (F.col("track_id") + 1)).alias("score"), "mask")
+    return suppress.mask_nms(k, 0.1).select("frame", "det_idx", "score")
+
+
+@query("queue_policy", """select * from (with recursive q as (select source_id, frame_index as a, frame_index % 7 = 0 as drain, row_number() over (partition by source_id order by frame_index) as n from audit),
+  w as (select source_id, 0::bigint as n, []::bigint[] as held, []::struct(arrival bigint, outcome varchar, queued bigint)[] as told from (select distinct source_id from q) union all
+  select q.source_id, q.n, case when drain then held[4:] when len(held) >= 8 then list_append(held[2:], a) else list_append(held, a) end,
+    case when drain then list_transform(held[1:3], lambda x: {'arrival': x, 'outcome': 'drained', 'queued': greatest(len(held) - 3, 0)::bigint})
+      when len(held) >= 8 then [{'arrival': held[1], 'outcome': 'dropped', 'queued': 8::bigint}, {'arrival': a, 'outcome': 'queued', 'queued': 8::bigint}] else [{'arrival': a, 'outcome': 'queued', 'queued': (len(held) + 1)::bigint}] end
+  from w join q on q.source_id = w.source_id and q.n = w.n + 1)
+  select source_id, r.arrival as arrival, r.outcome as outcome, r.queued as queued from (select source_id, unnest(told) as r from w))""", "audit")
+def _(spark, d):
+    e = t.track_samples(spark, d)
+    rows = e.select("source_id", F.col("frame_index").alias("arrival"), F.when(F.col("frame_index") % 7 == 0, "drain").otherwise("push").alias("action"), F.lit(3).alias("n"))
+    return tracking.over_table(rows, ["source_id"], ["arrival"], machines.Queue(depth=8, policy="drop_oldest"))

@@ -104,6 +104,34 @@ def load(spark: SparkSession, root: str, verify: bool = True) -> dict[str, DataF
     return {n: spark.read.parquet(f"{inner.root}/{n}") for n in names}
 
 
+# --- sessions: samples with the gallery beside them -------------------------------------------------------------------------
+
+GALLERY = ("subject_refs", "embeddings", "identity_audit")
+
+
+def save_session(spark: SparkSession, samples: DataFrame, gallery: dict[str, DataFrame], root: str, keep: int = 2) -> int:
+    """One generation of samples and of what is there of the gallery's tables."""
+    return save(spark, {"track_samples": samples, **{n: df for n, df in gallery.items() if n in GALLERY}}, root, keep)
+
+
+def load_session(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """The samples, the gallery's tables, and each track's subject (source_id, track_id, subject_id): the last one that the
+    audit gives, else the last one of its samples."""
+    tables = load(spark, root)
+    samples = tables["track_samples"]
+    seen = samples.filter("subject_id is not null").groupBy("source_id", "track_id").agg(F.max_by("subject_id", "sample_id").alias("seen"))
+    if "identity_audit" not in tables:
+        return samples, {n: tables[n] for n in GALLERY if n in tables}, seen.withColumnRenamed("seen", "subject_id")
+    told = tables["identity_audit"].filter("assigned_subject is not null").groupBy("source_id", "track_id").agg(F.max_by("assigned_subject", "audit_id").alias("told"))
+    subjects = told.join(seen, ["source_id", "track_id"], "full_outer").select("source_id", "track_id", F.coalesce("told", "seen").alias("subject_id"))
+    return samples, {n: tables[n] for n in GALLERY if n in tables}, subjects
+
+
+def put_redactions(rows: DataFrame, path: str, replace: bool = False) -> None:
+    """Add redaction intervals to those at a path, or put them in their place."""
+    rows.write.mode("overwrite" if replace else "append").parquet(path)
+
+
 # --- mask blobs: little-endian handle and length of eight bytes each, then the bytes ----------------------------------------
 
 
