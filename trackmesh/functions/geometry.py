@@ -158,41 +158,50 @@ def to_global(b: Box, x: Column, y: Column) -> Box:
     return b[0] + x, b[1] + y, b[2] + x, b[3] + y
 
 
+def _corners(r: pd.DataFrame) -> np.ndarray:
+    """The corners of rotated boxes, counterclockwise: rows, four, x and y."""
+    t = np.radians(r["degrees"].to_numpy(float))[:, None]
+    x, y = np.array([-1, 1, 1, -1]) * r["w"].to_numpy(float)[:, None] / 2, np.array([-1, -1, 1, 1]) * r["h"].to_numpy(float)[:, None] / 2
+    return np.stack([x * np.cos(t) - y * np.sin(t) + r["cx"].to_numpy(float)[:, None], x * np.sin(t) + y * np.cos(t) + r["cy"].to_numpy(float)[:, None]], axis=2)
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+
+
+def _common_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The area that each two convex quadrilaterals share: its corners are theirs that lie in the other one, and crossings of
+    their sides; in the order of their angles around the middle they bound it."""
+    sides_p, sides_q = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
+    scale = np.abs(sides_p).max(axis=(1, 2), initial=1e-9) * np.abs(sides_q).max(axis=(1, 2), initial=1e-9)
+    within = lambda points, start, side: (_cross(side[:, None], points[:, :, None] - start[:, None]) >= -1e-12 * scale[:, None, None]).all(axis=2)
+    apart = q[:, None] - p[:, :, None]
+    turn = _cross(sides_p[:, :, None], sides_q[:, None])
+    meets = np.abs(turn) > 1e-12 * scale[:, None, None]
+    safe = np.where(meets, turn, 1.0)
+    t, u = _cross(apart, sides_q[:, None]) / safe, _cross(apart, sides_p[:, :, None]) / safe
+    meets &= (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    crossings = p[:, :, None] + t[..., None] * sides_p[:, :, None]
+    n = len(p)
+    points = np.concatenate([p, q, crossings.reshape(n, 16, 2)], axis=1)
+    there = np.concatenate([within(p, q, sides_q), within(q, p, sides_p), meets.reshape(n, 16)], axis=1)
+    middle = np.where(there[..., None], points, 0).sum(axis=1) / np.maximum(there.sum(axis=1), 1)[:, None]
+    points = points - middle[:, None]
+    angle = np.where(there, np.arctan2(points[..., 1], points[..., 0]), np.inf)
+    order = np.argsort(angle, axis=1)
+    points, there = np.take_along_axis(points, order[..., None], axis=1), np.take_along_axis(there, order, axis=1)
+    points = np.where(there[..., None], points, points[:, :1])  # the others fall on the first
+    return np.where(there.any(axis=1), np.abs(_cross(points, np.roll(points, -1, axis=1)).sum(axis=1)) / 2, 0.0)
+
+
 def oriented_iou(a: Column, b: Column) -> Column:
-    """IoU of rotated boxes struct<cx, cy, w, h, degrees>: one clipped by the sides of the other; 0 where one has no area."""
-    def corners(r: dict) -> np.ndarray:
-        t = np.radians(r["degrees"])
-        turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-        return np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)]) * (r["w"] / 2, r["h"] / 2) @ turn.T + (r["cx"], r["cy"])
-
-    def area_of(points: list) -> float:
-        x, y = np.array(points).T
-        return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
-
-    def overlap(p: np.ndarray, q: np.ndarray) -> float:
-        left = list(p)
-        for start, end in zip(q, np.roll(q, -1, axis=0), strict=True):
-            d = end - start
-            depth = [d[0] * (v[1] - start[1]) - d[1] * (v[0] - start[0]) for v in left]
-            kept = []
-            for i, (v, at) in enumerate(zip(left, depth, strict=True)):
-                u, was = left[i - 1], depth[i - 1]
-                if (at >= 0) != (was >= 0):
-                    kept.append(u + (v - u) * (was / (was - at)))
-                if at >= 0:
-                    kept.append(v)
-            if len(kept) < 3:
-                return 0.0
-            left = kept
-        return area_of(left)
+    """IoU of rotated boxes struct<cx, cy, w, h, degrees>; 0 where one has no area. A batch of pairs at a time."""
 
     @F.pandas_udf("double")
     def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.Series:
-        out = []
-        for r, o in zip(one.to_dict("records"), two.to_dict("records"), strict=True):
-            sizes = r["w"] * r["h"], o["w"] * o["h"]
-            inter = overlap(corners(r), corners(o)) if min(sizes) > 0 else 0.0
-            out.append(inter / (sum(sizes) - inter) if min(sizes) > 0 else 0.0)
-        return pd.Series(out, dtype=float)
+        sizes = one["w"].to_numpy(float) * one["h"].to_numpy(float), two["w"].to_numpy(float) * two["h"].to_numpy(float)
+        solid = np.minimum(*sizes) > 0
+        inter = np.where(solid, _common_area(_corners(one), _corners(two)), 0.0)
+        return pd.Series(inter / np.where(solid, sizes[0] + sizes[1] - inter, 1.0))
 
     return run(a, b)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,10 +63,18 @@ def _generations(folder: _Folder) -> list[int]:
     return sorted(int(n[4:]) for n in folder.names() if n.startswith("gen-") and n[4:].isdigit())
 
 
-def _checksums(spark: SparkSession, where: str) -> DataFrame:
-    """Path within the generation, length and digest of every data file; files are read by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(where)
-    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("digest"))
+def _checksums(spark: SparkSession, where: str, names: list[str]) -> DataFrame:
+    """Path within the generation, rows and digest (a sum and an xor of hashes of the rows) of every data file.
+
+    Files are read row by row by the executors, so one of any size needs no more memory than another.
+    """
+    parts = []
+    for name in names:
+        rows = spark.read.parquet(f"{where}/{name}")
+        hashed = rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+)$", 1).alias("file"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("h"))
+        digest = F.concat_ws(":", F.hex(F.bit_xor("h")), F.sum(F.col("h").cast("decimal(20,0)")).cast("string"))
+        parts.append(hashed.groupBy("file").agg(F.count("*").alias("rows"), digest.alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def save(spark: SparkSession, tables: dict[str, DataFrame], root: str, keep: int = 2) -> int:
@@ -75,8 +86,8 @@ def save(spark: SparkSession, tables: dict[str, DataFrame], root: str, keep: int
     folder.fs.delete(folder.at(pending), True)
     for name, df in tables.items():
         df.write.parquet(f"{folder.root}/{pending}/{name}")
-    _checksums(spark, f"{folder.root}/{pending}").coalesce(1).write.parquet(f"{folder.root}/{pending}/_sums")
-    _verify(spark, f"{folder.root}/{pending}")
+    _checksums(spark, f"{folder.root}/{pending}", list(tables)).coalesce(1).write.parquet(f"{folder.root}/{pending}/_sums")
+    _verify(spark, f"{folder.root}/{pending}", list(tables))
     if not folder.fs.rename(folder.at(pending), folder.at(f"gen-{number}")):
         raise PackageError("cannot rename the new generation")
     folder.put_text(POINTER, f"gen-{number}\n")
@@ -85,9 +96,13 @@ def save(spark: SparkSession, tables: dict[str, DataFrame], root: str, keep: int
     return number
 
 
-def _verify(spark: SparkSession, where: str) -> None:
-    saved, now = spark.read.parquet(f"{where}/_sums"), _checksums(spark, where).filter("not startswith(file, '_sums/')")
-    if saved.join(now, ["file", "length", "digest"], "left_anti").limit(1).count():
+def _verify(spark: SparkSession, where: str, names: list[str]) -> None:
+    try:
+        saved, now = spark.read.parquet(f"{where}/_sums"), _checksums(spark, where, names)
+        differ = saved.join(now, ["file", "rows", "digest"], "full_outer").groupBy("file").count().filter("count > 1").limit(1).count() or saved.join(now, ["file", "rows", "digest"], "left_anti").limit(1).count()
+    except (Py4JJavaError, PySparkException) as fault:  # a file that cannot be read any more
+        raise PackageError(f"files of {where} cannot be read") from fault
+    if differ:
         raise PackageError(f"files of {where} differ from those saved")
 
 
@@ -100,7 +115,7 @@ def load(spark: SparkSession, root: str, verify: bool = True) -> dict[str, DataF
     if not names:
         raise PackageError(f"no package at {root}")
     if verify and current:
-        _verify(spark, inner.root)
+        _verify(spark, inner.root, names)
     return {n: spark.read.parquet(f"{inner.root}/{n}") for n in names}
 
 

@@ -34,8 +34,8 @@ def gate_stream(stamps: DataFrame, config: mc.Gate | None = None) -> DataFrame:
 
 
 def first_hits_stream(samples: DataFrame) -> DataFrame:
-    """Each subject of a source once, as soon as it is seen."""
-    return over_stream(samples.select("source_id", "subject_id", "pts_ns", "sample_id"), ["source_id"], ["pts_ns", "sample_id"], mc.FirstHits())
+    """Each subject of a source once, as soon as it is seen; the state of a pair is one flag."""
+    return over_stream(samples.select("source_id", "subject_id", "pts_ns", "sample_id"), ["source_id", "subject_id"], ["pts_ns", "sample_id"], mc.FirstHits())
 
 
 def windowed_counts(events: DataFrame, at: str, minutes: int = 60, lateness: str = "1 hour") -> DataFrame:

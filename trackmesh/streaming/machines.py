@@ -101,19 +101,16 @@ class Queue:
 
 @dataclass
 class FirstHits:
-    """A cursor: every subject of a key is given once, with the first sample that showed it."""
+    """A cursor: every key (a subject of a source) is given once, with the first sample that showed it."""
 
-    fields: str = "subject_id long, sample_id long"
+    fields: str = "sample_id long"
 
-    def start(self) -> set[int]:
-        return set()
+    def start(self) -> list[bool]:
+        return [False]
 
-    def feed(self, state: set[int], rows: pd.DataFrame) -> list[tuple]:
-        fresh = rows.dropna(subset=["subject_id"]).drop_duplicates("subject_id")
-        fresh = fresh[~fresh["subject_id"].isin(state)]
-        out = [(int(s), int(i)) for s, i in zip(fresh["subject_id"], fresh["sample_id"], strict=True)]
-        state.update(s for s, _ in out)
-        return out
+    def feed(self, state: list[bool], rows: pd.DataFrame) -> list[tuple]:
+        known, state[0] = state[0], True
+        return [] if known else [(int(rows["sample_id"].iloc[0]),)]
 
 
 # --- tracking -------------------------------------------------------------------------------------------------------------
