@@ -13,7 +13,8 @@ from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import graph_index, identity, ranks, suppress, tracking
 from trackmesh.plans import tables
-from trackmesh.sources import track_columns
+from trackmesh.operators.host import HostConfig
+from trackmesh.sources import evidence, track_columns
 from trackmesh.streaming import machines as mc
 
 UNIT = (0.0, 0.0, 4.0, 4.0)
@@ -217,3 +218,32 @@ def test_strict_batches_and_keypoints(spark):
         tracking.ingest_batch(frames, boxes, strict=True).collect()
     with pytest.raises(Exception, match="not finite"):
         spark.range(1).select(kp.keypoint(F.lit(float("nan")), F.lit(0.0), F.lit(1.0), F.lit(0))).collect()
+
+
+def test_host_configuration():
+    config = HostConfig.from_json('{"tracker": {"match": 0.4}, "statistical": {"z": 3.0}}')
+    assert config.tracker.match == 0.4 and config.statistical.z == 3.0 and config.tracker.high == mc.Tracker().high
+    assert HostConfig.from_json(config.to_json()) == config
+    for wrong in ("[]", '{"tracker": {"speed": 1}}', '{"engine": {}}', '{"tracker": {"match": "much"}}', '{"tracker": {"match": 7}}', '{"tracker": 3}'):
+        with pytest.raises(ValueError):
+            HostConfig.from_json(wrong)
+
+
+def test_evidence_and_models(spark, tmp_path):
+    report = spark.createDataFrame([("a", 1.5), ("b", None)], "name string, value double")
+    paths = evidence.write_pack({"one": report}, f"file://{tmp_path}/pack")
+    assert [r.value for r in spark.read.text(paths["report.md"]).collect()] == ["## one", "", "| name | value |", "| --- | --- |", "| a | 1.5 |", "| b |  |"]
+    with pytest.raises(ValueError):
+        evidence.write_pack({"many": spark.range(evidence.MOST_ROWS + 1)}, f"file://{tmp_path}/many")
+
+    class Fetcher:
+        def fetch(self, name, path):
+            (tmp_path / "models").mkdir(exist_ok=True)
+            (tmp_path / "models" / name).write_bytes(b"weights")
+
+    import hashlib
+
+    good = hashlib.sha256(b"weights").hexdigest()
+    assert [r.name for r in evidence.ensure_models(spark, {"m.bin": good}, f"file://{tmp_path}/models", Fetcher()).collect()] == ["m.bin"]
+    with pytest.raises(ValueError):
+        evidence.ensure_models(spark, {"m.bin": "0"}, f"file://{tmp_path}/models", Fetcher())

@@ -15,13 +15,13 @@ from trackmesh.functions import scalars as s
 from trackmesh.operators import anomalies as an
 from trackmesh.operators import identity as ident
 from trackmesh.operators import memory as mem
-from trackmesh.operators import graph_index, hooks, models, motion, outliers
+from trackmesh.operators import graph_index, hooks, host, models, motion, outliers
 from trackmesh.operators import patterns as pat
 from trackmesh.operators import query as q
 from trackmesh.operators import suppress, tracking
 from trackmesh.plans import tables as t
 from trackmesh.shared import shared_folder, write_once
-from trackmesh.sources import mot_text, package, reports, track_columns
+from trackmesh.sources import evidence, mot_text, package, reports, track_columns
 from trackmesh.streaming import jobs, machines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1306,3 +1306,19 @@ def _(spark, d):
     e = t.track_samples(spark, d)
     rows = e.select("source_id", F.col("frame_index").alias("arrival"), F.when(F.col("frame_index") % 7 == 0, "drain").otherwise("push").alias("action"), F.lit(3).alias("n"))
     return tracking.over_table(rows, ["source_id"], ["arrival"], machines.Queue(depth=8, policy="drop_oldest"))
+
+
+@query("evidence_pack", _COUNTS, "audit")
+def _(spark, d):
+    paths = evidence.write_pack({"ingest": tracking.ingest_metrics(tracking.gate(_stamps(spark, d), _GATE_CONFIG))}, shared_folder(spark, "evidence"))
+    return spark.read.schema("source_id long, accepted long, dropped long, rejected_late long, rejected_out_of_order long").option("header", True).csv(paths["ingest.csv"])
+
+
+@query("host_pipeline", "select c_custkey % 4 as source_id, count(*) as boxes, count(distinct c_custkey) as frames from customer group by 1")
+def _(spark, d):
+    k = F.col("c_custkey")
+    pixel = F.unhex(F.hex(16777215 - k % 1000))  # bright, so that the stand-in is sure
+    frames = t.read(spark, d, "customer").select((k % 4).alias("source_id"), k.alias("arrival"), k.alias("pts_ns"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.concat(pixel, pixel, pixel, pixel).alias("pixels"))
+    own = host.Host(models.MeanColour(), models.MeanColour())
+    vectors = own.embed(frames, own.track(frames))
+    return vectors.groupBy("source_id").agg(F.count("*").alias("boxes"), F.countDistinct("frame_index").alias("frames"))

@@ -21,9 +21,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    """The paths of the tables that this process has written by write_once, in order."""
+    return list(_written)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.remove(path)
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that later branches neither recompute it nor depend on an
     executor's disk."""
     path = shared_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
