@@ -15,6 +15,7 @@ from trackmesh.llm import jaccard_join, line_rules, packing, secrets, substring_
 from trackmesh.llm.common import materialize, read_documents
 from trackmesh.llm.queries import TOKENIZER, vocabulary
 from trackmesh.session import ship
+from trackmesh.shared import drop, written
 
 #: No SQL expresses the tokenizer or the near-duplicate join; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -59,8 +60,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written and read again."""
-    docs = read_documents(spark, sf_dir)
+    """All stages over documents, each one's result written and read again; what it was made from is then deleted."""
+    docs, before = read_documents(spark, sf_dir), set(written())
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop(spark, [path for path in written()[:-1] if path not in before])
     return docs
