@@ -50,6 +50,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, max_bytes:
                 n = max(1, n // 2)
             yield batch.slice(at, n)
             at += n
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def _sliced_bytes(batch: pa.RecordBatch, at: int, n: int) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, map_rows, materialize, mix64, text_words
+from trackmesh.llm.common import arrow_schema, doc_texts, gram_hashes, map_rows, materialize, mix64, slices, text_words
 
 
 @dataclass(frozen=True)
@@ -114,14 +114,15 @@ def _gram_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
 def _in_common(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two of these sorted sets have in common."""
-    owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     every = np.concatenate(sets)
     order = np.argsort(every, kind="stable")
     every, owners = every[order], owners[order]
-    column = np.cumsum(np.concatenate(([0], every[1:] != every[:-1])))
+    column = np.cumsum(np.concatenate(([False], every[1:] != every[:-1])), dtype=np.int32)
+    del every, order
     several = np.bincount(column)[column] > 1  # what a single set has adds nothing
     owners, column = owners[several], column[several]
-    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    column = np.cumsum(np.concatenate(([False], column[1:] != column[:-1])), dtype=np.int32) if len(column) else column
     out = np.zeros((len(sets), len(sets)), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         lo, hi = np.searchsorted(column, (at, at + COLUMNS))
@@ -185,8 +186,8 @@ def _verify(blocks: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         key, rows, out = None, [], []
-        for batch in batches:
-            for *new, own, name, bands, grams in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in slices(batches):
+            for *new, own, name, bands, grams in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (new := tuple(new)) != key:
                     out += per_block(key, rows)
                     key, rows = new, []
