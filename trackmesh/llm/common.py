@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,14 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 3 == 1
 
 
+def give_back() -> None:
+    """Hand memory that is free but held back to the system: a worker goes on to other tasks beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into slices of few rows, and of about max_bytes unless one row alone is larger."""
     for batch in batches:
@@ -50,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, max_bytes:
                 n = max(1, n // 2)
             yield batch.slice(at, n)
             at += n
-    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    give_back()
 
 
 def _sliced_bytes(batch: pa.RecordBatch, at: int, n: int) -> int:
