@@ -11,7 +11,7 @@ from trackmesh.operators import outliers, tracking
 from trackmesh.sources import package, reports
 from trackmesh.streaming import jobs
 from trackmesh.streaming import machines as mc
-from trackmesh.streaming.fold import over_stream, over_table
+from trackmesh.streaming.fold import over_table
 
 BOXES = "source_id long, frame_index long, left double, top double, right double, bottom double, score double, class_id int, det_idx int"
 
@@ -136,7 +136,7 @@ def test_stream_state_goes_on_between_batches(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame([(1, s, part, part * 10 + s) for s in range(part, part + 2)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = jobs.work_off(over_stream(stream, ["source_id"], ["pts_ns"], mc.FirstHits()), "hits")
+    got = jobs.work_off(jobs.first_hits_stream(stream), "hits")
     assert sorted(r.subject_id for r in got.collect()) == [0, 1, 2, 3]
 
 

@@ -165,7 +165,7 @@ def _corners(r: pd.DataFrame) -> np.ndarray:
     return np.stack([x * np.cos(t) - y * np.sin(t) + r["cx"].to_numpy(float)[:, None], x * np.sin(t) + y * np.cos(t) + r["cy"].to_numpy(float)[:, None]], axis=2)
 
 
-def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _turns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
 
 
@@ -174,12 +174,12 @@ def _common_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     their sides; in the order of their angles around the middle they bound it."""
     sides_p, sides_q = np.roll(p, -1, axis=1) - p, np.roll(q, -1, axis=1) - q
     scale = np.abs(sides_p).max(axis=(1, 2), initial=1e-9) * np.abs(sides_q).max(axis=(1, 2), initial=1e-9)
-    within = lambda points, start, side: (_cross(side[:, None], points[:, :, None] - start[:, None]) >= -1e-12 * scale[:, None, None]).all(axis=2)
+    within = lambda points, start, side: (_turns(side[:, None], points[:, :, None] - start[:, None]) >= -1e-12 * scale[:, None, None]).all(axis=2)
     apart = q[:, None] - p[:, :, None]
-    turn = _cross(sides_p[:, :, None], sides_q[:, None])
+    turn = _turns(sides_p[:, :, None], sides_q[:, None])
     meets = np.abs(turn) > 1e-12 * scale[:, None, None]
     safe = np.where(meets, turn, 1.0)
-    t, u = _cross(apart, sides_q[:, None]) / safe, _cross(apart, sides_p[:, :, None]) / safe
+    t, u = _turns(apart, sides_q[:, None]) / safe, _turns(apart, sides_p[:, :, None]) / safe
     meets &= (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
     crossings = p[:, :, None] + t[..., None] * sides_p[:, :, None]
     n = len(p)
@@ -191,7 +191,7 @@ def _common_area(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     order = np.argsort(angle, axis=1)
     points, there = np.take_along_axis(points, order[..., None], axis=1), np.take_along_axis(there, order, axis=1)
     points = np.where(there[..., None], points, points[:, :1])  # the others fall on the first
-    return np.where(there.any(axis=1), np.abs(_cross(points, np.roll(points, -1, axis=1)).sum(axis=1)) / 2, 0.0)
+    return np.where(there.any(axis=1), np.abs(_turns(points, np.roll(points, -1, axis=1)).sum(axis=1)) / 2, 0.0)
 
 
 def oriented_iou(a: Column, b: Column) -> Column:
