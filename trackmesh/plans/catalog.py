@@ -741,9 +741,9 @@ def _(spark, d):
 @query("soft_nms", f"""select * from (with recursive {_BOXES.format('-score, det_idx')}, w as (select frame, x as live, x[1:0] as done from s union all
   select frame, list_sort(list_transform(live[2:], lambda y: {{'neg': y.neg * case when y.c = live[1].c and {_OVERLAP.format('live[1]', 'y')} > 0.3 then 1 - {_OVERLAP.format('live[1]', 'y')} else 1 end, 'i': y.i, 'l': y.l, 't': y.t, 'r': y.r, 'b': y.b, 'c': y.c}})), list_append(done, live[1])
     from w where len(live) > 0 and -live[1].neg >= 0.001)
-  select frame, k.i as det_idx, k.l as "left", k.t as top, k.r as "right", k.b as bottom, round(-k.neg, 6) as score, k.c as class_id from (select frame, unnest(done) as k from w where len(live) = 0 or -live[1].neg < 0.001))""", "dets")
+  select frame, k.i as det_idx, k.l as "left", k.t as top, k.r as "right", k.b as bottom, round(-k.neg, 9) as score, k.c as class_id from (select frame, unnest(done) as k from w where len(live) = 0 or -live[1].neg < 0.001))""", "dets")
 def _(spark, d):
-    return r6(suppress.soft_nms(t.detections(spark, d), 0.3), "score")
+    return r6(suppress.soft_nms(t.detections(spark, d), 0.3), "score", digits=9)
 
 
 @query("merge_nms", f"""select * from (with recursive b as (select frame, det_idx as i, "left" as l, top as t, "right" as r, bottom as b, score, class_id as c from dets),
