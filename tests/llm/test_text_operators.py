@@ -476,6 +476,32 @@ def test_attribution_by_character(spark, awkward, rule):
     assert all(+got[k] == want[k] for k in want)
 
 
+def test_attribution_searches_new_words():
+    """New words cost no move of the automaton; the tokens found are the library's, and a span ends where they do."""
+    import base64
+
+    import tiktoken
+
+    small = bpe_transducer.BpeTransducer({b"a": 0, b"b": 1, b"c": 2, b"d": 3, b"bc": 4, b"ab": 5, b"cd": 6, b"abcd": 7})
+    assert [small.search(x) for x in (b"abc", b"bcd", b"abcd", b"dabcd", b"d")] == [[0, 4], [4, 3], [7], [3, 0, 4, 3], [3]]
+    with pytest.raises(ValueError):
+        small.search(b"abx")
+    path, pattern = vocabulary(RANKS)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec, rnd = bpe_transducer.Codec(ranks, pattern), random.Random(12)
+    encoder = token_attribution.OffsetEncoder(codec)
+    for i in range(400):
+        text = "".join(rnd.choice("abcdehinorst" * 3 + "éñü中🙂01-=' \n") for _ in range(rnd.randint(0, 200))) + "ab=" * (i % 3 * 700) + " " * (i % 5 * 60)
+        ids = library.encode_ordinary(text)
+        chars = [j for j, c in enumerate(text) for _ in c.encode()]
+        ends = list(itertools.accumulate(len(codec.transducer.tokens[t]) for t in ids))
+        starts, stops = encoder.spans(text)
+        assert starts.tolist() == [chars[e - len(codec.transducer.tokens[t])] for e, t in zip(ends, ids)] and stops.tolist() == [chars[e - 1] + 1 for e in ends]
+        assert all(codec.transducer.search(m.encode()) == library.encode_ordinary(m) for run in codec.matches(text) for m in run)
+    assert not codec.transducer._moves
+
+
 def test_mixed_language_spans():
     model = language_spans.LangModel(["a", "b"], np.zeros((1 << language_spans.BITS, 2), np.float32), np.ones((len(language_spans.SCRIPTS), 2), bool))
     scores = np.array([[5, 0]] * 6 + [[0, 5]] * 6 + [[5, 0]], float)

@@ -32,6 +32,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 RUN = 1 << 16
 #: Entries of a generation of the memo of whole matches, and transitions of the automaton, which starts anew when full.
 MEMO, TRANSITIONS, PAIRS = 300_000, 700_000, 200_000
+#: Pairs of tokens that a search keeps, by one integer each.
+FITTING = 500_000
 _ROOT = 0
 
 
@@ -58,6 +60,7 @@ class BpeTransducer:
         self.lookahead = max(map(len, ranks))
         self._split: dict[int, tuple[int, int]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._fitting: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -168,6 +171,41 @@ class BpeTransducer:
                 return out + list(path)
         raise ValueError("bytes without a token")
 
+    def search(self, data: bytes) -> list[int]:
+        """The tokens of one match without the automaton, for words seen once: the longest token that fits, else a
+        shorter one, else a shorter one before it. As each prefix has one encoding, no place is come to by two ways, so
+        that the steps are at most the bytes times the longest token.
+        """
+        ranks, fitting, size = self.ranks, self._fitting, len(self.tokens)
+        whole = ranks.get(data)
+        if whole is not None:
+            return [whole]
+        n, at, last, out = len(data), 0, -1, []
+        end = min(n, self.lookahead)
+        while at < n:
+            while end > at:
+                token = ranks.get(data[at:end])
+                if token is not None:
+                    pair = last * size + token
+                    fits = fitting.get(pair)
+                    if fits is None:
+                        if len(fitting) >= FITTING:
+                            fitting.clear()
+                        fits = fitting[pair] = self._fits(-1, token) and self._fits(last, token)
+                    if fits:
+                        break
+                end -= 1
+            if end > at:
+                out.append(token)
+                at, last, end = end, token, min(n, end + self.lookahead)
+            elif out:
+                end = at - 1
+                at -= len(self.tokens[out.pop()])
+                last = out[-1] if out else -1
+            else:
+                raise ValueError("bytes without a token")
+        return out
+
 
 class Utf8Stream:
     """An incremental UTF-8 state machine: the state is the unfinished character's bytes (at most three)."""

@@ -1,7 +1,8 @@
 """Offset-mapped attribution of tokens to sections or fields.
 
-A document is encoded whole, once. Its tokens' character spans are joined to the sections' spans by merging two sorted
-lists of intervals, and a token that crosses a boundary is allocated by an explicit rule: 'majority' (most characters;
+A document is encoded whole, once, each new match of the splitting pattern by a search for its tokens rather than by the
+automaton, whose moves few new words share. The tokens' character spans are joined to the sections' spans by merging two
+sorted lists of intervals, and a token that crosses a boundary is allocated by an explicit rule: 'majority' (most characters;
 ties to the earlier section), 'first' or 'last' (the section of its first or last character). A token that is part of
 a character covers that character.
 
@@ -41,11 +42,11 @@ class OffsetEncoder:
     def _spans(self, match: str) -> bytes:
         """Start and end of each token in turn, from the match's start, packed; the first start is -1, to mark it."""
         data = match.encode("utf-8", "surrogatepass")
-        ends = [*accumulate(map(self._lengths.__getitem__, self._codec.transducer.encode(data)))]
+        ends = [*accumulate(map(self._lengths.__getitem__, self._codec.transducer.search(data)))]
         starts = [0, *ends[:-1]]
         if len(data) > len(match):  # from bytes to the characters that hold them
-            char = (np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1).tolist()
-            starts, ends = [char[s] for s in starts], [char[e - 1] + 1 for e in ends]
+            begun = [*accumulate((b & 0xC0) != 0x80 for b in data)]
+            starts, ends = [begun[s] - 1 for s in starts], [begun[e - 1] for e in ends]
         starts[0] = -1
         return array("i", chain.from_iterable(zip(starts, ends, strict=True))).tobytes()
 
