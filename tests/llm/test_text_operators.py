@@ -378,6 +378,32 @@ def test_packing(spark, awkward):
         assert at <= 2048 and at & (at - 1) == 0  # no sequence needs padding
 
 
+def test_packing_splits_narrow_texts_by_re():
+    """Texts of code points under 65,536 need no regex module, and are cut as by it; wider ones and other patterns are its own."""
+    import regex
+    from tokenizers import Tokenizer
+
+    path, pattern = vocabulary(TOKENIZER)
+    library, ids, rnd = Tokenizer.from_file(path), packing.TokenizerIds(path, pattern), random.Random(8)
+
+    def wanted(text):
+        return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    narrow, wide = packing.narrow_pattern(pattern), regex.compile(pattern)
+    every, few = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000], "".join(map(chr, range(256)))
+    kinds = [*("a 1'\n\x1c\x85é.sx"), "ll", "中", "\u0301", "\u2003"]
+    cuts = ["", few, "".join(every), *(f"{a}{b}" for a in few for b in few), *(f"a{c} {c}1{c}{c}\n{c}'{c}" for c in every)]
+    cuts += ["".join(rnd.choice(kinds + every[:600:7]) for _ in range(rnd.randint(1, 80))) for _ in range(2000)]
+    assert all(narrow.findall(t) == wide.findall(t) for t in cuts)
+    texts = ["".join(rnd.choice("abcdeéü“” '1.\n中") for _ in range(rnd.randint(1, 80))) for _ in range(1000)] + ["wörd, it’s 12 " * 6000]
+    broad = ["x\u2003 y\u0301é 🙂", "𝐚𝐛 𝟏𝟐's", "é" * 70_000 + " ²½\xa0 " * 9 + "中🙂"]
+    assert [ids.packed(t) for t in broad] == list(map(wanted, broad))
+    ids._pattern = None  # whoever asks it fails
+    assert [ids.packed(t) for t in texts] == list(map(wanted, texts))
+    others = ("(a)", r"\d+", "[a-z]+", "(?i:a)", "[[a]]", "[]a]", r"\p{Deseret}", "a\\", "a{2}", r"[a||\s]", r"\pL", "[a[^b]]")
+    assert [packing.narrow_pattern(p) for p in others] == [None] * len(others)
+
+
 def test_attribution(awkward):
     path, pattern = vocabulary(RANKS)
     df, rows = awkward

@@ -14,6 +14,8 @@ their names, are left behind. Empty tables give no piece.
 
 from __future__ import annotations
 
+import codecs
+import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -34,6 +36,38 @@ _NAMES = [c.split()[0] for c in _WITH_REST.split(", ")]
 #: Longer texts are not split into a list of matches at once.
 RUN = 1 << 16
 _MERGED = 1 << 30
+#: Parts of a splitting pattern, and those that only the regex module is left with (of a backslash: all but four classes).
+_PART = re.compile(r"\\[pP]\{\w+\}|\\.|\(\?[:!=]|\(\?|\[\^?\]?|[^\\]", re.DOTALL)
+_OTHERWISE = ("", "(", "(?", "[]", "[^]", "{")
+
+
+def narrow_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for texts of code points under 65,536, for the re module, which is faster: classes are written
+    out as the regex module reads them. None if the pattern holds anything that the two might read differently.
+    """
+    out, at, within, every = [], 0, False, "".join(map(chr, range(1 << 16)))
+    while at < len(pattern):
+        part = _PART.match(pattern, at)
+        piece = part.group() if part else ""
+        if piece[:3] in ("\\p{", "\\P{", "\\s", "\\S"):
+            members = "".join(f"\\u{ord(m[0]):04x}-\\u{ord(m[-1]):04x}" for m in regex.findall(f"{piece}+", every))
+            if not members:
+                return None
+            piece = members if within else f"[{members}]"
+        elif piece in _OTHERWISE or piece[0] == "\\" or within and piece[0] in "[-&|~":
+            return None
+        elif piece[0] == "[" or piece == "]":
+            within = piece != "]"
+        out.append(piece)
+        at = part.end()
+    return re.compile("".join(out))
+
+
+def _is_narrow(text: str) -> bool:
+    try:
+        return text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
+    except UnicodeEncodeError:
+        return False
 
 
 class TokenizerIds:
@@ -49,22 +83,25 @@ class TokenizerIds:
         self._model = self._library.model
         self._added = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._pattern = regex.compile(pattern)
+        self._narrow = narrow_pattern(pattern) or self._pattern
         # how a byte-level vocabulary writes bytes: printable Latin-1 as itself, the others from code point 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self._written = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        others = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self._written = "".join(chr(others.get(b, b)) for b in range(256))
         self._memo = Memo(self._ids)
 
     def _ids(self, match: str) -> bytes:
-        written = match.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._written)
+        written = codecs.charmap_decode(match.encode("utf-8", "surrogatepass"), "strict", self._written)[0]
         return array("I", [t.id for t in self._model.tokenize(written)]).tobytes()
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if any(a in text for a in self._added):
             return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
+        pattern = self._narrow if _is_narrow(text) else self._pattern
         if len(text) <= RUN:
-            return b"".join(map(self._memo.__getitem__, self._pattern.findall(text)))
-        return b"".join(self._memo[m.group()] for m in self._pattern.finditer(text))
+            return b"".join(map(self._memo.__getitem__, pattern.findall(text)))
+        return b"".join(self._memo[m.group()] for m in pattern.finditer(text))
 
 
 _loaded: dict[tuple[str, str], TokenizerIds] = {}
