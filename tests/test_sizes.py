@@ -1,6 +1,9 @@
 """Cases of the sizes at which queries once failed, made small."""
 
-from trackmesh.operators import anomalies
+import random
+from collections import Counter
+
+from trackmesh.operators import anomalies, memory, pairs, patterns
 
 
 def test_change_points_of_sums_over_a_long(spark):
@@ -12,3 +15,31 @@ def test_change_points_of_sums_over_a_long(spark):
     one = values.filter("subject_id = 1")
     assert [r.split for r in anomalies.change_points(one, [], "duration_ns", order).collect()] == [5]
     assert [(r.reason, r.at_ns) for r in anomalies.detect_change_points(one).collect()] == [("change_point", 5)]
+
+
+def stays_of(spark, subjects=40, each=30, seed=1):
+    """Stays on few moments, so that many start or end together, last no time, or are of one subject and overlap."""
+    draw = random.Random(seed)
+    rows = [(s, draw.choice([1, 2, 3, None]), at, at + draw.choice([0, 0, 1, 2, 5])) for s in range(subjects) for at in (draw.randrange(50) for _ in range(each))]
+    rows += [(None, 1, 3, 9)]
+    return spark.createDataFrame([(*r, r[3] - r[2]) for r in rows], "subject_id long, zone_id int, start_ns long, end_ns long, duration_ns long")
+
+
+def test_meetings_are_counted_without_pairs(spark):
+    stays = stays_of(spark)
+    told = memory.co_occurrences(stays, bucket_ns=7).select("subject_a", "subject_b", "start_ns").collect()
+    by_subject = Counter(s for r in told for s in (r.subject_a, r.subject_b))
+    met = memory.meetings(stays)
+    assert {r.subject_id: r.n for r in met.collect() if r.n} == by_subject
+    assert patterns.met_in_all(met).first().total == len(told)
+
+
+def test_pairs_are_counted_by_blocks(spark, monkeypatch):
+    stays = stays_of(spark)
+    told = [(r.subject_a, r.subject_b, r.start_ns) for r in memory.co_occurrences(stays, bucket_ns=7).collect()]
+    by_pair = Counter((a, b) for a, b, _ in told)
+    for name, small in (("SUBJECTS", 7), ("STAYS", 100), ("TABLE", 20), ("CHUNK", 13), ("ROWS", 5)):
+        monkeypatch.setattr(pairs, name, small)
+    assert {(r.a, r.b): r.n for r in pairs.counts(stays).collect()} == by_pair
+    assert {(r.a, r.b): r.n for r in pairs.counts(stays, 3).collect()} == {k: n for k, n in by_pair.items() if n >= 3}
+    assert sorted((r.a, r.b, r.n, r.at_ns) for r in pairs.meetings(stays).collect()) == sorted((a, b, by_pair[a, b], at) for a, b, at in told)
