@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
-from trackmesh.operators import anomalies, memory, pairs, patterns
+import numpy as np
+from pyspark.sql import functions as F
+
+from trackmesh.operators import anomalies, graph_index, identity, memory, pairs, patterns
 
 
 def test_change_points_of_sums_over_a_long(spark):
@@ -43,3 +46,32 @@ def test_pairs_are_counted_by_blocks(spark, monkeypatch):
     assert {(r.a, r.b): r.n for r in pairs.counts(stays).collect()} == by_pair
     assert {(r.a, r.b): r.n for r in pairs.counts(stays, 3).collect()} == {k: n for k, n in by_pair.items() if n >= 3}
     assert sorted((r.a, r.b, r.n, r.at_ns) for r in pairs.meetings(stays).collect()) == sorted((a, b, by_pair[a, b], at) for a, b, at in told)
+
+
+def vectors_of(spark, n, dims=8, seed=3):
+    v = np.random.default_rng(seed).normal(size=(n, dims))
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "embedding_ref long, vector array<double>").coalesce(1)
+
+
+def test_searches_hand_on_no_more_than_k_a_task(spark):
+    v, store = vectors_of(spark, 1700)  # four blocks of one task
+    asked = store.filter("embedding_ref % 100 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query"))
+    assert identity._hits(store, asked, 3).count() == 17 * 3
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, int(i)) for q in range(0, 1700, 100) for i in np.argsort(-(unit @ unit[q]))[:3]}
+    assert {(r.query_id, r.embedding_ref) for r in identity.top_k(store, asked, 3).collect()} == want
+    got = [(r.query_id, r.embedding_ref) for r in graph_index.search(graph_index.build(store), asked, 3).collect()]
+    assert len(got) == 51 and len(set(got) & want) >= 46
+
+
+def test_planes_by_blocks_are_those_of_a_join_on_buckets(spark):
+    v, store = vectors_of(spark, 300)
+    asked = store.filter("embedding_ref % 30 = 0").select(F.col("embedding_ref").alias("query_id"), F.col("vector").alias("query"))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sides = [v @ np.random.default_rng(1000 + t).normal(size=(6, 8)).T >= 0 for t in range(2)]
+    want = set()
+    for q in range(0, 300, 30):
+        near = [i for i in range(300) if any((s[i] != s[q]).sum() <= 1 for s in sides)]
+        near = near if len(near) >= 60 else range(300)  # too few: the exact search
+        want |= {(q, i) for i in sorted(near, key=lambda i: -(unit[i] @ unit[q]))[:60]}
+    assert {(r.query_id, r.embedding_ref) for r in identity.lsh_top_k(store, asked, 60, 8, 6, 2).collect()} == want

@@ -12,10 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trackmesh.operators.identity import vector_blocks
+from trackmesh.operators.identity import HITS, Best, ranked, vector_blocks
 from trackmesh.session import ship
 
 GRAPH = "dims int, ids binary, vectors binary, links binary, degree int"
@@ -43,27 +42,32 @@ def link(vectors: np.ndarray, degree: int) -> np.ndarray:
     return out
 
 
+def visited(scores: np.ndarray, links: np.ndarray, beam: int) -> np.ndarray:
+    """Which vectors of a block each query comes to (scores: queries by vectors) from a few fixed entries: of those it has
+    come to, it goes on from the best ``beam``, all at once, until it has been at each of them."""
+    n = scores.shape[1]
+    there = links >= 0
+    linked = np.zeros((n, n), np.float32)
+    linked[np.nonzero(there)[0], links[there]] = 1
+    seen, done = np.zeros(scores.shape, bool), np.zeros(scores.shape, bool)
+    seen[:, np.linspace(0, n - 1, min(n, 8)).astype(np.int64)] = True
+    live = np.arange(len(scores))
+    while len(live):
+        known = np.where(seen[live], scores[live], -np.inf)
+        least = np.partition(known, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(live), -np.inf)
+        front = seen[live] & ~done[live] & (known >= least[:, None])
+        on = front.any(axis=1)
+        live, front = live[on], front[on]
+        done[live] |= front
+        seen[live] |= front.astype(np.float32) @ linked > 0
+    return seen
+
+
 def walk(vectors: np.ndarray, links: np.ndarray, query: np.ndarray, k: int, beam: int) -> np.ndarray:
     """Places of the best vectors that a beam search from a few fixed entries comes to."""
-    n = len(vectors)
-    seen = np.zeros(n, bool)
-    front = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(np.int64))
-    seen[front] = True
-    kept, scores, done = front, vectors[front] @ query, np.zeros(len(front), bool)
-    while not done.all():
-        next_one = int(np.argmax(np.where(done, -np.inf, scores)))
-        done[next_one] = True
-        around = links[kept[next_one]]
-        fresh = np.unique(around[around >= 0])
-        fresh = fresh[~seen[fresh]]
-        if not len(fresh):
-            continue
-        seen[fresh] = True
-        kept, scores, done = np.concatenate((kept, fresh)), np.concatenate((scores, vectors[fresh] @ query)), np.concatenate((done, np.zeros(len(fresh), bool)))
-        if len(kept) > beam:
-            best = np.argpartition(-scores, beam - 1)[:beam]
-            kept, scores, done = kept[best], scores[best], done[best]
-    return kept[np.lexsort((kept, -scores))[:k]]
+    scores = vectors @ query
+    kept = np.flatnonzero(visited(scores[None], links, beam)[0])
+    return kept[np.lexsort((kept, -scores[kept]))[:k]]
 
 
 def _plain(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -91,14 +95,16 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = 64) -> Data
     pairs = index.crossJoin(asked.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))).filter("dims = q_dims")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, Best] = {}
         for batch in batches:
-            for dims, ids, vectors, links, degree, _, q_ids, q_vectors in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # a row at a time: a row is two blocks
+                dims, ids, vectors, links, degree, _, q_ids, q_vectors = (c[i].as_py() for c in batch.columns)
                 ids, v = np.frombuffer(ids, np.int64), np.frombuffer(vectors, float).reshape(-1, dims)
                 graph, q = np.frombuffer(links, np.int32).reshape(-1, degree), np.frombuffer(q_vectors, float).reshape(-1, dims)
-                for query_id, one in zip(np.frombuffer(q_ids, np.int64).tolist(), q, strict=True):
-                    found = walk(v, graph, one, k, max(beam, k))
-                    yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(found), pa.int64()), pa.array(ids[found]), pa.array((v[found] * one).sum(axis=1))], names=["query_id", "embedding_ref", "score"])
+                scores = q @ v.T
+                own = best.setdefault((dims, q_ids), Best(np.frombuffer(q_ids, np.int64), k))
+                own.meet(q, ids, v, np.where(visited(scores, graph, max(beam, k)), scores, -np.inf))
+        for own in best.values():
+            yield own.rows(True)
 
-    hits = pairs.mapInArrow(run, "query_id long, embedding_ref long, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "embedding_ref")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked(pairs.mapInArrow(run, HITS), k).drop("near")

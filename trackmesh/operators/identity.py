@@ -76,30 +76,77 @@ def _unpacked(row: tuple) -> tuple[np.ndarray, ...]:
     return (*(np.frombuffer(x, np.int64) for x in (ids, groups, labels)), np.frombuffer(vectors, float).reshape(-1, dims))
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest vectors of each query (query_id, query) by cosine, then handle.
-
-    The stated query set meets the store in blocks, at any size by the same plan; a pair of blocks hands on its k best of
-    each query, whose scores are taken again vector by vector, so that they do not hang on the block.
-    """
+HITS = "query_id long, embedding_ref long, score double, near boolean"
+
+
+class Best:
+    """The k best (score, then lower id) of each query of a block, over the blocks of the store that it has met."""
+
+    def __init__(self, asked: np.ndarray, k: int) -> None:
+        self.asked, self.k = asked, k
+        self.x, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(asked), -2.0)  # what a row must reach to count
+
+    def meet(self, q: np.ndarray, ids: np.ndarray, a: np.ndarray, scores: np.ndarray) -> None:
+        least = self.floor
+        if scores.shape[1] > self.k and (least == -2.0).any():
+            least = np.maximum(least, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        x, y = np.nonzero(scores >= np.maximum(least, -1.5)[:, None] - 1e-9)  # ties of the last place too
+        if not len(x):
+            return
+        # scores are taken again vector by vector, so that they do not hang on the block
+        x, ids, scores = np.concatenate((self.x, x)), np.concatenate((self.ids, ids[y])), np.concatenate((self.scores, (q[x] * a[y]).sum(axis=1)))
+        order = np.lexsort((ids, -scores, x))
+        x, ids, scores = x[order], ids[order], scores[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        own = rank < self.k
+        self.x, self.ids, self.scores = x[own], ids[own], scores[own]
+        last = rank == self.k - 1
+        self.floor[x[last]] = scores[last]
+
+    def rows(self, near: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.asked[self.x]), pa.array(self.ids), pa.array(self.scores), pa.array(np.full(len(self.x), near))], names=["query_id", "embedding_ref", "score", "near"])
+
+
+def _hits(store: DataFrame, queries: DataFrame, k: int, normals: np.ndarray | None = None) -> DataFrame:
+    """(query_id, embedding_ref, score, near): of each task the k best of each query, so that what is shuffled does not grow
+    with the pairs; given the normals of tables of planes, also the k best of those near it (see lsh_top_k)."""
     none = F.lit(0).cast("long")
     pairs = _block_pairs(
         store.select(F.col("embedding_ref").alias("id"), none.alias("group"), none.alias("label"), "vector"), queries.select(F.col("query_id").alias("id"), none.alias("group"), none.alias("label"), F.col("query").alias("vector"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[Best, Best]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(batch.num_rows):  # a row at a time: a row is two blocks
+                row = [c[i].as_py() for c in batch.columns]
                 ids, _, _, a = _unpacked(row[:5])
                 asked, _, _, q = _unpacked(row[5:])
+                exact, near = best.setdefault((row[5], row[6]), (Best(asked, k), Best(asked, k)))
                 scores = q @ a.T
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q), -2.0)
-                x, y = np.nonzero(scores >= least[:, None] - 1e-9)  # ties of the last place too
-                yield pa.RecordBatch.from_arrays([pa.array(asked[x]), pa.array(ids[y]), pa.array((q[x] * a[y]).sum(axis=1))], names=["query_id", "embedding_ref", "score"])
+                exact.meet(q, ids, a, scores)
+                if normals is not None:
+                    near.meet(q, ids, a, np.where(_share_a_bucket(q, a, normals), scores, -np.inf))
+        for exact, near in best.values():
+            yield exact.rows(False)
+            if normals is not None:
+                yield near.rows(True)
 
-    hits = pairs.mapInArrow(run, "query_id long, embedding_ref long, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "embedding_ref")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "embedding_ref", "score", "rank")
+    return pairs.mapInArrow(run, HITS)
+
+
+def ranked(hits: DataFrame, k: int, *more: str) -> DataFrame:
+    w = W.partitionBy("query_id", *more).orderBy(F.desc("score"), "embedding_ref")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact nearest vectors of each query (query_id, query) by cosine, then handle.
+
+    The stated query set meets the store in blocks, at any size by the same plan.
+    """
+    return ranked(_hits(store, queries, k), k).select("query_id", "embedding_ref", "score", "rank")
 
 
 def best_by_group(store: DataFrame, queries: DataFrame) -> DataFrame:
@@ -123,9 +170,13 @@ def best_by_group(store: DataFrame, queries: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "group", "label").agg(F.max("score").alias("score"))
 
 
+def _normals(dims: int, planes: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(planes, dims))
+
+
 def lsh_signature(vector: Column, dims: int, planes: int, seed: int) -> Column:
     """The sides of fixed random planes, as an integer."""
-    normals = np.random.default_rng(seed).normal(size=(planes, dims))
+    normals = _normals(dims, planes, seed)
     bits = [F.when(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in row]), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v) >= 0, F.lit(1 << i)).otherwise(0) for i, row in enumerate(normals)]
     out = bits[0]
     for b in bits[1:]:
@@ -133,21 +184,29 @@ def lsh_signature(vector: Column, dims: int, planes: int, seed: int) -> Column:
     return out.cast("long")
 
 
+def _share_a_bucket(q: np.ndarray, a: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """Whether, in any table, a vector lies in a query's bucket or across one plane of it (tables, planes, dims: normals)."""
+    out = np.zeros((len(q), len(a)), bool)
+    for planes in normals:
+        weights = 1 << np.arange(len(planes))
+        kind = np.uint8 if len(planes) <= 8 else np.uint64
+        x, y = (((v @ planes.T >= 0) * weights).sum(axis=1).astype(kind) for v in (q, a))
+        apart = x[:, None] ^ y[None, :]
+        out |= apart & (apart - kind(1)) == 0  # one bit at most
+    return out
+
+
 def lsh_top_k(store: DataFrame, queries: DataFrame, k: int, dims: int, planes: int = 6, tables: int = 12) -> DataFrame:
     """Approximate search: a query meets the vectors that lie, in any table, in its bucket or across one plane of it.
 
-    A pair is scored in the first table that it meets in. A query with fewer than k hits is searched exactly.
+    A query with fewer than k hits is searched exactly. Blocks meet as in the exact search, since so few planes leave most
+    pairs in some common bucket: a join on buckets would make every such pair a row, several times over.
     """
-    signs = lambda c: F.array(*[lsh_signature(F.col(c), dims, planes, 1000 + t) for t in range(tables)])
-    a = store.select("embedding_ref", "vector", signs("vector").alias("own")).select("*", F.posexplode("own").alias("t", "h"))
-    b = queries.select("query_id", "query", signs("query").alias("asked")).select("*", F.posexplode("asked").alias("t", "at"))
-    b = b.withColumn("h", F.explode(F.array("at", *[F.col("at").bitwiseXOR(F.lit(1 << i)) for i in range(planes)])))
-    near = F.zip_with(F.slice("own", F.lit(1), F.col("t")), F.slice("asked", F.lit(1), F.col("t")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 1)
-    met = a.join(b, ["t", "h"]).filter(~F.exists(near, lambda x: x)).withColumn("score", s.cosine(F.col("vector"), F.col("query"))).filter("score is not null")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "embedding_ref"))
-    found = met.select("query_id", "embedding_ref", "score").withColumn("rank", rank).filter(F.col("rank") <= k).persist()
-    full = found.filter(F.col("rank") == k).select("query_id")
-    return found.join(full, "query_id", "left_semi").unionByName(top_k(store, queries.join(full, "query_id", "left_anti"), k))
+    normals = np.stack([_normals(dims, planes, 1000 + t) for t in range(tables)])
+    fits = lambda df, c: df.filter(F.size(c) == dims)
+    found = ranked(_hits(fits(store, "vector"), fits(queries, "query"), k, normals), k, "near")
+    enough = F.count_if("near").over(W.partitionBy("query_id")) >= k
+    return found.withColumn("_enough", enough).filter(F.col("near") == F.col("_enough")).select("query_id", "embedding_ref", "score", "rank")
 
 
 def mean_pool(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
