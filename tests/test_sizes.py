@@ -4,9 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from trackmesh.operators import anomalies, graph_index, identity, memory, pairs, patterns
+from trackmesh.streaming import machines as mc
 
 
 def test_change_points_of_sums_over_a_long(spark):
@@ -75,3 +77,32 @@ def test_planes_by_blocks_are_those_of_a_join_on_buckets(spark):
         near = near if len(near) >= 60 else range(300)  # too few: the exact search
         want |= {(q, i) for i in sorted(near, key=lambda i: -(unit[i] @ unit[q]))[:60]}
     assert {(r.query_id, r.embedding_ref) for r in identity.lsh_top_k(store, asked, 60, 8, 6, 2).collect()} == want
+
+
+def test_smoothing_in_parts_and_in_columns():
+    """The smoother fed a few frames at a time against plain numbers, with tracks that are lost, come back and have no class."""
+    draw, rows = random.Random(7), []
+    for frame in range(0, 120, 2):
+        for track in sorted(draw.sample(range(6), draw.randrange(4))) or [None]:
+            box = [draw.random() if track is not None else None for _ in range(4)]
+            rows.append((frame, track, *box, draw.random(), draw.choice([None, 1, 2])))
+    names = ["frame_index", "track_id", *mc.BOX, "score", "class_id"]
+    want, live = [], {}
+    for frame in sorted({r[0] for r in rows}):
+        for _, track, *box, cls in (r for r in rows if r[0] == frame and r[1] is not None):
+            old = live.get(track)
+            at = box if old is None else [o * (1 - 0.3) + v * 0.3 for o, v in zip(old[0], box, strict=True)]
+            live[track] = [at, cls if cls is not None else old and old[1], -1]
+        for entry in live.values():
+            entry[2] += 1
+        live = {k: e for k, e in live.items() if e[2] <= 3}
+        want += [(frame, k, *e[0], e[1]) for k, e in sorted(live.items())]
+    for size in (1, 4, 60):
+        machine = mc.Smoother(alpha=0.3, max_missed=3)
+        state, got = machine.start(), []
+        for a in range(0, 120, 2 * size):
+            part = pd.DataFrame([r for r in rows if a <= r[0] < a + 2 * size], columns=names)
+            columns = machine.feed_columns(state, part)
+            assert len({len(c) for c in columns}) == 1
+            got += mc.as_tuples(columns)
+        assert got == want
