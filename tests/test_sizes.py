@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from trackmesh.operators import anomalies, graph_index, identity, memory, pairs, patterns
+from trackmesh.streaming import fold
 from trackmesh.streaming import machines as mc
 
 
@@ -106,3 +107,18 @@ def test_smoothing_in_parts_and_in_columns():
             assert len({len(c) for c in columns}) == 1
             got += mc.as_tuples(columns)
         assert got == want
+
+
+def test_rows_of_a_key_are_put_in_order_beyond_memory(monkeypatch):
+    draw = random.Random(5)
+    rows = pd.DataFrame({"at": [draw.randrange(300) for _ in range(3000)], "n": [draw.randrange(3) for _ in range(3000)]})
+    rows["i"] = range(3000)
+    parts = [rows.iloc[a : a + 37] for a in range(0, 3000, 37)]
+    want = rows.sort_values(["at", "n"], kind="stable", ignore_index=True)
+    for run, size in ((10_000, 50), (200, 30), (100, 1), (37, 1000)):
+        monkeypatch.setattr(fold, "RUN", run)
+        monkeypatch.setattr(fold, "SLICE", size)
+        got = list(fold.in_order(iter(parts), ["at", "n"]))
+        assert pd.concat(got, ignore_index=True).equals(want)
+        assert all(a["at"].iloc[-1] < b["at"].iloc[0] for a, b in zip(got, got[1:]))
+    assert list(fold.in_order(iter([]), ["at"])) == []
